@@ -204,3 +204,10 @@ def test_isolation_forest_isolates():
     x = np.concatenate([draw.normal(0, 1, (500, 3)), [[8, 8, 8]]])
     score = rules.IsolationForest(x).score(x)
     assert score.argmax() == 500
+
+
+def test_tail_covers_all_rows(spark):
+    stats = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(rules.statistics_column(F.col("text")).alias("s")).select("s.*")
+    rows = stats.toPandas()
+    want = np.quantile(rules.rates(rows[~rules.base_failed(rows)]), 0.99, axis=0)
+    assert (np.abs(rules.tail(stats) - want) < 2e-3).all() and not rules.tail(stats.limit(0)).any()
