@@ -61,3 +61,26 @@ def majority(df: DataFrame, by: Sequence[str], vote: str) -> DataFrame:
 def hash_sample(df: DataFrame, seed: str, key: Column, n: int) -> DataFrame:
     """The ``n`` rows whose salted SHA-256 comes first; the same on every run."""
     return df.withColumn("rank_hash", F.sha2(F.concat_ws(":", F.lit(seed), key), 256)).orderBy("rank_hash").limit(n)
+
+
+def fill_backward(df: DataFrame, by: Sequence[str], order: str, col: str) -> DataFrame:
+    """The next value at or after a row; behind the last value, the last one."""
+    after = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    before = Window.partitionBy(*by).orderBy(order)
+    return df.withColumn(col, F.coalesce(F.first(col, ignorenulls=True).over(after), F.last(col, ignorenulls=True).over(before)))
+
+
+def nearest(df: DataFrame, by: Sequence[str], distance: Column, ties: Sequence[str], k: int = 5) -> DataFrame:
+    """The ``k`` rows of each group at the least distance, ties by ``ties``."""
+    w = Window.partitionBy(*by).orderBy("_distance", *ties)
+    return df.withColumn("_distance", distance).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_distance", "_rank")
+
+
+def clear_best(df: DataFrame, by: Sequence[str], score: str, tie: str, lead: float = 0) -> DataFrame:
+    """``(by, tie, score)`` of each group's best row, if it leads the second by more than ``lead``; groups without a clear best are left out."""
+    w = Window.partitionBy(*by).orderBy(F.col(score).desc_nulls_last(), tie)
+    two = df.withColumn("_rank", F.row_number().over(w)).where("_rank <= 2").groupBy(*by)
+    first, second = (F.max(F.when(F.col("_rank") == n, F.struct(tie, score))) for n in (1, 2))
+    told = two.agg(first.alias("_first"), second.alias("_second"))
+    clear = F.col(f"_second.{score}").isNull() | (F.col(f"_first.{score}") - F.col(f"_second.{score}") > lead)
+    return told.where(F.col(f"_first.{score}").isNotNull() & clear).select(*by, f"_first.{tie}", f"_first.{score}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import intervals, merge, order, sequences
+from ..streaming import changes
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -177,7 +178,49 @@ def rare_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grams("documents", "doc_id").join(known, "gram").groupBy("doc_id").agg(weight, F.count("*").alias("grams"))
 
 
-QUERIES = {f.__name__: f for f in (word_key_freq, landmark_links, landmarks, line_offsets, first_lines, majority_role, role_runs, counterparts, moved_events, last_position, candidate_terms, review_sample, review_gate, import_outcomes, revision_changes, reprint_sources, span_overlaps, free_spans, hidden_spans, restored_spans, span_segments, covered_nodes, upper_median, page_links, rare_trigrams)}
+def recurrence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.recurrence(_t(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id"], "turn", "role")
+
+
+def next_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.col("turn")).alias("shown"))
+    return order.fill_backward(turns, ["conv_id"], "turn", "shown")
+
+
+def nearest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return order.nearest(lines, ["l_orderkey"], F.abs(F.col("l_quantity") - 25), ["l_linenumber", "l_quantity"], 2)
+
+
+def clear_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.clear_best(_t(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_quantity", "l_linenumber", 8)
+
+
+def lines_in_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order whose quantities lie within five of each other: the range is checked inside an equi join."""
+    a = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    b = a.select("l_orderkey", F.col("l_linenumber").alias("other"), F.col("l_quantity").alias("q"))
+    return a.join(b, "l_orderkey").where((F.col("l_linenumber") < F.col("other")) & F.col("q").between(F.col("l_quantity") - 5, F.col("l_quantity") + 5)).select("l_orderkey", "l_linenumber", "other")
+
+
+def conversation_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda t: t["text"])
+    return _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sha2(F.array_join(turns, "\n"), 256).alias("revision"))
+
+
+def collection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of each nation, in one segment and in the others; nations without any are left out."""
+    own = F.col("c_mktsegment") == "BUILDING"
+    counted = _t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count_if(own).alias("own"), F.count_if(~own).alias("imported"))
+    return _t(spark, sf_dir, "nation").select("n_nationkey", "n_name").join(counted, "n_nationkey")
+
+
+def edit_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = changes.sessions(_t(spark, sf_dir, "events").select("user_id", "ts"), ["user_id"], "ts", "6 hours")
+    return found.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+
+
+QUERIES = {f.__name__: f for f in (word_key_freq, landmark_links, landmarks, line_offsets, first_lines, majority_role, role_runs, counterparts, moved_events, last_position, candidate_terms, review_sample, review_gate, import_outcomes, revision_changes, reprint_sources, span_overlaps, free_spans, hidden_spans, restored_spans, span_segments, covered_nodes, upper_median, page_links, rare_trigrams, recurrence_labels, next_shown, nearest_lines, clear_leads, lines_in_reach, conversation_hash, collection_counts, edit_sessions)}
 
 _single = "k"
 for _c in "abcdefghijklmnopqrstuvwxyz":
@@ -232,4 +275,12 @@ SELECT g.node, a AS start, b AS "end", count(*) AS layers FROM g JOIN s ON s.nod
     "upper_median": "SELECT l_orderkey, list_sort(list(l_quantity))[count(*) // 2 + 1]::DOUBLE AS median FROM lineitem GROUP BY l_orderkey",
     "page_links": "SELECT page_id, coalesce(regexp_matches(url, '^(?i:https?)://'), false) AS safe, trim(regexp_replace(lower(regexp_replace(url, '^.*://', '')), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM pages",
     "rare_trigrams": f"WITH d AS (SELECT DISTINCT id, gram FROM {_grams(3, 'doc_id AS id, text FROM documents')}), k AS (SELECT gram, count(DISTINCT id) AS df FROM {_grams(3, 'item_id AS id, text FROM benchmark')} GROUP BY gram) SELECT id AS doc_id, round(sum(1 / df), 6) AS weight, count(*) AS grams FROM d JOIN k USING (gram) GROUP BY id",
+    "recurrence_labels": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations) SELECT conv_id, turn, role || CASE WHEN n > 1 THEN chr((96 + n)::INT) ELSE '' END AS role FROM r",
+    "next_shown": "SELECT a.conv_id, a.turn, coalesce((SELECT min(b.turn) FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn >= a.turn AND b.role = 'user'), (SELECT max(b.turn) FROM conversations b WHERE b.conv_id = a.conv_id AND b.role = 'user')) AS shown FROM conversations a",
+    "nearest_lines": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY abs(l_quantity - 25), l_linenumber, l_quantity) <= 2",
+    "clear_leads": "SELECT l_orderkey, arg_max(l_linenumber, l_quantity) AS l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey HAVING count(*) = 1 OR list_reverse_sort(list(l_quantity))[1] - list_reverse_sort(list(l_quantity))[2] > 8",
+    "lines_in_reach": "SELECT a.l_orderkey, a.l_linenumber, b.l_linenumber AS other FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND abs(a.l_quantity - b.l_quantity) <= 5",
+    "conversation_hash": "SELECT conv_id, sha256(string_agg(coalesce(text, ''), chr(10) ORDER BY turn)) AS revision FROM conversations GROUP BY conv_id",
+    "collection_counts": "SELECT n_nationkey, n_name, count(*) FILTER (c_mktsegment = 'BUILDING') AS own, count(*) FILTER (c_mktsegment <> 'BUILDING') AS imported FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY ALL",
+    "edit_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER o <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT user_id, sum(b) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM g), c AS (SELECT user_id, s, count(*) AS n FROM r GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id",
 }
