@@ -16,6 +16,14 @@ of those fingerprints is sent to itself and to its 64 neighbours at one bit; two
 differ in at most two bits exactly when they meet at one of these, and whoever meets is linked to
 the smallest there. That is linear in the fingerprints and loses no link.
 
+**Similar texts.** ``keep_one`` groups texts whose sets of five-word shingles have a Jaccard similarity
+of 0.8 or more, and no distance between fingerprints is proven to hold all of those. So the links above,
+over five-word fingerprints, and the texts that share a rare shingle with a hub only start the groups;
+a prefix filter then finds every further pair. Of a set of ``n`` shingles in one order for all texts, the
+first ``n - ceil(0.8 n) + 1`` hold a shingle of every set as similar, so similar texts meet at one.
+Texts of one group need not meet again. Every candidate is verified on the whole sets. Shingles common in
+a sample come last in the order; that bounds how many meet, not what is found.
+
 Nulls and empty texts have fingerprint zero. Rows with a null id take part; a group's smallest id
 ignores nulls and is null only where all are. Repeated rows get the same answer. Empty tables give
 empty results.
@@ -24,12 +32,12 @@ empty results.
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -38,27 +46,40 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BITS = 64
 _BLOCKS = 4
 _STEP = 1 << 14
+#: The Jaccard similarity of shingle sets from which texts are near copies, as a fraction.
+_SIMILAR = (4, 5)
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """The unsigned SimHash of one text; bit counts are summed over slices of the shingles."""
+def shingle_hashes(text: str | None, shingle: int = 3, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of each shingle of one text, repeats included, in slices."""
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not tokens:
-        return 0
+        return
     joined = b" ".join(tokens)
     length = np.fromiter(map(len, tokens), np.int64, len(tokens))
     end = np.cumsum(length + 1) - 1
     start = end - length
     k = min(shingle, len(tokens))
     n = len(tokens) - k + 1
-    counts = np.zeros(_BITS, np.int64)
     digest = xxhash.xxh64_intdigest
     for lo in range(0, n, _STEP):
         hi = min(n, lo + _STEP)
         spans = zip(start[lo:hi].tolist(), end[lo + k - 1 : hi + k - 1].tolist(), strict=True)
-        h = np.fromiter((digest(joined[a:b], seed) for a, b in spans), "<u8", hi - lo)
+        yield np.fromiter((digest(joined[a:b], seed) for a, b in spans), "<u8", hi - lo)
+
+
+def majority(slices: Iterable[np.ndarray]) -> int:
+    """The unsigned SimHash of shingle hashes; bit counts are summed over the slices."""
+    counts, n = np.zeros(_BITS, np.int64), 0
+    for h in slices:
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+        n += len(h)
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0]) if n else 0
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """The unsigned SimHash of one text."""
+    return majority(shingle_hashes(text, shingle, seed))
 
 
 def fingerprint_column(text: Column, shingle: int = 3, seed: int = 42) -> Column:
@@ -156,13 +177,107 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(group, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "root")
 
 
+def signature(text: str | None, shingle: int, common: np.ndarray) -> tuple[int, int, int, np.ndarray]:
+    """A text's SimHash, the hash of its shingle set, the set's size, and the first shingles that any similar set shares one of."""
+    slices = list(shingle_hashes(text, shingle))
+    found = np.unique(np.concatenate(slices)) if slices else np.zeros(0, "<u8")
+    late = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found if len(common) else np.zeros(len(found), bool)
+    n = len(found)
+    head = np.concatenate([found[~late], found[late]])[: n - (_SIMILAR[0] * n + _SIMILAR[1] - 1) // _SIMILAR[1] + 1]
+    return _signed(majority(slices)), _signed(xxhash.xxh64_intdigest(found.tobytes())), n, head.view(np.int64)
+
+
+def node_column(text: Column, shingle: int = 5) -> Column:
+    """The hash of each text's shingle set."""
+
+    @F.pandas_udf("long")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        none = np.zeros(0, "<u8")
+        for s in batches:
+            yield pd.Series([signature(t if isinstance(t, str) else None, shingle, none)[1] for t in s], dtype="int64")
+
+    return of(text)
+
+
+def common_shingles(docs: DataFrame, text_col: str, shingle: int, sample: int = 10_000, least: int = 3) -> np.ndarray:
+    """Hashes of the shingles that ``least`` or more of about ``sample`` texts have; they only order the search."""
+    n = docs.count()
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for t in rows[text_col]:
+                for h in shingle_hashes(t if isinstance(t, str) else None, shingle):
+                    yield pd.DataFrame({"shingle": np.unique(h).view(np.int64)})
+
+    drawn = docs.where(F.pmod(F.xxhash64(F.lit(5), text_col), F.lit(1_000_000)) < int(1_000_000 * min(1, sample / max(n, 1)))).select(text_col).distinct()
+    often = drawn.mapInPandas(of, "shingle long").groupBy("shingle").count().where(F.col("count") >= least).select("shingle").toPandas()
+    return np.sort(often["shingle"].to_numpy(np.int64).view(np.uint64))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """The pairs ``(a, b)`` of shingle sets that are similar, by their whole sets."""
+
+    @F.pandas_udf("array<long>")
+    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            slices = [list(shingle_hashes(t if isinstance(t, str) else None, shingle)) for t in s]
+            yield pd.Series([np.unique(np.concatenate(x)).view(np.int64) if x else np.zeros(0, np.int64) for x in slices])
+
+    pairs = cut(pairs.where("a <> b").distinct())
+    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = nodes.join(need, "node").select("node", "text_hash")
+    texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")).join(wanted, "text_hash").dropDuplicates(["node"])
+    sets = cut(texts.select("node", whole(F.col("text")).alias("set")))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("t")), "b")
+    shared, (up, down) = F.size(F.array_intersect("s", "t")), _SIMILAR
+    return cut(both.where(shared * (up + down) >= (F.size("s") + F.size("t")) * up).select("a", "b"))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """``(id_col, node, component_id, root)`` for each row of ``docs``: ``node`` names its shingle set, ``root`` the group of sets that similar pairs join."""
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, shingle))
+
+    @F.pandas_udf("fp long, node long, n long, head array<long>")
+    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            yield pd.DataFrame([signature(t if isinstance(t, str) else None, shingle, common.value) for t in s], columns=["fp", "node", "n", "head"])
+
+    rows = cut(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), sign(F.col(text_col)).alias("s")).select("id", "text_hash", "s.*"))
+    nodes = cut(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("text_hash", "fp", "n")]))
+    heads = rows.dropDuplicates(["node"]).select("node", "n", F.posexplode("head").alias("at", "token"))
+    met = cut(heads.withColumn("texts", F.count("*").over(Window.partitionBy("token"))).where("texts > 1").drop("texts"))
+
+    least = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    near = links(least.select("fp")).join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    alike = nodes.join(least, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    hubs = met.join(met.groupBy("token").agg(F.min("node").alias("a")), "token").select("a", F.col("node").alias("b"))
+    first = components(verified(near.unionByName(alike).unionByName(hubs), nodes, docs, text_col, shingle))
+    roots = cut(nodes.select("node").join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+
+    apart = cut(met.join(roots, "node"))
+    mixed = apart.groupBy("token").agg(F.collect_set("root").alias("roots")).where(F.size("roots") > 1)
+    sides = mixed.select("token", "roots", F.explode("roots").alias("root_a")).select("token", "root_a", F.explode("roots").alias("root_b")).where("root_a < root_b")
+    left = apart.select("token", F.col("root").alias("root_a"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    right = apart.select("token", F.col("root").alias("root_b"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    up, down = _SIMILAR
+    fits = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) * (up + down) >= (F.col("n_a") + F.col("n_b")) * up  # what may be shared from here on
+    pairs = sides.join(left, ["token", "root_a"]).join(right, ["token", "root_b"]).where(fits).select("a", "b")
+    found = verified(pairs, nodes, docs, text_col, shingle)
+    bridges = found.join(roots.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    last = components(bridges).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    named = cut(roots.join(last, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+    told = rows.select("id", "node").join(named, "node")
+    ids = told.groupBy("root").agg(F.min("id").alias("component_id"))
+    return told.join(ids, "root").select(F.col("id").alias(id_col), "node", "component_id", "root")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the row of smallest id of each group, its columns as they are.
+    """``docs`` with the row of smallest id of each group of similar texts, its columns as they are.
 
     Rows whose id is null or repeated are told apart by their text: one of those that hold a
     group's smallest id stays, and a group without any id keeps one row.
     """
-    groups = cut(near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("fp").alias("_fp"), F.col("component_id").alias("_of"), F.col("root").alias("_root")))
+    groups = cut(similar_groups(docs, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("node").alias("_node"), F.col("component_id").alias("_of"), F.col("root").alias("_root")))
     ids = groups.groupBy("_id").agg(F.count("*").alias("_n"), F.min("_of").alias("_of"))
     lone = ids.where("_n = 1 and _id = _of").select("_id")
     kept = docs.join(lone, docs[id_col] == F.col("_id"), "left_semi")
@@ -170,7 +285,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     if odd.limit(1).count() == 0:
         return kept
     heads = groups.join(odd.select(F.col("_id").alias("_odd")), F.col("_id").eqNullSafe(F.col("_odd")), "left_semi").where(F.col("_id").eqNullSafe(F.col("_of"))).distinct()
-    fp = "_fp" + str(len(docs.columns))
-    marked = docs.join(odd, docs[id_col].eqNullSafe(F.col("_id")), "left_semi").withColumn(fp, fingerprint_column(docs[text_col]))
-    again = marked.join(heads, marked[id_col].eqNullSafe(heads["_id"]) & (marked[fp] == heads["_fp"])).dropDuplicates(["_root"])
+    node = "_node" + str(len(docs.columns))
+    marked = docs.join(odd, docs[id_col].eqNullSafe(F.col("_id")), "left_semi").withColumn(node, node_column(docs[text_col]))
+    again = marked.join(heads, marked[id_col].eqNullSafe(heads["_id"]) & (marked[node] == heads["_node"])).dropDuplicates(["_root"])
     return kept.unionByName(again.select(*[marked[c] for c in docs.columns]))

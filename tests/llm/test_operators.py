@@ -114,6 +114,29 @@ def test_simhash_fingerprints_and_odd_rows(spark, odd):
     assert sum(not r.text for r in kept) == 1
 
 
+def test_keep_one_keeps_one_of_all_similar_texts(spark):
+    draw = random.Random(6)
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(max(1, len(w) - 4))}
+    texts = []
+    for _ in range(15):
+        base = [f"w{draw.randrange(5000)}" for _ in range(draw.randrange(5, 150))]
+        for k in (0, 1, 1, 2, 3):
+            words = list(base)
+            for _ in range(k):
+                words[draw.randrange(len(words))] = f"x{draw.randrange(5000)}"
+            texts.append(" ".join(["a line that many of the texts begin with", *words]))
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    wide = 0
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            wide += bin(brute_fingerprint(texts[i]) ^ brute_fingerprint(texts[j])).count("1") > 2
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert wide > 20 and {r.doc_id for r in kept.collect()} == {find(i) for i in range(len(texts))}
+
+
 def test_rule_statistics():
     n, chars, symbols, dup, repeat, *_ = rules.statistics("a b c d e\na b c d e\n \n#x #x\n#x #x")
     assert (n, chars, symbols, dup) == (14, 18, 4, 2)
