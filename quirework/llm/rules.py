@@ -30,6 +30,8 @@ _UPPER = re.compile(r"[A-ZÀ-Þ]")
 _WINDOW = 5
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_distinct", "n_lines", "n_same_next")
 
+#: The step of a rate in which the good rows do not differ: for words, 4 of 10,000.
+_LEAST = 0.02
 #: How many rates the forest looks at.
 RATES = 6
 
@@ -78,18 +80,18 @@ def rates(stats: pd.DataFrame) -> np.ndarray:
 class Model:
     """A forest over rule levels, and the score above which rows go.
 
-    A level counts, in quarters of the way to ``far`` (the 99th percentile of all rows), how far a rate
-    exceeds what all but a two-hundredth of the good rows show; a step is no less than the spread
-    of the good rows. So rare but slight excesses of good rows do not isolate them.
+    A level counts, in steps of the good rows' own spread, how far a rate exceeds what all but a
+    two-hundredth of them show. So rare but slight excesses of good rows do not isolate them, and
+    however few rows exceed a rate, it counts. Where good rows do not spread, a step is ``_LEAST``.
     """
 
-    def __init__(self, drawn: pd.DataFrame, told: pd.DataFrame, far: np.ndarray, spare: float) -> None:
+    def __init__(self, drawn: pd.DataFrame, told: pd.DataFrame, spare: float) -> None:
         drawn, told = drawn[~base_failed(drawn)], told[~base_failed(told)]
         good = told["quality"].to_numpy() == 1
         usual = rates(told[good]) if good.any() else rates(drawn)
         self.usual = np.quantile(usual, 0.995, axis=0) if len(usual) else np.zeros(RATES)
         spread = self.usual - np.median(usual, axis=0) if len(usual) else np.zeros(RATES)
-        self.step = np.where(far > self.usual, np.maximum((far - self.usual) / 4, spread), np.inf)
+        self.step = np.where(spread > 0, spread, _LEAST)
         self.forest = IsolationForest(self.levels(drawn)) if len(drawn) > 1 else None
         self.threshold = calibrate(self.score(told), good, spare) if len(told) else np.inf
 
@@ -199,7 +201,7 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str, sample: int, spare: fl
     drawn = some(stats, id_col, sample).select(id_col, *STATS).toPandas().sort_values([id_col, *STATS])
     known = some(labels.where("quality is not null").select(id_col, "quality"), id_col, sample)
     told = stats.join(known, id_col).select(*STATS, "quality").toPandas()
-    return Model(drawn, told, tail(stats), spare)
+    return Model(drawn, told, spare)
 
 
 def tail(stats: DataFrame, share: float = 0.99, fine: int = 1_000) -> np.ndarray:

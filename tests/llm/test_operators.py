@@ -229,6 +229,16 @@ def test_isolation_forest_isolates():
     assert score.argmax() == 500
 
 
+def test_junk_in_few_rows_is_rejected(spark):
+    draw = random.Random(7)
+    prose = lambda: " ".join("".join(draw.choice("nrtaeosl") for _ in range(draw.randrange(3, 8))) for _ in range(80))
+    rows = [(i, prose()) for i in range(1000)] + [(i, " ".join(w + " ###" for w in prose().split())) for i in range(1000, 1005)]
+    labels = [(i, 1) for i in range(300)] + [(1000, 0), (1001, 0)]
+    judged = rules.judge(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    gone = {r.doc_id for r in judged.where("not kept").collect()}
+    assert set(range(1000, 1005)) <= gone and len(gone) < 15
+
+
 def test_tail_covers_all_rows(spark):
     stats = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(rules.statistics_column(F.col("text")).alias("s")).select("s.*")
     rows = stats.toPandas()
