@@ -1,6 +1,8 @@
 """Licence scans by sentence rules; DataFrame functions only.
 
-A text is cut into sentences at line ends and at sentence ends followed by white space. A sentence is
+Known sentences that are wrapped over several lines, with comment marks or not, are put on one line
+first; blank lines part sentences. A text is then cut into sentences at line ends and at sentence ends
+followed by white space. A sentence is
 normalised: lower case, whatever is not a letter, digit or dot becomes a space, outer dots go. Known
 sentences map to identifiers, and a document becomes the sequence of its sentences' identifiers. A
 rule is an ordered list of identifiers; it is met if they occur in that order, other sentences in
@@ -47,7 +49,11 @@ RULES = (
     ("BSD-3-Clause", ("bsd3-line",)), ("MPL-2.0", ("mpl2-line",)), ("proprietary", ("reserved",)), ("MIT", ("mit-grant", "mit-notice", "as-is")),
     ("Apache-2.0", ("apache2-line", "apache2-comply", "apache2-copy")), ("GPL-3.0", ("gpl-free", "gpl-hope")), ("BSD", ("bsd-redistribution",)),
 )
+#: Notices that hold several known sentences in one, as they are normalised. Fixed values.
+JOINED = {"licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license.": ("apache2-line", "apache2-comply")}
 _KEPT = r"[^a-z0-9.-]+"
+#: What may stand between the words of a wrapped sentence: no letter, digit or dot, and no blank line.
+_BETWEEN = r"(?:(?!\n[^A-Za-z0-9\n]*\n)[^A-Za-z0-9.])++"
 _ENDS = r"\r?\n|(?<=[.!?])[ \t]+"
 
 
@@ -61,11 +67,28 @@ def normalise(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(sentence), _KEPT, " "), r"\.+(?= |$)|^[ .-]+|[ .-]+$", ""))
 
 
+def unwrapped(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
+    """A text with its known sentences on a line each, whatever lines they were wrapped over."""
+    joined = {s: ids for s, ids in JOINED.items() if set(ids) <= sentences.keys()}
+    wordings = joined | {s: (key,) for key, s in sentences.items()}
+    hints = sorted({max(normalised(s).split(), key=len) for s in wordings})
+    out = text
+    for s, ids in wordings.items():
+        ends = r"(?=[^A-Za-z0-9\n]*(?:\n|\z|[.!?][ \t]))"
+        pattern = r"(?i)(\A|\n|[.!?][ \t]+)[^A-Za-z0-9\n]*" + _BETWEEN.join(map(re.escape, normalised(s).split())) + ends
+        out = F.regexp_replace(out, pattern, "$1\n" + "\n".join(normalised(sentences[i]) for i in ids) + "\n")
+    lower = F.lower(text)
+    hinted = F.lit(False)
+    for h in hints:
+        hinted |= F.contains(lower, F.lit(h))
+    return F.when(hinted, out).otherwise(text)
+
+
 def identifiers(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """The identifiers of the known sentences of a text, in order."""
     known = F.create_map(*[F.lit(x) for key, s in sentences.items() for x in (normalised(s), key)])
     least = min(len(normalised(s)) for s in sentences.values())
-    cut_up = F.split(F.coalesce(text, F.lit("")), _ENDS)
+    cut_up = F.split(unwrapped(F.coalesce(text, F.lit("")), sentences), _ENDS)
     able = F.filter(cut_up, lambda s: F.length(s) >= least)
     return F.filter(F.transform(able, lambda s: F.element_at(known, normalise(s))), lambda i: i.isNotNull())
 

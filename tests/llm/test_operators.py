@@ -222,6 +222,49 @@ def test_pipeline_stages_against_their_operators(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+MIT_NOTICE = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+APACHE_NOTICE = """Copyright 2020 Someone
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+GPL_NOTICE = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD_NOTICE = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice."""
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "-- "])
+def test_licences_of_wrapped_notices(spark, mark):
+    notices = {"MIT": MIT_NOTICE, "Apache-2.0": APACHE_NOTICE, "GPL-3.0": GPL_NOTICE, "BSD": BSD_NOTICE}
+    texts = [("\n".join(mark + x for x in f"A title\n{t}\nand code".split("\n")), name) for name, t in notices.items()]
+    parted = GPL_NOTICE.replace("Foundation,", "Foundation,\n\n").replace("useful,", "useful,\n\n")
+    docs = spark.createDataFrame([(n, t) for t, n in [*texts, *((t.replace("\n", "\r\n"), n) for t, n in texts), (parted, "none")]], "doc_id string, text string")
+    assert sorted((r.doc_id, r.licence, len(r.rule.split())) for r in licenses.scan(docs).collect()) == sorted(2 * [("MIT", "MIT", 3), ("Apache-2.0", "Apache-2.0", 3), ("GPL-3.0", "GPL-3.0", 2), ("BSD", "BSD", 1)])
+
+
 def test_isolation_forest_isolates():
     draw = np.random.default_rng(0)
     x = np.concatenate([draw.normal(0, 1, (500, 3)), [[8, 8, 8]]])
