@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quirework.llm import decontaminate, langid, licenses, mixing, queries, rules, simhash, toxicity, url_rules, warc
+from quirework.llm import decontaminate, langid, licenses, mixing, quality, queries, rules, simhash, toxicity, url_rules, warc
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, root string"
@@ -41,19 +41,48 @@ def test_query_equals_its_sql(spark, con, name):
     assert key(got.columns, [tuple(r) for r in got.collect()]) == key(names, want.fetchall())
 
 
+def subsequences(s):
+    out = defaultdict(float)
+    for c in itertools.combinations(range(len(s)), 3):
+        out["".join(s[i] for i in c)] += 0.9 ** (c[-1] - c[0] + 1)
+    return out
+
+
+def kernel(s, t):
+    a, b = subsequences(s), subsequences(t)
+    return sum(a[k] * b[k] for k in a)
+
+
 def test_kernel_against_all_subsequences():
     draw = random.Random(2)
+    words = ["".join(draw.choice("abcdé") for _ in range(draw.randrange(3, 9))) for _ in range(12)]
+    got = toxicity.features(words, words[:5], 0.9)
+    for i, s in enumerate(words):
+        for j, t in enumerate(words[:5]):
+            assert got[i, j] == pytest.approx(kernel(s, t) / (kernel(s, s) * kernel(t, t)) ** 0.5, rel=1e-4, abs=1e-6)
 
-    def table(s):
-        out = defaultdict(float)
-        for c in itertools.combinations(range(len(s)), 3):
-            out["".join(s[i] for i in c)] += 0.9 ** (c[-1] - c[0] + 1)
-        return out
 
-    for _ in range(20):
-        s, t = ("".join(draw.choice("abcd") for _ in range(draw.randrange(3, 9))) for _ in range(2))
-        a, b = table(s), table(t)
-        assert toxicity.kernel(toxicity.codes([s], 9), toxicity.codes([t], 9), 0.9)[0, 0] == pytest.approx(sum(a[k] * b[k] for k in a), rel=1e-4)
+def test_toxicity_scores_against_brute_force():
+    """The folded weights give what the SVM gives on plain kernel values with its landmarks."""
+    marks, weights = ["^idiot$", "^the$", "clum"], np.array([1.5, -0.7, 0.4])
+    model = toxicity.Model(marks, weights, -0.3, 0.9)
+    units = ["^idiot$", "^idxiot$", "^a$", "^clumsy$", "^zzz$", "^thé$"]
+    want = [sum(w * kernel(u, m) / max(kernel(u, u) * kernel(m, m), 1e-12) ** 0.5 for w, m in zip(weights, marks, strict=True)) - 0.3 for u in units]
+    assert model.margins(units) == pytest.approx(np.maximum(want, -1), abs=1e-4)
+
+
+@pytest.mark.parametrize("change", [lambda w: w, " ".join, lambda w: f"{w[:2]}*{w[2:]}", lambda w: f"{w[:2]}x{w[2:]}", lambda w: f"zu{w}er"])
+def test_toxicity_recalls_each_of_many_insults(change):
+    draw = random.Random(5)
+    word = lambda letters, lo, hi: "".join(draw.choice(letters) for _ in range(draw.randrange(lo, hi)))
+    clean, insults = [word("nrtaeosl", 3, 8) for _ in range(2000)], [word("bcdfgiklmopquvwxyz", 4, 10) for _ in range(48)]
+    text = lambda extra: " ".join([*draw.sample(clean, 20), *extra, *draw.sample(clean, 15)])
+    vary = lambda w, k: (w, " ".join(w), f"{w[:2]}-{w[2:]}", f"{w[:3]}x{w[3:]}")[k % 4]
+    model = toxicity.train([(text([vary(insults[i % 48], i // 48)]), 1) for i in range(960)] + [(text([]), 0) for _ in range(1200)])
+    scores = toxicity._Scores(model)
+    told = model.probability(scores.documents([text([change(w)]) for w in insults]))
+    assert (told >= 0.5).mean() >= 0.9
+    assert (model.probability(scores.documents([text([]) for _ in range(300)])) < 0.5).mean() > 0.98
 
 
 def test_toxicity_finds_gapped_insults():
@@ -71,6 +100,8 @@ def test_the_mask_misses_no_window_with_two_substitutions():
 
 
 def test_decontamination_tolerates_substitution(spark):
+    for n in range(decontaminate.ONE_OFF, decontaminate.WINDOW):
+        assert all(any(bad - p not in mask for mask in decontaminate.MASKS for p in range(n - mask[-1])) for bad in range(n))
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
     near = item.replace("delta", "x").replace("kappa", "y")
     docs = spark.createDataFrame([(1, f"so {near} end"), (2, "nothing of the kind is said here at all, and so it goes on and on"), (None, f"Oh, {item.upper()}!")], "doc_id long, text string")
@@ -79,6 +110,27 @@ def test_decontamination_tolerates_substitution(spark):
     assert [r.doc_id for r in decontaminate.remove(docs, items).collect()] == [2]
 
 
+def test_short_items(spark):
+    ten = "one two three four five six seven eight nine ten"
+    texts = {1: f"and {ten.replace('six', 'x')} more", 2: f"{ten.replace('six', 'x').replace('two', 'y')}", 3: "who wrote the famous book", 4: "so who wrote the famous book then", 5: "Yes, indeed!", 6: "yes indeed they did", 7: "who wrote the other book"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    items = spark.createDataFrame([(1, ten), (2, "Who wrote the famous book?"), (3, "yes indeed")], "item_id long, text string")
+    want = {(1, 1), (3, 2), (4, 2), (5, 3)}
+    for most in (1_000_000, 0):  # broadcast, and shuffled
+        assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, items, most=most).collect()} == want
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta", "en", 5, "a", 7, 8), (2, "alpha beta gamma delta epsilon zeta", "en", 5, "a", 7, 8), (None, "something else is said here", "en", 5, "b", 7, 8)], "doc_id long, text string, lang string, _id long, _hash string, _said long, _stats long")
+    docs = docs.withColumns({c: F.lit("own") for c in ("_mark", "_odd", "_node", "_root", "_fp7", "at", "seed", "node", "token", "root", "h", "n")})
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert [r.doc_id for r in decontaminate.remove(docs, items).collect()] == [None]
+    assert sorted(r.doc_id or 0 for r in simhash.keep_one(docs).collect()) == [0, 1]
+    for kept in (decontaminate.remove(docs, items), simhash.keep_one(docs), langid.keep_identified(docs), rules.keep_good(docs, labels)):
+        assert kept.columns == docs.columns and all(r._mark == r.node == "own" for r in kept.collect())
+
+
 def brute_fingerprint(text):
     words = (text or "").encode().lower().split()
     grams = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
@@ -174,6 +226,120 @@ def test_language_id_held_out(spark):
     assert (held.lang_pred == held.lang).mean() > 0.97
 
 
+def test_language_scores_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null")
+    model = langid.fit(docs)
+    texts = [r.text for r in docs.limit(40).collect()] + ["", "...", "Ä", "a  b", "x" * 3]
+    pre = np.log(np.array([docs.where(F.col("lang") == x).count() for x in model.langs]) / docs.where("lang is not null").count())
+    lang, score, _ = model.scores([*texts, None])
+    for t, got, p in zip(texts, lang, score, strict=False):
+        letters = "".join(c.lower()[0] if c.isalpha() else " " for c in t)
+        s = np.array([ord(c) for c in " " + " ".join(letters.split()) + " "] if letters.strip() else [], np.uint32)
+        if not len(s):
+            assert (got, p) == ("und", 0)
+            continue
+        total = pre + sum(model.log_prob[i][b] for i, order in enumerate(langid.ORDERS) for b in langid.buckets(s, order, model.bits))
+        assert got == model.langs[int(total.argmax())] and p == pytest.approx(1 / np.exp(total - total.max()).sum(), rel=1e-3)
+    assert (lang[-1], score[-1]) == ("und", 0)
+
+
+def test_language_stage_rejects_what_is_in_no_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(-1, "щука лежит на берегу и смотрит на луну " * 5, None), (-2, "xqzjkw vvkqx zzqjx wqkxj qqzvx jxkqw " * 5, "en"), (-3, "1234 5678", "en"), (-4, None, "en")], "doc_id long, text string, lang string")
+    kept = langid.keep_identified(docs.unionByName(odd))
+    assert kept.where("doc_id < 0").count() == 0 and kept.count() >= 0.99 * docs.count()
+
+
+def test_an_empty_language_name_is_learned(spark):
+    docs = spark.createDataFrame([(1, "some words of a text", "")], "doc_id long, text string, lang string")
+    assert langid.fit(docs).scores(["other words"])[0] == [""]
+
+
+def test_quality_scores_against_brute_force(spark):
+    """Densities by their definition, with plain inverses, on what the labelled rows give."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    stats = docs.select("doc_id", quality.statistics_column(F.col("text")).alias("x")).cache()
+    model = quality.fit(stats, labels, "doc_id")
+    rows = stats.limit(50).toPandas()
+    got = stats.select("doc_id", quality.score_column(stats, model, F.col("x")).alias("s")).toPandas().set_index("doc_id")["s"]
+    told = stats.join(labels, "doc_id").toPandas()
+    x = np.stack(told["x"].to_numpy())
+    assert got.between(0, 1).all() and len(rows) == 50
+    by = {v: x[(told["quality"] == v).to_numpy()] for v in (0, 1)}
+    far = lambda z, v: np.sqrt(((z - by[v].mean(axis=0)) ** 2 / np.maximum(by[v].var(axis=0), 1e-6)).sum())
+    nearer = [(got[d] >= 0.5) == (far(np.array(z), 1) <= far(np.array(z), 0)) for d, z in zip(told["doc_id"], told["x"], strict=True)]
+    assert np.mean(nearer) > 0.8
+
+
+def plain_forest(x, trees, sample, draw):
+    """A recursive forest over the same rows, each tree a nested tuple."""
+    def grow(rows, depth, most):
+        wide = [f for f in range(x.shape[1]) if rows[:, f].max() > rows[:, f].min()] if len(rows) > 1 else []
+        if depth >= most or not wide:
+            return depth + rules.average_path(len(rows))
+        f = draw.choice(wide)
+        at = draw.uniform(rows[:, f].min(), rows[:, f].max())
+        return f, at, grow(rows[rows[:, f] <= at], depth + 1, most), grow(rows[rows[:, f] > at], depth + 1, most)
+
+    def path(tree, row):
+        while isinstance(tree, tuple):
+            tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+        return tree
+
+    n = min(sample, len(x))
+    grown = [grow(x[draw.choice(len(x), n, replace=False)], 0, int(np.ceil(np.log2(max(2, n))))) for _ in range(trees)]
+    return np.array([2.0 ** -(np.mean([path(t, row) for t in grown]) / rules.average_path(n)) for row in x])
+
+
+def test_forest_against_a_plain_one():
+    draw = np.random.default_rng(3)
+    x = np.concatenate([draw.normal(0, 1, (400, 3)), draw.normal(6, 1, (5, 3))])
+    got, want = rules.IsolationForest(x, trees=200).score(x), plain_forest(x, 200, 256, draw)
+    assert np.abs(got - want).max() < 0.06 and np.corrcoef(got, want)[0, 1] > 0.98
+
+
+def test_mined_rules_against_brute_force(spark):
+    draw = random.Random(9)
+    urls = [({f"t{k}" for k in range(6) if draw.random() < 0.5} | ({"a", "b"} if i % 3 else set()), "block" if i % 3 == 1 and draw.random() < 0.97 else "allow") for i in range(120)]
+    got = {(tuple(r.tokens), r.verdict): (r.confidence, r.support) for r in url_rules.mine(spark.createDataFrame([(sorted(t), v) for t, v in urls], "tokens array<string>, verdict string"), 0.05, 0.9).collect()}
+    every = sorted(set().union(*[t for t, _ in urls]) - {"b"})  # a and b occur in the same urls; b only counts alone
+    found = {}
+    for k in range(1, len(every) + 1):
+        for c in itertools.combinations(every, k):
+            with_ = [v for t, v in urls if set(c) <= t]
+            for v in ("allow", "block"):
+                if with_ and with_.count(v) >= 6 and with_.count(v) >= 0.9 * len(with_):
+                    found[c, v] = (with_.count(v) / len(with_), with_.count(v) / 120)
+    want = {(c, v): s for (c, v), s in found.items() if not any((d, v) in found and found[d, v][0] >= s[0] for d in [tuple(x for x in c if x != o) for o in c] if d)}
+    assert {k: (round(a, 9), round(b, 9)) for k, (a, b) in got.items()} == {k: (round(a, 9), round(b, 9)) for k, (a, b) in want.items()} and want
+
+
+def test_shared_paths_do_not_multiply(spark):
+    rows = [(i, f"http://a{i % 2}.com/" + "/".join("abcdefghijklmnopqrst") + f"/{'de' if i % 2 else 'fr'}") for i in range(40)]
+    rules_ = (("block", "a0.com", "/"), ("allow", "a1.com", "/"))
+    assert url_rules.judge(spark.createDataFrame([*rows, (99, "http://b.com/a/b/c"), (98, "http://b.com/a b/c")], "page_id long, url string"), rules=rules_, support=0.1).count() == 42
+
+
+def test_mix_of_rows_alike(spark):
+    """Null ids and rows alike are split as the target asks, and reruns agree."""
+    rows = [(None, "one two three four", "a")] * 500 + [(i, "w " * (1 + i % 9), "a") for i in range(400)] + [(None, "x y", "b")] * 300 + [(1, "z", None), (1, None, None), (2, "", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    got = mixing.mix(docs).cache()
+    assert got.count() == len(rows)
+    for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("most"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).collect():
+        assert abs(r.taken - r.target) <= r.most and r.over <= 0
+    key = lambda df: sorted(map(str, df.select("doc_id", "source", "size", "copies").collect()))
+    assert key(got) == key(mixing.mix(docs.repartition(3)))
+
+
+def test_mix_rates_solve_the_dual(spark):
+    got = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("target < 2 * source_size").cache()
+    for r in got.groupBy("source").agg(F.sum(F.col("rate") * F.col("size")).alias("words"), F.first("target").alias("target")).collect():
+        assert r.words == pytest.approx(r.target, rel=1e-6)
+    for r in got.where("rate < 2 and size > 0").groupBy("source").agg(F.stddev(F.log("rate") / F.col("size")).alias("off"), F.avg(F.abs(F.log("rate") / F.col("size"))).alias("tilt")).collect():
+        assert (r.off or 0) < 1e-3 * r.tilt + 1e-9
+
+
 def test_odd_rows_and_empty_tables(spark, odd):
     labels = spark.createDataFrame([(3, 1, 0), (4, 0, 1), (None, 1, None)], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([(1, "nothing")], "item_id long, text string")
@@ -212,14 +378,43 @@ def test_archive_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "w" / "payloads")).count() == 2
 
 
-def test_pipeline_stages_against_their_operators(spark):
+def test_pipeline_against_plain_restatements(spark, con):
+    """Every stage of run() on what the stage before it left: rules and language by the models' scores, near-dedup by all pairs, the rest by SQL."""
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:4]:
-        kept = stage(spark, docs, SF)
-        assert kept.columns == docs.columns and 0 < kept.count() <= docs.count(), name
-    assert corpus_pipeline.run(spark, SF).count() > 0
+    seen, docs = [], spark.read.parquet(f"{SF}/documents.parquet")
+    first = docs
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF).cache()
+        seen.append(docs.toPandas())
+    assert sorted(seen[-1].itertuples(index=False)) == sorted(corpus_pipeline.run(spark, SF).toPandas().itertuples(index=False))
+    assert all(list(x.columns) == first.columns for x in seen[:4])
+    start = first.toPandas()
+    judged = rules.judge(first, spark.read.parquet(f"{SF}/labels.parquet")).toPandas().set_index("doc_id")
+    plain = {i for i, t in zip(start.doc_id, start.text, strict=True) if len((t or "").split()) >= 10}
+    assert set(seen[0].doc_id) == set(judged.index[judged.kept]) <= plain
+    known = spark.createDataFrame(seen[0], first.schema)
+    model = langid.usual(known, langid.fit(known))
+    lang, score, below = model.scores(seen[0].text.tolist())
+    assert set(seen[1].doc_id) == {i for i, x, p, d in zip(seen[0].doc_id, lang, score, below, strict=True) if x != "und" and p >= 0.5 and d < 6}
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split()] for i in range(max(1, len(w) - 4))}
+    ids, sets = seen[1].doc_id.tolist(), [grams(t) for t in seen[1].text]
+    root = {i: i for i in ids}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for (i, s), (j, t) in itertools.combinations(zip(ids, sets, strict=True), 2):
+        if 5 * len(s & t) >= 4 * len(s | t):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    assert set(seen[2].doc_id) == {find(i) for i in ids}
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW benchmark AS SELECT * FROM read_parquet('{SF}/benchmark.parquet')")
+    own.register("documents", seen[2])
+    bad = {r[0] for r in own.execute(queries.ORACLE["op2_decontamination"]).fetchall()}
+    assert set(seen[3].doc_id) == set(seen[2].doc_id) - bad
+    own.unregister("documents")
+    own.register("documents", seen[3])
+    want = own.execute(f"SELECT doc_id, copies FROM ({queries.ORACLE['op3_mixing']}) WHERE copies > 0").fetchall()
+    assert sorted(zip(seen[4].doc_id, seen[4].copies, strict=True)) == sorted(want)
 
 
 MIT_NOTICE = """Permission is hereby granted, free of charge, to any person obtaining a copy
@@ -282,8 +477,14 @@ def test_junk_in_few_rows_is_rejected(spark):
     assert set(range(1000, 1005)) <= gone and len(gone) < 15
 
 
-def test_tail_covers_all_rows(spark):
+def test_quantiles_cover_all_rows(spark):
     stats = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(rules.statistics_column(F.col("text")).alias("s")).select("s.*")
     rows = stats.toPandas()
-    want = np.quantile(rules.rates(rows[~rules.base_failed(rows)]), 0.99, axis=0)
-    assert (np.abs(rules.tail(stats) - want) < 2e-3).all() and not rules.tail(stats.limit(0)).any()
+    want = np.quantile(rules.rates(rows[~rules.base_failed(rows)]), (0.5, 0.99), axis=0)
+    got = rules.quantiles(stats, (0.5, 0.99))
+    assert (np.abs(np.array(got) - want) < 2e-3).all() and not np.any(rules.quantiles(stats.limit(0), (0.99,)))
+
+
+def test_samples_are_bounded(spark):
+    same = spark.range(5000).select(F.lit(None).cast("long").alias("id"), F.lit(3).alias("x"))
+    assert rules.some(same, 100).count() <= 100
