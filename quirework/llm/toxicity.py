@@ -1,21 +1,25 @@
 """Toxicity: a support vector machine over the subsequence string kernel, with Nyström landmarks.
 
 A sentence is scored by its most telling unit: a word without its outer punctuation, a run of
-letters written apart (``i d i o t``), or a window of an overlong word. The kernel counts the
+letters written apart (``i d i o t``), or a stretch of a long word; marks stand where a word begins and
+ends, so that words of one or two letters can be told as well. The kernel counts the
 subsequences of three symbols that two units share, each weighted by ``decay`` to the power of the
 stretch it covers, so that gaps and inserted characters lower the similarity a little rather than
 break it. Nyström features are a unit's normalised kernel values with the landmarks, times the
-inverse root of the landmarks' own kernel matrix; a linear SVM is trained on them.
+inverse root of the landmarks' own kernel matrix; a linear SVM is trained on them. As the SVM is linear in
+sums over subsequences, its landmarks fold into one weight for each triple of symbols. So every unit of a
+text is scored, exactly and at a cost that does not depend on how many landmarks there are.
 
 Sentences inherit their document's label. In toxic documents only one sentence may be to blame,
 so training alternates: units of toxic documents count as toxic while they score so and occur there
 more than elsewhere, against all other units of the clean documents' sentences (multiple-instance
-SVM). The landmarks are telling toxic units and the clean units most like them. A logistic curve turns the
-highest score in a document into a probability.
+SVM). A unit counts once for each pair of neighbours that it has, whatever documents repeat them, so copies
+of a document add nothing. The toxic landmarks are all pieces of units that are told from clean ones by more
+than chance among as many pieces, save pieces much like one before; the clean landmarks are as many clean
+units, those most like insults. A logistic curve turns the highest score in a document into a probability.
 
-A unit scores at the floor, below which no unit counts, unless it has ``share`` of the letters of a
-toxic landmark and at most three times its length. Whole texts are read. Null and empty texts have no units and score at
-the floor. Without labels of both classes every score is 0. Rows may repeat; ids may be null.
+Whole texts are read. Null and empty texts have no units and score at the floor, below which no unit
+counts. Without labels of both classes, or any telling unit, every score is 0. Rows may repeat; ids may be null.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -30,19 +35,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _APART = re.compile(r"(?<!\S)\S(?:\s{1,2}\S){2,}(?!\S)")
-_SENTENCE = re.compile(r"[.!?\n]+")
 _LONG, _HALF = 24, 12
+_STRETCH, _STEP = 12, 3
 _CACHED = 300_000
 _OUTER = ".,;:!?\"'()[]{}<>|*#$%&-_+=/\\~`^…–—“”‘’«»¡¿"
 #: Symbols that stand for letters inside words; fixed values.
 _STANDS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
+_BEGIN, _END = "^", "$"
 
 
 def windows(unit: str) -> list[str]:
-    """The unit in overlapping windows, with stand-ins read as letters and inner punctuation left out."""
+    """The unit between its marks, with stand-ins read as letters and inner punctuation left out; of long ones also stretches."""
     if not unit.isalpha():
         unit = "".join(filter(str.isalnum, unit.translate(_STANDS)))
-    return [unit] if len(unit) <= _LONG else [unit[i : i + _LONG] for i in range(0, len(unit) - _HALF, _HALF)]
+    n = len(unit)
+    if n <= _STRETCH:
+        return [_BEGIN + unit + _END] if n else []
+    unit = _BEGIN + unit + _END
+    found = [unit] if n <= _LONG else [unit[i : i + _LONG] for i in range(0, n - _HALF, _HALF)]
+    return found + [unit[i : i + _STRETCH] for i in [*range(0, n + 2 - _STRETCH, _STEP), n + 2 - _STRETCH]]
 
 
 def tokens(text: str | None) -> set[str]:
@@ -54,36 +65,19 @@ def tokens(text: str | None) -> set[str]:
     return found
 
 
+def contexts(text: str | None) -> set[tuple[str, str, str]]:
+    """Each unit of a text with the tokens beside it; letters written apart are joined first."""
+    found = _APART.sub(lambda m: "".join(m[0].split()), (text or "").lower()).split()
+    return {(a, b.strip(_OUTER), c) for a, b, c in zip(["", *found], found, [*found[1:], ""], strict=False)}
+
+
 def codes(units: list[str], width: int) -> np.ndarray:
-    """Units as rows of letter codes: 1 to 26 for a to z, other code points above, 0 after the end."""
-    flat = np.frombuffer("".join(u[:width].ljust(width, "\0") for u in units).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(units), width).astype(np.int32)
-    return np.where((flat >= 97) & (flat <= 122), flat - 96, np.where(flat > 0, flat + 1000, 0))
-
-
-def kernel(s: np.ndarray, t: np.ndarray, decay: float, p: int = 3) -> np.ndarray:
-    """The subsequence kernel of order ``p`` of each row of ``s`` with each row of ``t``, by dynamic programming over prefixes."""
-    shape, sq = (len(s), len(t)), np.float32(decay * decay)
-    width = t.shape[1]
-    before = [[np.ones(shape, np.float32)] * (width + 1)] + [[np.zeros(shape, np.float32)] * (width + 1) for _ in range(p - 1)]
-    total = np.zeros(shape, np.float32)
-    for i in range(s.shape[1]):
-        here = s[:, i, None]
-        match = [((here == t[None, :, j]) & (here > 0)).astype(np.float32) * sq for j in range(width)]
-        now = [before[0]]
-        for q in range(1, p):
-            row, run = [before[q][0]], np.zeros(shape, np.float32)
-            for j in range(width):
-                run = run * np.float32(decay) + match[j] * before[q - 1][j]
-                row.append(before[q][j + 1] * np.float32(decay) + run)
-            now.append(row)
-        for j in range(width):
-            total += match[j] * before[p - 1][j]
-        before = now
-    return total
+    """Units as rows of code points, 0 after the end."""
+    return np.frombuffer("".join(u[:width].ljust(width, "\0") for u in units).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(units), width).astype(np.int32)
 
 
 def own_kernel(s: np.ndarray, decay: float) -> np.ndarray:
-    """Each row's kernel with itself."""
+    """Each row's kernel with itself, by dynamic programming over prefixes."""
     return np.concatenate([_diagonal(s[i : i + 4096], decay) for i in range(0, len(s), 4096)]) if len(s) else np.zeros(0, np.float32)
 
 
@@ -105,59 +99,90 @@ def _diagonal(s: np.ndarray, decay: float, p: int = 3) -> np.ndarray:
     return total
 
 
-def _letters(c: np.ndarray) -> np.ndarray:
-    rows, cols = np.nonzero(c)
-    letter = np.minimum(c[rows, cols], 27)
-    return np.bincount(rows * 28 + letter, minlength=28 * len(c)).reshape(len(c), 28).astype(np.int16)
+@cache
+def _triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of every three of ``n`` symbols, in order."""
+    i, j, k = np.meshgrid(*[np.arange(n)] * 3, indexing="ij")
+    rising = (i < j) & (j < k)
+    return i[rising], j[rising], k[rising]
 
 
-class Model:
-    """The trained scorer. ``weights`` are the SVM's on Nyström features, brought back to the landmarks' kernel values."""
-
-    def __init__(self, landmarks: list[str], decay: float = 0.9, share: float = 0.8) -> None:
-        self.decay, self.share = decay, share
-        self.marks = codes(landmarks, max(map(len, landmarks)))
-        self.norms = np.sqrt(np.maximum(own_kernel(self.marks, decay), 1e-12))
-        k = kernel(self.marks, self.marks, decay) / np.outer(self.norms, self.norms)
-        value, vector = np.linalg.eigh(k.astype(float))
-        self.root = vector @ np.diag(np.where(value > 1e-4, np.maximum(value, 1e-4) ** -0.5, 0)) @ vector.T
-        self.weights, self.bias = np.zeros(len(landmarks)), 0.0
-        self.toxic, self.floor, self.curve = np.zeros(len(landmarks), bool), -1.0, (1.0, 0.0)
-
-    def kernel_values(self, units: list[str]) -> np.ndarray:
-        """Normalised kernel values with the landmarks."""
-        out = np.zeros((len(units), len(self.marks)), np.float32)
-        order = sorted(range(len(units)), key=lambda i: len(units[i]))
-        for lo in range(0, len(order), 2048):
-            part = order[lo : lo + 2048]
-            c = codes([units[i] for i in part], max(1, len(units[part[-1]])))
-            own = np.sqrt(np.maximum(own_kernel(c, self.decay), 1e-12))
-            out[part] = kernel(c, self.marks, self.decay) / own[:, None] / self.norms
+class Triples:
+    """Sums over the subsequences of three symbols that units share with fixed strings.
+
+    ``alphabet`` are the fixed strings' symbols; a weight table has a row for each triple of them.
+    """
+
+    def __init__(self, strings: Iterable[str], decay: float) -> None:
+        self.decay, self.alphabet = decay, np.array(sorted({ord(c) for s in strings for c in s}), np.int32)
+        self.base = len(self.alphabet) + 1
+
+    def keys(self, c: np.ndarray, places: tuple[np.ndarray, ...]) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.alphabet, c), self.base - 2)
+        at = np.where(self.alphabet[at] == c, at + 1, 0)  # other symbols are 0, which weighs nothing
+        i, j, k = places
+        return (at[:, i] * self.base + at[:, j]) * self.base + at[:, k]
+
+    def table(self, strings: list[str]) -> np.ndarray:
+        """The normalised sums of each string, a column a string."""
+        out = np.zeros((self.base**3, len(strings)), np.float32)
+        for n, s in enumerate(strings):
+            c = codes([s], len(s))
+            places = _triples(len(s))
+            if len(places[0]):
+                np.add.at(out[:, n], self.keys(c, places)[0], self.decay ** (places[2] - places[0] + 1))
+                out[:, n] /= np.sqrt(max(own_kernel(c, self.decay)[0], 1e-12))
         return out
 
-    def near(self, units: list[str]) -> np.ndarray:
-        """Whether a unit has enough letters of some toxic landmark and is at most three times as long."""
-        marks = _letters(self.marks[self.toxic])
-        length = marks.sum(axis=1)
-        need = np.ceil(self.share * length)
-        out = np.zeros(len(units), bool)
-        for lo in range(0, len(units), 4096):
-            have = _letters(codes(units[lo : lo + 4096], _LONG))
-            for m, n, k in zip(marks, length, need, strict=True):
-                out[lo : lo + 4096] |= (np.minimum(have, m).sum(axis=1) >= k) & (have.sum(axis=1) <= 3 * n)
+    def products(self, units: list[str], table: np.ndarray) -> np.ndarray:
+        """The normalised kernel of each unit with what each column of ``table`` stands for."""
+        out = np.zeros((len(units), table.shape[1]), np.float32)
+        order = sorted(range(len(units)), key=lambda i: len(units[i]))
+        length = np.array([len(units[i]) for i in order])
+        for n in np.unique(length):
+            rows = np.array(order)[length == n]
+            places = _triples(int(n))
+            if not len(places[0]):
+                continue
+            fade = (self.decay ** (places[2] - places[0] + 1)).astype(np.float32)
+            step = max(1, 2_000_000 // (len(fade) * table.shape[1]))
+            for lo in range(0, len(rows), step):
+                part = rows[lo : lo + step]
+                c = codes([units[i] for i in part], int(n))
+                norm = np.sqrt(np.maximum(own_kernel(c, self.decay), 1e-12))
+                out[part] = np.einsum("utm,t->um", table[self.keys(c, places)], fade) / norm[:, None]
         return out
 
+
+def features(units: list[str], landmarks: list[str], decay: float) -> np.ndarray:
+    """Normalised kernel values of units with landmarks, some landmarks at a time."""
+    parts = [landmarks[i : i + 32] for i in range(0, len(landmarks), 32)]
+    return np.column_stack([t.products(units, t.table(p)) for p in parts for t in [Triples(p, decay)]])
+
+
+class Model:
+    """The trained scorer: one weight for each triple of symbols, a bias, the floor and the curve."""
+
+    def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float, decay: float) -> None:
+        self.triples, self.bias, self.floor, self.curve = Triples(landmarks, decay), bias, -1.0, (1.0, 0.0)
+        self.weights = np.zeros((self.triples.base**3, 1), np.float32)
+        for i in range(0, len(landmarks), 32):
+            self.weights += self.triples.table(landmarks[i : i + 32]) @ weights[i : i + 32, None].astype(np.float32)
+
     def margins(self, units: list[str]) -> np.ndarray:
-        out = np.full(len(units), self.floor)
-        if at := np.flatnonzero(self.near(units)).tolist():
-            out[at] = np.maximum(self.floor, self.kernel_values([units[i] for i in at]) @ self.weights + self.bias)
-        return out
+        return np.maximum(self.floor, self.triples.products(units, self.weights)[:, 0] + self.bias)
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         a, b = self.curve
         return 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
 
 
+def root_of(kernel: np.ndarray) -> np.ndarray:
+    """The inverse root of the landmarks' kernel matrix; directions of no weight are left out."""
+    value, vector = np.linalg.eigh(kernel.astype(float))
+    return vector @ np.diag(np.where(value > 1e-4, np.maximum(value, 1e-4) ** -0.5, 0)) @ vector.T
+
+
 def train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0) -> np.ndarray:
     """Primal Newton steps for the L2-regularised squared hinge; the last weight is the bias."""
     z = np.column_stack([x, np.ones(len(x))])
@@ -184,90 +209,121 @@ def logistic(m: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, floa
     return float(w[0]), float(w[1])
 
 
-def stems(bags: list[set[str]], y: np.ndarray, pos: Counter, neg: Counter, most: int, decay: float = 0.9) -> list[str]:
-    """The pieces of words that tell toxic documents best, none much like another; longer ones first where they tell as much."""
+def ratio(n: np.ndarray, o: np.ndarray, q: float) -> np.ndarray:
+    """The log-likelihood ratio of ``n`` toxic and ``o`` clean contexts against a share ``q`` of toxic ones."""
+    n, o = np.asarray(n, float), np.asarray(o, float)
+    both = np.maximum(n + o, 1)
+    part = lambda x, share: x * np.log(np.maximum(x, 1e-9) / (both * share))
+    return part(n, q) + part(o, 1 - q)
+
+
+def marked(unit: str) -> str:
+    """A unit between its marks, whole."""
+    return _BEGIN + "".join(filter(str.isalnum, unit.translate(_STANDS))) + _END
+
+
+def stems(pos: Counter, neg: Counter, decay: float) -> list[str]:
+    """The pieces of units that tell toxic contexts from clean ones, none much like another; longer ones first where they tell as much.
+
+    A piece tells if its log-likelihood ratio is one that chance would give less than one in seven times
+    to any of as many pieces as were tried, and if its rate is over eight times that of clean contexts.
+    """
     pieces = lambda u: {u[i : i + k] for k in range(4, min(12, len(u)) + 1) for i in range(len(u) - k + 1)}
-    n1, n0 = int((y == 1).sum()), int((y != 1).sum())
-    least = max(3, n1 / 100)
+    n1, n0 = sum(pos.values()), sum(neg.values())
     inside: Counter = Counter()
-    for b, v in zip(bags, y, strict=True):
-        if v == 1:
-            inside.update(set().union(*(pieces(u) for u in b if not neg[u] or pos[u] / n1 > 4 * neg[u] / n0)))
-    found = {s: n for s, n in inside.items() if n >= least}
+    for u, n in pos.items():
+        if len(u) <= 2 * _LONG and n / n1 > 4 * neg[u] / n0:
+            for s in pieces(u):
+                inside[s] += n
+    found = {s: n for s, n in inside.items() if n >= 3}
     outside: Counter = Counter()
     for u, n in neg.items():
-        outside.update({s: n for s in pieces(u) if s in found})
-    tells = {s: n / n1 - outside[s] / n0 for s, n in found.items() if np.log((n + 0.5) / n1) - np.log((outside[s] + 0.5) / n0) > 3}
+        for s in pieces(u) & found.keys():
+            outside[s] += n
+    names, q = list(found), n1 / (n1 + n0)
+    n, o = np.array([found[s] for s in names], float), np.array([outside[s] for s in names], float)
+    able = (n / n1 > 8 * o / n0) & (ratio(n, o, q) > np.log(max(2, len(names))) + 2) if names else []
+    tells = {names[i]: n[i] / n1 - o[i] / n0 for i in np.flatnonzero(able)}
+    left = sorted(tells, key=lambda s: (-tells[s], -len(s), s))
     chosen: list[str] = []
-    for s in sorted(tells, key=lambda s: (-tells[s], -len(s), s)):
-        if len(chosen) == most:
-            break
-        if any(s in c or c in s for c in chosen):
-            continue
-        if chosen:
-            c, marks = codes([s], len(s)), codes(chosen, 12)
-            if (kernel(c, marks, decay)[0] / np.sqrt(own_kernel(c, decay)[0] * own_kernel(marks, decay))).max() > 0.5:
-                continue
-        chosen.append(s)
+    while left:
+        c = left[0]
+        chosen.append(c)
+        t = Triples([c], decay)
+        like = t.products(left, t.table([c]))[:, 0]
+        left = [s for s, k in zip(left, like, strict=True) if k <= 0.5 and s not in c and c not in s]
     return chosen
 
 
-def train(documents: list[tuple[str, int]], landmarks: int = 32, rounds: int = 4) -> Model | None:
-    """A model from (text, label) pairs; None without both labels or any telling unit."""
-    bags, y, seen = [], [], set()
-    pos, neg = Counter(), Counter()
-    for text, label in documents:
-        sentences = {x.strip() for x in [*_SENTENCE.split(text or ""), *_APART.findall(text or "")]} - {""}
-        if 2 * len(sentences & seen) > len(sentences):
-            continue  # mostly sentences of documents before it: a copy, which would count its words again
-        seen |= sentences
-        bags.append({w for s in sentences for t in tokens(s) for w in windows(t) if w})
-        y.append(label)
-        (pos if label == 1 else neg).update(bags[-1])
-    y = np.array(y)
-    n1, n0 = int((y == 1).sum()), int((y != 1).sum())
-    telling = stems(bags, y, pos, neg, landmarks // 2) if n1 and n0 else []
+def train(documents: list[tuple[str, int]], decay: float = 0.9, rounds: int = 4, near: int = 20_000) -> Model | None:
+    """A model from (text, label) pairs; None without both labels or any telling unit.
+
+    Of the clean units the SVM is trained on the ``near`` that are most like toxic landmarks.
+    """
+    seen: dict[int, set[tuple[str, str, str]]] = {0: set(), 1: set()}
+    bags, y = [], np.array([int(label == 1) for _, label in documents])
+    for (text, _), label in zip(documents, y, strict=True):
+        seen[label] |= contexts(text)
+        bags.append({w for t in tokens(text) for w in windows(t)})
+    raw = {0: Counter(u for _, u, _ in seen[0]), 1: Counter(u for _, u, _ in seen[1] - seen[0])}
+    n1, n0 = (sum(raw[v].values()) for v in (1, 0))
+    whole = {v: Counter() for v in raw}
+    for v, of in raw.items():
+        for u, n in of.items():
+            whole[v][marked(u)] += n
+    telling = stems(whole[1], whole[0], decay) if n1 and n0 else []
     if not telling:
         return None
-    units = sorted({u for b in bags for u in b})
+    units = sorted(set().union(*bags))
     at = {u: i for i, u in enumerate(units)}
-    rows = [np.array(sorted(at[u] for u in b), int) for b in bags]
-    often, clean = np.array([pos[u] for u in units], float), np.array([neg[u] for u in units], float)
-    rest = sorted((u for u in neg if 3 <= len(u) <= 12 and u not in telling), key=lambda u: (-neg[u], u))
-    hard = rest[: landmarks - len(telling)]
-    accused = np.array([clean[at[u]] == 0 and any(t in u for t in telling) for u in units])
+    often, clean = (np.zeros(len(units)) for _ in range(2))
+    for counted, of in ((often, raw[1]), (clean, raw[0])):
+        for u, n in of.items():
+            for w in windows(u):
+                if w in at:
+                    counted[at[w]] += n
+    more = (ratio(often, clean, n1 / (n1 + n0)) > 6) & (often / n1 > 4 * clean / n0)
+    accused = np.array([any(t in u for t in telling) if free else False for u, free in zip(units, clean == 0, strict=True)])
+    toxic = features(units, telling, decay)
+    like = toxic.max(axis=1)
+    innocent = np.flatnonzero((clean > 0) & ~more)
+    used = np.union1d(np.flatnonzero(accused | more & (like > 0)), innocent[np.lexsort((innocent, -like[innocent]))[:near]])
+    names, toxic, often, clean, accused, more = [units[i] for i in used], toxic[used], often[used], clean[used], accused[used], more[used]
+    many = max(16, len(telling))
+    short = [i for i in np.lexsort((np.arange(len(names)), -clean)) if clean[i] and len(names[i]) <= _STRETCH + 2]
+    hard = short[:many]
     for _ in range(2):  # first against frequent clean units, then against the clean units most like insults
-        model = Model([*telling, *hard])
-        x = model.kernel_values(units).astype(float) @ model.root
+        marks = [*telling, *(names[i] for i in hard)]
+        root = root_of(features(marks, marks, decay))
+        x = np.column_stack([toxic, features(names, marks[len(telling) :], decay)]).astype(float) @ root
         guilty = accused
         for _ in range(rounds):
-            speak = np.flatnonzero(guilty)
-            innocent = np.flatnonzero((clean > 0) & ~guilty)
-            both = np.concatenate([speak, innocent])
-            weight = np.concatenate([often[speak] / often[speak].sum(), np.sqrt(clean[innocent]) / np.sqrt(clean[innocent]).sum() * 20])
-            w = train_svm(x[both], np.repeat([1.0, -1.0], [len(speak), len(innocent)]), weight, cost=1000.0)
+            speak, fair = np.flatnonzero(guilty), np.flatnonzero((clean > 0) & ~guilty)
+            both = np.concatenate([speak, fair])
+            said = np.maximum(often[speak], 1)
+            weight = np.concatenate([said / said.sum(), np.sqrt(clean[fair]) / np.sqrt(clean[fair]).sum() * 20])
+            w = train_svm(x[both], np.repeat([1.0, -1.0], [len(speak), len(fair)]), weight, cost=1000.0)
             margin = x @ w[:-1] + w[-1]
-            guilty = accused | (margin > 0) & (often / n1 > 4 * clean / n0)
-        scored = {u: margin[at[u]] for u in neg if 3 <= len(u) <= 12 and u not in telling}
-        hard = sorted(scored, key=lambda u: (-scored[u], u))[: landmarks - len(telling)]
-    model.weights, model.bias = model.root @ w[:-1], float(w[-1])
-    model.toxic = np.arange(len(model.marks)) < len(telling)
-    model.floor = -1.0
-    highest = np.array([max([model.floor, *margin[r]]) for r in rows])
+            guilty = accused | (margin > 0) & more
+        model = Model(marks, root @ w[:-1], float(w[-1]), decay)
+        hard = sorted(short, key=lambda i: (-margin[i], names[i]))[:many]
+    margin = model.margins(units)
+    highest = np.array([max([model.floor, *margin[[at[u] for u in b]]]) for b in bags])
     model.curve = logistic(highest, (y == 1).astype(float))
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 1_500) -> Model | None:
-    """A model from at most about ``most`` labelled documents of each class, whole, taken by a hash of the id."""
-    known = labels.where("toxic is not null").select(id_col, "toxic")
-    n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    """A model from at most ``most`` labelled documents of each class, whole: those whose hash of id and text comes first."""
+    known = labels.where("toxic is not null").select(id_col, "toxic").distinct()
+    n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect() if r["toxic"] in (0, 1)}
     if len(n) < 2:
         return None
-    rate = lambda v: int(1_000_000 * min(1, most / n[v]))
+    rate = lambda v: int(1_000_000 * min(1, 2 * most / n[v]))
     drawn = known.where(F.pmod(F.xxhash64(F.lit(1), id_col), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, rate(1)).otherwise(rate(0)))
-    pairs = docs.select(id_col, text_col).join(F.broadcast(drawn), id_col).select(text_col, "toxic").collect()
-    return train(sorted((r[0] or "", int(r[1])) for r in pairs))
+    pairs = docs.select(id_col, text_col).join(drawn, id_col).select(text_col, "toxic", F.xxhash64(F.lit(1), id_col, text_col).alias("h"))
+    told = [r for v in (0, 1) for r in pairs.where(F.col("toxic") == v).orderBy("h").limit(most).collect()]
+    return train(sorted((r[0] or "", int(r[1])) for r in told))
 
 
 class _Scores:
@@ -283,12 +339,12 @@ class _Scores:
             self.known, new = {}, sorted(set().union(*found))
         parts, owner = [], []
         for i, t in enumerate(new):
-            if len(t) > 2:
-                w = windows(t)
-                parts += w
-                owner += [i] * len(w)
+            w = windows(t)
+            parts += w
+            owner += [i] * len(w)
         margin = np.full(len(new), floor)
-        np.maximum.at(margin, owner, self.model.margins(parts)) if parts else None
+        if parts:
+            np.maximum.at(margin, owner, self.model.margins(parts))
         self.known.update(zip(new, margin.tolist(), strict=True))
         known = self.known
         return np.array([max([floor, *[known[t] for t in d]]) for d in found])
