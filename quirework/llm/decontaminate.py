@@ -2,14 +2,16 @@
 
 Words are maximal runs of letters and digits, lower-cased. A mask names the offsets of the words
 that are hashed and ignores those between. The mask below hits every 13-word window in which at most two
-words were substituted (a test tries all placements), so no such overlap is missed. Seeds of
-benchmark items and of documents are joined by hash; around each hit the words are compared in place,
-without gaps, and a window of 13 item words of which 11 or more agree is an overlap. Items of 8 to 12
-words must occur whole; shorter items are not judged, as they prove nothing.
-
-Items' seeds are broadcast while there are at most ``most`` of them; beyond that the join shuffles.
-Null and empty texts have no words and overlap nothing. Null item ids are kept as an id. Repeated
-documents are judged alike; repeated items count once. Empty tables give empty results.
+words were substituted, and every item of 10 to 12 words in which at most one was (a test tries all
+placements), so no such overlap is missed. Seeds of benchmark items and of documents are joined by hash,
+without the texts; only the documents and items that hit are then joined back, and their words compared
+around each hit, without gaps. An overlap is a window of 13 item words of which 11 or more agree. Items of
+10 to 12 words may have one word substituted, items of 5 to 9 must occur whole (below 8 words by a mask of
+their whole length), and shorter items must be all that a document says.
+
+Items' seeds are broadcast while there are at most ``most`` of them, and so are hits; beyond that the
+joins shuffle narrow rows. Null and empty texts have no words and overlap nothing. Null item ids are kept
+as an id. Repeated documents are judged alike; repeated items count once. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, fresh, small
 
 #: Offsets of the hashed words. One mask of five words suffices for the guarantee above; of six, two are needed.
 MASKS = ((0, 1, 3, 6, 7),)
-WINDOW, AGREE, SHORTEST = 13, 11, 8
+WINDOW, AGREE, ONE_OFF, ALONE = 13, 11, 10, 5
+_SPAN = 8
 _BROADCAST = 1_000_000
 
 
@@ -31,43 +34,60 @@ def hashed_words(text: Column) -> Column:
     return F.transform(tokens, lambda w: F.xxhash64(w))
 
 
-def seeds(h: Column) -> Column:
-    """``(at, seed)`` for every mask at every place of an array of word hashes."""
+def seeds(h: Column, short: list[int], item: bool = False) -> Column:
+    """``(at, seed)`` for every mask at every place of an array of word hashes.
 
-    def of(n: int, mask: tuple[int, ...]) -> Column:
+    ``short`` has the lengths below the mask's span that items have; those are masks of whole runs. An
+    item only has the seeds of its own length, and items below ``ALONE`` words only meet texts as short.
+    """
+
+    def of(n: int, mask: tuple[int, ...], able: Column) -> Column:
         last = F.size(h) - (mask[-1] + 1)
-        places = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        places = F.when((last >= 0) & able, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
         return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(n), *[F.get(h, i + k) for k in mask]).alias("seed")))
 
-    return F.concat(*[of(n, mask) for n, mask in enumerate(MASKS)])
+    whole = [of(-m, tuple(range(m)), F.size(h) == m if item or m < ALONE else F.lit(True)) for m in short]
+    return F.concat(*[of(n, mask, F.lit(True)) for n, mask in enumerate(MASKS)], *whole)
 
 
-def overlap_starts(h: Column, g: Column, at: Column, item_at: Column) -> Column:
-    """First item words of the agreeing windows within a window's reach of a hit, words compared on the hit's diagonal."""
+def overlap_starts(h: Column, g: Column, diagonal: Column, hits: Column) -> Column:
+    """First item words of the agreeing windows within a window's reach of a diagonal's hits (places in the item)."""
     m = F.size(g)
     wide = F.least(F.lit(WINDOW), m)
-    need = F.when(m >= WINDOW, F.lit(AGREE)).otherwise(m)
-    low, high = F.greatest(F.lit(0), item_at - WINDOW), F.least(m - 1, item_at + 2 * WINDOW)
-    agree = F.transform(F.sequence(low, high), lambda j: F.coalesce((F.get(g, j) == F.when(j + at - item_at >= 0, F.get(h, j + at - item_at))).cast("int"), F.lit(0)))
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-    starts = F.filter(F.sequence(low, F.greatest(low, high - wide + 1)), lambda s: total(F.slice(agree, s - low + 1, wide)) >= need)
-    return F.when(total(agree) >= need, starts)
+    need = F.when(m >= WINDOW, F.lit(AGREE)).when(m >= ONE_OFF, m - 1).otherwise(m)
+    low, high = F.greatest(F.lit(0), F.array_min(hits) - WINDOW), F.least(m - 1, F.array_max(hits) + 2 * WINDOW)
+    agree = F.transform(F.sequence(low, high), lambda j: F.coalesce((F.get(g, j) == F.when(j + diagonal >= 0, F.get(h, j + diagonal))).cast("int"), F.lit(0)))
+    of = lambda s: F.aggregate(F.slice(agree, s - low + 1, wide), F.lit(0), lambda a, x: a + x)
+    starts = F.filter(F.sequence(low, F.greatest(low, high - wide + 1)), lambda s: of(s) >= need)
+    return starts
 
 
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", most: int = _BROADCAST) -> DataFrame:
     """``(id_col, text_hash, item_col, item_words, covered)``: per document and item that overlap, how many of the item's words lie in agreeing windows."""
-    known = items.select(F.col(item_col).alias("item"), hashed_words(F.col(item_text)).alias("g")).where(F.size("g") >= SHORTEST).distinct()
-    hooks = cut(known.select("item", "g", F.inline(seeds(F.col("g")))).withColumnRenamed("at", "item_at"))
+    known = items.select(F.col(item_col).alias("item"), hashed_words(F.col(item_text)).alias("g")).where(F.size("g") > 0).select("item", F.hash("g").alias("item_hash"), "g").distinct()
+    known = cut(known)
+    short = sorted(r[0] for r in known.select(F.size("g")).where(F.size("g") < _SPAN).distinct().collect())  # at most seven lengths
+    hooks = cut(known.select("item", "item_hash", F.inline(seeds(F.col("g"), short, item=True))).withColumnRenamed("at", "item_at").distinct())
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), hashed_words(F.col(text_col)).alias("h"))
-    placed = rows.where(F.size("h") >= SHORTEST).select("id", "text_hash", "h", F.inline(seeds(F.col("h"))))
+    placed = rows.where(F.size("h") > 0).select("id", "text_hash", F.inline(seeds(F.col("h"), short)))
     hits = placed.join(F.broadcast(hooks) if small(hooks, most) else hooks, "seed")
-    verified = hits.select("id", "text_hash", "item", F.size("g").alias("m"), overlap_starts(F.col("h"), F.col("g"), F.col("at"), F.col("item_at")).alias("starts")).where(F.size("starts") > 0)
-    together = verified.groupBy("id", "text_hash", "item", "m").agg(F.array_distinct(F.flatten(F.collect_set("starts"))).alias("starts"))
+    hits = cut(hits.groupBy("id", "text_hash", "item", "item_hash", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.collect_set("item_at").alias("hits")))
+    some = hits.select(F.col("id").alias("k"), F.col("text_hash").alias("k_hash")).distinct()
+    some = F.broadcast(some) if small(some, most) else some
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    texts = texts.join(some, (F.col("text_hash") == F.col("k_hash")) & F.col("id").eqNullSafe(F.col("k"))).select("k", "k_hash", hashed_words(F.col("text")).alias("h")).dropDuplicates(["k", "k_hash"])
+    whole = known.select(F.col("item").alias("i"), F.col("item_hash").alias("i_hash"), "g")
+    met = hits.join(F.broadcast(whole) if small(whole, most // 100) else whole, F.col("item").eqNullSafe(F.col("i")) & (F.col("item_hash") == F.col("i_hash")))
+    met = met.join(texts, F.col("id").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("k_hash")))
+    verified = met.select("id", "text_hash", "item", "item_hash", F.size("g").alias("m"), overlap_starts(F.col("h"), F.col("g"), F.col("diagonal"), F.col("hits")).alias("starts")).where(F.size("starts") > 0)
+    together = verified.groupBy("id", "text_hash", "item", "item_hash", "m").agg(F.array_distinct(F.flatten(F.collect_set("starts"))).alias("starts"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.least(F.lit(WINDOW), F.col("m")) - 1)))))
     return together.select(F.col("id").alias(id_col), "text_hash", F.col("item").alias(item_col), F.col("m").alias("item_words"), covered.alias("covered"))
 
 
-def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = _BROADCAST) -> DataFrame:
     """``docs`` without the documents that overlap an item, its columns as they are."""
-    bad = overlaps(docs, items, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_hash")), "left_anti")
+    key, text_hash = fresh(docs.columns, "_id"), fresh(docs.columns, "_hash")
+    bad = cut(overlaps(docs, items, id_col, text_col, most=most).select(F.col(id_col).alias(key), F.col("text_hash").alias(text_hash)).distinct())
+    bad = F.broadcast(bad) if small(bad, most) else bad
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(text_hash)), "left_anti")
