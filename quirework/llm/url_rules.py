@@ -62,15 +62,35 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 
 
 def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.9) -> DataFrame:
-    """``tokens``, ``verdict``, ``confidence``, ``support`` of the pruned rules mined from ``labelled`` (``tokens``, ``verdict``)."""
+    """``tokens``, ``verdict``, ``confidence``, ``support`` of the pruned rules mined from ``labelled`` (``tokens``, ``verdict``).
+
+    Single tokens are counted directly. Those of one verdict alone make every longer rule vain, so FP-growth
+    mines the others, and of tokens that occur in the same urls it sees the first by text, as longer rules say
+    the same of all; else a path of ``n`` segments that many urls share would give ``2**n`` itemsets.
+    """
     spark = labelled.sparkSession
-    if labelled.limit(1).count() == 0:
+    n = labelled.count()
+    if n == 0:
         return spark.createDataFrame([], _MINED)
-    baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    said = F.col("consequent")[0]
-    rules = cut(model.associationRules.where(said.startswith("verdict:")).select(F.array_sort("antecedent").alias("tokens"), F.substring_index(said, ":", -1).alias("verdict"), "confidence", "support"))
-    rules = rules.where(F.forall("tokens", lambda t: ~t.startswith("verdict:")))
+    least = support * n
+    alone = labelled.select("verdict", F.xxhash64("tokens").cast("decimal(38,0)").alias("basket"), F.explode("tokens").alias("token"))
+    alone = alone.groupBy("token", "verdict").agg(F.count("*").alias("n"), F.sum("basket").alias("mark"))
+    every = alone.groupBy("token").agg(F.sum("n").alias("all"), F.sum("mark").alias("mark"), F.max("n").alias("most")).where(F.col("all") >= least)
+    every = cut(every)
+    singles = alone.select("token", "verdict", "n").join(every.select("token", "all"), "token").where((F.col("n") >= least) & (F.col("n") >= confidence * F.col("all")))
+    singles = singles.select(F.array("token").alias("tokens"), "verdict", (F.col("n") / F.col("all")).alias("confidence"), (F.col("n") / n).alias("support"))
+    mixed = cut(every.where("most < all").groupBy("all", "mark").agg(F.min("token").alias("token")).select("token"))
+    seen = labelled.withColumn("row", F.monotonically_increasing_id()).select("row", "verdict", F.explode("tokens").alias("token")).join(F.broadcast(mixed) if small(mixed, 100_000) else mixed, "token")
+    baskets = seen.groupBy("row", "verdict").agg(F.collect_list("token").alias("tokens")).select(F.concat("tokens", F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items"))
+    baskets = cut(baskets)
+    found = singles
+    if baskets.limit(1).count():
+        share = min(1.0, least / baskets.count())
+        model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(baskets)
+        said = F.col("consequent")[0]
+        longer = model.associationRules.where(said.startswith("verdict:") & (F.size("antecedent") > 1) & F.forall("antecedent", lambda t: ~t.startswith("verdict:")))
+        found = found.unionByName(longer.select(F.array_sort("antecedent").alias("tokens"), F.substring_index(said, ":", -1).alias("verdict"), "confidence", (F.col("support") * baskets.count() / n).alias("support")))
+    rules = cut(found)
     # a rule goes if leaving out one of its tokens gives a rule for the same verdict that is as sure
     shorter = rules.select("tokens", "verdict", F.col("confidence").alias("shorter"))
     less = rules.where(F.size("tokens") > 1).select("tokens", "verdict", "confidence", F.explode("tokens").alias("out"))
@@ -81,7 +101,7 @@ def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.9) -
 
 def fired(urls: DataFrame, rules: DataFrame, key: str = "url") -> DataFrame:
     """``key`` and the mined ``verdict`` and ``confidence`` of the urls (distinct ``key``, ``tokens``) that fire a rule."""
-    index = cut(rules.select("verdict", "confidence", "support", F.size("tokens").alias("n"), F.array_join("tokens", " ").alias("rule"), F.explode("tokens").alias("token")))
+    index = cut(rules.select("verdict", "confidence", "support", F.size("tokens").alias("n"), F.to_json("tokens").alias("rule"), F.explode("tokens").alias("token")))
     index = F.broadcast(index) if small(index, 100_000) else index
     met = urls.select(key, F.explode("tokens").alias("token")).join(index, "token")
     whole = met.groupBy(key, "rule", "verdict", "confidence", "support", "n").agg(F.count("*").alias("have")).where("have = n")
@@ -97,9 +117,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     rule, verdict = explicit(F.col("host"), F.col("path"), rules)
     told = cut(split.withColumn("rule", rule).withColumn("told", verdict).withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path"))))
     mined = mine(told.where("told is not null").select("tokens", F.col("told").alias("verdict")), support, confidence)
-    open_ = told.where("told is null and size(tokens) > 0").select(F.array_join(F.array_sort("tokens"), " ").alias("basket"), "tokens").dropDuplicates(["basket"])
+    open_ = told.where("told is null and size(tokens) > 0").select(F.to_json(F.array_sort("tokens")).alias("basket"), "tokens").dropDuplicates(["basket"])
     said = cut(fired(open_, mined, "basket"))
     said = F.broadcast(said) if small(said, 50_000) else said
-    basket = F.when(F.col("told").isNull(), F.array_join(F.array_sort("tokens"), " "))
+    basket = F.when(F.col("told").isNull(), F.to_json(F.array_sort("tokens")))
     joined = told.withColumn("basket", basket).join(said, "basket", "left")
     return joined.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("told", "verdict", F.lit("allow")).alias("verdict"), "confidence")
