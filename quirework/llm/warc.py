@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut, small
+
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 _EOL = "\r\n"
@@ -30,15 +32,23 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*[four(i) for i in range(8)]), _DIGITS, _BASE32)
 
 
-def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Writes one record a row of ``pages`` to ``folder``."""
+def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, date: str = "2024-01-01T00:00:00Z", most: int = 1_000_000) -> None:
+    """Writes one record a row of ``pages`` to ``folder``.
+
+    Digests that occur more than once are broadcast while there are at most ``most`` of them.
+    """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("string").alias("id_text"), F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"))
-    rows.select(F.sha2("payload", 256).alias("digest"), "payload").dropDuplicates(["digest"]).write.parquet(f"{folder}/payloads")
     facts = rows.select("id", "id_text", "url", F.sha2("payload", 256).alias("digest"), base32_sha1(F.col("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("n"))
     facts.write.parquet(f"{folder}/facts")
     facts = pages.sparkSession.read.parquet(f"{folder}/facts")
     first = facts.groupBy("digest").agg(F.min("id").alias("first"))
+    # only payloads that occur again are brought together to keep one; the others are written as they are read
+    again = cut(facts.groupBy("digest").count().where("count > 1").select(F.col("digest").alias("again")))
+    again = F.broadcast(again) if small(again, most) else again
+    told = rows.select(F.sha2("payload", 256).alias("digest"), "payload")
+    told.join(again, F.col("digest") == F.col("again"), "left_anti").write.parquet(f"{folder}/payloads")
+    told.join(again, F.col("digest") == F.col("again"), "left_semi").dropDuplicates(["digest"]).write.mode("append").parquet(f"{folder}/payloads")
     told = facts.join(first, "digest")
     again = (F.col("n") >= least) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
@@ -82,9 +92,10 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """What the headers say, with ``payload_bytes`` and ``payload_digest`` measured on the stored payload; a header that says otherwise raises."""
-    measured = payloads(spark, folder).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("sha1"))
-    joined = headers(spark, folder).join(measured, "digest", "left")
+    """Each record rebuilt by ``records`` and taken apart again: what its header says, and ``payload_bytes`` and ``payload_digest`` measured on the record's payload; a header that says otherwise raises."""
+    rebuilt = records(spark, folder)
+    payload = F.substring(F.col("record"), F.octet_length("header") + len(_EOL) + 1, F.octet_length("record") - F.octet_length("header") - 3 * len(_EOL))
+    measured = rebuilt.select("id", "record_type", "refers_to", "url", "payload_digest", "content_length", F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload).alias("sha1"))
     agrees = (F.col("payload_digest") == F.col("sha1")) & (F.col("content_length") == F.col("payload_bytes"))
-    digest = F.when(agrees, F.col("sha1")).otherwise(F.raise_error(F.concat(F.lit("a record and its payload differ: "), "digest")))
-    return joined.select("id", "payload_bytes", digest.alias("payload_digest"), "record_type", F.nullif(F.col("refers_to"), F.lit("")).alias("refers_to"), "url")
+    digest = F.when(agrees, F.col("sha1")).otherwise(F.raise_error(F.concat(F.lit("a record and its payload differ: "), "sha1")))
+    return measured.select("id", "payload_bytes", digest.alias("payload_digest"), "record_type", F.nullif(F.col("refers_to"), F.lit("")).alias("refers_to"), "url")
