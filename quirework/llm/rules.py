@@ -1,9 +1,9 @@
 """Quality rules: exact rule statistics, and an isolation forest over them.
 
-The forest's trees split a bounded sample of documents at random; documents that few splits
-separate from the rest have short paths and score as anomalous. The threshold on that score is
-calibrated on labelled rows: of all thresholds that reject at most ``spare`` of the good rows, the
-one that rejects the most bad rows.
+The forest's trees split rows of the whole table at random, 256 rows each and other rows for each tree;
+documents that few splits separate from the rest have short paths and score as anomalous. The threshold on
+that score is calibrated on all labelled rows: of all thresholds that reject at most ``spare`` of the good
+rows, the one that rejects the most bad rows.
 
 Null and empty texts have no words and fail the base rules. Statistics cover whole texts of any
 length. Repeated rows get the same answer, null labels are ignored, and without labels of both
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh, stored
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -34,6 +34,8 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 _LEAST = 0.02
 #: How many rates the forest looks at.
 RATES = 6
+#: Trees of the forest and rows of each.
+TREES, SAMPLE = 200, 256
 
 
 def statistics(text: str | None) -> tuple[int, ...]:
@@ -85,15 +87,12 @@ class Model:
     however few rows exceed a rate, it counts. Where good rows do not spread, a step is ``_LEAST``.
     """
 
-    def __init__(self, drawn: pd.DataFrame, told: pd.DataFrame, spare: float) -> None:
-        drawn, told = drawn[~base_failed(drawn)], told[~base_failed(told)]
-        good = told["quality"].to_numpy() == 1
-        usual = rates(told[good]) if good.any() else rates(drawn)
-        self.usual = np.quantile(usual, 0.995, axis=0) if len(usual) else np.zeros(RATES)
-        spread = self.usual - np.median(usual, axis=0) if len(usual) else np.zeros(RATES)
+    def __init__(self, usual: np.ndarray, middle: np.ndarray, drawn: pd.DataFrame) -> None:
+        self.usual, spread = usual, usual - middle
         self.step = np.where(spread > 0, spread, _LEAST)
+        drawn = drawn[~base_failed(drawn)]
         self.forest = IsolationForest(self.levels(drawn)) if len(drawn) > 1 else None
-        self.threshold = calibrate(self.score(told), good, spare) if len(told) else np.inf
+        self.threshold = np.inf
 
     def levels(self, stats: pd.DataFrame) -> np.ndarray:
         return np.floor(np.maximum(rates(stats) - self.usual, 0) / self.step)
@@ -106,9 +105,9 @@ class Model:
 
 
 class IsolationForest:
-    """Random splits of ``sample`` rows a tree, and the mean path length as a score from 0 to 1."""
+    """Random splits of ``sample`` rows a tree, other rows for each tree while there are enough, and the mean path length as a score from 0 to 1."""
 
-    def __init__(self, x: np.ndarray, trees: int = 200, sample: int = 256, seed: int = 8) -> None:
+    def __init__(self, x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = 8) -> None:
         draw = np.random.default_rng(seed)
         self.size = min(sample, len(x))
         self.depth = max(1, int(np.ceil(np.log2(max(2, self.size)))))
@@ -116,8 +115,10 @@ class IsolationForest:
         self.feature = np.zeros((trees, nodes), np.int32)
         self.split = np.full((trees, nodes), np.inf)
         self.length = np.zeros((trees, nodes))
+        dealt = draw.permutation(len(x))
         for t in range(trees):
-            self._grow(t, 0, x[draw.choice(len(x), self.size, replace=False)], 0, draw)
+            rows = dealt[t * sample : (t + 1) * sample] if len(x) >= trees * sample else draw.choice(len(x), self.size, replace=False)
+            self._grow(t, 0, x[rows], 0, draw)
 
     def _grow(self, t: int, node: int, rows: np.ndarray, depth: int, draw: np.random.Generator) -> None:
         wide = np.flatnonzero(rows.max(axis=0) > rows.min(axis=0)) if len(rows) > 1 else ()
@@ -153,30 +154,29 @@ def average_path(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def calibrate(score: np.ndarray, good: np.ndarray, spare: float) -> float:
-    """The threshold (reject above it) that rejects the most bad rows and at most ``spare`` of the good; infinite if none does."""
-    if not good.any() or good.all():
+def calibrate(score: np.ndarray, good: np.ndarray, bad: np.ndarray, spare: float) -> float:
+    """The threshold (reject above it) that rejects the most bad rows and at most ``spare`` of the good; infinite if none does.
+
+    ``good`` and ``bad`` say how many rows have each of the distinct scores.
+    """
+    if not good.sum() or not bad.sum():
         return np.inf
-    order = np.argsort(-score, kind="stable")
-    s, g = score[order], good[order]
-    ends = np.flatnonzero(np.append(s[1:] != s[:-1], True))
-    bad, lost = np.cumsum(~g)[ends], np.cumsum(g)[ends]
-    fits = np.flatnonzero((lost <= spare * g.sum()) & (bad > 0))
+    order = np.argsort(-score)
+    s, lost, caught = score[order], np.cumsum(good[order]), np.cumsum(bad[order])
+    fits = np.flatnonzero((lost <= spare * good.sum()) & (caught > 0))
     if not len(fits):
         return np.inf
-    best = ends[fits[np.argmax(bad[fits] - lost[fits])]]
+    best = fits[np.argmax(caught[fits] - lost[fits])]
     return float((s[best] + s[best + 1]) / 2) if best + 1 < len(s) else float(s[best]) - 1e-12
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, spare: float = 0.002, stats: DataFrame | None = None) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", spare: float = 0.002) -> DataFrame:
     """``id_col``, the statistics, ``base_failed``, ``anomaly`` and ``kept`` for each row of ``docs``.
 
-    ``labels`` has ``id_col`` and ``quality`` (1: good). The forest is fitted on at most about
-    ``sample`` rows of ``docs`` and the threshold on at most about ``sample`` labelled rows, both
-    taken by a hash of the id.
+    ``labels`` has ``id_col`` and ``quality`` (1: good).
     """
-    stats = cut(stats if stats is not None else rule_statistics(docs, id_col, text_col))
-    model = stats.sparkSession.sparkContext.broadcast(fit(stats, labels, id_col, sample, spare))
+    stats = cut(docs.select(id_col, statistics_column(F.col(text_col)).alias("s")).select(id_col, "s.*"))
+    model = stats.sparkSession.sparkContext.broadcast(fit(stats, labels, id_col, spare))
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -187,27 +187,38 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return stats.mapInPandas(of, f"{schema}, base_failed boolean, anomaly double, kept boolean")
 
 
-def rule_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(id_col, statistics_column(F.col(text_col)).alias("s")).select(id_col, "s.*")
+def some(df: DataFrame, most: int) -> DataFrame:
+    """The ``most`` rows at most whose hash comes first, those of the whole table; a first pass by hash leaves few to sort."""
+    n = df.count()
+    h = F.xxhash64(F.lit(8), *df.columns)
+    few = df if n <= most else df.where(F.pmod(h, F.lit(1_000_000_000)) < int(1_000_000_000 * min(1, 2 * most / n)))
+    return few.orderBy(h).limit(most)
 
 
-def some(df: DataFrame, id_col: str, most: int) -> DataFrame:
-    """About ``most`` rows at most, by a hash of the id."""
-    n = df.count()
-    return df if n <= most else df.where(F.pmod(F.xxhash64(F.lit(8), id_col), F.lit(1_000_000)) < int(1_000_000 * most / n))
+def fit(stats: DataFrame, labels: DataFrame, id_col: str, spare: float) -> Model:
+    """The trees' rows are drawn from the whole table; the good rows' quantiles and the threshold come from all labelled rows, counted per step."""
+    known = labels.where("quality is not null").select(id_col, F.col("quality").cast("int").alias("quality"))
+    told = cut(stats.join(known, id_col).select(*STATS, "quality"))
+    some_good = told.where("quality = 1").limit(1).count() > 0
+    usual = quantiles(told.where("quality = 1") if some_good else stats, (0.5, 0.995))
+    model = Model(usual[1], usual[0], some(stats, TREES * SAMPLE).select(*STATS).toPandas())
+    shared = stats.sparkSession.sparkContext.broadcast(model)
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            rows = rows[~base_failed(rows)]
+            found = pd.DataFrame({"score": np.round(shared.value.score(rows), 4), "good": (rows["quality"] == 1).astype(int), "bad": (rows["quality"] != 1).astype(int)})
+            yield found.groupby("score", as_index=False).sum()
 
-def fit(stats: DataFrame, labels: DataFrame, id_col: str, sample: int, spare: float) -> Model:
-    drawn = some(stats, id_col, sample).select(id_col, *STATS).toPandas().sort_values([id_col, *STATS])
-    known = some(labels.where("quality is not null").select(id_col, "quality"), id_col, sample)
-    told = stats.join(known, id_col).select(*STATS, "quality").toPandas()
-    return Model(drawn, told, spare)
+    counted = told.mapInPandas(count, "score double, good long, bad long").groupBy("score").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toPandas()
+    model.threshold = calibrate(counted["score"].to_numpy(), counted["good"].to_numpy(), counted["bad"].to_numpy(), spare)
+    return model
 
 
-def tail(stats: DataFrame, share: float = 0.99, fine: int = 1_000) -> np.ndarray:
-    """The quantile ``share`` of each rate over all rows that pass the base rules, to ``1 / fine`` below; zero without such rows.
+def quantiles(stats: DataFrame, shares: tuple[float, ...], fine: int = 1_000) -> list[np.ndarray]:
+    """Quantiles of each rate over all rows that pass the base rules, to ``1 / fine`` below; zero without such rows.
 
-    Tasks count rows per step of ``1 / fine``, so what is shuffled depends on the steps, not on the rows.
+    Tasks count rows per step of ``1 / fine``, so what is shuffled and sent depends on the steps, not on the rows.
     """
 
     def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,26 +228,27 @@ def tail(stats: DataFrame, share: float = 0.99, fine: int = 1_000) -> np.ndarray
                 yield pd.DataFrame({"rate": rate, "step": at, "n": n})
 
     counted = stats.select(*STATS).mapInPandas(steps, "rate int, step long, n long").groupBy("rate", "step").agg(F.sum("n").alias("n"))
-    found = {r["rate"]: r["at"] / fine for r in counted.groupBy("rate").agg(F.percentile("step", share, F.col("n")).alias("at")).collect()}
-    return np.array([found.get(k, 0.0) for k in range(RATES)])
+    found = {r["rate"]: r["at"] for r in counted.groupBy("rate").agg(F.percentile("step", list(shares), F.col("n")).alias("at")).collect()}
+    return [np.array([found[k][i] / fine if k in found else 0.0 for k in range(RATES)]) for i in range(len(shares))]
 
 
 def base_failed(stats: pd.DataFrame) -> pd.Series:
     return (stats["n_words"] < 10) | (100 * stats["n_repeat_words"] > 20 * stats["n_words"])
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, spare: float = 0.002) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", spare: float = 0.002) -> DataFrame:
     """``docs`` without the rows that the rules or the forest reject, its columns as they are.
 
-    A row is judged by its own text, so ids may repeat or be null.
+    The statistics are computed once and written beside the rows. A row is judged by its own text, so ids may repeat or be null.
     """
-    stats = cut(rule_statistics(docs, id_col, text_col))
-    model = docs.sparkSession.sparkContext.broadcast(fit(stats, labels, id_col, sample, spare))
+    mark = fresh(docs.columns, "_stats")
+    both = stored(docs.withColumn(mark, statistics_column(F.col(text_col))))
+    ids = both.select(F.col(id_col).alias("id"), *[F.col(f"{mark}.{c}").alias(c) for c in STATS])
+    model = docs.sparkSession.sparkContext.broadcast(fit(ids, labels.withColumnRenamed(id_col, "id"), "id", spare))
 
     @F.pandas_udf("boolean")
-    def keep(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            rows = pd.DataFrame([statistics(t if isinstance(t, str) else None) for t in texts], columns=list(STATS), dtype="int64")
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for rows in batches:
             yield pd.Series(model.value.kept(rows, model.value.score(rows)))
 
-    return docs.where(keep(F.col(text_col)))
+    return both.where(keep(F.struct(*[F.col(f"{mark}.{c}") for c in STATS]))).drop(mark)
