@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, langid, licenses, mixing, quality, rules, simhash, toxicity, url_rules, warc
-from .common import cut, fold, table
+from .common import cut, fold, shared_folder, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +40,7 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut(spark.range(1))  # the session has a checkpoint folder from here on
-    folder = f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(table(spark, sf_dir, "pages"), folder)
     told = warc.read(spark, folder)
     return told.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
@@ -98,35 +97,48 @@ n AS (SELECT doc_id, count(*)::INT AS sentences FROM hits GROUP BY doc_id)
 {selects}"""
 
 
+def _mixing_sql(halvings: int = 70) -> str:
+    """The multipliers by halving a bracket as often as doubles allow, then running sums over all rows in the sampling order."""
+    start = "l0 AS (SELECT source, target, -1.0::DOUBLE AS lo, 1.0::DOUBLE AS hi FROM t WHERE target > 0 AND target < 2.0 * source_size * (1 - 1e-12))"
+    step = lambda k: f"l{k} AS (SELECT l.source, target, CASE WHEN g <= target THEN (lo + hi) / 2 ELSE lo END AS lo, CASE WHEN g <= target THEN hi ELSE (lo + hi) / 2 END AS hi FROM l{k - 1} l JOIN (SELECT a.source, sum(n * size * least(2.0, exp(least(50, (lo + hi) / 2 * size)))) AS g FROM l{k - 1} a JOIN spectrum b ON a.source IS NOT DISTINCT FROM b.source GROUP BY a.source) s ON l.source IS NOT DISTINCT FROM s.source)"
+    bracket = ",\n".join([start, *map(step, range(1, halvings + 1))])
+    return f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(md5(text), '')) AS h FROM documents),
+spectrum AS MATERIALIZED (SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY ALL),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM s),
+tried AS (SELECT a.source AS a_source, 2.0 * a.source_size / a.w AS level, sum(least(2.0 * b.source_size, b.w * 2.0 * a.source_size / a.w)) AS total FROM w a, w b GROUP BY ALL),
+goal AS (SELECT 1.5 * sum(source_size) AS goal FROM s),
+lo AS (SELECT coalesce(max(level), 0) AS level FROM tried, goal WHERE total <= goal),
+lvl AS (SELECT lo.level + coalesce((goal - sum(least(2.0 * source_size, w * lo.level))) / nullif(sum(CASE WHEN 2.0 * source_size / w > lo.level + 1e-9 THEN w END), 0), 0) AS level FROM w, lo, goal GROUP BY lo.level, goal),
+t AS MATERIALIZED (SELECT source, source_size, least(2.0 * source_size, w * level) AS target FROM w, lvl),
+{bracket.replace("AS (SELECT l.source", "AS MATERIALIZED (SELECT l.source")},
+r AS (SELECT d.*, source_size, t.target, CASE WHEN l.source IS NULL AND l.lo IS NULL THEN CASE WHEN t.target > 0 THEN 2.0 ELSE 0 END ELSE round(least(2.0, exp(least(50, lo * size))), 9) END AS rate, l.lo IS NOT NULL AS open FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN l{halvings} l ON d.source IS NOT DISTINCT FROM l.source),
+o AS (SELECT *, floor(rate) AS whole, CASE WHEN rate > floor(rate) AND size > 0 THEN ('0x' || h[1:13])::BIGINT / 4503599627370496.0 / (rate - floor(rate)) END AS ord FROM r),
+m AS (SELECT source, CASE WHEN any_value(open) THEN any_value(target) - sum(whole * size) ELSE 0 END AS missing FROM o GROUP BY source),
+p AS (SELECT o.*, missing, sum(size) OVER (PARTITION BY o.source ORDER BY ord, h ROWS UNBOUNDED PRECEDING) AS upto FROM o JOIN m ON o.source IS NOT DISTINCT FROM m.source WHERE ord IS NOT NULL),
+rest AS (SELECT source, any_value(missing) - coalesce(max(upto) FILTER (upto <= missing), 0) AS rest FROM p GROUP BY source),
+c AS (SELECT p.source, arg_min(h, (abs(rest - size), h)) AS closing FROM p JOIN rest ON p.source IS NOT DISTINCT FROM rest.source WHERE upto > missing AND abs(rest - size) < rest GROUP BY p.source),
+e AS (SELECT p.source, p.h, upto <= missing OR coalesce(p.h = closing, false) AS more FROM p LEFT JOIN c ON p.source IS NOT DISTINCT FROM c.source)
+SELECT doc_id, size, source_size, round(target, 6) AS target, (whole + coalesce(more, false)::INT)::BIGINT AS copies, (whole + coalesce(more, false)::INT)::BIGINT * size AS taken
+FROM o LEFT JOIN e ON o.source IS NOT DISTINCT FROM e.source AND o.h = e.h"""
+
+
 ORACLE = {
     "op2_decontamination": """
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS ws FROM documents),
 i AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS ws FROM benchmark),
 dt AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d),
-it AS (SELECT item_id, len(ws) AS m, unnest(ws) AS w, generate_subscripts(ws, 1) AS q FROM i WHERE len(ws) >= 8),
+it AS (SELECT item_id, len(ws) AS m, unnest(ws) AS w, generate_subscripts(ws, 1) AS q FROM i WHERE len(ws) >= 5),
 eq AS (SELECT doc_id, item_id, m, p - q AS diag, q FROM dt JOIN it USING (w)),
-dense AS (SELECT doc_id, item_id, diag FROM eq GROUP BY ALL HAVING count(*) >= least(11, any_value(m))),
+dense AS (SELECT doc_id, item_id, diag FROM eq GROUP BY ALL HAVING count(*) >= CASE WHEN any_value(m) >= 13 THEN 11 WHEN any_value(m) >= 10 THEN any_value(m) - 1 ELSE any_value(m) END),
 near AS (SELECT * FROM eq SEMI JOIN dense USING (doc_id, item_id, diag)),
 starts AS (SELECT doc_id, item_id, diag, m, unnest(range(greatest(1, q - least(13, m) + 1), least(q, m - least(13, m) + 1) + 1)) AS s FROM near),
-good AS (SELECT doc_id, item_id, m, s FROM starts GROUP BY doc_id, item_id, diag, m, s HAVING count(*) >= CASE WHEN m >= 13 THEN 11 ELSE m END),
-covered AS (SELECT DISTINCT doc_id, item_id, m, unnest(range(s, s + least(13, m))) AS q FROM good)
+good AS (SELECT doc_id, item_id, m, s FROM starts GROUP BY doc_id, item_id, diag, m, s HAVING count(*) >= CASE WHEN m >= 13 THEN 11 WHEN m >= 10 THEN m - 1 ELSE m END),
+alone AS (SELECT doc_id, item_id, len(i.ws) AS m, unnest(range(1, len(i.ws) + 1)) AS q FROM d JOIN i ON d.ws = i.ws WHERE len(i.ws) BETWEEN 1 AND 4),
+covered AS (SELECT DISTINCT doc_id, item_id, m, unnest(range(s, s + least(13, m))) AS q FROM good UNION SELECT * FROM alone)
 SELECT doc_id, item_id, m::INT AS item_words, count(*)::INT AS covered FROM covered GROUP BY ALL""",
-    "op3_mixing": """
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-w AS (SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM s),
-tried AS (SELECT a.source AS a_source, 2.0 * a.source_size / a.w AS level, sum(least(2.0 * b.source_size, b.w * 2.0 * a.source_size / a.w)) AS total FROM w a, w b GROUP BY ALL),
-goal AS (SELECT 1.5 * sum(source_size) AS goal FROM s),
-lo AS (SELECT coalesce(max(level), 0) AS level FROM tried, goal WHERE total <= goal),
-lvl AS (SELECT lo.level + coalesce((goal - sum(least(2.0 * source_size, w * lo.level))) / nullif(sum(CASE WHEN 2.0 * source_size / w > lo.level + 1e-9 THEN w END), 0), 0) AS level FROM w, lo, goal GROUP BY lo.level, goal),
-t AS (SELECT source, source_size, least(2.0 * source_size, w * level) AS target FROM w, lvl),
-r AS (SELECT *, CASE WHEN target > 0 THEN round(target / source_size, 9) ELSE 0 END AS rate FROM t),
-p AS (SELECT d.*, source_size, target, floor(rate) AS whole, (rate - floor(rate)) * source_size AS missing, sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE UNBOUNDED PRECEDING) AS upto FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-last AS (SELECT source, max(h) FILTER (upto <= missing) AS last_h, any_value(missing) - coalesce(max(upto) FILTER (upto <= missing), 0) AS rest FROM p GROUP BY source),
-q AS (SELECT p.*, rest, h <= coalesce(last_h, '') AS first FROM p JOIN last ON p.source IS NOT DISTINCT FROM last.source),
-c AS (SELECT source, arg_min(h, (abs(rest - size), h)) AS closing FROM q WHERE NOT first AND size > 0 AND abs(rest - size) < rest GROUP BY source)
-SELECT doc_id, size, source_size, round(target, 6) AS target, (whole + (first OR coalesce(h = closing, false))::INT)::BIGINT AS copies, (whole + (first OR coalesce(h = closing, false))::INT)::BIGINT * size AS taken
-FROM q LEFT JOIN c ON q.source IS NOT DISTINCT FROM c.source""",
+    "op3_mixing": _mixing_sql(),
     "op6_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 f AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS hex, min(page_id) OVER (PARTITION BY b) AS first FROM p),
