@@ -32,15 +32,24 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def bound_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """From now on Python workers of the session get at most ``rows`` rows at a time, as texts may be long; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, read from the reliable checkpoint folder from now on."""
     shared_folder(df.sparkSession)
+    bound_batches(df.sparkSession)
     return df.checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read from there, column by column."""
     folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    bound_batches(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.parquet(folder)
 

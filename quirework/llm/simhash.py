@@ -21,8 +21,11 @@ of 0.8 or more, and no distance between fingerprints is proven to hold all of th
 over five-word fingerprints, and the texts that share a rare shingle with a hub only start the groups;
 a prefix filter then finds every further pair. Of a set of ``n`` shingles in one order for all texts, the
 first ``n - ceil(0.8 n) + 1`` hold a shingle of every set as similar, so similar texts meet at one.
-Texts of one group need not meet again. Every candidate is verified on the whole sets. Shingles common in
-a sample come last in the order; that bounds how many meet, not what is found.
+Texts of one group need not meet again. Pivots discard most pairs that meet: the universe of shingles is
+dealt to ``_PIVOTS`` reference sets, a table holds how many shingles of each text lie in each, and the sums
+of the coordinate differences of two texts never exceed the shingles they do not share. Survivors are
+verified on their whole texts. Shingles common in a sample come last in the order, the most common at the
+end; that bounds how many meet, not what is found.
 
 Nulls and empty texts have fingerprint zero. Rows with a null id take part; a group's smallest id
 ignores nulls and is null only where all are. Repeated rows get the same answer. Empty tables give
@@ -40,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bound_batches, cut, fresh, small, stored
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BITS = 64
@@ -48,6 +51,8 @@ _BLOCKS = 4
 _STEP = 1 << 14
 #: The Jaccard similarity of shingle sets from which texts are near copies, as a fraction.
 _SIMILAR = (4, 5)
+#: Into how many reference sets shingles are dealt.
+_PIVOTS = 64
 
 
 def shingle_hashes(text: str | None, shingle: int = 3, seed: int = 42) -> Iterator[np.ndarray]:
@@ -177,14 +182,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(group, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "root")
 
 
-def signature(text: str | None, shingle: int, common: np.ndarray) -> tuple[int, int, int, np.ndarray]:
-    """A text's SimHash, the hash of its shingle set, the set's size, and the first shingles that any similar set shares one of."""
+def signature(text: str | None, shingle: int, common: tuple[np.ndarray, np.ndarray]) -> tuple[int, int, int, np.ndarray, int, bytes]:
+    """A text's SimHash, the hash of its shingle set, the set's size, the first shingles that any similar set shares one of, how many of those are not common, and its row of the pivot table."""
     slices = list(shingle_hashes(text, shingle))
     found = np.unique(np.concatenate(slices)) if slices else np.zeros(0, "<u8")
-    late = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found if len(common) else np.zeros(len(found), bool)
+    known, times = common
+    at = np.minimum(np.searchsorted(known, found), max(len(known) - 1, 0))
+    late = known[at] == found if len(known) else np.zeros(len(found), bool)
     n = len(found)
-    head = np.concatenate([found[~late], found[late]])[: n - (_SIMILAR[0] * n + _SIMILAR[1] - 1) // _SIMILAR[1] + 1]
-    return _signed(majority(slices)), _signed(xxhash.xxh64_intdigest(found.tobytes())), n, head.view(np.int64)
+    last = found[late][np.argsort(times[at[late]], kind="stable")] if len(known) else found[late]
+    head = np.concatenate([found[~late], last])[: n - (_SIMILAR[0] * n + _SIMILAR[1] - 1) // _SIMILAR[1] + 1]
+    pivots = np.minimum(np.bincount((found % _PIVOTS).astype(np.int64), minlength=_PIVOTS), 255).astype(np.uint8)
+    return _signed(majority(slices)), _signed(xxhash.xxh64_intdigest(found.tobytes())), n, head.view(np.int64), min(len(head), n - int(late.sum())), pivots.tobytes()
 
 
 def node_column(text: Column, shingle: int = 5) -> Column:
@@ -192,15 +201,15 @@ def node_column(text: Column, shingle: int = 5) -> Column:
 
     @F.pandas_udf("long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        none = np.zeros(0, "<u8")
+        none = np.zeros(0, "<u8"), np.zeros(0, np.int64)
         for s in batches:
             yield pd.Series([signature(t if isinstance(t, str) else None, shingle, none)[1] for t in s], dtype="int64")
 
     return of(text)
 
 
-def common_shingles(docs: DataFrame, text_col: str, shingle: int, sample: int = 10_000, least: int = 3) -> np.ndarray:
-    """Hashes of the shingles that ``least`` or more of about ``sample`` texts have; they only order the search."""
+def common_shingles(docs: DataFrame, text_col: str, shingle: int, sample: int = 40_000, least: int = 3, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``most`` shingles that most of about ``sample`` texts have, ``least`` at the least, and how many have them; they only order the search."""
     n = docs.count()
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,63 +219,138 @@ def common_shingles(docs: DataFrame, text_col: str, shingle: int, sample: int =
                     yield pd.DataFrame({"shingle": np.unique(h).view(np.int64)})
 
     drawn = docs.where(F.pmod(F.xxhash64(F.lit(5), text_col), F.lit(1_000_000)) < int(1_000_000 * min(1, sample / max(n, 1)))).select(text_col).distinct()
-    often = drawn.mapInPandas(of, "shingle long").groupBy("shingle").count().where(F.col("count") >= least).select("shingle").toPandas()
-    return np.sort(often["shingle"].to_numpy(np.int64).view(np.uint64))
+    bound_batches(docs.sparkSession)
+    often = drawn.mapInPandas(of, "shingle long").groupBy("shingle").count().where(F.col("count") >= least)
+    often = often.orderBy(F.col("count").desc(), "shingle").limit(most).toPandas()
+    known, times = often["shingle"].to_numpy(np.int64).view(np.uint64), often["count"].to_numpy(np.int64)
+    return known[np.argsort(known)], times[np.argsort(known)]
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """The pairs ``(a, b)`` of shingle sets that are similar, by their whole sets."""
+def survivors(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` of nodes that sizes and pivots cannot tell apart."""
 
-    @F.pandas_udf("array<long>")
-    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            slices = [list(shingle_hashes(t if isinstance(t, str) else None, shingle)) for t in s]
-            yield pd.Series([np.unique(np.concatenate(x)).view(np.int64) if x else np.zeros(0, np.int64) for x in slices])
+    @F.pandas_udf("boolean")
+    def near(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for s, t, most in batches:
+            rows = [np.frombuffer(b"".join(x), np.uint8).reshape(-1, _PIVOTS).astype(np.int16) for x in (s, t)]
+            yield pd.Series(np.abs(rows[0] - rows[1]).sum(axis=1) * (_SIMILAR[0] + _SIMILAR[1]) <= most.to_numpy())
+
+    of = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("pivots").alias(f"p_{x}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    up, down = _SIMILAR
+    sizes = F.least("n_a", "n_b") * down >= F.greatest("n_a", "n_b") * up
+    return both.where(sizes).where(near("p_a", "p_b", (F.col("n_a") + F.col("n_b")) * (down - up))).select("a", "b")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, most: int = 500_000) -> DataFrame:
+    """The pairs ``(a, b)`` of distinct shingle sets that are similar, by their whole texts.
+
+    ``nodes`` says in which row (``id``, ``text_hash``) a set's text is found. Where at most ``most`` texts
+    are wanted, their keys are broadcast to the documents; beyond that the join shuffles.
+    """
 
-    pairs = cut(pairs.where("a <> b").distinct())
-    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(need, "node").select("node", "text_hash")
-    texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")).join(wanted, "text_hash").dropDuplicates(["node"])
-    sets = cut(texts.select("node", whole(F.col("text")).alias("set")))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("t")), "b")
-    shared, (up, down) = F.size(F.array_intersect("s", "t")), _SIMILAR
-    return cut(both.where(shared * (up + down) >= (F.size("s") + F.size("t")) * up).select("a", "b"))
+    @F.pandas_udf("boolean")
+    def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        def of(text: str) -> np.ndarray:
+            slices = list(shingle_hashes(text, shingle))
+            return np.unique(np.concatenate(slices)) if slices else np.zeros(0, "<u8")
+
+        last: tuple[str | None, np.ndarray] = (None, np.zeros(0, "<u8"))
+        for s, t in batches:
+            out = np.zeros(len(s), bool)
+            for i, (x, y) in enumerate(zip(s, t, strict=True)):
+                if x != last[0]:
+                    last = (x, of(x))
+                other = of(y)
+                shared = len(np.intersect1d(last[1], other, assume_unique=True))
+                out[i] = shared * (_SIMILAR[0] + _SIMILAR[1]) >= (len(last[1]) + len(other)) * _SIMILAR[0]
+            yield pd.Series(out)
+
+    def texts(wanted: DataFrame, text: str) -> DataFrame:
+        wanted = F.broadcast(wanted) if small(wanted, most) else wanted
+        rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.coalesce(F.col(text_col), F.lit("")).alias(text))
+        return rows.join(wanted, (rows["text_hash"] == wanted["text_hash"]) & rows["id"].eqNullSafe(wanted["id"])).drop("id", "text_hash")
+
+    met = cut(survivors(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes))
+    of = lambda x: nodes.select(F.col("node").alias(x), "id", "text_hash")
+    members = texts(cut(met.join(of("b"), "b")), "t")
+    heads = texts(cut(met.select("a").distinct().join(of("a"), "a")), "s")
+    return cut(members.join(heads, "a").where(similar("s", "t")).select("a", "b").distinct())
+
+
+def _joined(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """``roots`` (``node``, ``n``, ``root``) after the pairs ``found`` of nodes have joined their groups."""
+    of = lambda x, y: roots.select(F.col("node").alias(x), F.col("root").alias(y))
+    bridges = found.join(of("a", "x"), "a").join(of("b", "y"), "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    tops = components(bridges).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return stored(roots.join(tops, "root", "left").select("node", "n", F.coalesce("top", "root").alias("root")))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """``(id_col, node, component_id, root)`` for each row of ``docs``: ``node`` names its shingle set, ``root`` the group of sets that similar pairs join."""
+    """``(id_col, node, component_id, root)`` for each row of ``docs``: ``node`` names its shingle set, ``root`` the group of sets that similar pairs join.
+
+    Two sets that meet at places ``p``, ``q`` of their orders share at most ``min(n - p, m - q)`` shingles.
+    So they are apart unless ``5 n - 9 p >= 4 m`` and ``5 m - 9 q >= 4 n``; the left sides are kept as ``reach``.
+    """
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, shingle))
+    up, down = _SIMILAR
 
-    @F.pandas_udf("fp long, node long, n long, head array<long>")
+    @F.pandas_udf("fp long, node long, n long, head array<long>, own int, pivots binary")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield pd.DataFrame([signature(t if isinstance(t, str) else None, shingle, common.value) for t in s], columns=["fp", "node", "n", "head"])
-
-    rows = cut(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), sign(F.col(text_col)).alias("s")).select("id", "text_hash", "s.*"))
-    nodes = cut(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("text_hash", "fp", "n")]))
-    heads = rows.dropDuplicates(["node"]).select("node", "n", F.posexplode("head").alias("at", "token"))
-    met = cut(heads.withColumn("texts", F.count("*").over(Window.partitionBy("token"))).where("texts > 1").drop("texts"))
+            yield pd.DataFrame([signature(t if isinstance(t, str) else None, shingle, common.value) for t in s], columns=["fp", "node", "n", "head", "own", "pivots"])
+
+    signed = stored(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), sign(F.col(text_col)).alias("s")).select("id", "text_hash", "s.*"))
+    rows = signed.select("id", "node")
+    nodes = stored(signed.groupBy("node").agg(F.first(F.struct("id", "text_hash", "fp", "n", "pivots")).alias("one")).select("node", "one.*"))
+    heads = signed.select("node", "own", F.posexplode("head").alias("at", "token"))
+    # most shingles are one text's own and go here. Those that no sample knows as common are in few texts and meet
+    # in one shuffle; common ones may be in any number of texts, so they are counted first
+    of_token = Window.partitionBy("token")
+    few = heads.where("at < own").select("token", "node", "at").withColumns({"lo": F.min("node").over(of_token), "hi": F.max("node").over(of_token)}).where("lo <> hi").select("token", "node", "at")
+    many = heads.where("at >= own").select("token", "node", "at")
+    often = many.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
+    met = few.unionByName(many.join(often, "token", "left_semi")).groupBy("token", "node").agg(F.min("at").alias("at"))
+    met = met.join(nodes.select("node", "n"), "node")
+    met = stored(met.select("token", "node", "n", (F.col("n") * down - F.col("at") * (up + down)).alias("reach")))
+    # of the texts that meet, the one that the fewest own shingles set apart is the hub, as it is similar to most
+    hub = F.min(F.struct((F.col("n") * down - F.col("reach")).alias("own"), "n", "node", "reach")).alias("h")
+    hubs = met.join(met.groupBy("token").agg(hub), "token").where("node <> h.node").select("node", "n", "reach", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.reach").alias("hub_reach"))
+    hubs = stored(hubs.where((F.col("reach") >= F.col("hub_n") * up) & (F.col("hub_reach") >= F.col("n") * up)).groupBy("node", "hub").agg(F.count("*").alias("times")))
 
     least = nodes.groupBy("fp").agg(F.min("node").alias("least"))
     near = links(least.select("fp")).join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    alike = nodes.join(least, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    hubs = met.join(met.groupBy("token").agg(F.min("node").alias("a")), "token").select("a", F.col("node").alias("b"))
-    first = components(verified(near.unionByName(alike).unionByName(hubs), nodes, docs, text_col, shingle))
-    roots = cut(nodes.select("node").join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-
-    apart = cut(met.join(roots, "node"))
-    mixed = apart.groupBy("token").agg(F.collect_set("root").alias("roots")).where(F.size("roots") > 1)
-    sides = mixed.select("token", "roots", F.explode("roots").alias("root_a")).select("token", "root_a", F.explode("roots").alias("root_b")).where("root_a < root_b")
-    left = apart.select("token", F.col("root").alias("root_a"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
-    right = apart.select("token", F.col("root").alias("root_b"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
-    up, down = _SIMILAR
-    fits = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) * (up + down) >= (F.col("n_a") + F.col("n_b")) * up  # what may be shared from here on
-    pairs = sides.join(left, ["token", "root_a"]).join(right, ["token", "root_b"]).where(fits).select("a", "b")
-    found = verified(pairs, nodes, docs, text_col, shingle)
-    bridges = found.join(roots.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    last = components(bridges).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    named = cut(roots.join(last, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
-    told = rows.select("id", "node").join(named, "node")
+    alike = nodes.select("fp", "node").join(least, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    mine = hubs.groupBy("node").agg(F.max(F.struct("times", "hub")).alias("m")).select(F.col("m.hub").alias("a"), F.col("node").alias("b"))
+    roots = nodes.select("node", "n", F.col("node").alias("root"))
+    roots = _joined(roots, verified(near.unionByName(alike).unionByName(mine), nodes, docs, id_col, text_col, shingle))
+    of = lambda x, y: roots.select(F.col("node").alias(x), F.col("root").alias(y))
+    rest = hubs.select(F.col("hub").alias("a"), F.col("node").alias("b")).join(of("a", "x"), "a").join(of("b", "y"), "b").where("x <> y")
+    roots = _joined(roots, verified(rest.select("a", "b"), nodes, docs, id_col, text_col, shingle))
+
+    # what is left: texts of different groups that meet, and of these only such as some text of another group can be similar to
+    apart = stored(met.join(roots.select("node", "root"), "node"))
+    sides = apart.groupBy("token", "root").agg(F.max("reach").alias("reach"), F.min("n").alias("n"))
+    best = sides.groupBy("token").agg(F.max(F.struct("reach", "root")).alias("far"), F.min(F.struct("n", "root")).alias("low"), F.count("*").alias("groups")).where("groups > 1")
+    second = sides.join(best, "token").groupBy("token").agg(F.first("far").alias("far"), F.first("low").alias("low"), F.max(F.when(F.col("root") != F.col("far.root"), F.col("reach"))).alias("far_2"), F.min(F.when(F.col("root") != F.col("low.root"), F.col("n"))).alias("low_2"))
+    other_far = F.when(F.col("root") == F.col("far.root"), F.col("far_2")).otherwise(F.col("far.reach"))
+    other_low = F.when(F.col("root") == F.col("low.root"), F.col("low_2")).otherwise(F.col("low.n"))
+    able = apart.join(second, "token").where((other_far >= F.col("n") * up) & (F.col("reach") >= other_low * up)).select("token", "node", "n", "reach", "root")
+    # sets as similar differ by one size class at most, so the smaller meets the larger in its own class
+    own = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / float(np.log(down / up))).cast("int")
+    open_ = stored(able.withColumn("own", own).withColumn("size", F.explode(F.array(F.col("own"), F.col("own") - 1))))
+    mine_ = F.col("own") == F.col("size")
+    per = open_.groupBy("token", "size", "root").agg(F.max("reach").alias("reach"), F.min("n").alias("n"), F.max(F.when(mine_, F.col("reach"))).alias("own_reach"), F.min(F.when(mine_, F.col("n"))).alias("own_n"))
+    groups = per.groupBy("token", "size").agg(F.collect_list(F.struct("root", "reach", "n")).alias("all"), F.collect_list(F.when(F.col("own_n").isNotNull(), F.struct("root", "own_reach", "own_n"))).alias("small"))
+    # only the groups that some two members could link are paired
+    both = groups.select("token", "size", F.explode("small").alias("s"), "all")
+    able_ = F.filter("all", lambda x: (x["root"] != F.col("s.root")) & (F.col("s.own_reach") >= x["n"] * up) & (x["reach"] >= F.col("s.own_n") * up))
+    both = both.select("token", "size", F.col("s.root").alias("root_a"), F.explode(F.transform(able_, lambda x: x["root"])).alias("root_b"))
+    side = lambda x: [F.col("root").alias(f"root_{x}"), F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("reach").alias(f"reach_{x}")]
+    pairs = both.join(open_.where("own = size").select("token", "size", *side("a")), ["token", "size", "root_a"]).join(open_.select("token", "size", *side("b")), ["token", "size", "root_b"])
+    fits = (F.col("n_a") <= F.col("n_b")) & (F.col("reach_a") >= F.col("n_b") * up) & (F.col("reach_b") >= F.col("n_a") * up)
+    roots = _joined(roots, verified(pairs.where(fits).select("a", "b"), nodes, docs, id_col, text_col, shingle))
+    told = rows.join(roots.select("node", "root"), "node")
     ids = told.groupBy("root").agg(F.min("id").alias("component_id"))
     return told.join(ids, "root").select(F.col("id").alias(id_col), "node", "component_id", "root")
 
@@ -277,15 +361,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows whose id is null or repeated are told apart by their text: one of those that hold a
     group's smallest id stays, and a group without any id keeps one row.
     """
-    groups = cut(similar_groups(docs, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("node").alias("_node"), F.col("component_id").alias("_of"), F.col("root").alias("_root")))
-    ids = groups.groupBy("_id").agg(F.count("*").alias("_n"), F.min("_of").alias("_of"))
-    lone = ids.where("_n = 1 and _id = _of").select("_id")
-    kept = docs.join(lone, docs[id_col] == F.col("_id"), "left_semi")
-    odd = cut(ids.where("_n > 1 or _id is null").select("_id"))
+    groups = stored(similar_groups(docs, id_col, text_col).select(F.col(id_col).alias("id"), "node", F.col("component_id").alias("of"), "root"))
+    ids = groups.groupBy("id").agg(F.count("*").alias("n"), F.min("of").alias("of"))
+    mark, odd_id, node, root = (fresh(docs.columns, c) for c in ("_mark", "_odd", "_node", "_root"))
+    lone = ids.where("n = 1 and id = of").select(F.col("id").alias(mark))
+    kept = docs.join(lone, F.col(id_col) == F.col(mark), "left_semi")
+    odd = cut(ids.where("n > 1 or id is null").select(F.col("id").alias(odd_id)))
     if odd.limit(1).count() == 0:
         return kept
-    heads = groups.join(odd.select(F.col("_id").alias("_odd")), F.col("_id").eqNullSafe(F.col("_odd")), "left_semi").where(F.col("_id").eqNullSafe(F.col("_of"))).distinct()
-    node = "_node" + str(len(docs.columns))
-    marked = docs.join(odd, docs[id_col].eqNullSafe(F.col("_id")), "left_semi").withColumn(node, node_column(docs[text_col]))
-    again = marked.join(heads, marked[id_col].eqNullSafe(heads["_id"]) & (marked[node] == heads["_node"])).dropDuplicates(["_root"])
-    return kept.unionByName(again.select(*[marked[c] for c in docs.columns]))
+    heads = groups.join(odd, F.col("id").eqNullSafe(F.col(odd_id)), "left_semi").where(F.col("id").eqNullSafe(F.col("of"))).select(F.col("id").alias(mark), F.col("node").alias(node), F.col("root").alias(root)).distinct()
+    marked = docs.join(odd, F.col(id_col).eqNullSafe(F.col(odd_id)), "left_semi").withColumn(odd_id, node_column(F.col(text_col)))
+    again = marked.join(heads, F.col(id_col).eqNullSafe(F.col(mark)) & (F.col(odd_id) == F.col(node))).dropDuplicates([root])
+    return kept.unionByName(again.select(*docs.columns))
