@@ -20,10 +20,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import bound_batches, fresh
 
 ORDERS = (1, 2, 3)
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 
 
 @cache
@@ -41,7 +41,7 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of ``texts`` one after another, a space at either end of each and runs of spaces as one, and whose text each is."""
     length = np.fromiter((len(t) + 2 for t in texts), np.int64, len(texts))
     s = _fold()[np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "surrogatepass"), "<u4")]
-    owner = np.repeat(np.arange(len(texts)), length)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), length)
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != 32) | (s[:-1] != 32) | (owner[1:] != owner[:-1])
     return s[keep], owner[keep]
@@ -59,9 +59,8 @@ def buckets(s: np.ndarray, order: int, bits: int) -> np.ndarray:
     return h & np.uint32((1 << bits) - 1)
 
 
-def grams(texts: list[str], bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def grams(s: np.ndarray, owner: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Of each order, the n-grams' buckets and whose they are; none spans two texts."""
-    s, owner = symbols(texts)
     for i, order in enumerate(ORDERS):
         b = buckets(s, order, bits)
         own = owner[: len(b)]
@@ -101,13 +100,13 @@ class Model:
         total = np.zeros((len(texts), len(self.langs)))
         letters = np.zeros(len(texts), np.int64)
         for lo, part in batches_of(texts):
-            for i, bucket, owner in grams(part, self.bits):
+            s, owner = symbols(part)
+            letters[lo : lo + len(part)] = np.bincount(owner[s != 32], minlength=len(part))
+            for i, bucket, owner in grams(s, owner, self.bits):
                 for at in range(0, len(bucket), _SLICE):
                     b, own = bucket[at : at + _SLICE], owner[at : at + _SLICE]
                     first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
                     total[lo + own[first]] += np.add.reduceat(self.log_prob[i][b], first, axis=0, dtype=np.float64)
-            s, owner = symbols(part)
-            letters[lo : lo + len(part)] = np.bincount(owner[s != 32], minlength=len(part))
         return total, letters
 
     def scores(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -145,7 +144,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most: i
             for lang, texts in rows.groupby("lang")["text"]:
                 total = seen.setdefault(lang, np.zeros((len(ORDERS), 1 << bits), np.int64))
                 for _, part in batches_of(texts.tolist()):
-                    for i, bucket, _ in grams(part, bits):
+                    for i, bucket, _ in grams(*symbols(part), bits):
                         total[i] += np.bincount(bucket, minlength=1 << bits)
         for lang, total in seen.items():
             flat = total.ravel()
@@ -175,13 +174,15 @@ def usual(docs: DataFrame, model: Model, lang_col: str = "lang", text_col: str =
 
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     if model.langs:
+        bound_batches(docs.sparkSession)
         sums = known.mapInPandas(of, "lang string, per double, square double, n long").groupBy("lang").agg(F.sum("per"), F.sum("square"), F.sum("n")).collect()
         model.usual = {lang: (per / n, max(square / n - (per / n) ** 2, 1e-4) ** 0.5) for lang, per, square, n in sums}
     return model
 
 
 def predict_column(docs: DataFrame, model: Model, text: Column) -> Column:
-    """A struct ``lang_pred``, ``score`` for each text."""
+    """A struct ``lang_pred``, ``score``, ``below`` for each text."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, below double")
@@ -193,7 +194,7 @@ def predict_column(docs: DataFrame, model: Model, text: Column) -> Column:
     return of(text)
 
 
-def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = 0.5, spreads: float = 6.0) -> DataFrame:
+def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = 0.5, spreads: float = 10.0) -> DataFrame:
     """``docs`` without texts of no known language, its columns as they are.
 
     Those are ``und``, score under ``least``, or have a log probability per symbol ``spreads`` or more below

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, stored
+from .common import bound_batches, cut, small
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -176,7 +176,8 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ``labels`` has ``id_col`` and ``quality`` (1: good).
     """
     stats = cut(docs.select(id_col, statistics_column(F.col(text_col)).alias("s")).select(id_col, "s.*"))
-    model = stats.sparkSession.sparkContext.broadcast(fit(stats, labels, id_col, spare))
+    told = stats.join(marks(labels, id_col), id_col)
+    model = stats.sparkSession.sparkContext.broadcast(fit(some(stats, TREES * SAMPLE), told, spare))
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -195,14 +196,18 @@ def some(df: DataFrame, most: int) -> DataFrame:
     return few.orderBy(h).limit(most)
 
 
-def fit(stats: DataFrame, labels: DataFrame, id_col: str, spare: float) -> Model:
-    """The trees' rows are drawn from the whole table; the good rows' quantiles and the threshold come from all labelled rows, counted per step."""
-    known = labels.where("quality is not null").select(id_col, F.col("quality").cast("int").alias("quality"))
-    told = cut(stats.join(known, id_col).select(*STATS, "quality"))
+def marks(labels: DataFrame, id_col: str) -> DataFrame:
+    return labels.where("quality is not null").select(id_col, F.col("quality").cast("int").alias("quality"))
+
+
+def fit(drawn: DataFrame, told: DataFrame, spare: float) -> Model:
+    """The trees' rows are ``drawn`` from the whole table; the good rows' quantiles and the threshold come from all labelled rows ``told``, counted per step."""
+    told = cut(told.select(*STATS, "quality"))
+    drawn = cut(drawn.select(*STATS))
     some_good = told.where("quality = 1").limit(1).count() > 0
-    usual = quantiles(told.where("quality = 1") if some_good else stats, (0.5, 0.995))
-    model = Model(usual[1], usual[0], some(stats, TREES * SAMPLE).select(*STATS).toPandas())
-    shared = stats.sparkSession.sparkContext.broadcast(model)
+    usual = quantiles(told.where("quality = 1") if some_good else drawn, (0.5, 0.995))
+    model = Model(usual[1], usual[0], drawn.toPandas())
+    shared = told.sparkSession.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -239,16 +244,23 @@ def base_failed(stats: pd.DataFrame) -> pd.Series:
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", spare: float = 0.002) -> DataFrame:
     """``docs`` without the rows that the rules or the forest reject, its columns as they are.
 
-    The statistics are computed once and written beside the rows. A row is judged by its own text, so ids may repeat or be null.
+    The forest needs the statistics of the drawn and the labelled rows alone, so those of all rows are computed
+    once, where they are judged. A row is judged by its own text, so ids may repeat or be null.
     """
-    mark = fresh(docs.columns, "_stats")
-    both = stored(docs.withColumn(mark, statistics_column(F.col(text_col))))
-    ids = both.select(F.col(id_col).alias("id"), *[F.col(f"{mark}.{c}").alias(c) for c in STATS])
-    model = docs.sparkSession.sparkContext.broadcast(fit(ids, labels.withColumnRenamed(id_col, "id"), "id", spare))
+    of = lambda df, *more: df.select(*more, statistics_column(F.col("text")).alias("s")).select(*more, "s.*")
+    bound_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    n = rows.count()
+    h = F.pmod(F.xxhash64(F.lit(8), "id", "text"), F.lit(1_000_000_000))
+    drawn = some(of(rows.where(h < int(1_000_000_000 * min(1, 1.5 * TREES * SAMPLE / max(n, 1)))), "id"), TREES * SAMPLE)
+    known = marks(labels.withColumnRenamed(id_col, "id"), "id")
+    told = of(rows.join(F.broadcast(known) if small(known, 1_000_000) else known, "id"), "quality")
+    model = docs.sparkSession.sparkContext.broadcast(fit(drawn, told, spare))
 
     @F.pandas_udf("boolean")
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        for rows in batches:
+    def keep(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            rows = pd.DataFrame([statistics(t if isinstance(t, str) else None) for t in texts], columns=list(STATS), dtype="int64")
             yield pd.Series(model.value.kept(rows, model.value.score(rows)))
 
-    return both.where(keep(F.struct(*[F.col(f"{mark}.{c}") for c in STATS]))).drop(mark)
+    return docs.where(keep(F.col(text_col)))

@@ -34,6 +34,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 _APART = re.compile(r"(?<!\S)\S(?:\s{1,2}\S){2,}(?!\S)")
 _LONG, _HALF = 24, 12
 _STRETCH, _STEP = 12, 3
@@ -354,6 +356,7 @@ def score_column(docs: DataFrame, model: Model | None, text: Column) -> Column:
     """The probability that each text is toxic."""
     if model is None:
         return F.lit(0.0)
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

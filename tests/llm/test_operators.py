@@ -396,7 +396,7 @@ def test_pipeline_against_plain_restatements(spark, con):
     known = spark.createDataFrame(seen[0], first.schema)
     model = langid.usual(known, langid.fit(known))
     lang, score, below = model.scores(seen[0].text.tolist())
-    assert set(seen[1].doc_id) == {i for i, x, p, d in zip(seen[0].doc_id, lang, score, below, strict=True) if x != "und" and p >= 0.5 and d < 6}
+    assert set(seen[1].doc_id) == {i for i, x, p, d in zip(seen[0].doc_id, lang, score, below, strict=True) if x != "und" and p >= 0.5 and d < 10}
     grams = lambda t: {tuple(w[i : i + 5]) for w in [t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split()] for i in range(max(1, len(w) - 4))}
     ids, sets = seen[1].doc_id.tolist(), [grams(t) for t in seen[1].text]
     root = {i: i for i in ids}
