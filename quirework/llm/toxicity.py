@@ -28,6 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,7 @@ _OUTER = ".,;:!?\"'()[]{}<>|*#$%&-_+=/\\~`^…–—“”‘’«»¡¿"
 #: Symbols that stand for letters inside words; fixed values.
 _STANDS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 _BEGIN, _END = "^", "$"
+_CELLS = 1 << 22
 
 
 def windows(unit: str) -> list[str]:
@@ -67,10 +69,11 @@ def tokens(text: str | None) -> set[str]:
     return found
 
 
-def contexts(text: str | None) -> set[tuple[str, str, str]]:
-    """Each unit of a text with the tokens beside it; letters written apart are joined first."""
+def contexts(text: str | None) -> Iterator[tuple[str, int]]:
+    """Each unit of a text with a hash of itself and the tokens beside it; letters written apart are joined first."""
     found = _APART.sub(lambda m: "".join(m[0].split()), (text or "").lower()).split()
-    return {(a, b.strip(_OUTER), c) for a, b, c in zip(["", *found], found, [*found[1:], ""], strict=False)}
+    for a, b, c in zip(["", *found], found, [*found[1:], ""], strict=False):
+        yield b.strip(_OUTER), hash((a, b, c))
 
 
 def codes(units: list[str], width: int) -> np.ndarray:
@@ -232,20 +235,27 @@ def stems(pos: Counter, neg: Counter, decay: float) -> list[str]:
     """
     pieces = lambda u: {u[i : i + k] for k in range(4, min(12, len(u)) + 1) for i in range(len(u) - k + 1)}
     n1, n0 = sum(pos.values()), sum(neg.values())
-    inside: Counter = Counter()
-    for u, n in pos.items():
-        if len(u) <= 2 * _LONG and n / n1 > 4 * neg[u] / n0:
-            for s in pieces(u):
-                inside[s] += n
-    found = {s: n for s, n in inside.items() if n >= 3}
+    able = [(u, n) for u, n in pos.items() if len(u) <= 2 * _LONG and n / n1 > 4 * neg[u] / n0]
+    # pieces are first counted by hash, so that only those that may tell are kept by name
+    cells = np.zeros(_CELLS, np.int64)
+    cell = lambda s: crc32(s.encode("utf-8", "surrogatepass")) % _CELLS
+    for u, n in able:
+        cells[[cell(s) for s in pieces(u)] or []] += n
+    q = n1 / (n1 + n0)
+    least = np.log(max(2, int((cells >= 3).sum()))) + 2
+    need = max(3, least / -np.log(q))
+    found: Counter = Counter()
+    for u, n in able:
+        for s in pieces(u):
+            if cells[cell(s)] >= need:
+                found[s] += n
     outside: Counter = Counter()
     for u, n in neg.items():
         for s in pieces(u) & found.keys():
             outside[s] += n
-    names, q = list(found), n1 / (n1 + n0)
+    names = list(found)
     n, o = np.array([found[s] for s in names], float), np.array([outside[s] for s in names], float)
-    able = (n / n1 > 8 * o / n0) & (ratio(n, o, q) > np.log(max(2, len(names))) + 2) if names else []
-    tells = {names[i]: n[i] / n1 - o[i] / n0 for i in np.flatnonzero(able)}
+    tells = {names[i]: n[i] / n1 - o[i] / n0 for i in (np.flatnonzero((n / n1 > 8 * o / n0) & (ratio(n, o, q) > least)) if names else [])}
     left = sorted(tells, key=lambda s: (-tells[s], -len(s), s))
     chosen: list[str] = []
     while left:
@@ -262,12 +272,15 @@ def train(documents: list[tuple[str, int]], decay: float = 0.9, rounds: int = 4,
 
     Of the clean units the SVM is trained on the ``near`` that are most like toxic landmarks.
     """
-    seen: dict[int, set[tuple[str, str, str]]] = {0: set(), 1: set()}
-    bags, y = [], np.array([int(label == 1) for _, label in documents])
-    for (text, _), label in zip(documents, y, strict=True):
-        seen[label] |= contexts(text)
-        bags.append({w for t in tokens(text) for w in windows(t)})
-    raw = {0: Counter(u for _, u, _ in seen[0]), 1: Counter(u for _, u, _ in seen[1] - seen[0])}
+    y = np.array([int(label == 1) for _, label in documents])
+    raw, seen = {0: Counter(), 1: Counter()}, set()
+    for label in (0, 1):  # a context of clean documents is clean
+        for (text, _), v in zip(documents, y, strict=True):
+            for u, h in contexts(text) if v == label else ():
+                if h not in seen:
+                    seen.add(h)
+                    raw[label][u] += 1
+    del seen
     n1, n0 = (sum(raw[v].values()) for v in (1, 0))
     whole = {v: Counter() for v in raw}
     for v, of in raw.items():
@@ -276,14 +289,16 @@ def train(documents: list[tuple[str, int]], decay: float = 0.9, rounds: int = 4,
     telling = stems(whole[1], whole[0], decay) if n1 and n0 else []
     if not telling:
         return None
-    units = sorted(set().union(*bags))
+    units = sorted({w for text, _ in documents for t in tokens(text) for w in windows(t)})
     at = {u: i for i, u in enumerate(units)}
+    bags = [np.fromiter({at[w] for t in tokens(text) for w in windows(t)}, np.int32) for text, _ in documents]
     often, clean = (np.zeros(len(units)) for _ in range(2))
     for counted, of in ((often, raw[1]), (clean, raw[0])):
         for u, n in of.items():
             for w in windows(u):
                 if w in at:
                     counted[at[w]] += n
+    del raw, whole
     more = (ratio(often, clean, n1 / (n1 + n0)) > 6) & (often / n1 > 4 * clean / n0)
     accused = np.array([any(t in u for t in telling) if free else False for u, free in zip(units, clean == 0, strict=True)])
     toxic = features(units, telling, decay)
@@ -310,12 +325,12 @@ def train(documents: list[tuple[str, int]], decay: float = 0.9, rounds: int = 4,
         model = Model(marks, root @ w[:-1], float(w[-1]), decay)
         hard = sorted(short, key=lambda i: (-margin[i], names[i]))[:many]
     margin = model.margins(units)
-    highest = np.array([max([model.floor, *margin[[at[u] for u in b]]]) for b in bags])
+    highest = np.array([max([model.floor, *margin[b]]) for b in bags])
     model.curve = logistic(highest, (y == 1).astype(float))
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 1_500) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 1_000) -> Model | None:
     """A model from at most ``most`` labelled documents of each class, whole: those whose hash of id and text comes first."""
     known = labels.where("toxic is not null").select(id_col, "toxic").distinct()
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect() if r["toxic"] in (0, 1)}
