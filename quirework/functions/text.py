@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters with marks and what they are without them. Fixed values.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def _unmarked() -> dict[str, str]:
+    """Every letter that decomposes into one letter and marks, and that letter in lower case."""
+    found = {}
+    for code in range(0xC0, 0x2000):
+        c = chr(code).lower()
+        bare = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+        if len(c) == len(bare) == 1 and c != bare:
+            found[c] = bare
+    return found
+
+
+_BARE = _unmarked()
 
 
 def plain(c: Column) -> Column:
-    """Lower case without Latin marks."""
-    return F.translate(F.lower(c), MARKED, PLAIN)
+    """Lower case without marks, whether they are part of a letter or follow it."""
+    return F.regexp_replace(F.translate(F.lower(c), "".join(_BARE), "".join(_BARE.values())), r"\p{M}", "")
 
 
 def word_key(c: Column) -> Column:

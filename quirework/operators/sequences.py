@@ -1,7 +1,6 @@
 """Sequence kernels for grouped work: alignment, word differences, chains and greedy buckets.
 
-The kernels are small helpers that run inside grouped tasks; groups are blocks (a scene pair, a
-document pair), and a block above ``most`` cells raises rather than running out of memory.
+The kernels are small helpers that run inside grouped tasks; groups are blocks (a scene pair, a document pair).
 """
 
 from __future__ import annotations
@@ -13,10 +12,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def common(a: list[str], b: list[str], most: int = 100_000_000) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence; where both ways are as long, an item of ``a`` is skipped first."""
-    if len(a) * len(b) > most:
-        raise ValueError(f"a block of {len(a)} x {len(b)} words is above {most} cells")
+def common(a: list[str], b: list[str], most: int = 25_000_000) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence; where both ways are as long, an item of ``a`` is skipped first.
+
+    Above ``most`` cells the sides are halved (Hirschberg), which needs memory for one row alone and may settle ties otherwise.
+    """
+    if len(a) * len(b) > most and len(a) > 1:
+        half = len(a) // 2
+        ahead, back = _lengths(a[:half], b), _lengths(a[half:][::-1], b[::-1])[::-1]
+        cut = int((ahead + back).argmax())
+        return common(a[:half], b[:cut], most) + [(i + half, j + cut) for i, j in common(a[half:], b[cut:], most)]
     best = np.zeros((len(a) + 1, len(b) + 1), np.int32)
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -33,6 +38,32 @@ def common(a: list[str], b: list[str], most: int = 100_000_000) -> list[tuple[in
     return pairs
 
 
+def _lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """The length of a longest common subsequence of ``a`` with each beginning of ``b``."""
+    names = {w: n for n, w in enumerate(dict.fromkeys(b))}
+    other = np.array([names[w] for w in b], np.int64)
+    row = np.zeros(len(b) + 1, np.int32)
+    for w in a:
+        met = np.where(other == names.get(w, -1), row[:-1] + 1, 0)
+        row = np.maximum.accumulate(np.maximum(row, np.append(0, met)))
+    return row
+
+
+def edits(a: str, b: str) -> int:
+    """The least number of insertions, deletions and substitutions between two words."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+    return row[-1]
+
+
+def equivalent(a: list[str], b: list[str]) -> bool:
+    """As many words, each pair within a third of the longer word's letters, rounded up."""
+    return len(a) == len(b) and all(x == y or edits(x, y) <= -(-max(len(x), len(y)) // 3) for x, y in zip(a, b, strict=True))
+
+
 def difference(left: list[str], right: list[str]) -> list[tuple[str, str]]:
     """``(same|left|right, word)`` in order; between common words the right side's words come first where both lead as far."""
     pairs = [(j, i) for i, j in common(right, left)]
@@ -53,7 +84,7 @@ def rising(values: list[int], strict: bool = True) -> list[int]:
     for i, v in enumerate(values):
         k = (bisect_left if strict else bisect_right)(tails, v)
         back[i] = at[k - 1] if k else -1
-        tails[k:], at[k:] = [v, *tails[k + 1 :]], [i, *at[k + 1 :]]
+        tails[k : k + 1], at[k : k + 1] = [v], [i]
     chain, i = [], at[-1] if at else -1
     while i >= 0:
         chain.append(i)
@@ -86,7 +117,7 @@ def align_blocks(nodes: DataFrame, by: list[str]) -> DataFrame:
 
     ``nodes`` has ``by``, ``side`` (``orig`` or ``modern``), ``n`` (order), ``kind`` and ``keys``
     (array of word keys). Words align if kind and key agree; nodes joined by aligned words form an
-    entry, whose relation is ``same`` if its key sequences are equal, else ``variant``; nodes without
+    entry, whose relation is ``same`` if all its words are ``equivalent``, else ``variant``; nodes without
     aligned words stand alone. Returns ``by``, ``entry``, ``orig``, ``modern`` (arrays of n), ``relation``.
     """
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema if f.name in by)
@@ -105,7 +136,7 @@ def align_blocks(nodes: DataFrame, by: list[str]) -> DataFrame:
                 entries.append(([o], [m]))
         words = {s: dict(zip(part["n"], part["keys"], strict=True)) for s, part in sides.items()}
         spoken = lambda s, ns: [w for n in ns for w in words[s][n]]
-        out = [(o, m, "same" if spoken("orig", o) == spoken("modern", m) else "variant") for o, m in entries]
+        out = [(o, m, "same" if equivalent(spoken("orig", o), spoken("modern", m)) else "variant") for o, m in entries]
         used = ({n for o, _ in entries for n in o}, {n for _, m in entries for n in m})
         out += [([n], [], "orig-only") for n in words["orig"] if n not in used[0]] + [([], [n], "modern-only") for n in words["modern"] if n not in used[1]]
         out.sort(key=lambda e: (e[1][0] if e[1] else -1 if not e[0] else max([m[-1] for o, m, _ in out if m and o and o[-1] < e[0][0]], default=-1), e[0][0] if e[0] else -1))

@@ -204,8 +204,9 @@ def lines_in_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda t: t["text"])
-    return _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sha2(F.array_join(turns, "\n"), 256).alias("revision"))
+    """Sixteen digits of the hash of each node's id, a tab, its text and a line end, in order."""
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda t: F.concat(t["turn"].cast("string"), F.lit("\t"), t["text"], F.lit("\n")))
+    return _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.substring(F.sha2(F.array_join(turns, ""), 256), 1, 16).alias("revision"))
 
 
 def collection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +229,7 @@ for _c in "abcdefghijklmnopqrstuvwxyz":
 #: Keys of the words of ``t(id, text)``, one row a word, numbered; in steps that mirror the rule.
 _KEYS = f"""
 w AS (SELECT id, generate_subscripts(ws, 1) AS p, unnest(ws) AS w FROM (SELECT id, regexp_split_to_array(coalesce(text, ''), '[\\s—–-]+') AS ws FROM t)),
-k1 AS (SELECT id, p, regexp_replace(replace(regexp_replace(translate(translate(lower(CASE w WHEN '&' THEN 'and' ELSE w END), '{tx.MARKED}', '{tx.PLAIN}'), 'ſvjy', 'suii'), '[^a-z]', '', 'g'), 'ck', 'c'), '^$', '') AS k FROM w),
+k1 AS (SELECT id, p, regexp_replace(replace(regexp_replace(translate(strip_accents(lower(CASE w WHEN '&' THEN 'and' ELSE w END)), 'ſvjy', 'suii'), '[^a-z]', '', 'g'), 'ck', 'c'), '^$', '') AS k FROM w),
 k2 AS (SELECT id, p, {_single} AS k FROM k1),
 k3 AS (SELECT id, p, CASE WHEN length(k) > 1 THEN regexp_replace(k, 'e$', '') ELSE k END AS k FROM k2),
 keys AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY p) - 1 AS pos, regexp_replace(regexp_replace(k, '(..)ed$', '\\1d'), '([pkcsx])t$', '\\1d') AS k FROM k3 WHERE k <> '')"""
@@ -280,7 +281,7 @@ SELECT g.node, a AS start, b AS "end", count(*) AS layers FROM g JOIN s ON s.nod
     "nearest_lines": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY abs(l_quantity - 25), l_linenumber, l_quantity) <= 2",
     "clear_leads": "SELECT l_orderkey, arg_max(l_linenumber, l_quantity) AS l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey HAVING count(*) = 1 OR list_reverse_sort(list(l_quantity))[1] - list_reverse_sort(list(l_quantity))[2] > 8",
     "lines_in_reach": "SELECT a.l_orderkey, a.l_linenumber, b.l_linenumber AS other FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND abs(a.l_quantity - b.l_quantity) <= 5",
-    "conversation_hash": "SELECT conv_id, sha256(string_agg(coalesce(text, ''), chr(10) ORDER BY turn)) AS revision FROM conversations GROUP BY conv_id",
+    "conversation_hash": "SELECT conv_id, sha256(string_agg(turn || chr(9) || coalesce(text, '') || chr(10), '' ORDER BY turn))[1:16] AS revision FROM conversations GROUP BY conv_id",
     "collection_counts": "SELECT n_nationkey, n_name, count(*) FILTER (c_mktsegment = 'BUILDING') AS own, count(*) FILTER (c_mktsegment <> 'BUILDING') AS imported FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY ALL",
     "edit_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER o <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT user_id, sum(b) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM g), c AS (SELECT user_id, s, count(*) AS n FROM r GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id",
 }
