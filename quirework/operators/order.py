@@ -35,10 +35,17 @@ def moved(df: DataFrame, by: Sequence[str], order: str, position: str, name: str
     return df.withColumn(name, F.coalesce(F.col(position) < F.max(position).over(w), F.lit(False)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores where its files give fewer tasks than there are cores, as one row group cannot be split; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ngrams(words: Column, n: int) -> Column:
-    """Every run of ``n`` words, space-joined, with its place: ``array<struct<at, gram>>``."""
+    """Every run of ``n`` words by two hashes of it, with its place: ``array<struct<at, gram, check>>``; the words themselves are not copied."""
     places = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(i.alias("at"), F.array_join(F.slice(words, i + 1, n), " ").alias("gram")))
+    of = lambda i: F.slice(words, i + 1, n)
+    return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(of(i)).alias("gram"), F.hash(of(i)).alias("check")))
 
 
 def recurrence(df: DataFrame, by: Sequence[str], order: str, label: str) -> DataFrame:

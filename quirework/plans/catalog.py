@@ -80,7 +80,7 @@ def order_works(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 1_000_000_000 + F.col("l_partkey")).alias("at"), F.when(F.col("l_quantity") > 25, F.col("l_partkey")).alias("candidate"))
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey")).alias("at"), F.when(F.col("l_quantity") > 25, F.col("l_partkey")).alias("candidate"))
     return links.first_candidate(rows, ["l_orderkey"], "at", "candidate")
 
 

@@ -15,26 +15,26 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def word_key_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select(F.explode(tx.keys(F.col("text"))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    return order.spread(_t(spark, sf_dir, "documents")).select(F.explode(tx.keys(F.col("text"))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
 
 
 def _grams_of(df: DataFrame, id_col: str, n: int) -> DataFrame:
-    """``(id, at, gram)`` of a text's keys; the keys are a column of their own, so that they are made once a row."""
-    return df.select(F.col(id_col).alias("id"), tx.keys(F.col("text")).alias("k")).select("id", F.inline(order.ngrams(F.col("k"), n)))
+    """``(id, at, gram, check)`` of a text's keys; the keys are a column of their own, so that they are made once a row."""
+    return order.spread(df).select(F.col(id_col).alias("id"), tx.keys(F.col("text")).alias("k")).select("id", F.inline(order.ngrams(F.col("k"), n)))
 
 
 def _unique_grams(df: DataFrame, id_col: str, n: int = 5) -> DataFrame:
     """A text's key n-grams that occur once in it, with their place."""
     grams = _grams_of(df, id_col, n)
-    return grams.groupBy("id", "gram").agg(F.min("at").alias("at"), F.count("*").alias("c")).where("c = 1").drop("c")
+    return grams.groupBy("id", "gram", "check").agg(F.min("at").alias("at"), F.count("*").alias("c")).where("c = 1").drop("c")
 
 
 def _landmark_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _unique_grams(_t(spark, sf_dir, "benchmark"), "item_id").withColumnsRenamed({"id": "item_id", "at": "item_at"})
     grams = _grams_of(_t(spark, sf_dir, "documents"), "doc_id", 5)
     # only grams of items can meet one, so the rest go before the count
-    near = grams.join(items.select("gram").distinct(), "gram", "left_semi").groupBy("id", "gram").agg(F.min("at").alias("at"), F.count("*").alias("c")).where("c = 1")
-    return near.join(items, "gram").select(F.col("id").alias("doc_id"), "item_id", "at", "item_at")
+    near = grams.join(items.select("gram", "check").distinct(), ["gram", "check"], "left_semi").groupBy("id", "gram", "check").agg(F.min("at").alias("at"), F.count("*").alias("c")).where("c = 1")
+    return near.join(items, ["gram", "check"]).select(F.col("id").alias("doc_id"), "item_id", "at", "item_at")
 
 
 def landmark_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,7 @@ def last_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candidate_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of letters in few documents that are not short, not Roman numerals and not in the benchmark."""
-    word = lambda t, k: _t(spark, sf_dir, t).select(k, F.explode(F.array_distinct(F.transform(tx.candidates(F.col("text")), F.lower))).alias("word"))
+    word = lambda t, k: order.spread(_t(spark, sf_dir, t)).select(k, F.explode(F.array_distinct(F.transform(tx.candidates(F.col("text")), F.lower))).alias("word"))
     own = word("documents", "doc_id").where((F.length("word") > 2) & ~F.col("word").rlike("^[ivxlcdm]+$"))
     known = word("benchmark", "item_id").select("word").distinct()
     return own.groupBy("word").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc")).where("docs between 2 and 5").join(known, "word", "left_anti")
@@ -172,10 +172,10 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rare_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's weight of 1/df over its distinct key trigrams that benchmark items hold."""
-    grams = lambda t, k: _grams_of(_t(spark, sf_dir, t), k, 3).select(F.col("id").alias(k), "gram").distinct()
-    known = grams("benchmark", "item_id").groupBy("gram").agg(F.count("*").alias("df"))
+    grams = lambda t, k: _grams_of(_t(spark, sf_dir, t), k, 3).select(F.col("id").alias(k), "gram", "check").distinct()
+    known = grams("benchmark", "item_id").groupBy("gram", "check").agg(F.count("*").alias("df"))
     weight = F.round(F.sum(1 / F.col("df")), 6).alias("weight")
-    return grams("documents", "doc_id").join(known, "gram").groupBy("doc_id").agg(weight, F.count("*").alias("grams"))
+    return grams("documents", "doc_id").join(known, ["gram", "check"]).groupBy("doc_id").agg(weight, F.count("*").alias("grams"))
 
 
 def recurrence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
