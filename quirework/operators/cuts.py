@@ -45,3 +45,28 @@ def landing(shown: DataFrame, nodes: DataFrame, by: str) -> DataFrame:
 
     own = shown.where("turn = 0").select(by, "idx", F.col("idx").alias("lands"))
     return fill_backward(nodes.select(by, "idx").join(own, [by, "idx"], "left"), [by], "idx", "lands")
+
+
+def replaceable(wanted: DataFrame, ops: DataFrame, by: str) -> DataFrame:
+    """``wanted`` replacements that may be made: those that hold no character of a hide or replacement; spans that only touch one may.
+
+    Spans that overlap share a node, so both sides are dealt to their nodes and meet by an equality.
+    """
+    dealt = lambda df, *keep: df.where("start_idx <= end_idx").select(by, *keep, F.explode(F.sequence("start_idx", "end_idx")).alias("idx"))
+    at = lambda a, b: F.struct(F.col(a).alias("i"), F.col(b).alias("o"))
+    ends = lambda p: [at("start_idx", "start_off").alias(p + "a"), at("end_idx", "end_off").alias(p + "b")]
+    met = dealt(wanted, "id", *ends("w")).join(dealt(ops.where("type <> 'insert'"), *ends("o")), [by, "idx"])
+    return wanted.join(met.where("oa < wb and wa < ob").select("id").distinct(), "id", "left_anti")
+
+
+def reworded(ops: DataFrame, edits: DataFrame) -> DataFrame:
+    """``ops`` with the texts of ``edits`` (``id``, ``text``) in the replacements and insertions of those ids; hides have no text."""
+    met = ops.join(edits.select("id", F.struct("text").alias("_e")), "id", "left")
+    return met.withColumn("insert_text", F.when(F.col("_e").isNotNull() & (F.col("type") != "hide"), F.col("_e.text")).otherwise(F.col("insert_text"))).select(*ops.columns)
+
+
+def decorations(terms: DataFrame, nodes: DataFrame, by: str) -> DataFrame:
+    """``by``, ``idx``, ``start``, ``end``, ``terms``: the spans to mark in each node, with the ids of the terms on exactly that anchor; equal anchors are one."""
+    keyed = terms.groupBy(by, *anchors.PLACE).agg(F.array_sort(F.collect_set("id")).alias("terms")).withColumn("id", anchors.span_key())
+    parts = anchors.pieces(keyed, nodes, by)
+    return parts.join(keyed.select(by, "id", "terms"), [by, "id"]).select(by, "idx", "start", "end", "terms")

@@ -65,6 +65,27 @@ def cut_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuts.hidden_groups(cuts.hidden_nodes(_ops(docs), nodes, "doc_id"), nodes, "doc_id", "scene")
 
 
+def replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of five replacements the overlay allows: before, touching, within and after its hide, and over its replacement."""
+    docs = _documents(spark, sf_dir).select("doc_id")
+    spans = ((0, 0, 3, 0, 9), (1, 0, 3, 1, 0), (2, 1, 2, 1, 4), (3, 2, 5, 3, 0), (4, 2, 8, 3, 1))
+    made = F.array(*[F.struct((F.col("doc_id") * 5 + k).alias("id"), *[F.lit(x).alias(p) for x, p in zip(at, anchors.PLACE, strict=True)]) for k, *at in spans])
+    return cuts.replaceable(docs.select("doc_id", F.inline(made)), _ops(docs), "doc_id").select("id")
+
+
+def reworded_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = _ops(_documents(spark, sf_dir).select("doc_id"))
+    return cuts.reworded(ops, ops.where("id % 3 = 0").select("id", F.lit("Anew.").alias("text"))).select("id", "type", "insert_text")
+
+
+def node_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The marks of two terms on each anchor."""
+    docs = _documents(spark, sf_dir)
+    one = _anchors(docs)
+    marks = cuts.decorations(one.unionByName(one.withColumn("id", -F.col("id") - 1)), _nodes(docs), "doc_id")
+    return marks.select("doc_id", "idx", "start", "end", F.array_join(F.transform("terms", lambda t: t.cast("string")), ",").alias("terms"))
+
+
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of each document held against those of each benchmark item of which it holds five words or more."""
     docs, items = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -73,7 +94,7 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.align_blocks(side(items, "item_id", "orig").unionByName(side(docs, "doc_id", "modern")), ["doc_id", "item_id"])
 
 
-QUERIES = {f.__name__: f for f in (anchor_pieces, anchor_quotes, snapped_spans, cut_display, cut_landings, cut_scenes, alignments)}
+QUERIES = {f.__name__: f for f in (anchor_pieces, anchor_quotes, snapped_spans, cut_display, cut_landings, cut_scenes, replacements, reworded_ops, node_marks, alignments)}
 
 _NODES = "d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), n AS (SELECT doc_id, l, unnest(l) AS text, (generate_subscripts(l, 1) - 1)::INT AS idx FROM d)"
 _SPANS = "a AS (SELECT doc_id, doc_id * 2 + k AS id, k, l, l[1] AS x, CASE WHEN k = 0 THEN l[1] ELSE l[2] END AS y, CASE WHEN k = 0 THEN 4 ELSE 10 END AS so, k::INT AS ei, CASE WHEN k = 0 THEN 24 ELSE 12 END AS eo FROM d, (VALUES (0), (1)) v(k))"
@@ -96,4 +117,8 @@ ORACLE = {
     "cut_landings": f"""WITH {_HIDDEN}, o AS (SELECT n.doc_id, n.idx, CASE WHEN h.idx IS NULL THEN n.idx END AS own FROM n LEFT JOIN h ON n.doc_id = h.doc_id AND n.idx = h.idx)
         SELECT doc_id, idx, coalesce(min(own) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), max(own) OVER (PARTITION BY doc_id)) AS lands FROM o""",
     "cut_scenes": f"WITH {_HIDDEN}, m AS (SELECT n.doc_id, floor((n.idx + 1) / 2)::INT AS scene, h.idx IS NOT NULL AS hid FROM n LEFT JOIN h ON n.doc_id = h.doc_id AND n.idx = h.idx) SELECT doc_id, scene FROM m GROUP BY ALL HAVING bool_and(hid)",
+    "replacements": "SELECT doc_id * 5 + k AS id FROM documents, (VALUES (0), (1), (3)) v(k)",
+    "reworded_ops": """SELECT doc_id * 4 + k AS id, t AS type, CASE WHEN k > 0 AND (doc_id * 4 + k) % 3 = 0 THEN 'Anew.' ELSE x END AS insert_text
+        FROM documents, (VALUES (0, 'hide', NULL), (1, 'replace', 'They'), (2, 'insert', 'Exeunt.'), (3, 'insert', 'Exit.')) v(k, t, x)""",
+    "node_marks": f"WITH {_NODES}, {_SPANS}, {_PIECES} SELECT id // 2 AS doc_id, idx, s AS start, e::INT AS \"end\", (-id - 1) || ',' || id AS terms FROM p WHERE s < e",
 }
