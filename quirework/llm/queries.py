@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, mixing, quality, rules, simhash, toxicity, url_rules, warc
+from . import decontaminate, langid, licenses, merkle, mixing, quality, recipes, resample, rules, simhash, toxicity, url_rules, warc
 from .common import cut, fold, shared_folder, table
 
 
@@ -68,7 +68,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_mixing, op4_language_id, op5_url_rules, op6_warc, op7_quality, op8_quality_rules, op9_licenses, op10_simhash)}
+def op11_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recipes.duplicates(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = [merkle.lowered(F.col(c)) if c == "text" else F.col(c) for c in merkle.FIELDS]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, merkle.leaf(*fields))
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered).drop("source")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_mixing, op4_language_id, op5_url_rules, op6_warc, op7_quality, op8_quality_rules, op9_licenses, op10_simhash, op11_recipes, op12_resampling, op13_manifest)}
 
 
 def _licence_sql() -> str:
@@ -124,7 +139,64 @@ SELECT doc_id, size, source_size, round(target, 6) AS target, (whole + coalesce(
 FROM o LEFT JOIN e ON o.source IS NOT DISTINCT FROM e.source AND o.h = e.h"""
 
 
+#: CRC-32 of a blob, a byte at a time through the table that its polynomial gives.
+_CRC = "xor(4294967295, list_reduce(list_transform(range(1, 1 + octet_length(b)), lambda i: ('0x' || substr(hex(b), 2 * i - 1, 2))::BIGINT), lambda crc, x: xor(crc >> 8, divided[1 + (xor(crc, x) & 255)]), 4294967295))"
+
+
+def _bits(n: int) -> str:
+    """``n`` steps of the checksum's division on a list of numbers."""
+    return "range(0, 256)" if n == 0 else f"list_transform({_bits(n - 1)}, lambda c: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+
+
+_RESAMPLING = f"""
+WITH crc_table AS MATERIALIZED (SELECT {_bits(8)}::BIGINT[] AS divided),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+i AS (SELECT list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM benchmark),
+raw AS MATERIALIZED (SELECT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1]), list_transform(range(1, len(ws) - 1), lambda k: ws[k] || ' ' || ws[k + 1] || ' ' || ws[k + 2]))) AS f FROM d),
+aim AS MATERIALIZED (SELECT unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1]), list_transform(range(1, len(ws) - 1), lambda k: ws[k] || ' ' || ws[k + 1] || ' ' || ws[k + 2]))) AS f FROM i),
+told AS (SELECT f, encode(f) AS b FROM (SELECT f FROM raw UNION SELECT f FROM aim)),
+bucket AS MATERIALIZED (SELECT f, {_CRC} % 10000 AS k FROM told, crc_table),
+s AS (SELECT k, count(*) AS s FROM raw JOIN bucket USING (f) GROUP BY k),
+t AS (SELECT k, count(*) AS t FROM aim JOIN bucket USING (f) GROUP BY k),
+gain AS (SELECT k, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain FROM s FULL JOIN t USING (k)),
+w AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM raw JOIN bucket USING (f) JOIN gain USING (k) GROUP BY doc_id),
+scored AS (SELECT doc_id, len(ws) AS n, (len(ws) + greatest(len(ws) - 1, 0) + greatest(len(ws) - 2, 0))::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || sha256('42:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN w USING (doc_id)),
+ranked AS (SELECT *, CASE WHEN n >= 20 THEN row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id) END AS r FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 5 * (SELECT count(*) FROM scored WHERE n >= 20) // 100 THEN r END AS rank FROM ranked"""
+
+
+def _merkle_sql(deep: int = 5, wide: int = 3) -> str:
+    """Trees of up to 16^deep leaves a source and 16^wide sources, a level a step; finished trees pass."""
+    field = lambda x: f"coalesce(octet_length(encode({x}::VARCHAR)) || ':' || {x}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    runs = lambda a, k: f"{a}r{k} AS MATERIALIZED (SELECT tree, i // 16 AS p, any_value(n) AS n, list(node ORDER BY i) AS run FROM {a}{k} GROUP BY tree, i // 16)"
+    up = lambda a, k: f"{a}{k + 1} AS MATERIALIZED (SELECT tree, p AS i, (n + 15) // 16 AS n, CASE WHEN n > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS node FROM {a}r{k})"
+    rest = "list_concat(run[1:i % 16], run[i % 16 + 2:])"
+    walk = lambda a, k, at: f"w{at + 1} AS MATERIALIZED (SELECT doc_id, leaf, subroot, w.tree, i // 16 AS i, forest_i, proof || CASE WHEN n > 1 THEN array_to_string({rest}, '') ELSE '' END AS proof, CASE WHEN n > 1 THEN sha256(array_to_string(list_concat(run[1:i % 16], [node], run[i % 16 + 2:]), '')) ELSE node END AS node FROM w{at} w JOIN {a}r{k} r ON w.tree = r.tree AND i // 16 = p)"
+    steps = [s for k in range(deep) for s in (runs("t", k), up("t", k))]
+    steps.append(f"f0 AS MATERIALIZED (SELECT '' AS tree, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, count(*) OVER () AS n, node, tree AS own FROM t{deep})")
+    steps += [s for k in range(wide) for s in (runs("f", k), up("f", k))]
+    steps.append("w0 AS (SELECT doc_id, leaf, f0.node AS subroot, l.tree, l.i, f0.i AS forest_i, '' AS proof, told AS node FROM l JOIN f0 ON l.tree = f0.own)")
+    steps += [walk("t", k, k) for k in range(deep)]
+    steps.append(f"w{deep + 1} AS (SELECT doc_id, leaf, subroot, '' AS tree, forest_i AS i, forest_i, proof, node FROM w{deep})")
+    steps += [walk("f", k, deep + 1 + k) for k in range(wide)]
+    return f"""
+WITH crc_table AS MATERIALIZED (SELECT {_bits(8)}::BIGINT[] AS divided),
+c AS (SELECT *, encode(doc_id::VARCHAR) AS b FROM documents, crc_table),
+a AS MATERIALIZED (SELECT doc_id, coalesce('=' || source, '') AS tree, {leaf("text")} AS leaf, CASE WHEN {_CRC} % 5 = 0 THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {leaf("text")} END AS told FROM c),
+l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM a),
+t0 AS (SELECT tree, i, n, leaf AS node FROM l),
+{(","+chr(10)).join(steps)}
+SELECT doc_id, leaf, subroot, f{wide}.node AS root, sha256(proof) AS proof_sha256, w.node AS folded_root, w.node = f{wide}.node AS verified FROM w{deep + 1 + wide} w JOIN f{wide} ON true"""
+
+
 ORACLE = {
+    "op11_recipes": """
+WITH d AS (SELECT doc_id, length(coalesce(text, ''))::BIGINT AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS plain FROM documents),
+g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY plain ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY plain) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain) AS text_sha256 FROM g""",
+    "op12_resampling": _RESAMPLING,
+    "op13_manifest": _merkle_sql(),
     "op2_decontamination": """
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS ws FROM documents),
 i AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS ws FROM benchmark),
