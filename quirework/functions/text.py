@@ -98,6 +98,17 @@ def roman(c: Column) -> Column:
     return F.when(F.lower(c).rlike("^[ivxlcdm]+$"), F.aggregate(signed, F.lit(0), lambda t, x: t + x))
 
 
+def common_prefix(a: Column, b: Column) -> Column:
+    """How many characters two texts begin with alike."""
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y))
+    return F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.length(a)).cast("int")
+
+
+def common_suffix(a: Column, b: Column) -> Column:
+    """How many characters two texts end with alike."""
+    return common_prefix(F.reverse(a), F.reverse(b))
+
+
 def safe_url(c: Column) -> Column:
     """Whether a url is http or https."""
     return F.coalesce(F.lower(F.try_parse_url(c, F.lit("PROTOCOL"))).isin("http", "https"), F.lit(False))
