@@ -44,8 +44,8 @@ def pieces(text: Column) -> Column:
 
 
 def keys(text: Column) -> Column:
-    """The word keys of a text in order; ``&`` reads as ``and`` and empty keys go."""
-    return F.filter(F.transform(pieces(text), lambda w: word_key(F.when(w == "&", "and").otherwise(w))), lambda k: k != "")
+    """The word keys of a text in order; every ``&`` reads as a word ``and`` and empty keys go."""
+    return F.filter(F.transform(pieces(F.replace(text, F.lit("&"), F.lit(" and "))), word_key), lambda k: k != "")
 
 
 def candidates(text: Column) -> Column:

@@ -12,43 +12,47 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def common(a: list[str], b: list[str], most: int = 25_000_000) -> list[tuple[int, int]]:
+def common(a: list[str], b: list[str], kept: int = 1024) -> list[tuple[int, int]]:
     """Index pairs of a longest common subsequence; where both ways are as long, an item of ``a`` is skipped first.
 
-    Above ``most`` cells the sides are halved (Hirschberg), which needs memory for one row alone and may settle ties otherwise.
+    Lengths are found a row at a time from the ends. Every ``kept``-th row stays, and on the way forward the rows up
+    to the next one are found again, of which one bit a cell is held: whether passing over the item of ``a`` costs
+    nothing. So memory is a row of numbers for each ``kept`` items of ``a`` and ``kept`` rows of bits, at any size.
     """
-    if len(a) * len(b) > most and len(a) > 1:
-        half = len(a) // 2
-        ahead, back = _lengths(a[:half], b), _lengths(a[half:][::-1], b[::-1])[::-1]
-        cut = int((ahead + back).argmax())
-        return common(a[:half], b[:cut], most) + [(i + half, j + cut) for i, j in common(a[half:], b[cut:], most)]
-    best = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    names = {w: n for n, w in enumerate(dict.fromkeys(b))}
+    other, own = np.array([names[w] for w in b], np.int64), [names.get(w, -1) for w in a]
+    if not a or not b:
+        return []
+
+    def row(i: int, below: np.ndarray) -> np.ndarray:
+        """Lengths from item ``i`` of ``a`` and each item of ``b`` on."""
+        if own[i] < 0:
+            return below
+        best = np.where(other == own[i], below[1:] + 1, below[:-1])
+        return np.append(np.maximum.accumulate(best[::-1])[::-1], 0)
+
+    marks, below = {}, np.zeros(len(b) + 1, np.int32)
     for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i, j] = best[i + 1, j + 1] + 1 if a[i] == b[j] else max(best[i + 1, j], best[i, j + 1])
-    pairs, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            pairs.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1, j] >= best[i, j + 1]:
-            i += 1
-        else:
-            j += 1
+        if (i + 1) % kept == 0 or i == len(a) - 1:
+            marks[i // kept] = below
+        below = row(i, below)
+    pairs, j = [], 0
+    for block in range(-(-len(a) // kept)):
+        first, below, free = block * kept, marks[block], {}
+        for i in range(min(first + kept, len(a)) - 1, first - 1, -1):
+            now = row(i, below)
+            free[i] = np.packbits(now == below)
+            below = now
+        for i in range(first, min(first + kept, len(a))):
+            bits = np.unpackbits(free[i], count=len(b) + 1)
+            while j < len(b) and own[i] != other[j] and not bits[j]:
+                j += 1
+            if j < len(b) and own[i] == other[j]:
+                pairs.append((i, j))
+                j += 1
     return pairs
 
 
-def _lengths(a: list[str], b: list[str]) -> np.ndarray:
-    """The length of a longest common subsequence of ``a`` with each beginning of ``b``."""
-    names = {w: n for n, w in enumerate(dict.fromkeys(b))}
-    other = np.array([names[w] for w in b], np.int64)
-    row = np.zeros(len(b) + 1, np.int32)
-    for w in a:
-        met = np.where(other == names.get(w, -1), row[:-1] + 1, 0)
-        row = np.maximum.accumulate(np.maximum(row, np.append(0, met)))
-    return row
-
-
 def edits(a: str, b: str) -> int:
     """The least number of insertions, deletions and substitutions between two words."""
     row = list(range(len(b) + 1))

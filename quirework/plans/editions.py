@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import anchors, order, refind
+from ..operators import anchors, compare, order, refind
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,43 @@ def text_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refind.positions(points, nodes, "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (refound_anchors, text_positions)}
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Each document as two versions: its lines, and its lines begun a third further on; with entries of two and of three lines, some left out, some that reach to a later line."""
+    left = _nodes(spark, sf_dir).select("doc_id", "idx", "text")
+    size = left.groupBy("doc_id").agg(F.count("*").cast("int").alias("size"))
+    third = F.floor(F.col("size") / 3).cast("int")
+    right = left.join(size, "doc_id").select("doc_id", ((F.col("idx") - third + F.col("size")) % F.col("size")).alias("idx"), "text")
+    held = lambda n: F.filter(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (F.col("entry") * n + i).cast("int")), lambda x: x < F.col("size"))
+    entries = lambda n: size.select("doc_id", "size", third.alias("third"), F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / n).cast("int"))).alias("entry")).withColumn("orig", held(n))
+    far = F.when(F.col("entry") % 4 == 1, F.array((F.col("entry") * 2 + 5).cast("int"))).otherwise(F.array().cast("array<int>"))
+    mine = entries(2).where("entry % 5 <> 4").select("doc_id", "entry", "orig", F.concat("orig", far).alias("modern"))
+    theirs = entries(3).where("entry % 4 <> 2").select("doc_id", "entry", "orig", F.transform("orig", lambda x: (x + F.col("third")) % F.col("size")).alias("modern"))
+    return left, right, mine, theirs
+
+
+def compared_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compare.rows(*_versions(spark, sf_dir)[:2], "doc_id", *_versions(spark, sf_dir)[2:])
+    return found.select("doc_id", "place", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("left", "right")], "moved")
+
+
+def word_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right, *entries = _versions(spark, sf_dir)
+    return compare.differences(compare.rows(left, right, "doc_id", *entries), left, right, "doc_id")
+
+
+def word_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.word_spans(_nodes(spark, sf_dir), "doc_id").select("doc_id", "idx", "start", "end", "word")
+
+
+def node_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts that 90 of every 150 characters of each document have in its lines."""
+    nodes = _nodes(spark, sf_dir)
+    whole = nodes.groupBy("doc_id").agg(F.max(F.col("begin") + F.length("text")).cast("int").alias("size"))
+    ranges = whole.select("doc_id", F.explode(F.sequence(F.lit(0), "size", F.lit(150))).alias("start")).select("doc_id", "start", (F.col("start") + 90).alias("end"))
+    return compare.by_node(ranges, nodes, "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (refound_anchors, text_positions, compared_rows, word_differences, word_places, node_ranges)}
 
 _NODES = "d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), n AS (SELECT doc_id, l, text AS whole, unnest(l) AS text, (generate_subscripts(l, 1) - 1)::INT AS idx FROM d), f AS (SELECT *, (coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS b FROM n)"
 ORACLE = {
@@ -75,4 +111,19 @@ ORACLE = {
         SELECT id, doc_id, 'valid' AS status, start_idx, start_off, end_idx, end_off FROM v WHERE valid
         UNION ALL SELECT v.id, doc_id, CASE WHEN u.id IS NULL THEN 'unattached' ELSE 'repaired' END, u.start_idx, u.start_off, u.end_idx, u.end_off FROM v LEFT JOIN u ON v.id = u.id WHERE NOT valid""",
     "text_positions": f"WITH {_NODES}, p AS (SELECT doc_id, unnest(range(0, length(text) + 1, 97)) AS pt FROM d) SELECT pt AS point, p.doc_id, f.idx, (pt - b)::INT AS off FROM p JOIN f ON p.doc_id = f.doc_id AND pt BETWEEN b AND b + length(text)",
+    "compared_rows": f"""WITH {_NODES}, z AS (SELECT doc_id, idx, len(l) AS c, len(l) // 3 AS t FROM f),
+        lu AS (SELECT doc_id, CASE WHEN idx // 2 % 5 = 4 THEN idx ELSE idx // 2 * 2 END AS u, idx, c FROM z),
+        lm AS (SELECT DISTINCT doc_id, u, unnest(list_concat([u], CASE WHEN u + 1 < c THEN [u + 1] ELSE [] END, CASE WHEN u // 2 % 4 = 1 THEN [u + 5] ELSE [] END)) AS m FROM lu WHERE u // 2 % 5 <> 4),
+        rm AS (SELECT doc_id, idx AS r, (unnest(range(idx // 3 * 3, least(idx // 3 * 3 + 3, c))) + t) % c AS m FROM z WHERE idx // 3 % 4 <> 2),
+        cl AS (SELECT doc_id, r, min(u) AS u FROM rm JOIN lm USING (doc_id, m) GROUP BY ALL),
+        rr AS (SELECT z.doc_id, idx AS r, u, coalesce(last_value(u IGNORE NULLS) OVER (PARTITION BY z.doc_id ORDER BY idx), -1) AS after FROM z LEFT JOIN cl ON z.doc_id = cl.doc_id AND idx = r),
+        fr AS (SELECT doc_id, after, r, r - row_number() OVER (PARTITION BY doc_id, after ORDER BY r) AS run FROM rr WHERE u IS NULL),
+        ly AS (SELECT doc_id, u AS row, -1 AS seq, list(idx ORDER BY idx) AS lf, (SELECT list(r ORDER BY r) FROM rr WHERE rr.doc_id = lu.doc_id AND rr.u = lu.u) AS rt FROM lu GROUP BY doc_id, u UNION ALL SELECT doc_id, after, min(r), [], list(r ORDER BY r) FROM fr GROUP BY doc_id, after, run)
+        SELECT doc_id, (row_number() OVER w)::INT AS place, array_to_string(lf, ',') AS "left", coalesce(array_to_string(rt, ','), '') AS "right", coalesce(list_min(rt) < max(list_max(rt)) OVER (PARTITION BY doc_id ORDER BY row, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS moved FROM ly WINDOW w AS (PARTITION BY doc_id ORDER BY row, seq)""",
+    "word_places": f"""WITH {_NODES}, w AS (SELECT doc_id, idx, regexp_extract_all(text, '[^\\s—–-]+|[\\s—–-]+') AS ws FROM n), u AS (SELECT doc_id, idx, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+        p AS (SELECT *, (coalesce(sum(length(word)) OVER (PARTITION BY doc_id, idx ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS s FROM u)
+        SELECT doc_id, idx, s AS start, (s + length(word))::INT AS "end", word FROM p WHERE regexp_matches(word, '^[^\\s—–-]')""",
+    "node_ranges": f"""WITH {_NODES}, r AS (SELECT doc_id, unnest(range(0, length(text) + 1, 150)) AS s FROM d),
+        c AS (SELECT r.doc_id, f.idx, greatest(s - b, 0)::INT AS start, least(s + 90 - b, length(f.text))::INT AS "end" FROM r JOIN f ON r.doc_id = f.doc_id AND s < b + length(f.text) AND b < s + 90)
+        SELECT * FROM c WHERE start < "end" """,
 }

@@ -228,8 +228,8 @@ for _c in "abcdefghijklmnopqrstuvwxyz":
     _single = f"regexp_replace({_single}, '{_c}{_c}+', '{_c}', 'g')"
 #: Keys of the words of ``t(id, text)``, one row a word, numbered; in steps that mirror the rule.
 _KEYS = f"""
-w AS (SELECT id, generate_subscripts(ws, 1) AS p, unnest(ws) AS w FROM (SELECT id, regexp_split_to_array(coalesce(text, ''), '[\\s—–-]+') AS ws FROM t)),
-k1 AS (SELECT id, p, regexp_replace(replace(regexp_replace(translate(strip_accents(lower(CASE w WHEN '&' THEN 'and' ELSE w END)), 'ſvjy', 'suii'), '[^a-z]', '', 'g'), 'ck', 'c'), '^$', '') AS k FROM w),
+w AS (SELECT id, generate_subscripts(ws, 1) AS p, unnest(ws) AS w FROM (SELECT id, regexp_split_to_array(replace(coalesce(text, ''), '&', ' and '), '[\\s—–-]+') AS ws FROM t)),
+k1 AS (SELECT id, p, regexp_replace(replace(regexp_replace(translate(strip_accents(lower(w)), 'ſvjy', 'suii'), '[^a-z]', '', 'g'), 'ck', 'c'), '^$', '') AS k FROM w),
 k2 AS (SELECT id, p, {_single} AS k FROM k1),
 k3 AS (SELECT id, p, CASE WHEN length(k) > 1 THEN regexp_replace(k, 'e$', '') ELSE k END AS k FROM k2),
 keys AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY p) - 1 AS pos, regexp_replace(regexp_replace(k, '(..)ed$', '\\1d'), '([pkcsx])t$', '\\1d') AS k FROM k3 WHERE k <> '')"""
