@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import anchors, compare, order, refind
+from ..functions import text as tx
+from ..operators import anchors, compare, divisions, order, refind
+from .queries import _KEYS, _grams
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,10 +91,62 @@ def node_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.by_node(ranges, nodes, "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (refound_anchors, text_positions, compared_rows, word_differences, word_places, node_ranges)}
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as blocks of their document, every fourth an entrance, and in which of four quarters of it they are."""
+    lines = order.lines(order.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+    rows = lines.select("doc_id", "n", tx.keys(F.col("line")).alias("words"), (F.col("n") % 4 == 0).alias("entrance"))
+    size = rows.groupBy("doc_id").agg(F.count("*").alias("size"))
+    return rows.join(size, "doc_id").withColumn("quarter", F.floor(F.col("n") * 4 / F.col("size")).cast("int")).drop("size")
+
+
+def _scenes(blocks: DataFrame, backward: bool = False) -> DataFrame:
+    """The quarters without every fifth line, in order or backward, as scenes."""
+    listed = F.array_sort(F.collect_list(F.when(F.col("n") % 5 != 3, F.struct("n", "words"))))
+    at = F.lit(3) - F.col("quarter") if backward else F.col("quarter")
+    return blocks.groupBy("doc_id", at.alias("n")).agg(F.flatten(F.transform(listed, lambda r: r["words"])).alias("words"))
+
+
+def scene_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as one printed scene, cut where its quarters begin."""
+    blocks = _blocks(spark, sf_dir)
+    scenes = _scenes(blocks).withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("n")) - 1)
+    return divisions.split(blocks, scenes, ["doc_id"])
+
+
+def scene_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = _blocks(spark, sf_dir)
+    return divisions.labels(blocks, _scenes(blocks, backward=True), ["doc_id"])
+
+
+def reordered_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = _blocks(spark, sf_dir)
+    return divisions.reordered(blocks, _scenes(blocks, backward=True), ["doc_id"])
+
+
+QUERIES = {f.__name__: f for f in (refound_anchors, text_positions, compared_rows, word_differences, word_places, node_ranges, scene_pieces, scene_labels, reordered_scenes)}
 
 _NODES = "d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), n AS (SELECT doc_id, l, text AS whole, unnest(l) AS text, (generate_subscripts(l, 1) - 1)::INT AS idx FROM d), f AS (SELECT *, (coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS b FROM n)"
+_QUARTERS = f"{_NODES}, z AS (SELECT doc_id, idx, text, floor(idx * 4 / len(l))::INT AS quarter FROM f)"
+_COUNTED = f"c AS (WITH t AS (SELECT doc_id * 100000 + idx AS id, text FROM z), {_KEYS} SELECT id, count(*) AS m FROM keys GROUP BY id), b AS (SELECT doc_id, idx, coalesce(m, 0) AS m, (coalesce(sum(coalesce(m, 0)) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS st FROM z LEFT JOIN c ON id = doc_id * 100000 + idx)"
+_NEXT = lambda k: f"e{k} AS (SELECT e.doc_id, arg_min(b.idx, (abs(st - pr) + CASE WHEN b.idx % 4 = 0 THEN 0 ELSE 40 END, b.idx)) AS at FROM e{k - 1} e JOIN pr USING (doc_id) JOIN b ON b.doc_id = e.doc_id AND b.idx > e.at WHERE pr.k = {k} GROUP BY e.doc_id)"
 ORACLE = {
+    "scene_pieces": f"""WITH {_QUARTERS}, {_COUNTED},
+        q AS (SELECT doc_id, quarter, row_number() OVER (PARTITION BY doc_id ORDER BY quarter) - 1 AS k FROM (SELECT DISTINCT doc_id, quarter FROM z)),
+        ms AS (SELECT z.doc_id, k, sum(CASE WHEN z.idx % 5 <> 3 THEN m ELSE 0 END) AS m FROM z JOIN q USING (doc_id, quarter) JOIN b ON b.doc_id = z.doc_id AND b.idx = z.idx GROUP BY ALL),
+        ps AS (SELECT doc_id, k, (coalesce(sum(m) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS pos FROM ms),
+        o AS (SELECT id, gram, min(pos) AS o FROM {_grams(5, "doc_id AS id, text FROM documents")} GROUP BY ALL HAVING count(*) = 1),
+        m AS (SELECT id, gram, min(pos) AS m FROM {_grams(5, "doc_id AS id, string_agg(text, chr(10) ORDER BY idx) AS text FROM z WHERE idx % 5 <> 3 GROUP BY doc_id")} GROUP BY ALL HAVING count(*) = 1),
+        ch AS (SELECT id AS doc_id, o, m FROM o JOIN m USING (id, gram)),
+        nb AS (SELECT ps.doc_id, k, pos, coalesce(arg_max(o, m) FILTER (m <= pos), 0) AS bo, coalesce(max(m) FILTER (m <= pos), 0) AS bm, arg_min(o, m) FILTER (m > pos) AS ao, min(m) FILTER (m > pos) AS am FROM ps LEFT JOIN ch ON ps.doc_id = ch.doc_id WHERE k > 0 GROUP BY ALL),
+        pr AS (SELECT doc_id, k, CASE WHEN am IS NULL THEN bo + pos - bm ELSE floor(bo + (pos - bm)::DOUBLE / (am - bm) * (ao - bo) + 0.5) END AS pr FROM nb),
+        e0 AS (SELECT doc_id, 0 AS at FROM d), {_NEXT(1)}, {_NEXT(2)}, {_NEXT(3)}
+        SELECT b.doc_id, b.idx AS n, (coalesce((b.idx >= e1.at)::INT, 0) + coalesce((b.idx >= e2.at)::INT, 0) + coalesce((b.idx >= e3.at)::INT, 0))::INT AS piece FROM b LEFT JOIN e1 ON b.doc_id = e1.doc_id LEFT JOIN e2 ON b.doc_id = e2.doc_id LEFT JOIN e3 ON b.doc_id = e3.doc_id""",
+    "scene_labels": f"""WITH {_QUARTERS}, {_COUNTED},
+        g AS (SELECT DISTINCT id // 10 AS doc_id, id % 10 AS k, gram FROM {_grams(3, "doc_id * 10 + 3 - quarter AS id, string_agg(text, chr(10) ORDER BY idx) AS text FROM z WHERE idx % 5 <> 3 GROUP BY doc_id, quarter")}),
+        w AS (SELECT doc_id, gram, round(1099511627776 / count(*))::BIGINT AS w FROM g GROUP BY ALL),
+        p AS (SELECT id AS doc_id, pos, k, w FROM {_grams(3, "doc_id AS id, text FROM documents")} o JOIN g ON g.doc_id = o.id AND g.gram = o.gram JOIN w ON w.doc_id = o.id AND w.gram = o.gram),
+        s AS (SELECT b.doc_id, b.idx, k, sum(w) AS s FROM b JOIN p ON b.doc_id = p.doc_id AND pos BETWEEN greatest(st - 60, 0) AND st + m + 57 GROUP BY ALL)
+        SELECT b.doc_id, b.idx AS n, arg_max(k, (s, -k))::INT AS label FROM b LEFT JOIN s ON b.doc_id = s.doc_id AND b.idx = s.idx GROUP BY ALL""",
     "refound_anchors": f"""WITH {_NODES},
         m AS (SELECT doc_id * 100000 + idx AS id, doc_id, whole, idx, l, text AS x, ((doc_id + idx) % 7)::INT AS k, ((doc_id * 7 + idx * 3) % 11)::INT AS o, CASE WHEN (doc_id + idx) % 7 IN (3, 4) THEN 2 + idx % 3 ELSE 12 + idx % 20 END AS w FROM f WHERE idx % 3 = 1),
         q AS (SELECT *, CASE WHEN k = 6 THEN l[idx + 2] ELSE x END AS y, CASE WHEN k = 6 THEN w % 9 ELSE o + w END AS e FROM m),
