@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirework.functions import text as tx
-from quirework.plans import catalog, editions, queries, spans, works
+from quirework.plans import catalog, editions, queries, scans, spans, works
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -26,10 +26,10 @@ def rows(columns, values):
     return sorted(tuple(str(round(float(v[i]), 6)) if isinstance(v[i], (int, float)) and not isinstance(v[i], bool) else str(v[i]) for i in order) for v in values)
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLE | catalog.ORACLE | spans.ORACLE | works.ORACLE | editions.ORACLE))
+@pytest.mark.parametrize("name", sorted(queries.ORACLE | catalog.ORACLE | spans.ORACLE | works.ORACLE | editions.ORACLE | scans.ORACLE))
 def test_query_equals_its_sql(spark, con, name):
-    got = (queries.QUERIES | catalog.QUERIES | spans.QUERIES | works.QUERIES | editions.QUERIES)[name](spark, SF)
-    want = con.execute((queries.ORACLE | catalog.ORACLE | spans.ORACLE | works.ORACLE | editions.ORACLE)[name])
+    got = (queries.QUERIES | catalog.QUERIES | spans.QUERIES | works.QUERIES | editions.QUERIES | scans.QUERIES)[name](spark, SF)
+    want = con.execute((queries.ORACLE | catalog.ORACLE | spans.ORACLE | works.ORACLE | editions.ORACLE | scans.ORACLE)[name])
     names = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(names)
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(names, want.fetchall())
