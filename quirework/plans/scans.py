@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import order
-from ..sources import dictionaries
+from ..sources import dictionaries, editions, markup
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,23 @@ def dictionary_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("book", "entry", "headword", "part_of_speech", "sense", "label", "gloss", F.posexplode("citations").alias("c", "cite")).select("book", "entry", "headword", "part_of_speech", "sense", "label", "gloss", "c", "cite.*")
 
 
-QUERIES = {f.__name__: f for f in (dictionary_citations,)}
+def early_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a print without divisions: a speech for each line of three words or more, with gaps, italics, exits and page breaks."""
+    words = F.regexp_extract_all("line", F.lit("[a-z]{2,}"), F.lit(0))
+    rows = _lines(spark, sf_dir).select("doc_id", "n", words.alias("w")).where("size(w) >= 3")
+    some = lambda k, what: F.when(F.col("n") % k == 0, what).otherwise("")
+    say = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    w = lambda k: F.col("w")[k]
+    speech = say(some(5, say('<pb n="', F.col("n").cast("string"), '"/>')), "<sp><speaker>", F.initcap(w(0)), ".</speaker><l>", w(0), some(7, "<gap/>"), " ", w(1), " <hi>", w(2), "</hi>", some(4, "<stage>Exit.</stage>"), "</l></sp>\n")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", speech.alias("x")))), lambda p: p["x"]), "")
+    files = rows.groupBy("doc_id").agg(say('<TEI><text><body><div type="text">', body, "</div></body></text></TEI>").cast("binary").alias("content")).withColumn("path", F.col("doc_id").cast("string"))
+    play = editions.early_play(markup.events(files))
+    told = editions.early_nodes(play, editions.early_scenes(play))
+    spans = F.array_join(F.transform("marks", lambda m: F.concat_ws(" ", m["start"], m["end"], m["type"])), ",")
+    return told.select("path", "idx", "kind", "text", "form", "speech", "label", spans.alias("marks"), F.array_join(F.transform("pages", lambda p: F.concat_ws(" ", p["page"], p["offset"])), ",").alias("pages"))
+
+
+QUERIES = {f.__name__: f for f in (dictionary_citations, early_nodes)}
 
 ORACLE = {
     "dictionary_citations": """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS n FROM documents),
@@ -46,4 +62,10 @@ ORACLE = {
         SELECT book, entry, headword, 'noun' AS part_of_speech, s AS sense, label, CASE s WHEN 0 THEN 'to ' || w[1] || ' thing' WHEN 1 THEN 'an ' || w[3] || ' other' ELSE 'to ' || w[2] END AS gloss, c, play, act, scene, part, (CASE WHEN s = 2 THEN k ELSE n + k END)::INT AS line,
         CASE WHEN s = 0 AND c = 0 THEN w[2] || w[3] WHEN s = 2 AND c = 0 THEN 'so ' || w[1] ELSE '' END AS quote
         FROM e, (VALUES (0, '1', 0, 'Hml', 3, 1, NULL, 1), (0, '1', 1, 'Hml', 3, 1, NULL, 7), (0, '1', 2, 'Tp', 2, NULL, NULL, 2), (1, '2', 0, 'Lr', 1, 2, NULL, 3)) v(s, label, c, play, act, scene, part, k)""",
+    "early_nodes": """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS n FROM documents),
+        w AS (SELECT doc_id, n, regexp_extract_all(line, '[a-z]{2,}') AS w FROM l),
+        s AS (SELECT doc_id, n, w, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS speech, w[1] || CASE WHEN n % 7 = 0 THEN '•' ELSE '' END AS a FROM w WHERE len(w) >= 3),
+        k AS (SELECT doc_id, n, 0 AS k, 'line' AS kind, a || ' ' || w[2] || ' ' || w[3] AS text, 'verse' AS form, speech, w, (CASE WHEN n % 7 = 0 THEN length(a) - 1 || ' ' || length(a) || ' gap,' ELSE '' END) || (length(a) + 2 + length(w[2])) || ' ' || (length(a) + 2 + length(w[2]) + length(w[3])) || ' italic' AS marks, CASE WHEN n % 5 = 0 THEN n || ' 0' ELSE '' END AS pages FROM s
+            UNION ALL SELECT doc_id, n, 1, 'sd', 'Exit.', NULL, speech, w, '', '' FROM s WHERE n % 4 = 0)
+        SELECT doc_id::VARCHAR AS path, (row_number() OVER (PARTITION BY doc_id ORDER BY n, k) - 1)::INT AS idx, kind, text, form, speech::INT AS speech, upper(w[1][1]) || w[1][2:] || '.' AS label, marks, pages FROM k""",
 }
