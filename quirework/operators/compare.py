@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.kept import kept
 from . import order, sequences
 
 
@@ -41,7 +42,7 @@ def rows(left: DataFrame, right: DataFrame, by: str, left_entries: DataFrame | N
     row claims follow the row of the claimed node before them, consecutive ones in one row. ``moved`` rows lie
     before the furthest right node so far.
     """
-    mine, theirs = units(left, left_entries, by), units(right, right_entries, by)
+    mine, theirs = kept(units(left, left_entries, by)), kept(units(right, right_entries, by))
     grouped = lambda c: F.array_sort(F.collect_list(c))
     lefts = mine.groupBy(by, F.col("unit").alias("row")).agg(grouped("idx").alias("left"))
     held = theirs.select(by, "idx").join(claims(mine, theirs, by), [by, "idx"], "left")
@@ -90,7 +91,7 @@ def differences(compared: DataFrame, left: DataFrame, right: DataFrame, by: str,
         return pd.DataFrame(out, columns=["left", "right"])
 
     keys = lambda s: F.transform(s, lambda w: w["key"])
-    told = both.withColumn("only", lacking(keys("left"), keys("right")))
+    told = kept(both.withColumn("only", lacking(keys("left"), keys("right"))))
     side = lambda s: told.select(by, "place", F.lit(s).alias("side"), F.explode(F.transform(f"only.{s}", lambda i: F.col(s)[i])).alias("w")).select(by, "place", "side", "w.idx", "w.start", "w.end")
     return side("left").unionByName(side("right"))
 

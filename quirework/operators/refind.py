@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.kept import kept
 from . import anchors, notes
 
 #: Lengths of grams; a gram of ``q`` serves lines of ``2 q - 1`` characters and more.
@@ -41,7 +42,7 @@ def occurrences(quotes: DataFrame, nodes: DataFrame, by: str) -> DataFrame:
 
     ``agree`` is how many characters beside the place agree with ``prefix`` and ``suffix``.
     """
-    lines = _lines(quotes, by)
+    lines = kept(_lines(quotes, by))
     text = nodes.select(by, "idx", F.coalesce("text", F.lit("")).alias("text"))
     grams = lines.select("id", by, "q", "m", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda k: F.substring(F.col("part"), k + 1, F.col("q")))).alias("shift", "gram"))
     places = F.when(F.length("text") >= F.col("q"), F.sequence(F.lit(0), F.length("text") - F.col("q"), F.col("q")))
@@ -69,7 +70,7 @@ def occurrences(quotes: DataFrame, nodes: DataFrame, by: str) -> DataFrame:
 def resolved(stored: DataFrame, nodes: DataFrame, by: str) -> DataFrame:
     """``id``, ``by``, ``status`` (``valid``, ``repaired``, ``unattached``) and the span that the anchor has now, null where unattached."""
     now = anchors.quotes(stored, nodes, by, 0).select("id", F.col("exact").alias("now"))
-    held = stored.join(now, "id", "left").withColumn("valid", F.coalesce(F.col("now") == F.coalesce("exact", F.lit("")), F.lit(False)))
+    held = kept(stored.join(now, "id", "left").withColumn("valid", F.coalesce(F.col("now") == F.coalesce("exact", F.lit("")), F.lit(False))))
     lost = held.where("not valid")
     # of a quotation's places those that agree alike are counted first, so that a common word is no group of all its places
     span = F.struct(*anchors.PLACE)

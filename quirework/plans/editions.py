@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import anchors, compare, divisions, order, refind
+from ..functions.kept import kept
+from ..operators import anchors, compare, divisions, order, refind, variants
 from .queries import _KEYS, _grams
 
 
@@ -14,7 +15,7 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as texts, their lines as nodes, with the place at which each begins in its text."""
     docs = order.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     lines = order.lines(docs).select("doc_id", F.col("n").alias("idx"), F.col("line").alias("text"))
-    return order.running_offset(lines, ["doc_id"], "idx", F.length("text") + 1, "begin")
+    return kept(order.running_offset(lines, ["doc_id"], "idx", F.length("text") + 1, "begin"))
 
 
 def _kind(doc: Column, idx: Column) -> Column:
@@ -70,7 +71,8 @@ def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 
 
 def compared_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = compare.rows(*_versions(spark, sf_dir)[:2], "doc_id", *_versions(spark, sf_dir)[2:])
+    left, right, *entries = _versions(spark, sf_dir)
+    found = compare.rows(left, right, "doc_id", *entries)
     return found.select("doc_id", "place", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("left", "right")], "moved")
 
 
@@ -96,7 +98,7 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = order.lines(order.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
     rows = lines.select("doc_id", "n", tx.keys(F.col("line")).alias("words"), (F.col("n") % 4 == 0).alias("entrance"))
     size = rows.groupBy("doc_id").agg(F.count("*").alias("size"))
-    return rows.join(size, "doc_id").withColumn("quarter", F.floor(F.col("n") * 4 / F.col("size")).cast("int")).drop("size")
+    return kept(rows.join(size, "doc_id").withColumn("quarter", F.floor(F.col("n") * 4 / F.col("size")).cast("int")).drop("size"))
 
 
 def _scenes(blocks: DataFrame, backward: bool = False) -> DataFrame:
@@ -123,7 +125,36 @@ def reordered_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divisions.reordered(blocks, _scenes(blocks, backward=True), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (refound_anchors, text_positions, compared_rows, word_differences, word_places, node_ranges, scene_pieces, scene_labels, reordered_scenes)}
+def _marked(nodes: DataFrame) -> DataFrame:
+    """Passages of an edition: three tokens of every fifth line, the second in a line up to two further on, the third in no line."""
+    p = F.col("idx")
+    says = F.when(p % 3 == 0, "lines not found in the second quarto").when(p % 3 == 1, "Text not found in the Folio").otherwise("editorial emendation")
+    token = lambda turn, idx, start, end: F.struct(F.lit(turn).alias("turn"), idx.cast("int").alias("idx"), F.lit(start).alias("start"), F.lit(end).alias("end"))
+    made = F.array(token(0, p, 2, 6), token(1, p + (p / 5).cast("int") % 3, 0, 7), token(2, F.lit(None), None, None))
+    tokens = nodes.where("idx % 5 = 0").select("doc_id", p.alias("passage"), says.alias("description"), F.inline(made))
+    there = nodes.select("doc_id", "idx")
+    return tokens.join(there.withColumn("there", F.lit(True)), ["doc_id", "idx"], "left").withColumn("idx", F.when(F.col("there"), F.col("idx"))).drop("there")
+
+
+def _printings(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two printings of each document, one with every third line aligned to itself and the next, one scattered, and their alignments."""
+    size = F.count("*").over(Window.partitionBy("doc_id"))
+    sized = nodes.withColumn("size", size)
+    lines = sized.select("doc_id", F.explode(F.array(F.lit("q1-1600"), F.lit("f1-1623"))).alias("version"), "idx", F.concat(F.lit(">"), "text").alias("text"))
+    quarto = sized.where("idx % 3 = 0").select("doc_id", F.lit("q1-1600").alias("version"), F.col("idx").alias("entry"), F.array("idx").alias("orig"), F.array(F.col("idx"), F.col("idx") + 1).alias("modern"))
+    folio = sized.where("idx % 4 <> 3").select("doc_id", F.lit("f1-1623").alias("version"), F.col("idx").alias("entry"), F.array((F.col("idx") * 5 % F.col("size")).cast("int")).alias("orig"), F.array("idx").alias("modern"))
+    return lines, quarto.unionByName(folio)
+
+
+def seeded_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _nodes(spark, sf_dir).select("doc_id", "idx", "text", F.when(F.col("idx") % 2 == 1, F.concat(F.lit("1.1."), F.col("idx").cast("string"))).alias("number"))
+    found = kept(variants.passages(_marked(nodes), nodes, "doc_id"))
+    read = variants.seeded(found, *_printings(nodes), "doc_id")
+    titles = found.select("doc_id", "passage", variants.title(F.col("description"), F.col("text"), F.col("number")).alias("title"))
+    return read.join(titles, ["doc_id", "passage"]).select("doc_id", "passage", "title", "version", "start_idx", "end_idx", "end_off", "text")
+
+
+QUERIES = {f.__name__: f for f in (refound_anchors, text_positions, compared_rows, word_differences, word_places, node_ranges, scene_pieces, scene_labels, reordered_scenes, seeded_variants)}
 
 _NODES = "d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), n AS (SELECT doc_id, l, text AS whole, unnest(l) AS text, (generate_subscripts(l, 1) - 1)::INT AS idx FROM d), f AS (SELECT *, (coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS b FROM n)"
 _QUARTERS = f"{_NODES}, z AS (SELECT doc_id, idx, text, floor(idx * 4 / len(l))::INT AS quarter FROM f)"
@@ -180,4 +211,16 @@ ORACLE = {
     "node_ranges": f"""WITH {_NODES}, r AS (SELECT doc_id, unnest(range(0, length(text) + 1, 150)) AS s FROM d),
         c AS (SELECT r.doc_id, f.idx, greatest(s - b, 0)::INT AS start, least(s + 90 - b, length(f.text))::INT AS "end" FROM r JOIN f ON r.doc_id = f.doc_id AND s < b + length(f.text) AND b < s + 90)
         SELECT * FROM c WHERE start < "end" """,
+    "seeded_variants": f"""WITH {_NODES}, z AS (SELECT *, len(l) AS c FROM f),
+        p AS (SELECT doc_id, c, l, idx AS p, CASE WHEN idx + idx // 5 % 3 < c THEN idx + idx // 5 % 3 ELSE idx END AS e, idx + idx // 5 % 3 < c AS two, CASE idx % 3 WHEN 0 THEN 'Lines not found in the second quarto' WHEN 1 THEN 'Text not found in the Folio' ELSE 'Editorial emendation' END AS d FROM z WHERE idx % 5 = 0),
+        q AS (SELECT *, CASE WHEN NOT two THEN substr(l[p + 1], 3, 4) WHEN e = p THEN substr(l[p + 1], 3, 5) ELSE substr(l[p + 1], 3) || chr(10) || array_to_string(list_concat(l[p + 2:e], [left(l[e + 1], 7)]), chr(10)) END AS t FROM p),
+        r AS (SELECT doc_id, p, e, d, c, l, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS flat, CASE WHEN p % 2 = 1 THEN p WHEN e > p THEN p + 1 END AS num FROM q),
+        t AS (SELECT *, d || ': “' || CASE WHEN length(flat) > 60 THEN left(flat, 59) || '…' ELSE flat END || '”' || coalesce(' (1.1.' || num || ')', '') AS title FROM r WHERE flat <> ''),
+        g AS (SELECT doc_id, idx AS o, unnest([idx, idx + 1]) AS m, 'q1-1600' AS version FROM z WHERE idx % 3 = 0 UNION ALL SELECT doc_id, idx * 5 % c, idx, 'f1-1623' FROM z WHERE idx % 4 <> 3),
+        v AS (SELECT t.*, version FROM t, (VALUES ('q1-1600'), ('f1-1623')) x(version)),
+        h AS (SELECT DISTINCT v.doc_id, p, v.version, o FROM v JOIN g ON g.doc_id = v.doc_id AND g.version = v.version AND m BETWEEN p AND e WHERE NOT (p % 3 = 1 AND v.version LIKE 'f1-%')),
+        j AS (SELECT *, coalesce(o - lag(o) OVER w > 3, false)::INT AS b FROM h WINDOW w AS (PARTITION BY doc_id, p, version ORDER BY o)),
+        k AS (SELECT *, sum(b) OVER (PARTITION BY doc_id, p, version ORDER BY o) AS run FROM j),
+        s AS (SELECT doc_id, p, version, min(o) AS a, max(o) AS z FROM k WHERE run = 0 GROUP BY ALL)
+        SELECT v.doc_id, v.p AS passage, title, v.version, a::INT AS start_idx, s.z::INT AS end_idx, (length(l[s.z + 1]) + 1)::INT AS end_off, coalesce(array_to_string(list_transform(l[a + 1:s.z + 1], lambda x: '>' || x), chr(10)), '') AS text FROM v LEFT JOIN s ON s.doc_id = v.doc_id AND s.p = v.p AND s.version = v.version""",
 }

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kept import kept
 from ..operators import order, sequences
 
 # The dictionaries' abbreviations of works and of parts of speech, and misread ones.
@@ -127,11 +128,11 @@ def first_paragraphs(lines: DataFrame) -> DataFrame:
 
 def first_entries(lines: DataFrame) -> DataFrame:
     """``book``, ``entry``, ``headword``, ``part_of_speech``, ``body``."""
-    paragraphs = first_paragraphs(lines)
+    paragraphs = kept(first_paragraphs(lines))
     head = rf"^([A-Z][A-Za-z'’-]*)(?:{_S}*\([^)]*\))?{_S}*[,:]{_S}+(.*)$"
     named = paragraphs.select("book", "p", F.regexp_extract("text", head, 1).alias("headword"), F.regexp_extract("text", head, 2).alias("body"))
     named = named.where((F.col("headword") != "") & ~F.col("headword").isin(*FIRST_WORKS)).withColumn("key", F.regexp_replace(F.lower("headword"), "[^a-z]", ""))
-    starts = alphabetical(named, "book", "p", "key")
+    starts = kept(alphabetical(named, "book", "p", "key"))
     number = starts.select("book", "headword", F.row_number().over(Window.partitionBy("book").orderBy("p")).alias("entry"))
     listed = F.array_sort(F.collect_list(F.struct("p", "text")))
     bodies = _bodies(paragraphs, starts, "p", "text").groupBy("book", "entry").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "\n").alias("body"))
@@ -194,6 +195,7 @@ def first_citations(texts: DataFrame, by: Sequence[str], text: str = "text") ->
     rows = rows.withColumn("begins", F.col("num").isNotNull() & ~F.coalesce(goes_on, F.lit(False)))
     rows = rows.select("*", F.last(play, ignorenulls=True).over(w)["v"].alias("play"), F.last(part, ignorenulls=True).over(w)["v"].alias("part"), F.count_if(sets).over(w).alias("span"), F.last(F.when(sets, F.struct(act.alias("v"))), ignorenulls=True).over(w)["v"].alias("act"), F.count_if("begins").over(w).alias("list"))
     number = F.regexp_extract("num", r"^\d+", 0).cast("int")
+    rows = kept(rows)
     lists = rows.where("num is not null").groupBy(*by, "list").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", number.alias("v")))), lambda x: x["v"]).alias("numbers"), *[F.min_by(c, "t").alias(c) for c in ("play", "part", "span", "act")])
     # words stand in the list before them, and are quoted with the one behind
     quotes = rows.where("word is not null").groupBy(*by, (F.col("list") + 1).alias("list")).agg(F.regexp_replace(_joined(F.col("word")), r"[\s,;:.]+$", "").alias("quote"))
@@ -225,6 +227,7 @@ def second_noise(line: Column) -> Column:
 def second_entries(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``book``, ``entry``, ``headword``, ``part_of_speech``; and ``book``, ``entry``, ``n``, ``line`` of their bodies."""
     rows = lines.select("book", "n", _squeezed(F.col("line")).alias("line")).where((F.col("line") != "") & ~second_noise(F.col("line")))
+    rows = kept(rows)
     head = (
         r"^([A-Za-z][a-z'’-]*(?: [a-z][a-z'’-]*){0,2})[\d¹²³]?((?:\s*,\s*[a-z][a-z'’-]*[\d¹²³]?)*)"
         rf"\s*(?:({'|'.join(SECOND_PARTS)})\.\s*[\d'’¹²³]?)?(?:\s+occurs(?![A-Za-z0-9_])[^:]*(?=:))?\s*(:|\(|\{{|$)"
@@ -233,7 +236,7 @@ def second_entries(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = rows.where(F.col("line").rlike(head)).select("book", "n", got(1).alias("headword"), got(3).alias("pos"), got(4).alias("sep"), F.regexp_replace("line", head, "").alias("rest"))
     works = [w.replace(" ", "") for w in SECOND_WORKS]
     named = named.where(~F.regexp_replace("headword", r"[.\s]", "").isin(*works)).select("book", "n", "headword", _lookup(SECOND_PARTS, F.col("pos")).alias("part_of_speech"), F.regexp_replace(F.lower("headword"), "[^a-z]", "").alias("key"), F.concat(F.when(F.col("sep").isin("(", "{"), "(").when(F.col("sep") == ":", ": ").otherwise(""), "rest").alias("body"))
-    starts = alphabetical(named, "book", "n", "key")
+    starts = kept(alphabetical(named, "book", "n", "key"))
     number = F.row_number().over(Window.partitionBy("book").orderBy("n"))
     return starts.select("book", number.alias("entry"), "headword", "part_of_speech"), _bodies(rows, starts, "n", "line")
 
@@ -323,12 +326,12 @@ def second_senses(texts: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataF
     rows = rows.withColumn("cf", F.coalesce(F.col("word").rlike(r"(?i)^cf\.?$"), F.lit(False)))
     rows = rows.withColumn("ends", F.col("work").isNotNull() | F.col("section").isNotNull() | F.col("full") | F.col("semicolon").isNotNull() | F.col("cf"))
     none = lambda kind: F.struct(F.lit(None).cast(kind).alias("v"))
-    kept = lambda c: F.last(c, ignorenulls=True).over(w)["v"]
+    carried = lambda c: F.last(c, ignorenulls=True).over(w)["v"]
     play = F.when(F.col("work").isNotNull(), F.struct(F.regexp_replace("work", r"[.\s]", "").alias("v"))).when(F.col("section").isin("Chor", "Ind"), none("string"))
     in_section = F.when(F.col("section").isNotNull(), F.struct(F.col("set_part").alias("v"))).when(F.col("work").isNotNull() | F.col("full"), none("string"))
     place = F.when(F.col("full"), F.struct(F.struct(F.col("set_act").alias("act"), F.col("set_scene").alias("scene")).alias("v"))).when(F.col("work").isNotNull(), none("struct<act:int,scene:int>"))
     compares = F.when(F.col("cf"), F.struct(F.lit(True).alias("v"))).when(F.col("semicolon").isNotNull(), none("boolean"))
-    rows = rows.select("*", kept(play).alias("play"), kept(in_section).alias("part"), kept(place).alias("place"), F.coalesce(kept(compares), F.lit(False)).alias("compares"))
+    rows = rows.select("*", carried(play).alias("play"), carried(in_section).alias("part"), carried(place).alias("place"), F.coalesce(carried(compares), F.lit(False)).alias("compares"))
     # a lone number is one more line if only signs stand between it and the last token that ends a run of words
     more = F.col("num").isNotNull() & line(F.col("num")).isNotNull() & F.col("play").isNotNull() & (F.col("place.act").isNotNull() | F.col("part").isNotNull())
     rows = rows.withColumn("more", F.coalesce(more, F.lit(False))).withColumn("said", ~F.col("ends") & ~F.col("more") & (F.regexp_replace("whole", r"[,\s]", "") != "")).withColumn("stretch", F.count_if("ends").over(w))
@@ -346,6 +349,7 @@ def second_senses(texts: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataF
     events = events.withColumn("new", opens & (F.col("pending") != "") & ~F.col("pending").rlike(r"(?i)^cf(?![A-Za-z0-9_])"))
     events = events.withColumn("s", F.count_if("new").over(w)).withColumn("last_new", F.max(F.when(F.col("new"), F.col("event"))).over(w)).withColumn("cites", F.col("line").isNotNull())
     events = events.withColumn("good", F.col("cites") & F.col("play").isNotNull() & ~F.coalesce("compares", F.lit(False)) & (F.col("s") > 0)).withColumn("of", F.max(F.when(F.col("cites"), F.col("event"))).over(earlier))
+    events = kept(events)
     quotes = events.where(~F.col("new") & (F.col("pending") != "") & (F.coalesce("last_new", F.lit(0)) <= F.col("of"))).groupBy(*by, F.col("of").alias("event")).agg(F.max_by("pending", "event").alias("quote"))
     heads = texts.select(*by, "headword")
     told = events.where("good").join(quotes, [*by, "event"], "left").join(heads, by)
@@ -369,7 +373,7 @@ def _told(entries: DataFrame, senses: DataFrame, citations: DataFrame, keys: lis
 def first_dictionary(lines: DataFrame) -> DataFrame:
     """``book``, ``entry``, ``headword``, ``part_of_speech``, ``sense``, ``label``, ``gloss``, ``citations``: a row a sense, in order."""
     entries = first_entries(lines)
-    senses = first_senses(entries)
+    senses = kept(first_senses(entries))
     return _told(entries, senses, first_citations(senses, ["book", "entry", "sense"]), ["sense"])
 
 

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kept import kept
+
 MARKS = "array<struct<start:int,end:int,type:string>>"
 _BUILT = f"struct<text:string,marks:{MARKS},places:array<struct<id:string,at:int>>>"
 #: Stands for what could not be read.
@@ -160,6 +162,8 @@ def early_play(stream: DataFrame, title: str | None = None) -> DataFrame:
     base = F.col("body.level")
     own = (F.col("tag") == "div") & (F.col("level") == base + 1) & _attribute("type").isin("play", "text")
     rows = rows.withColumn("in_body", inside).withColumn("play", _counted(own & F.col("in_body"))).withColumn("in_play", _open(own) > 0)
+    rows = kept(rows)
+    paths = rows.select("path").distinct()
     several = F.max("play").over(Window.partitionBy("path")) > 0
     rows = rows.where("in_body").withColumn("several", several).where("in_play or not several").withColumn("level", F.col("level") - base - F.when(F.col("several"), 1).otherwise(0))
     if title is None:
@@ -172,10 +176,10 @@ def early_play(stream: DataFrame, title: str | None = None) -> DataFrame:
         heads = _said(heads.where("in_head and level <= 3"), ["path", "play", "head"], long_s(F.col("text")))
         order = F.row_number().over(Window.partitionBy("path", "play").orderBy("head"))
         chosen = heads.withColumn("turn", order).where(F.col("said").rlike(title) & (F.col("turn") <= 3)).groupBy("path").agg(F.min("play").alias("play"))
-    lost = stream.select("path").distinct().join(chosen, "path", "left_anti").limit(1).collect()
+    lost = paths.join(chosen, "path", "left_anti").limit(1).collect()
     if lost:
         raise ValueError(f"{lost[0]['path']}: no play matching {title}")
-    return rows.join(chosen.select("path", "play"), ["path", "play"]).select("path", "at", "event", "tag", "attributes", "text", "level", "begun")
+    return kept(rows.join(chosen.select("path", "play"), ["path", "play"]).select("path", "at", "event", "tag", "attributes", "text", "level", "begun"))
 
 
 def early_scenes(play: DataFrame) -> DataFrame:
@@ -196,7 +200,7 @@ def early_scenes(play: DataFrame) -> DataFrame:
     told = divs.join(spoken, [divs["path"] == spoken["path"], divs["at"] == spoken["div"]], "left").select(divs["*"], "speaks", "plain", "head").join(heads, ["path", "head"], "left").withColumnRenamed("said", "heading")
     kind = F.when(F.col("type").isin("epilogue", "prologue"), F.col("type")).when(F.col("heading").rlike(ACT), "act").when(F.col("heading").rlike(SCENE), "scene").when(F.col("type").isin("act", "scene"), F.col("type"))
     undivided = F.max(F.when((F.col("level") == 0) & F.col("plain"), True)).over(Window.partitionBy("path"))
-    told = told.withColumn("undivided", F.coalesce(undivided, F.lit(False))).withColumn("kind", F.when((F.col("level") == 2) & ~F.coalesce(kind.isin("scene", "epilogue", "prologue"), F.lit(False)), "scene").otherwise(kind))
+    told = kept(told.withColumn("undivided", F.coalesce(undivided, F.lit(False))).withColumn("kind", F.when((F.col("level") == 2) & ~F.coalesce(kind.isin("scene", "epilogue", "prologue"), F.lit(False)), "scene").otherwise(kind)))
     w = Window.partitionBy("path").orderBy("at")
     is_act = (F.col("level") == 1) & (F.col("kind") == "act")
     # an act of its own for a prologue or epilogue beside the acts
@@ -214,7 +218,8 @@ def early_scenes(play: DataFrame) -> DataFrame:
     whole = lone.select("path", F.col("at").alias("begun"), F.lit(1).alias("act"), F.lit(None).cast("string").alias("act_heading"), F.lit("scene").alias("kind"), F.lit(1).alias("no"), F.lit(None).cast("string").alias("heading"), F.lit(True).alias("editorial"))
     parts = scenes.select("path", F.col("at").alias("begun"), F.col("act").cast("int").alias("act"), F.col("group.heading").alias("act_heading"), "kind", F.col("no").cast("int").alias("no"), "heading", F.lit(False).alias("editorial"))
     key = F.when(F.col("kind") == "scene", F.concat(F.col("act").cast("string"), F.lit("."), F.col("no").cast("string"))).when(F.col("act").isNull(), F.col("kind")).otherwise(F.concat(F.col("act").cast("string"), F.lit("."), F.col("kind")))
-    return parts.unionByName(whole).withColumn("turn", F.row_number().over(Window.partitionBy("path").orderBy("begun")) - 1).withColumn("key", key)
+    told = parts.unionByName(whole).withColumn("turn", F.row_number().over(Window.partitionBy("path").orderBy("begun")) - 1).withColumn("key", key)
+    return kept(told)
 
 
 def early_nodes(play: DataFrame, scenes: DataFrame) -> DataFrame:
@@ -235,6 +240,7 @@ def early_nodes(play: DataFrame, scenes: DataFrame) -> DataFrame:
     skipped = _open(tags("note", "desc", "trailer", "speaker")) > 0
     quoted = _open(tags("sp", "lg", "floatingText")) > 0
     rows = rows.withColumn("skipped", skipped).withColumn("quoted", quoted)
+    rows = kept(rows)
     outside = rows.where("scene is null and event = 'start' and tag = 'pb'")
     rows = rows.where("scene is not null")
     stage = tags("stage") | (tags("head") & F.col("quoted"))
@@ -246,7 +252,8 @@ def early_nodes(play: DataFrame, scenes: DataFrame) -> DataFrame:
     ref = _attribute("ref")
     punc = (F.col("tag") == "g") & (ref == "char:punc")
     shown = (F.col("tag") == "g") & ref.isin(*GLYPHS)
-    rows = rows.withColumn("in_glyph", _open(punc | shown) > 0).withColumn("songs", _open((F.col("tag") == "lg") & (_attribute("type") == "song"))).withColumn("nos", F.struct("stage_no", "line_no"))
+    rows = rows.withColumn("in_glyph", _open(punc | shown) > 0).withColumn("songs", _open((F.col("tag") == "lg") & (_attribute("type") == "song")))
+    rows = kept(rows)
     is_hi = F.col("tag") == "hi"
     mark = F.when(_attribute("rend") == "sup", "sup").otherwise("italic")
     glyph = F.create_map(*[F.lit(x) for pair in GLYPHS.items() for x in pair])[ref]
@@ -270,7 +277,7 @@ def early_nodes(play: DataFrame, scenes: DataFrame) -> DataFrame:
     line_at = rows.where(begun_line).select("path", "line_no", "at", "scene", F.when(F.col("in_sp"), F.col("sp")).alias("sp"), F.when(F.col("tag") == "l", "verse").otherwise("prose").alias("form"))
     stage_at = rows.where(starts("stages", stage)).select("path", "stage_no", "at", "scene", F.when(F.col("in_sp"), F.col("sp")).alias("sp"), F.when(F.col("tag") == "head", "label").alias("sd_type"), F.when(in_line, F.col("line_no")).alias("line_no"))
     pages = lambda: F.transform(F.filter("places", lambda p: p["id"].startswith("p")), lambda p: F.struct(F.substring_index(p["id"], " ", -1).alias("page"), p["at"].alias("offset")))
-    lines = line_at.join(lines, ["path", "line_no"])
+    lines = kept(line_at.join(lines, ["path", "line_no"]))
     stages = stage_at.join(stages, ["path", "stage_no"], "left").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("marks", F.coalesce("marks", F.array().cast(MARKS)))
     offsets = lines.select("path", "line_no", F.length("text").alias("size"), F.col("at").alias("line_at"), F.explode("places").alias("p")).where(F.col("p.id").startswith("s")).select("path", F.substring("p.id", 2, 20).cast("long").alias("stage_no"), "size", "line_at", F.col("p.at").alias("offset"))
     stages = stages.join(offsets, ["path", "stage_no"], "left")
@@ -279,7 +286,7 @@ def early_nodes(play: DataFrame, scenes: DataFrame) -> DataFrame:
         stages.select("path", "scene", "sp", place.alias("place"), F.lit("sd").alias("kind"), "text", "marks", F.lit(None).cast("string").alias("form"), "sd_type", F.when((F.col("offset") > 0) & (F.col("offset") < F.col("size")), F.col("offset")).alias("inline_at"), F.when(F.col("places").isNotNull(), pages()).alias("pages"))
     )
     flow = Window.partitionBy("path").orderBy("place")
-    told = told.withColumn("idx", F.row_number().over(flow) - 1)
+    told = kept(told.withColumn("idx", F.row_number().over(flow) - 1))
     # breaks between nodes go to the next node
     loose_at = ["path", "at", "attributes"]
     breaks = rows.where(f"{_START} and tag = 'pb' and stages = 0 and lines = 0").select(*loose_at).unionByName(outside.select(*loose_at)).where(_attribute("n").isNotNull()).select("path", F.col("at").alias("pb"), _attribute("n").alias("page"))
@@ -366,6 +373,7 @@ def modern_nodes(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
     for name in ("song", "italic", "foreign"):
         rows = rows.withColumn(f"in_{name}", _open(mark == name) if name != "italic" else _open((mark == name) & (F.col("token") == 0)))
     rows = rows.withColumn("quotes", _open(quote & ~F.col("skipped") & (F.col("stages") == 0)))
+    rows = kept(rows)
     in_token = F.col("token") > 0
     outer = tags("w", "c", "pc") & (F.col("token") == 1)
     spot = lambda side: F.concat(F.lit(side), _attribute("id"))
@@ -399,13 +407,14 @@ def modern_nodes(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
     part = F.when(before & after, "medial").when(after, "initial").when(before, "final")
     line_at = rows.where("mile").select("path", "line_no", *where, _attribute("id").alias("id"), form.alias("form"), part.alias("part"), _attribute("n").alias("n"))
     lines = line_at.join(lines, ["path", "line_no"]).join(word_n, ["path", "line_no"], "left").withColumn("n", F.coalesce("n", "word_n"))
+    lines = kept(lines)
     sd_type = F.when(F.col("tag") == "label", "label").otherwise(_attribute("type"))
     stages = rows.where(F.col("stage") & ~F.col("skipped")).select("path", "stage_no", *where, _attribute("id").alias("id"), sd_type.alias("sd_type")).join(stages, ["path", "stage_no"])
     offsets = lines.select("path", F.length("text").alias("size"), F.col("at").alias("line_at"), F.explode("places").alias("p")).where(F.col("p.id").startswith("s")).select("path", F.substring("p.id", 2, 20).cast("long").alias("stage_no"), "size", "line_at", F.col("p.at").alias("offset"))
     stages = stages.join(offsets, ["path", "stage_no"], "left")
     stages = stages.withColumn("place", F.struct(F.coalesce("line_at", "at").alias("a"), F.when(F.col("offset") == 0, -1).when(F.col("offset") > 0, 1).otherwise(0).alias("b"), F.col("at").alias("c"))).withColumn("inline_at", F.when((F.col("offset") > 0) & (F.col("offset") < F.col("size")), F.col("offset")))
     lines = lines.withColumn("place", F.struct(F.col("at").alias("a"), F.lit(0).alias("b"), F.col("at").alias("c")))
-    both = lines.withColumn("kind", F.lit("line")).unionByName(stages.withColumn("kind", F.lit("sd")), allowMissingColumns=True)
+    both = kept(lines.withColumn("kind", F.lit("line")).unionByName(stages.withColumn("kind", F.lit("sd")), allowMissingColumns=True))
     who = rows.where((F.col("tag") == "sp") & _is("start")).select("path", "sp", F.transform(F.filter(F.split(F.coalesce(_attribute("who"), F.lit("")), r"\s+"), lambda p: p != ""), character_id).alias("speakers"))
     labels = _said(rows.withColumn("_in", _open(tags("speaker")) > 0).where("_in"), ["path", "sp"], F.col("text")).withColumnRenamed("said", "label")
     kind = F.when(F.col("type") == "chorus", "prologue").when((F.col("type") == "act") & F.col("act").isNotNull(), "scene").otherwise(F.col("type"))
