@@ -143,7 +143,12 @@ def align_blocks(nodes: DataFrame, by: list[str]) -> DataFrame:
         out = [(o, m, "same" if equivalent(spoken("orig", o), spoken("modern", m)) else "variant") for o, m in entries]
         used = ({n for o, _ in entries for n in o}, {n for _, m in entries for n in m})
         out += [([n], [], "orig-only") for n in words["orig"] if n not in used[0]] + [([], [n], "modern-only") for n in words["modern"] if n not in used[1]]
-        out.sort(key=lambda e: (e[1][0] if e[1] else -1 if not e[0] else max([m[-1] for o, m, _ in out if m and o and o[-1] < e[0][0]], default=-1), e[0][0] if e[0] else -1))
+        # in the original's order; what is modern alone stands before the first aligned entry that goes on behind it
+        met = sorted((m[0], o[0]) for o, m in entries)
+        follows = [m for m, _ in met]
+        end = max([*words["orig"], *[o for _, o in met]], default=0) + 1
+        behind = lambda j: [*[o for _, o in met], end][bisect_right(follows, j)]
+        out.sort(key=lambda e: (e[0][0], 1, 0) if e[0] else (behind(e[1][0]), 0, e[1][0]))
         return pd.DataFrame([{**{b: rows[b].iloc[0] for b in by}, "entry": k, "orig": o, "modern": m, "relation": r} for k, (o, m, r) in enumerate(out)], columns=[*by, "entry", "orig", "modern", "relation"])
 
     return nodes.groupBy(*by).applyInPandas(of, f"{key_schema}, entry int, orig array<int>, modern array<int>, relation string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.kept import kept
-from ..operators import anchors, compare, divisions, order, refind, variants
+from ..operators import aligned, anchors, compare, divisions, order, refind, variants
 from .queries import _KEYS, _grams
 
 
@@ -154,13 +154,54 @@ def seeded_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.join(titles, ["doc_id", "passage"]).select("doc_id", "passage", "title", "version", "start_idx", "end_idx", "end_off", "text")
 
 
-QUERIES = {f.__name__: f for f in (refound_anchors, text_positions, compared_rows, word_differences, word_places, node_ranges, scene_pieces, scene_labels, reordered_scenes, seeded_variants)}
+def aligned_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document in four scenes against itself without every fifth line and with the later scenes first."""
+    blocks = _blocks(spark, sf_dir)
+    rows = blocks.select("doc_id", "quarter", F.col("n").alias("idx"), F.lit("line").alias("kind"), F.col("words").alias("keys"))
+    modern = rows.withColumnRenamed("quarter", "turn")
+    turned = rows.where("idx % 5 <> 3").withColumn("turn", (F.col("quarter") + 2) % 4)
+    orig = turned.withColumn("idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("turn", "idx")) - 1).drop("quarter")
+    scenes = lambda rows, no: rows.select("doc_id", "turn").distinct().select("doc_id", "turn", F.lit(1).alias("act"), F.lit("scene").alias("kind"), no.cast("int").alias("no"))
+    return aligned.versions(orig, modern, scenes(orig, (F.col("turn") + 2) % 4), scenes(modern, F.col("turn")), "doc_id")
+
+
+def applied_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, _, mine, _ = _versions(spark, sf_dir)
+    modern = left.select("doc_id", "idx", F.lit("line").alias("kind"), F.when(F.col("idx") % 3 != 1, F.concat(F.lit("1."), F.col("idx").cast("string"))).alias("number"))
+    orig = left.select("doc_id", "idx", F.when(F.col("idx") % 7 == 6, "sd").otherwise("line").alias("kind"))
+    return aligned.numbers(orig, modern, mine, "doc_id")
+
+
+def label_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as speeches under four labels, some without, spoken by whom the first letters of their counterparts name."""
+    left, _, mine, _ = _versions(spark, sf_dir)
+    label = F.when(F.col("idx") % 7 == 6, "").otherwise(F.concat(F.lit("S"), F.translate((F.col("idx") % 4).cast("string"), "0123", "abcd"), F.lit(".")))
+    speeches = left.select("doc_id", F.col("idx").alias("speech"), label.alias("label"), "idx")
+    first = F.regexp_extract(F.lower("text"), "[a-z]", 0)
+    voices = left.select("doc_id", "idx", F.when(first != "", F.array(first)).otherwise(F.array().cast("array<string>")).alias("speakers"))
+    told = aligned.speakers(speeches, voices, mine, "doc_id")
+    return told.select("doc_id", "speech", F.array_join("speakers", " ").alias("speakers"))
+
+
+QUERIES = {f.__name__: f for f in (refound_anchors, text_positions, compared_rows, word_differences, word_places, node_ranges, scene_pieces, scene_labels, reordered_scenes, seeded_variants, aligned_versions, applied_numbers, label_speakers)}
 
 _NODES = "d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), n AS (SELECT doc_id, l, text AS whole, unnest(l) AS text, (generate_subscripts(l, 1) - 1)::INT AS idx FROM d), f AS (SELECT *, (coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS b FROM n)"
 _QUARTERS = f"{_NODES}, z AS (SELECT doc_id, idx, text, floor(idx * 4 / len(l))::INT AS quarter FROM f)"
 _COUNTED = f"c AS (WITH t AS (SELECT doc_id * 100000 + idx AS id, text FROM z), {_KEYS} SELECT id, count(*) AS m FROM keys GROUP BY id), b AS (SELECT doc_id, idx, coalesce(m, 0) AS m, (coalesce(sum(coalesce(m, 0)) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS st FROM z LEFT JOIN c ON id = doc_id * 100000 + idx)"
 _NEXT = lambda k: f"e{k} AS (SELECT e.doc_id, arg_min(b.idx, (abs(st - pr) + CASE WHEN b.idx % 4 = 0 THEN 0 ELSE 40 END, b.idx)) AS at FROM e{k - 1} e JOIN pr USING (doc_id) JOIN b ON b.doc_id = e.doc_id AND b.idx > e.at WHERE pr.k = {k} GROUP BY e.doc_id)"
+_MINE = "z AS (SELECT doc_id, idx, text, len(l) AS c FROM f), e AS (SELECT doc_id, idx // 2 AS e, idx, c FROM z WHERE idx // 2 % 5 <> 4), m AS (SELECT doc_id, e, idx AS m, idx % 2 AS i FROM e UNION ALL SELECT DISTINCT doc_id, e, e * 2 + 5, 2 FROM e WHERE e % 4 = 1 AND e * 2 + 5 < c)"
 ORACLE = {
+    "applied_numbers": f"""WITH {_NODES}, {_MINE},
+        o AS (SELECT doc_id, e, idx, row_number() OVER (PARTITION BY doc_id, e ORDER BY idx) AS i, count(*) OVER (PARTITION BY doc_id, e) AS k FROM e WHERE idx % 7 <> 6),
+        n AS (SELECT doc_id, e, '1.' || m AS number, row_number() OVER (PARTITION BY doc_id, e ORDER BY i) AS i, count(*) OVER (PARTITION BY doc_id, e) AS k FROM m WHERE m % 3 <> 1),
+        p AS (SELECT o.doc_id, o.e, o.i, idx, number FROM o JOIN n ON o.doc_id = n.doc_id AND o.e = n.e AND o.i = n.i WHERE o.k = n.k OR o.i = 1)
+        SELECT doc_id, arg_min(idx, (e, i))::INT AS idx, number FROM p GROUP BY doc_id, number""",
+    "label_speakers": f"""WITH {_NODES}, {_MINE},
+        s AS (SELECT doc_id, idx, CASE WHEN idx % 7 = 6 THEN '#' || idx ELSE 's' || translate((idx % 4)::VARCHAR, '0123', 'abcd') END AS asks FROM z),
+        v AS (SELECT s.doc_id, asks, regexp_extract(lower(z.text), '[a-z]') AS who FROM s JOIN e ON s.doc_id = e.doc_id AND s.idx = e.idx JOIN m ON m.doc_id = e.doc_id AND m.e = e.e JOIN z ON z.doc_id = m.doc_id AND z.idx = m.m),
+        w AS (SELECT doc_id, asks, who, count(*) AS n FROM v WHERE who <> '' GROUP BY ALL),
+        b AS (SELECT doc_id, asks, arg_min(who, (-n, who)) AS who FROM w GROUP BY ALL)
+        SELECT s.doc_id, s.idx AS speech, coalesce(who, '') AS speakers FROM s LEFT JOIN b ON s.doc_id = b.doc_id AND s.asks = b.asks""",
     "scene_pieces": f"""WITH {_QUARTERS}, {_COUNTED},
         q AS (SELECT doc_id, quarter, row_number() OVER (PARTITION BY doc_id ORDER BY quarter) - 1 AS k FROM (SELECT DISTINCT doc_id, quarter FROM z)),
         ms AS (SELECT z.doc_id, k, sum(CASE WHEN z.idx % 5 <> 3 THEN m ELSE 0 END) AS m FROM z JOIN q USING (doc_id, quarter) JOIN b ON b.doc_id = z.doc_id AND b.idx = z.idx GROUP BY ALL),
