@@ -39,6 +39,18 @@ def saved(notes: DataFrame, edits: DataFrame, content: list[str], id_col: str =
     return met.withColumns(put).select(*notes.columns)
 
 
+def snapshot(notes: DataFrame, touched: DataFrame, id_col: str = "id") -> DataFrame:
+    """Notes as they are now, so that an edit session can be undone: ``id_col`` and ``record``, null for ids that are made in it."""
+    columns = F.struct(*notes.columns).alias("record")
+    return touched.select(id_col).distinct().join(notes.select(id_col, columns), id_col, "left")
+
+
+def put_back(notes: DataFrame, shot: DataFrame, id_col: str = "id") -> DataFrame:
+    """``notes`` with every note of a ``snapshot`` as it was; those made since are gone, and others stay."""
+    others = notes.join(shot.select(id_col), id_col, "left_anti").select(*notes.columns)
+    return others.unionByName(shot.where("record is not null").select("record.*").select(*notes.columns))
+
+
 def tombstones(notes: DataFrame, gone: DataFrame, id_col: str = "id") -> DataFrame:
     """The ids of imported notes that are deleted: what an import must not bring back. Own notes leave none."""
     return notes.where("not own").join(gone.select(id_col).distinct(), id_col, "left_semi").select(id_col)

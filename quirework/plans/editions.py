@@ -193,8 +193,8 @@ _MINE = "z AS (SELECT doc_id, idx, text, len(l) AS c FROM f), e AS (SELECT doc_i
 ORACLE = {
     "applied_numbers": f"""WITH {_NODES}, {_MINE},
         o AS (SELECT doc_id, e, idx, row_number() OVER (PARTITION BY doc_id, e ORDER BY idx) AS i, count(*) OVER (PARTITION BY doc_id, e) AS k FROM e WHERE idx % 7 <> 6),
-        n AS (SELECT doc_id, e, '1.' || m AS number, row_number() OVER (PARTITION BY doc_id, e ORDER BY i) AS i, count(*) OVER (PARTITION BY doc_id, e) AS k FROM m WHERE m % 3 <> 1),
-        p AS (SELECT o.doc_id, o.e, o.i, idx, number FROM o JOIN n ON o.doc_id = n.doc_id AND o.e = n.e AND o.i = n.i WHERE o.k = n.k OR o.i = 1)
+        gn AS (SELECT doc_id, e, '1.' || m AS number, row_number() OVER (PARTITION BY doc_id, e ORDER BY i) AS i, count(*) OVER (PARTITION BY doc_id, e) AS k FROM m WHERE m % 3 <> 1),
+        p AS (SELECT o.doc_id, o.e, o.i, idx, number FROM o JOIN gn ON o.doc_id = gn.doc_id AND o.e = gn.e AND o.i = gn.i WHERE o.k = gn.k OR o.i = 1)
         SELECT doc_id, arg_min(idx, (e, i))::INT AS idx, number FROM p GROUP BY doc_id, number""",
     "label_speakers": f"""WITH {_NODES}, {_MINE},
         s AS (SELECT doc_id, idx, CASE WHEN idx % 7 = 6 THEN '#' || idx ELSE 's' || translate((idx % 4)::VARCHAR, '0123', 'abcd') END AS asks FROM z),

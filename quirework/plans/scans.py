@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import order
-from ..sources import dictionaries, editions, markup
+from ..sources import archives, dictionaries, editions, markup
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,20 @@ def early_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("path", "idx", "kind", "text", "form", "speech", "label", spans.alias("marks"), F.array_join(F.transform("pages", lambda p: F.concat_ws(" ", p["page"], p["offset"])), ",").alias("pages"))
 
 
-QUERIES = {f.__name__: f for f in (dictionary_citations, early_nodes)}
+def archived_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a collection of definitions, a line each, written to an archive and read back; some without id or place, long ones rejected."""
+    lines = _lines(spark, sf_dir).withColumn("path", F.col("doc_id").cast("string"))
+    end = lambda off: F.struct(F.concat(F.lit("l"), F.col("n").cast("string")).alias("nodeId"), off.alias("offset"))
+    anchor = F.struct(end(F.lit(0)).alias("start"), end(F.when(F.col("n") % 7 == 5, -1).otherwise(F.length("line"))).alias("end"), F.struct(F.concat(F.lit("w"), "line").alias("exact"), F.lit("").alias("prefix"), F.lit("").alias("suffix")).alias("quote"), F.lit("r").alias("revision"))
+    record = F.struct(F.when(F.col("n") % 10 == 9, "").otherwise(F.concat_ws("-", "path", "n")).alias("id"), F.lit("v").alias("versionId"), anchor.alias("anchor"), F.lit("").alias("createdAt"), F.lit("").alias("updatedAt"), F.col("line").alias("meaning"))
+    records = lines.select("path", F.lit("definitions").alias("kind"), "n", F.to_json(record).alias("record"))
+    collections = lines.select("path").distinct().select("path", F.lit("p").alias("play"), F.concat(F.lit("No. "), "path").alias("collection"), F.lit("").alias("exported_at"), F.create_map(F.lit("v"), F.lit("r")).alias("versions"))
+    told, read = archives.read(archives.written(collections, records), archives.Layout(meaning=1_000))
+    meaning = F.get_json_object("record", "$.meaning")
+    return read.join(told.select("path", "collection", "whole"), "path").select("path", "collection", "whole", "n", "reason", F.length(meaning).alias("size"))
+
+
+QUERIES = {f.__name__: f for f in (dictionary_citations, early_nodes, archived_notes)}
 
 ORACLE = {
     "dictionary_citations": """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS n FROM documents),
@@ -68,4 +81,7 @@ ORACLE = {
         k AS (SELECT doc_id, n, 0 AS k, 'line' AS kind, a || ' ' || w[2] || ' ' || w[3] AS text, 'verse' AS form, speech, w, (CASE WHEN n % 7 = 0 THEN length(a) - 1 || ' ' || length(a) || ' gap,' ELSE '' END) || (length(a) + 2 + length(w[2])) || ' ' || (length(a) + 2 + length(w[2]) + length(w[3])) || ' italic' AS marks, CASE WHEN n % 5 = 0 THEN n || ' 0' ELSE '' END AS pages FROM s
             UNION ALL SELECT doc_id, n, 1, 'sd', 'Exit.', NULL, speech, w, '', '' FROM s WHERE n % 4 = 0)
         SELECT doc_id::VARCHAR AS path, (row_number() OVER (PARTITION BY doc_id ORDER BY n, k) - 1)::INT AS idx, kind, text, form, speech::INT AS speech, upper(w[1][1]) || w[1][2:] || '.' AS label, marks, pages FROM k""",
+    "archived_notes": """WITH l AS (SELECT doc_id::VARCHAR AS path, unnest(string_split(coalesce(text, ''), chr(10))) AS line, (generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1)::INT AS n FROM documents),
+        r AS (SELECT *, CASE WHEN n % 10 = 9 THEN 'id' WHEN n % 7 = 5 THEN 'anchor.end' WHEN length(line) > 1000 THEN 'too long' END AS reason FROM l)
+        SELECT path, 'No. ' || path AS collection, count(reason) OVER (PARTITION BY path) = 0 AS whole, n, reason, length(line)::INT AS size FROM r""",
 }
