@@ -15,7 +15,8 @@ so training alternates: units of toxic documents count as toxic while they score
 more than elsewhere, against all other units of the clean documents' sentences (multiple-instance
 SVM). A unit counts once for each pair of neighbours that it has, whatever documents repeat them, so copies
 of a document add nothing. The toxic landmarks are all pieces of units that are told from clean ones by more
-than chance among as many pieces, save pieces much like one before; the clean landmarks are as many clean
+than chance among as many pieces, save pieces much like one before, and, where insults are too many to be
+told one by one, units that only toxic contexts have and chance hardly gives (``rare``); the clean landmarks are as many clean
 units, those most like insults. A logistic curve turns the highest score in a document into a probability.
 
 Whole texts are read. Null and empty texts have no units and score at the floor, below which no unit
@@ -267,6 +268,33 @@ def stems(pos: Counter, neg: Counter, decay: float) -> list[str]:
     return chosen
 
 
+def rare(pos: Counter, neg: Counter, chosen: list[str], decay: float, share: float = 0.02, fewest: int = 20, most: int = 2_000) -> list[str]:
+    """Units that only toxic contexts have, where hardly any are to be expected by chance: insults too many to be told one by one.
+
+    By chance as many units are in toxic contexts alone as in clean ones alone, for as many contexts. So the
+    units taken are those of at least as many uses as leave at most ``share`` times as many clean ones. None is
+    much like one of ``chosen`` or one before, and they are at most ``most``; with under ``fewest`` of them there are none.
+    """
+    n1, n0 = sum(pos.values()), sum(neg.values())
+    own = {u: n for u, n in pos.items() if not neg[u] and len(u) > 4}
+    by_chance = np.sort([n * n1 / n0 for u, n in neg.items() if not pos[u] and len(u) > 4])
+    uses = np.sort(list(own.values()))
+    for k in np.unique(uses):
+        held = len(uses) - int(np.searchsorted(uses, k))
+        if held >= fewest and len(by_chance) - int(np.searchsorted(by_chance, k)) <= share * held:
+            break
+    else:
+        return []
+    left, found = sorted((u for u, n in own.items() if n >= k), key=lambda u: (-own[u], -len(u), u)), []
+    unlike = lambda c, units: [u for u, v in zip(units, features(units, [c], decay)[:, 0], strict=True) if v <= 0.5 and c not in u]
+    for c in chosen:
+        left = unlike(c, left) if left else left
+    while left and len(found) < most:
+        found.append(left[0])
+        left = unlike(left[0], left[1:]) if left[1:] else []
+    return found
+
+
 def train(documents: list[tuple[str, int]], decay: float = 0.9, rounds: int = 4, near: int = 20_000) -> Model | None:
     """A model from (text, label) pairs; None without both labels or any telling unit.
 
@@ -287,6 +315,7 @@ def train(documents: list[tuple[str, int]], decay: float = 0.9, rounds: int = 4,
         for u, n in of.items():
             whole[v][marked(u)] += n
     telling = stems(whole[1], whole[0], decay) if n1 and n0 else []
+    telling += rare(whole[1], whole[0], telling, decay) if n1 and n0 else []
     if not telling:
         return None
     units = sorted({w for text, _ in documents for t in tokens(text) for w in windows(t)})
