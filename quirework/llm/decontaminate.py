@@ -4,8 +4,9 @@ Words are maximal runs of letters and digits, lower-cased. A mask names the offs
 that are hashed and ignores those between. The mask below hits every 13-word window in which at most two
 words were substituted, and every item of 10 to 12 words in which at most one was (a test tries all
 placements), so no such overlap is missed. Seeds of benchmark items and of documents are joined by hash,
-without the texts; only the documents and items that hit are then joined back, and their words compared
-around each hit, without gaps. An overlap is a window of 13 item words of which 11 or more agree. Items of
+without the texts; only the documents that hit are then joined back, and the words about each hit compared
+with the item's, without gaps. Hits with the same words about them are one, so the work grows with a text's
+length however often it repeats itself. An overlap is a window of 13 item words of which 11 or more agree. Items of
 10 to 12 words may have one word substituted, items of 5 to 9 must occur whole (below 8 words by a mask of
 their whole length), and shorter items must be all that a document says.
 
@@ -25,6 +26,8 @@ from .common import cut, fresh, small
 MASKS = ((0, 1, 3, 6, 7),)
 WINDOW, AGREE, ONE_OFF, ALONE = 13, 11, 10, 5
 _SPAN = 8
+#: Words of a window before the mask that it holds, at most.
+_AHEAD = WINDOW - _SPAN
 _BROADCAST = 1_000_000
 
 
@@ -34,8 +37,8 @@ def hashed_words(text: Column) -> Column:
     return F.transform(tokens, lambda w: F.xxhash64(w))
 
 
-def seeds(h: Column, short: list[int], item: bool = False) -> Column:
-    """``(at, seed)`` for every mask at every place of an array of word hashes.
+def seeds(h: Column, short: list[int], item: bool = False, beside: bool = False) -> Column:
+    """``(at, seed)`` for every mask at every place of an array of word hashes, with ``near``, the words about it, if ``beside``.
 
     ``short`` has the lengths below the mask's span that items have; those are masks of whole runs. An
     item only has the seeds of its own length, and items below ``ALONE`` words only meet texts as short.
@@ -44,22 +47,29 @@ def seeds(h: Column, short: list[int], item: bool = False) -> Column:
     def of(n: int, mask: tuple[int, ...], able: Column) -> Column:
         last = F.size(h) - (mask[-1] + 1)
         places = F.when((last >= 0) & able, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(n), *[F.get(h, i + k) for k in mask]).alias("seed")))
+        near = lambda i: [about(h, i).alias("near")] if beside else []
+        return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(n), *[F.get(h, i + k) for k in mask]).alias("seed"), *near(i)))
 
     whole = [of(-m, tuple(range(m)), F.size(h) == m if item or m < ALONE else F.lit(True)) for m in short]
     return F.concat(*[of(n, mask, F.lit(True)) for n, mask in enumerate(MASKS)], *whole)
 
 
-def overlap_starts(h: Column, g: Column, diagonal: Column, hits: Column) -> Column:
-    """First item words of the agreeing windows within a window's reach of a diagonal's hits (places in the item)."""
+def about(h: Column, at: Column) -> Column:
+    """The words that a window with a mask at ``at`` may hold, as far as there are any: from ``_AHEAD`` before it on, nulls beyond the ends."""
+    none = F.lit(None).cast("bigint")
+    begin = F.greatest(at - _AHEAD, F.lit(0))
+    end = F.least(at + WINDOW, F.size(h))
+    return F.concat(F.array_repeat(none, begin - (at - _AHEAD)), F.slice(h, begin + 1, end - begin), F.array_repeat(none, at + WINDOW - end))
+
+
+def agreeing_starts(near: Column, g: Column, at: Column) -> Column:
+    """First item words of the agreeing windows that hold a hit at the item's place ``at``, by the words about both places."""
     m = F.size(g)
-    wide = F.least(F.lit(WINDOW), m)
-    need = F.when(m >= WINDOW, F.lit(AGREE)).when(m >= ONE_OFF, m - 1).otherwise(m)
-    low, high = F.greatest(F.lit(0), F.array_min(hits) - WINDOW), F.least(m - 1, F.array_max(hits) + 2 * WINDOW)
-    agree = F.transform(F.sequence(low, high), lambda j: F.coalesce((F.get(g, j) == F.when(j + diagonal >= 0, F.get(h, j + diagonal))).cast("int"), F.lit(0)))
-    of = lambda s: F.aggregate(F.slice(agree, s - low + 1, wide), F.lit(0), lambda a, x: a + x)
-    starts = F.filter(F.sequence(low, F.greatest(low, high - wide + 1)), lambda s: of(s) >= need)
-    return starts
+    agree = F.zip_with(near, about(g, at), lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0)))
+    of = lambda first, wide: F.aggregate(F.slice(agree, first, wide), F.lit(0), lambda a, x: a + x)
+    whole = F.when(of(F.greatest(_AHEAD + 1 - at, F.lit(1)), m) >= F.when(m >= ONE_OFF, m - 1).otherwise(m), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(F.sequence(F.greatest(at - _AHEAD, F.lit(0)), F.least(at, F.greatest(m - WINDOW, F.lit(0)))), lambda s: of(s - at + _AHEAD + 1, F.lit(WINDOW)) >= AGREE)
+    return F.when(m < WINDOW, whole).otherwise(starts)
 
 
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", most: int = _BROADCAST) -> DataFrame:
@@ -68,19 +78,22 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     known = cut(known)
     short = sorted(r[0] for r in known.select(F.size("g")).where(F.size("g") < _SPAN).distinct().collect())  # at most seven lengths
     hooks = cut(known.select("item", "item_hash", F.inline(seeds(F.col("g"), short, item=True))).withColumnRenamed("at", "item_at").distinct())
+    few = small(hooks, most)
+    wanted = hooks.select("seed").distinct()
+    wanted = F.broadcast(wanted) if few else wanted
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), hashed_words(F.col(text_col)).alias("h"))
-    placed = rows.where(F.size("h") > 0).select("id", "text_hash", F.inline(seeds(F.col("h"), short)))
-    hits = placed.join(F.broadcast(hooks) if small(hooks, most) else hooks, "seed")
-    hits = cut(hits.groupBy("id", "text_hash", "item", "item_hash", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.collect_set("item_at").alias("hits")))
-    some = hits.select(F.col("id").alias("k"), F.col("text_hash").alias("k_hash")).distinct()
+    placed = rows.where(F.size("h") > 0).select("id", "text_hash", F.explode(F.transform(seeds(F.col("h"), short), lambda s: s["seed"])).alias("seed"))
+    some = cut(placed.join(wanted, "seed", "left_semi").select(F.col("id").alias("k"), F.col("text_hash").alias("k_hash")).distinct())
     some = F.broadcast(some) if small(some, most) else some
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    texts = texts.join(some, (F.col("text_hash") == F.col("k_hash")) & F.col("id").eqNullSafe(F.col("k"))).select("k", "k_hash", hashed_words(F.col("text")).alias("h")).dropDuplicates(["k", "k_hash"])
+    texts = texts.join(some, (F.col("text_hash") == F.col("k_hash")) & F.col("id").eqNullSafe(F.col("k"))).select("id", "text_hash", hashed_words(F.col("text")).alias("h"))
+    # places alike in all the words about them are one, so that a text that repeats itself has no more of them than it has words
+    places = texts.select("id", "text_hash", F.inline(seeds(F.col("h"), short, beside=True))).join(wanted, "seed", "left_semi").select("id", "text_hash", "seed", "near").distinct()
     whole = known.select(F.col("item").alias("i"), F.col("item_hash").alias("i_hash"), "g")
-    met = hits.join(F.broadcast(whole) if small(whole, most // 100) else whole, F.col("item").eqNullSafe(F.col("i")) & (F.col("item_hash") == F.col("i_hash")))
-    met = met.join(texts, F.col("id").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("k_hash")))
-    verified = met.select("id", "text_hash", "item", "item_hash", F.size("g").alias("m"), overlap_starts(F.col("h"), F.col("g"), F.col("diagonal"), F.col("hits")).alias("starts")).where(F.size("starts") > 0)
-    together = verified.groupBy("id", "text_hash", "item", "item_hash", "m").agg(F.array_distinct(F.flatten(F.collect_set("starts"))).alias("starts"))
+    met = places.join(F.broadcast(hooks) if few else hooks, "seed")
+    met = met.join(F.broadcast(whole) if small(whole, most // 100) else whole, F.col("item").eqNullSafe(F.col("i")) & (F.col("item_hash") == F.col("i_hash")))
+    verified = met.select("id", "text_hash", "item", "item_hash", F.size("g").alias("m"), F.explode(agreeing_starts(F.col("near"), F.col("g"), F.col("item_at"))).alias("start")).distinct()
+    together = verified.groupBy("id", "text_hash", "item", "item_hash", "m").agg(F.collect_set("start").alias("starts"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.least(F.lit(WINDOW), F.col("m")) - 1)))))
     return together.select(F.col("id").alias(id_col), "text_hash", F.col("item").alias(item_col), F.col("m").alias("item_words"), covered.alias("covered"))
 

@@ -202,3 +202,36 @@ def test_an_unchanged_row_is_verified_and_a_changed_one_is_not(spark):
     got = queries.op13_manifest(spark, SF).collect()
     changed = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if crc32(str(r.doc_id).encode()) % 5 == 0 and re.search("[A-Z]", r.text or "")}
     assert {r.doc_id for r in got if not r.verified} == changed
+
+
+def test_decontamination_of_texts_that_repeat_themselves(spark):
+    """A word, or a phrase, said 50,000 times meets items of that word in time that grows with the text."""
+    from quirework.llm import decontaminate
+
+    phrase = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, "word " * 50_000), (2, f"{phrase} " * 8_000), (3, "word " * 12), (4, "other " * 50_000), (5, f"so {phrase} it goes")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "word " * 100), (2, f"{phrase} " * 10), (3, "word " * 5 + "thing " * 20)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.covered for r in decontaminate.overlaps(docs, items).collect()}
+    assert got == {(1, 1): 100, (2, 2): 70, (3, 1): 100}  # 12 words are enough of a window of 13
+
+
+@pytest.mark.parametrize("insults", [40, 80, 160, 400])
+def test_toxicity_learns_however_wide_the_lexicon(insults):
+    from quirework.llm import toxicity
+
+    draw = random.Random(5)
+    word = lambda letters, lo, hi: "".join(draw.choice(letters) for _ in range(draw.randrange(lo, hi)))
+    clean, bad = [word("nrtaeosl", 3, 8) for _ in range(2000)], [word("bcdfgiklmopquvwxyz", 4, 10) for _ in range(insults)]
+    text = lambda extra: " ".join([*draw.sample(clean, 20), *extra, *draw.sample(clean, 15)])
+    model = toxicity.train([(text([bad[i % insults]]), 1) for i in range(1000)] + [(text([]), 0) for _ in range(1200)])
+    told = lambda texts: model.probability(toxicity._Scores(model).documents(texts)) >= 0.5
+    assert told([text([w]) for w in bad]).mean() >= 0.9 and told([text([]) for _ in range(400)]).mean() <= 0.02
+
+
+def test_rare_words_of_chance_are_no_insults():
+    """Where clean and toxic texts have as many words of their own, none of them is taken."""
+    from quirework.llm import toxicity
+
+    draw = random.Random(6)
+    own = {v: Counter(f"^{draw.randrange(10**6):06d}{v}$" for _ in range(3000)) for v in "ab"}
+    assert toxicity.rare(own["a"], own["b"], [], 0.9) == []
