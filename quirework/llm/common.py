@@ -59,6 +59,11 @@ def fold(id_col: str, k: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % k
 
 
+def first_hashes(share: float) -> int:
+    """The last of the first ``share`` of all 64-bit hashes: all of them at 1, and fine enough for any table."""
+    return min(2**63 - 1, int(share * 2**64) - 2**63)
+
+
 def words(col: Column) -> Column:
     """The words of a text as an array; null and empty texts have none."""
     return F.filter(F.split(F.coalesce(col, F.lit("")), SPACE), lambda w: w != "")

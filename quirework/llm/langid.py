@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, fresh
+from .common import bound_batches, first_hashes, fresh
 
 ORDERS = (1, 2, 3)
 _SLICE = 1 << 18
@@ -135,8 +135,9 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most: i
         raise ValueError(f"over {langs} languages; name more with langs= where the driver has the memory")
     if not documents:
         return Model({}, {}, bits)
-    share = F.create_map(*[F.lit(x) for lang, n in documents.items() for x in (lang, int(1_000_000 * min(1, most / n)))])
-    drawn = known.where(F.pmod(F.xxhash64(F.lit(4), "text"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")))
+    last = F.create_map(*[F.lit(x) for lang, n in documents.items() for x in (lang, first_hashes(min(1, most / n)))])
+    # a text that many rows repeat is drawn once or not at all
+    drawn = known.where(F.xxhash64(F.lit(4), "text") <= F.element_at(last, F.col("lang"))).dropDuplicates(["lang", "text"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, np.ndarray] = {}

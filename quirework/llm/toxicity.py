@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, first_hashes
 
 _APART = re.compile(r"(?<!\S)\S(?:\s{1,2}\S){2,}(?!\S)")
 _LONG, _HALF = 24, 12
@@ -365,8 +365,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect() if r["toxic"] in (0, 1)}
     if len(n) < 2:
         return None
-    rate = lambda v: int(1_000_000 * min(1, 2 * most / n[v]))
-    drawn = known.where(F.pmod(F.xxhash64(F.lit(1), id_col), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, rate(1)).otherwise(rate(0)))
+    last = lambda v: first_hashes(min(1, 2 * most / n[v]))
+    drawn = known.where(F.xxhash64(F.lit(1), id_col) <= F.when(F.col("toxic") == 1, F.lit(last(1))).otherwise(F.lit(last(0))))
     pairs = docs.select(id_col, text_col).join(drawn, id_col).select(text_col, "toxic", F.xxhash64(F.lit(1), id_col, text_col).alias("h"))
     told = [r for v in (0, 1) for r in pairs.where(F.col("toxic") == v).orderBy("h").limit(most).collect()]
     return train(sorted((r[0] or "", int(r[1])) for r in told))

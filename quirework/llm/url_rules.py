@@ -54,7 +54,7 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     after = lambda i: F.array_join(F.slice(labels, i + 1, F.size(labels)), ".")
     suffixes = F.transform(F.sequence(F.lit(0), F.size(labels) - 1), lambda i: F.concat(F.lit("host:"), zero(after(i))))
     segments = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.concat(F.lit("path:"), zero(s)))
-    query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
+    query = F.regexp_extract(F.substring_index(url, "#", 1), r"(?s)\?(.*)", 1)
     names = F.transform(F.filter(F.split(query, "&"), lambda s: s != ""), lambda s: F.concat(F.lit("query:"), zero(F.substring_index(s, "=", 1))))
     kind = F.concat(F.lit("ext:"), F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1))
     found = F.concat(suffixes, segments, names, F.array(kind))

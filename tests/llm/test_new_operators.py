@@ -228,6 +228,15 @@ def test_toxicity_learns_however_wide_the_lexicon(insults):
     assert told([text([w]) for w in bad]).mean() >= 0.9 and told([text([]) for _ in range(400)]).mean() <= 0.02
 
 
+def test_draws_are_fine_and_fragments_hold_no_query(spark):
+    from quirework.llm import common, url_rules
+
+    assert common.first_hashes(1) == 2**63 - 1 and common.first_hashes(0) == -(2**63) and common.first_hashes(1e-12) > -(2**63)
+    row = spark.createDataFrame([("http://a.net/x#y?z=1",), ("http://a.net/x?q=1#y?z=1",)], "url string").select("url", *[c.alias(n) for n, c in zip(("host", "path"), url_rules.parts(F.col("url")), strict=True)])
+    told = [r[0] for r in row.select(url_rules.tokens(F.col("url"), F.col("host"), F.col("path"))).collect()]
+    assert not any(t.startswith("query:") for t in told[0]) and [t for t in told[1] if t.startswith("query:")] == ["query:q"]
+
+
 def test_rare_words_of_chance_are_no_insults():
     """Where clean and toxic texts have as many words of their own, none of them is taken."""
     from quirework.llm import toxicity
