@@ -45,6 +45,11 @@ def reprints(links: DataFrame, same: DataFrame, lines: int | Column, share: floa
     return quoted.where(F.col("n") >= lines * share).select("canonical")
 
 
+def reprint_ids(links: DataFrame, same: DataFrame, lines: int | Column, share: float = 0.25) -> DataFrame:
+    """``work``: the ids of all records of the works that reprint a text, for every line that was looked up."""
+    return same.join(reprints(links, same, lines, share), "canonical", "left_semi").select("work")
+
+
 def quotation_links(works: DataFrame, links: DataFrame, nodes: DataFrame, rejected: DataFrame, key: Column, field: str, lines: int, share: float = 0.25) -> DataFrame:
     """``line``, ``place``, ``work``: the works shown for each line, the most recent first, ties by title and id.
 

@@ -86,9 +86,9 @@ def exported(notes: DataFrame, created: str, include_imported: bool = False, id_
     return kept.withColumn("place", F.row_number().over(Window.partitionBy("version").orderBy(created, id_col)))
 
 
-def cited(notes: DataFrame, citations: DataFrame, line: str, order: str, id_col: str = "id") -> DataFrame:
-    """``line``, ``id_col``, ``citations``: each line's citations in order, for the first note that begins on the line; a null id asks for a new note."""
-    first = notes.groupBy(line).agg(F.min(id_col).alias(id_col))
+def cited(notes: DataFrame, citations: DataFrame, line: str, order: str, id_col: str = "id", created: str | None = None) -> DataFrame:
+    """``line``, ``id_col``, ``citations``: each line's citations in order, for the note that begins on the line and was made first (``created``, ties and without it by id); a null id asks for a new note."""
+    first = notes.groupBy(line).agg(F.min(F.struct(*([created] if created else []), id_col)).getField(id_col).alias(id_col))
     listed = F.array_sort(F.collect_list(F.struct(order, "citation")))
     return citations.groupBy(line).agg(F.transform(listed, lambda c: c["citation"]).alias("citations")).join(first, line, "left").select(line, id_col, "citations")
 
