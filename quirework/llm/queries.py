@@ -108,8 +108,9 @@ cut AS (SELECT doc_id, l, regexp_split_to_array(regexp_replace(line, '([.!?])[ \
 sentences AS (SELECT doc_id, l * 100000 + generate_subscripts(parts, 1) AS pos, unnest(parts) AS s FROM cut),
 clean AS (SELECT doc_id, pos, trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.-]+', ' ', 'g'), '\\.+( |$)|^[ .-]+|[ .-]+$', '\\1', 'g')) AS s FROM sentences),
 hits AS (SELECT doc_id, pos, id FROM clean JOIN known ON trim(s) = sentence),
-n AS (SELECT doc_id, count(*)::INT AS sentences FROM hits GROUP BY doc_id)
-{selects}"""
+n AS (SELECT doc_id, count(*)::INT AS sentences FROM hits GROUP BY doc_id),
+met AS ({selects})
+SELECT * FROM met WHERE licence NOT IN ({', '.join(map(quote, licenses.ALONE))}) OR doc_id NOT IN (SELECT doc_id FROM met WHERE licence NOT IN ({', '.join(map(quote, licenses.ALONE))}))"""
 
 
 def _mixing_sql(halvings: int = 70) -> str:

@@ -244,3 +244,35 @@ def test_rare_words_of_chance_are_no_insults():
     draw = random.Random(6)
     own = {v: Counter(f"^{draw.randrange(10**6):06d}{v}$" for _ in range(3000)) for v in "ab"}
     assert toxicity.rare(own["a"], own["b"], [], 0.9) == []
+
+
+GPL = "This program is free software; you can redistribute it and/or\nmodify it under the terms of the GNU General Public License\nas published by the Free Software Foundation; either version 2\nof the License, or (at your option) any later version."
+NOTICES = {
+    "gpl2": (GPL, {"GPL-2.0-or-later"}),
+    "agpl": (GPL.replace("GNU General", "GNU Affero General").replace("version 2", "version 3"), {"AGPL-3.0-or-later"}),
+    "lgpl": (GPL.replace("program", "library").replace("GNU General", "GNU Lesser General").replace("version 2", "version 2.1"), {"LGPL-2.1-or-later"}),
+    "gpl2 only": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", {"GPL-2.0-only"}),
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", {"ISC"}),
+    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.", {"MPL-2.0"}),
+    "unlicense": ("This is free and unencumbered software released into the public domain.", {"Unlicense"}),
+    "boost": ("Distributed under the Boost Software License, Version 1.0.\n(See accompanying file LICENSE_1_0.txt)", {"BSL-1.0"}),
+    "tag": ("// SPDX-License-Identifier: GPL-3.0-or-later", {"GPL-3.0-or-later"}),
+    "title": ("MIT License\n\nCopyright (c) 2020 Someone", {"MIT"}),
+    "named": ("Licensed under the MIT License.", {"MIT"}),
+    "cc": ("This work is licensed under a Creative Commons Attribution 4.0 International License.", {"CC-BY-4.0"}),
+    "eclipse": ("Copyright (c) 2009 Someone and others. All rights reserved.\nThis program and the accompanying materials are made available under the\nterms of the Eclipse Public License v1.0 which accompanies this\ndistribution, and is available at\nhttp://www.eclipse.org/legal/epl-v10.html", {"EPL-1.0"}),
+    "reserved": ("Copyright 2020 Someone. All rights reserved.", {"proprietary"}),
+    "bsd": ("Copyright (c) Someone. All rights reserved.\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n* Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", {"BSD", "BSD-3-Clause"}),
+    "none": ("The license of the poet is free, and the program is software.", set()),
+}
+
+
+@pytest.mark.parametrize("mark", ["", " * "])
+def test_notices_of_many_licences(spark, mark):
+    from quirework.llm import licenses
+
+    docs = spark.createDataFrame([(n, "\n".join(mark + x for x in t.split("\n"))) for n, (t, _) in NOTICES.items()], "doc_id string, text string")
+    got = {}
+    for r in licenses.scan(docs).collect():
+        got.setdefault(r.doc_id, set()).add(r.licence)
+    assert got == {n: want for n, (_, want) in NOTICES.items() if want}
