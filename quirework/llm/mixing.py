@@ -6,7 +6,9 @@ it adds to its source's constraint: a document of ``c`` words has the rate ``min
 its source's multiplier ``lambda``. The multipliers maximise the concave dual by Newton steps: in each, the
 cluster sums every source's gradient and curvature over its documents (of which equal sizes are counted
 together) and moves the multiplier, halving the known bracket where a step would leave it, until every source's
-gradient is below ``1e-12`` of its words. Multipliers stay in a table, a row a source.
+gradient is below ``1e-12`` of its words. Multipliers stay in a table, a row a source, that is written once in
+several steps; sources that have settled wait for the others. Sources are counted once, to tell whether a table
+of them is broadcast.
 
 Rates are rounded into copies: every document takes the whole part of its rate, and the fractions are met
 by one more copy of documents in the order of a uniform hash over the fraction (sequential Poisson sampling,
@@ -30,6 +32,10 @@ from .common import cut, small, words
 #: Steps of the sampling order that a histogram tells apart below 1, and the last step.
 STEPS, LAST = 4096, 16384
 _ROUNDS = 200
+#: Newton steps between two writes of the multipliers.
+_STRIDE = 4
+#: Sources up to which a table of them is broadcast.
+_FEW = 100_000
 
 
 def size(text: Column) -> Column:
@@ -70,18 +76,19 @@ def tilts(targeted: DataFrame, spectrum: DataFrame, most: float = 2.0) -> DataFr
 
     ``spectrum`` has ``source``, ``size`` and ``n``, how many documents of a source have that size.
     """
+    few = small(targeted, _FEW)
     sizes = spectrum.where("size > 0")
     start = sizes.groupBy("source").agg((F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("mean"))
     # at most times its size a source takes all, at 0 nothing; between them the bracket grows until it holds the solution
     able = (F.col("target") > 0) & (F.col("target") < F.col("source_size") * most * (1 - 1e-12))
-    state = _with(targeted.where(able), start).select("source", "source_size", "target", (F.log(F.col("target") / F.col("source_size")) / F.col("mean")).alias("x"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), (1 / F.col("mean")).alias("reach"), F.lit(False).alias("done"))
+    state = _with(targeted.where(able), start, few=few).select("source", "source_size", "target", (F.log(F.col("target") / F.col("source_size")) / F.col("mean")).alias("x"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), (1 / F.col("mean")).alias("reach"), F.lit(False).alias("done"))
     state = cut(state)
-    for _ in range(_ROUNDS):
-        told = _with(sizes, state.where("not done").select("source", "x"))
+    for turn in range(1, _ROUNDS + 1):
+        told = _with(sizes, state.where("not done").select("source", "x"), few=few)
         tilt = F.exp(F.col("x") * F.col("size"))
         mass = F.col("n") * F.col("size")
         sums = told.groupBy("source").agg(F.sum(mass * F.least(F.lit(most), tilt)).alias("g"), F.sum(F.when(tilt < most, mass * F.col("size") * tilt).otherwise(0.0)).alias("slope"))
-        now = _with(state, sums, "left")
+        now = _with(state, sums, "left", few=few)
         off = F.col("g") - F.col("target")
         lo, hi = F.when(off <= 0, F.col("x")).otherwise(F.col("lo")), F.when(off >= 0, F.col("x")).otherwise(F.col("hi"))
         now = now.withColumn("lo", F.coalesce(lo, "lo")).withColumn("hi", F.coalesce(hi, "hi"))
@@ -91,12 +98,14 @@ def tilts(targeted: DataFrame, spectrum: DataFrame, most: float = 2.0) -> DataFr
         fits = F.col("slope") > 0
         inside = fits & (F.col("lo").isNull() | (step > F.col("lo"))) & (F.col("hi").isNull() | (step < F.col("hi")))
         settled = F.col("done") | (F.abs(off) <= F.col("source_size") * 1e-12) | F.coalesce(F.col("hi") - F.col("lo") <= F.abs(F.col("x")) * 4e-16, F.lit(False))
-        state = cut(now.select("source", "source_size", "target", F.when(settled, F.col("x")).when(inside, step).otherwise(wider).alias("x"), "lo", "hi", (F.col("reach") * 2).alias("reach"), settled.alias("done")))
-        if state.where("not done").limit(1).count() == 0:
-            break
+        state = now.select("source", "source_size", "target", F.when(settled, F.col("x")).when(inside, step).otherwise(wider).alias("x"), "lo", "hi", (F.col("reach") * 2).alias("reach"), settled.alias("done"))
+        if turn % _STRIDE == 0:
+            state = cut(state)
+            if state.where("not done").limit(1).count() == 0:
+                break
     else:
         raise RuntimeError(f"the dual did not settle in {_ROUNDS} rounds")
-    return _with(targeted, state.select("source", F.col("x").alias("tilt")), "left")
+    return _with(targeted, state.select("source", F.col("x").alias("tilt")), "left", few=few)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: float = 2.0) -> DataFrame:
@@ -105,11 +114,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size(F.col(text_col)).alias("size"), key.alias("h")))
     spectrum = cut(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     per_source = spectrum.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    tilted = cut(tilts(targets(per_source, most=most), spectrum, most))
+    goals = cut(targets(per_source, most=most))
+    few = small(goals, _FEW)
+    tilted = cut(tilts(goals, spectrum, most))
     full = F.when((F.col("target") > 0) & (F.col("source_size") > 0), most).otherwise(0.0)
     rate = F.when(F.col("tilt").isNull(), full).otherwise(F.round(F.least(F.lit(most), F.exp(F.col("tilt") * F.col("size"))), 9))
     u = F.conv(F.substring("h", 1, 13), 16, 10).cast("double") / float(1 << 52)
-    rows = _with(rows, tilted).withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("part", F.col("rate") - F.col("whole"))
+    rows = _with(rows, tilted, few=few).withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("part", F.col("rate") - F.col("whole"))
     # the sampling order, null for rows that take no fraction
     rows = rows.withColumn("order", F.when((F.col("part") > 0) & (F.col("size") > 0), u / F.col("part")))
     rows = rows.withColumn("step", F.when(F.col("order").isNotNull(), F.least(F.floor(F.col("order") * STEPS), F.lit(LAST)).cast("int"))).drop("part", "tilt")
@@ -117,30 +128,30 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     whole = rows.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("sure"))
     parts = cut(rows.where("step is not null").groupBy("source", "step").agg(F.sum("size").alias("n")))
     missing = F.when(F.col("tilt").isNotNull(), F.col("target") - F.col("sure")).otherwise(0.0)
-    rated = cut(_with(tilted, whole).select("source", missing.alias("missing")))
+    rated = cut(_with(tilted, whole, few=few).select("source", missing.alias("missing")))
     # the step in which the missing words are reached, and the words of the steps before it
     so_far = Window.partitionBy("source").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    edge = _with(parts.withColumn("before", F.coalesce(F.sum("n").over(so_far), F.lit(0))), rated)
+    edge = _with(parts.withColumn("before", F.coalesce(F.sum("n").over(so_far), F.lit(0))), rated, few=few)
     edge = edge.where("before + n > missing").groupBy("source").agg(F.min(F.struct("step", "before")).alias("at")).select("source", F.col("at.step").alias("edge"), "at.before")
     total = parts.groupBy("source").agg(F.sum("n").alias("all"))
-    planned = cut(_with(_with(rated, edge, "left"), total, "left").select("source", "missing", F.coalesce("edge", F.lit(LAST + 1)).alias("edge"), F.coalesce("before", "all", F.lit(0)).alias("before")))
+    planned = cut(_with(_with(rated, edge, "left", few), total, "left", few=few).select("source", "missing", F.coalesce("edge", F.lit(LAST + 1)).alias("edge"), F.coalesce("before", "all", F.lit(0)).alias("before")))
     # inside that step rows alike are one, and the first that does not fit whole gives as many of its rows as fit
-    inside = _with(rows.where("step is not null"), planned).where("step = edge").groupBy("source", "missing", "before", "order", "h", "size").agg(F.count("*").alias("m"))
+    inside = _with(rows.where("step is not null"), planned, few=few).where("step = edge").groupBy("source", "missing", "before", "order", "h", "size").agg(F.count("*").alias("m"))
     upto = Window.partitionBy("source").orderBy("order", "h")
     inside = cut(inside.withColumn("upto", F.col("before") + F.sum(F.col("m") * F.col("size")).over(upto)))
     fitting = inside.where("upto <= missing").groupBy("source").agg(F.max(F.struct("upto", "order", "h")).alias("last"))
     following = inside.where("upto > missing").groupBy("source").agg(F.min(F.struct("order", "h", "m", "size", "upto")).alias("next"))
-    ends = _with(_with(planned, fitting, "left"), following, "left")
+    ends = _with(_with(planned, fitting, "left", few), following, "left", few=few)
     some = F.when(F.col("next").isNotNull(), F.floor((F.col("missing") - (F.col("next.upto") - F.col("next.m") * F.col("next.size"))) / F.col("next.size"))).otherwise(0)
     taken = F.coalesce("last.upto", "before") + some * F.coalesce("next.size", F.lit(0))
     ends = cut(ends.select("source", "edge", F.col("last.order").alias("last_order"), F.col("last.h").alias("last_h"), F.when(some > 0, F.col("next.h")).alias("some_h"), some.alias("some"), (F.col("missing") - taken).alias("left")))
-    rows = _with(rows, ends)
+    rows = _with(rows, ends, few=few)
     first = F.coalesce((F.col("step") < F.col("edge")) | (F.col("step") == F.col("edge")) & ((F.col("order") < F.col("last_order")) | (F.col("order") == F.col("last_order")) & (F.col("h") <= F.col("last_h"))), F.lit(False))
     apart = F.abs(F.col("left") - F.col("size"))
     # a row of the group that gave some may close too, if one is left; the choice is by hash among sizes as near
     closing = rows.where(~first & F.col("step").isNotNull() & (apart < F.col("left"))).groupBy("source", "h", "some_h", "some").agg(F.count("*").alias("m"), F.min(apart).alias("d"))
     closing = closing.where(~F.coalesce(F.col("h") == F.col("some_h"), F.lit(False)) | (F.col("m") > F.col("some"))).groupBy("source").agg(F.min(F.struct("d", "h")).getField("h").alias("close_h"))
-    closed = cut(_with(ends.select("source", "some_h", "some"), closing, "left"))
+    closed = cut(_with(ends.select("source", "some_h", "some"), closing, "left", few=few))
     picks = closed.select("source", F.explode(F.array(F.struct(F.col("some_h").alias("h"), F.col("some").alias("e")), F.struct(F.col("close_h").alias("h"), F.lit(1).cast("long").alias("e")))).alias("p")).where("p.h is not null").groupBy("source", "p.h").agg(F.sum("p.e").alias("e"))
     picks = cut(picks.select(F.col("source").alias("_source"), F.col("h").alias("_h"), "e"))
     chosen = F.broadcast(picks) if small(picks, 100_000) else picks
@@ -158,8 +169,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return done.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def _with(rows: DataFrame, per_source: DataFrame, how: str = "inner", most: int = 100_000) -> DataFrame:
-    """``rows`` with the columns of a table of one row a source, which is broadcast if it has at most ``most`` rows."""
+def _with(rows: DataFrame, per_source: DataFrame, how: str = "inner", few: bool = False) -> DataFrame:
+    """``rows`` with the columns of a table of one row a source, which is broadcast if there are ``few`` sources."""
     named = per_source.drop(*[c for c in per_source.columns if c in rows.columns and c != "source"]).withColumnRenamed("source", "_source")
-    named = F.broadcast(named) if small(per_source, most) else named
+    named = F.broadcast(named) if few else named
     return rows.join(named, F.col("source").eqNullSafe(F.col("_source")), how).drop("_source")
