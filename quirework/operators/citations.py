@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kept import kept
+
 #: Letters that a form may have beyond its headword; lines about the predicted one; lead that a lone line needs.
 EXTRA, NEAR, CLOSE, LEAD = 3, 15, 3, 8
 
@@ -101,8 +103,8 @@ def chosen(candidates: DataFrame) -> DataFrame:
     return best.select("id", "scene", "idx", "at", reason.alias("reason"))
 
 
-def recovered(cites: DataFrame, lines: DataFrame, forms: DataFrame) -> DataFrame:
-    """``id``, ``scene``, ``idx``, ``at`` of citations (``with_quotes``) whose quotation is on one line alone of all scenes.
+def recovered(cites: DataFrame, lines: DataFrame, forms: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """``id``, ``scene``, ``idx``, ``at`` of citations (``with_quotes``) whose quotation is on one line alone of all scenes, or of those that ``within`` (``id``, ``scene``) names.
 
     A line must hold ``needed`` of the quoted keys, so it holds one of the ``size - needed + 1`` rarest: only these are looked up.
     """
@@ -112,19 +114,25 @@ def recovered(cites: DataFrame, lines: DataFrame, forms: DataFrame) -> DataFrame
     often = held.join(key.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("_f"))
     rare = key.join(often, "key", "left").withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("_f", F.lit(0)), "key"))).where("_r <= size(quoted) - needed + 1")
     hit = rare.select("id", "key").join(held, "key").select("id", "scene", "idx").distinct()
+    hit = hit if within is None else hit.join(within, ["id", "scene"], "left_semi")
     met = hit.join(long.select("id", "head", "quoted", "needed"), "id").join(forms, ["scene", "idx", "head"])
     return _lone(_measured(met, lines).where("overlap >= needed")).drop("number")
 
 
-def match(lines: DataFrame, cites: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+def match(lines: DataFrame, cites: DataFrame, prior: DataFrame | None = None, acts: DataFrame | None = None) -> DataFrame:
     """``id``, ``scene``, ``idx``, ``at``, ``recovered``, ``reason`` of every citation with an id; ``reason`` tells why one has no line.
 
     ``prior`` holds pairs (as ``learned`` gives) of another list of citations of the same numbering. What fails by
-    scene, line or quotation is sought by its quotation, in its scene and then in all.
+    scene, line or quotation is sought by its quotation, in its scene and then in all. With ``acts``, the numbered scenes'
+    ``scene`` and ``act``, citations also have ``act``: without a scene they mean the only one of their act, and those whose
+    scene is not there are sought in their act before all others.
     """
-    told = with_context(lines)
-    forms, asked = heads(told), with_quotes(cites)
-    inside = _measured(asked.join(forms, ["scene", "head"]), told)
+    if acts is not None:
+        only = acts.groupBy("act").agg(F.min("scene").alias("_only"), F.count("*").alias("_m")).where("_m = 1").drop("_m")
+        cites = cites.join(only, "act", "left").withColumn("scene", F.coalesce("scene", "_only")).drop("_only")
+    told = kept(with_context(lines))
+    forms, asked = kept(heads(told)), kept(with_quotes(cites))
+    inside = kept(_measured(asked.join(forms, ["scene", "head"]), told))
     pairs = learned(inside)
     if prior is not None:
         pairs = pairs.unionByName(prior.select(*pairs.columns))
@@ -134,14 +142,20 @@ def match(lines: DataFrame, cites: DataFrame, prior: DataFrame | None = None) ->
     state = asked.join(there, "scene", "left").join(first.withColumnsRenamed({"scene": "_scene", "reason": "_reason"}), "id", "left")
     reason = F.when(F.col("_there").isNull(), "no such scene").when(F.col("idx").isNull(), "headword not found near cited line").otherwise(F.col("_reason"))
     state = state.withColumn("_reason", reason)
+    state = kept(state)
     lost = F.col("_reason").isin("no such scene", "headword not found near cited line", "quotation disagrees")
     seek = state.where(lost).select("id", "scene", "head", "quoted", "needed")
     home = _lone(inside.where("size(quoted) >= 3 and overlap >= needed").join(seek.select("id"), "id", "left_semi")).drop("number")
     far = recovered(seek, told, forms)
     name = lambda df, p: df.select("id", *[F.col(c).alias(p + c) for c in ("scene", "idx", "at")])
-    out = state.join(name(home, "h_"), "id", "left").join(name(far, "f_"), "id", "left")
-    found = F.col("h_idx").isNotNull() | F.col("f_idx").isNotNull()
-    place = lambda c, own: F.coalesce("h_" + c, "f_" + c, F.when(F.col("_reason").isNull(), F.col(own))).alias(c)
+    none = home.limit(0)
+    if acts is not None:
+        astray = state.where("_reason = 'no such scene'")
+        own = astray.select("id").join(cites.select("id", "act"), "id").join(acts.select("act", "scene"), "act").select("id", "scene")
+        none = recovered(astray.select("id", "scene", "head", "quoted", "needed"), told, forms, own)
+    out = state.join(name(home, "h_"), "id", "left").join(name(none, "a_"), "id", "left").join(name(far, "f_"), "id", "left")
+    found = F.col("h_idx").isNotNull() | F.col("a_idx").isNotNull() | F.col("f_idx").isNotNull()
+    place = lambda c, own: F.coalesce("h_" + c, "a_" + c, "f_" + c, F.when(F.col("_reason").isNull(), F.col(own))).alias(c)
     answered = out.select("id", place("scene", "_scene"), place("idx", "idx"), place("at", "at"), found.alias("recovered"), F.when(~found, F.col("_reason")).alias("reason"))
     bad = cites.where("id is not null and (head is null or length(head) < 2)").select("id", F.lit("unsupported headword").alias("reason"))
     return answered.unionByName(bad.withColumn("recovered", F.lit(False)), allowMissingColumns=True)

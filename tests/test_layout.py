@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quirework.operators import bodies, candidates, curation, notes
+from quirework.operators import bodies, candidates, citations, curation, notes
 from quirework.sources import store
 
 
@@ -77,6 +77,20 @@ def test_the_earliest_note_is_cited_and_reprints_give_all_ids(spark):
     assert sorted(r.work for r in curation.reprint_ids(links, same, 8, 0.25).collect()) == ["w1", "w2"]
 
 
+def test_citations_by_act(spark):
+    """A scene left out is the only one of its act, and a misread one is sought in its act before the whole play."""
+    quote = ["when", "himself", "might", "quietus", "make"]
+    rows = [("1.1", 1, 10, ["with", "bodkin"]), ("2.1", 1, 10, ["when", "himself", "might", "quietus", "make"]), ("2.1", 2, 11, ["a", "bodkin"]), ("3.1", 1, 80, [*quote]), ("3.1", 2, 81, ["with", "bodkin"]), ("3.2", 1, 5, ["bodkin"])]
+    lines = spark.createDataFrame(rows, "scene string, idx int, number int, words array<string>")
+    acts = spark.createDataFrame([("1.1", 1), ("2.1", 2), ("3.1", 3), ("3.2", 3)], "scene string, act int")
+    asked = [(1, None, 1, 10, "bodkin", []), (2, "3.9", 3, 76, "bodkin", quote), (3, "2.7", 2, 1, "bodkin", quote), (4, "9.9", 9, 1, "bodkin", quote), (5, None, 3, 1, "bodkin", [])]
+    cites = spark.createDataFrame(asked, "id int, scene string, act int, line int, head string, quote array<string>")
+    got = {r.id: (r.scene, r.idx, r.recovered, r.reason) for r in citations.match(lines, cites, acts=acts).collect()}
+    assert got == {1: ("1.1", 1, False, None), 2: ("3.1", 2, True, None), 3: ("2.1", 2, True, None), 4: (None, None, False, "no such scene"), 5: (None, None, False, "no such scene")}
+    # without acts the two lines that have the quotation hide each other
+    assert citations.match(lines, cites.where("id = 2").drop("act")).first().reason == "no such scene"
+
+
 def test_a_store(spark, tmp_path):
     folder = str(tmp_path / "store")
     schema = StructType().add("play", "string").add("version", "string").add("text", "string")
