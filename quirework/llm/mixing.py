@@ -6,9 +6,8 @@ it adds to its source's constraint: a document of ``c`` words has the rate ``min
 its source's multiplier ``lambda``. The multipliers maximise the concave dual by Newton steps: in each, the
 cluster sums every source's gradient and curvature over its documents (of which equal sizes are counted
 together) and moves the multiplier, halving the known bracket where a step would leave it, until every source's
-gradient is below ``1e-12`` of its words. Multipliers stay in a table, a row a source, that is written once in
-several steps; sources that have settled wait for the others. Sources are counted once, to tell whether a table
-of them is broadcast.
+gradient is below ``1e-12`` of its words. Multipliers stay in a table, a row a source; sources are counted once,
+to tell whether a table of them is broadcast.
 
 Rates are rounded into copies: every document takes the whole part of its rate, and the fractions are met
 by one more copy of documents in the order of a uniform hash over the fraction (sequential Poisson sampling,
@@ -32,8 +31,6 @@ from .common import cut, small, words
 #: Steps of the sampling order that a histogram tells apart below 1, and the last step.
 STEPS, LAST = 4096, 16384
 _ROUNDS = 200
-#: Newton steps between two writes of the multipliers.
-_STRIDE = 4
 #: Sources up to which a table of them is broadcast.
 _FEW = 100_000
 
@@ -83,7 +80,7 @@ def tilts(targeted: DataFrame, spectrum: DataFrame, most: float = 2.0) -> DataFr
     able = (F.col("target") > 0) & (F.col("target") < F.col("source_size") * most * (1 - 1e-12))
     state = _with(targeted.where(able), start, few=few).select("source", "source_size", "target", (F.log(F.col("target") / F.col("source_size")) / F.col("mean")).alias("x"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), (1 / F.col("mean")).alias("reach"), F.lit(False).alias("done"))
     state = cut(state)
-    for turn in range(1, _ROUNDS + 1):
+    for _ in range(_ROUNDS):
         told = _with(sizes, state.where("not done").select("source", "x"), few=few)
         tilt = F.exp(F.col("x") * F.col("size"))
         mass = F.col("n") * F.col("size")
@@ -98,11 +95,9 @@ def tilts(targeted: DataFrame, spectrum: DataFrame, most: float = 2.0) -> DataFr
         fits = F.col("slope") > 0
         inside = fits & (F.col("lo").isNull() | (step > F.col("lo"))) & (F.col("hi").isNull() | (step < F.col("hi")))
         settled = F.col("done") | (F.abs(off) <= F.col("source_size") * 1e-12) | F.coalesce(F.col("hi") - F.col("lo") <= F.abs(F.col("x")) * 4e-16, F.lit(False))
-        state = now.select("source", "source_size", "target", F.when(settled, F.col("x")).when(inside, step).otherwise(wider).alias("x"), "lo", "hi", (F.col("reach") * 2).alias("reach"), settled.alias("done"))
-        if turn % _STRIDE == 0:
-            state = cut(state)
-            if state.where("not done").limit(1).count() == 0:
-                break
+        state = cut(now.select("source", "source_size", "target", F.when(settled, F.col("x")).when(inside, step).otherwise(wider).alias("x"), "lo", "hi", (F.col("reach") * 2).alias("reach"), settled.alias("done")))
+        if state.where("not done").limit(1).count() == 0:
+            break
     else:
         raise RuntimeError(f"the dual did not settle in {_ROUNDS} rounds")
     return _with(targeted, state.select("source", F.col("x").alias("tilt")), "left", few=few)
