@@ -7,49 +7,81 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import arrays
+
+
+#: Bits of masks that stay with a call of ``common``; masks beyond them are made again where they are needed.
+_HELD = 1 << 30
 
 
 def common(a: list[str], b: list[str], kept: int = 1024) -> list[tuple[int, int]]:
     """Index pairs of a longest common subsequence; where both ways are as long, an item of ``a`` is skipped first.
 
-    Lengths are found a row at a time from the ends. Every ``kept``-th row stays, and on the way forward the rows up
-    to the next one are found again, of which one bit a cell is held: whether passing over the item of ``a`` costs
-    nothing. So memory is a row of numbers for each ``kept`` items of ``a`` and ``kept`` rows of bits, at any size.
+    A row is a number of one bit an item of ``b``, the last item lowest, unset where lengths from an item of ``a`` on
+    grow by one; rows are found from the ends, an addition each. Every ``kept``-th row stays, and on the way forward
+    the rows up to the next one are found again. So memory is a bit a cell for ``len(a) / kept + kept`` rows, and
+    ``_HELD`` bits of masks, at any size.
     """
-    names = {w: n for n, w in enumerate(dict.fromkeys(b))}
-    other, own = np.array([names[w] for w in b], np.int64), [names.get(w, -1) for w in a]
     if not a or not b:
         return []
-
-    def row(i: int, below: np.ndarray) -> np.ndarray:
-        """Lengths from item ``i`` of ``a`` and each item of ``b`` on."""
-        if own[i] < 0:
+    size, places = len(b), {w: [] for w in a}
+    for j, w in enumerate(b):
+        if w in places:
+            places[w].append(size - 1 - j)
+    masks: dict[str, int] = {}
+
+    def mask(w: str) -> int:
+        """Where ``b`` has a word."""
+        if w not in masks:
+            bits = bytearray(size // 8 + 1)
+            for k in places[w]:
+                bits[k >> 3] |= 1 << (k & 7)
+            made = int.from_bytes(bits, "little")
+            if len(masks) * size > _HELD:
+                return made
+            masks[w] = made
+        return masks[w]
+
+    full = (1 << size) - 1
+
+    def row(i: int, below: int) -> int:
+        if not places[a[i]]:
             return below
-        best = np.where(other == own[i], below[1:] + 1, below[:-1])
-        return np.append(np.maximum.accumulate(best[::-1])[::-1], 0)
+        met = below & mask(a[i])
+        return ((below + met) | (below - met)) & full
 
-    marks, below = {}, np.zeros(len(b) + 1, np.int32)
+    marks, below = {}, full
     for i in range(len(a) - 1, -1, -1):
         if (i + 1) % kept == 0 or i == len(a) - 1:
             marks[i // kept] = below
         below = row(i, below)
-    pairs, j = [], 0
+    pairs, left = [], size
     for block in range(-(-len(a) // kept)):
-        first, below, free = block * kept, marks[block], {}
+        first, below, rows = block * kept, marks[block], {}
         for i in range(min(first + kept, len(a)) - 1, first - 1, -1):
             now = row(i, below)
-            free[i] = np.packbits(now == below)
-            below = now
+            rows[i], below = now ^ below, now
         for i in range(first, min(first + kept, len(a))):
-            bits = np.unpackbits(free[i], count=len(b) + 1)
-            while j < len(b) and own[i] != other[j] and not bits[j]:
-                j += 1
-            if j < len(b) and own[i] == other[j]:
-                pairs.append((i, j))
-                j += 1
+            # passing over the item costs nothing where an even number of growths differ behind the place
+            if not left or not places[a[i]]:
+                continue
+            rest = (1 << left) - 1
+            held = (mask(a[i]) & rest).bit_length()
+            if held == left:
+                pairs.append((i, size - left))
+                left -= 1
+            elif (differ := rows[i] & rest) and differ.bit_count() & 1:
+                free = differ.bit_length() - 1
+                if held > free:
+                    pairs.append((i, size - held))
+                    left = held - 1
+                else:
+                    left = free
     return pairs
 
 
@@ -124,11 +156,14 @@ def align_blocks(nodes: DataFrame, by: list[str]) -> DataFrame:
     entry, whose relation is ``same`` if all its words are ``equivalent``, else ``variant``; nodes without
     aligned words stand alone. Returns ``by``, ``entry``, ``orig``, ``modern`` (arrays of n), ``relation``.
     """
-    key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema if f.name in by)
-
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        sides = {s: rows[rows["side"] == s].sort_values("n") for s in ("orig", "modern")}
-        tokens = {s: [(i, f"{k}:{w}") for i, k, ws in zip(part["n"], part["kind"], part["keys"], strict=True) for w in ws] for s, part in sides.items()}
+    arrays.bounded(nodes.sparkSession)
+
+    def of(*columns: pa.Scalar) -> list[dict]:
+        values = [c.as_py() for c in columns]
+        tokens, words = {}, {}
+        for s, (ns, kinds, keys) in zip(("orig", "modern"), (values[:3], values[3:]), strict=True):
+            tokens[s] = [(i, f"{k}:{w}") for i, k, ws in zip(ns, kinds, keys, strict=True) for w in ws]
+            words[s] = dict(zip(ns, keys, strict=True))
         links = [(tokens["orig"][i][0], tokens["modern"][j][0]) for i, j in common([w for _, w in tokens["orig"]], [w for _, w in tokens["modern"]])]
         entries: list[tuple[list[int], list[int]]] = []
         for o, m in links:  # pairs rise on both sides, so a node's pairs are neighbours
@@ -138,17 +173,19 @@ def align_blocks(nodes: DataFrame, by: list[str]) -> DataFrame:
                         xs.append(x)
             else:
                 entries.append(([o], [m]))
-        words = {s: dict(zip(part["n"], part["keys"], strict=True)) for s, part in sides.items()}
         spoken = lambda s, ns: [w for n in ns for w in words[s][n]]
         out = [(o, m, "same" if equivalent(spoken("orig", o), spoken("modern", m)) else "variant") for o, m in entries]
         used = ({n for o, _ in entries for n in o}, {n for _, m in entries for n in m})
         out += [([n], [], "orig-only") for n in words["orig"] if n not in used[0]] + [([], [n], "modern-only") for n in words["modern"] if n not in used[1]]
         # in the original's order; what is modern alone stands before the first aligned entry that goes on behind it
         met = sorted((m[0], o[0]) for o, m in entries)
-        follows = [m for m, _ in met]
-        end = max([*words["orig"], *[o for _, o in met]], default=0) + 1
-        behind = lambda j: [*[o for _, o in met], end][bisect_right(follows, j)]
-        out.sort(key=lambda e: (e[0][0], 1, 0) if e[0] else (behind(e[1][0]), 0, e[1][0]))
-        return pd.DataFrame([{**{b: rows[b].iloc[0] for b in by}, "entry": k, "orig": o, "modern": m, "relation": r} for k, (o, m, r) in enumerate(out)], columns=[*by, "entry", "orig", "modern", "relation"])
-
-    return nodes.groupBy(*by).applyInPandas(of, f"{key_schema}, entry int, orig array<int>, modern array<int>, relation string")
+        follows, first = [m for m, _ in met], [o for _, o in met]
+        first.append(max([*words["orig"], *first], default=0) + 1)
+        out.sort(key=lambda e: (e[0][0], 1, 0) if e[0] else (first[bisect_right(follows, e[1][0])], 0, e[1][0]))
+        return [{"entry": k, "orig": o, "modern": m, "relation": r} for k, (o, m, r) in enumerate(out)]
+
+    told = pa.list_(pa.struct([("entry", pa.int32()), ("orig", pa.list_(pa.int32())), ("modern", pa.list_(pa.int32())), ("relation", pa.string())]))
+    aligned = arrays.by_row(of, told, "array<struct<entry:int,orig:array<int>,modern:array<int>,relation:string>>")
+    side = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("n", "kind", "keys")))).alias(s)
+    blocks = nodes.groupBy(*by).agg(side("orig"), side("modern"))
+    return blocks.select(*by, F.inline(aligned(*[F.col(f"{s}.{c}") for s in ("orig", "modern") for c in ("n", "kind", "keys")])))
