@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays
 from . import order, sequences
 
 #: How many words nearer a plain block must begin to win over an entrance.
@@ -38,13 +40,23 @@ def _flat(rows: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def landmarks(blocks: DataFrame, scenes: DataFrame, by: Sequence[str], n: int = 5) -> DataFrame:
     """``by``, ``orig``, ``modern``: places of the n-grams that occur once on each side, those on a longest chain that rises on both."""
+    arrays.bounded(blocks.sparkSession)
 
-    def once(rows: DataFrame, at: str) -> DataFrame:
-        grams = _flat(rows, by).select(*by, F.inline(order.ngrams(F.col("words"), n)))
-        return grams.groupBy(*by, "gram", "check").agg(F.min("at").alias(at), F.count("*").alias("c")).where("c = 1").drop("c")
+    def of(orig: pa.Scalar, modern: pa.Scalar) -> list[dict]:
+        size = len(orig.values)
+        code = arrays.codes(pa.concat_arrays([orig.values, modern.values]), n)
+        # runs that reach from one side into the other are none
+        sides = [code[: max(size - n + 1, 0)], code[size:]]
+        once = [np.unique(side, return_index=True, return_counts=True) for side in sides]
+        (own, at), (other, to) = [(c[k == 1], i[k == 1]) for c, i, k in once]
+        _, i, j = np.intersect1d(own, other, assume_unique=True, return_indices=True)
+        turn = np.argsort(to[j])
+        pairs = np.stack([at[i], to[j]])[:, turn]
+        return [{"orig": o, "modern": m} for o, m in pairs[:, sequences.rising(pairs[0].tolist())].T.tolist()]
 
-    pairs = once(blocks, "orig").join(once(scenes, "modern"), [*by, "gram", "check"]).select(*by, "orig", "modern")
-    return sequences.chains(pairs, list(by), "modern", "orig")
+    pairs = arrays.by_row(of, pa.list_(pa.struct([("orig", pa.int32()), ("modern", pa.int32())])), "array<struct<orig:int,modern:int>>")
+    both = _flat(blocks, by).withColumnRenamed("words", "orig").join(_flat(scenes, by).withColumnRenamed("words", "modern"), list(by))
+    return both.select(*by, F.inline(pairs("orig", "modern")))
 
 
 def counterparts(points: DataFrame, chain: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -55,8 +67,10 @@ def counterparts(points: DataFrame, chain: DataFrame, by: Sequence[str]) -> Data
     at = F.struct("orig", "modern")
     both = points.withColumn("pair", F.lit(None).cast("struct<orig:int,modern:int>")).withColumn("late", F.lit(1)).unionByName(chain.select(*by, F.col("modern"), at.alias("pair"), F.lit(0).alias("late")), allowMissingColumns=True)
     w = Window.partitionBy(*by).orderBy("modern", "late")
+    # the pair behind is the last one seen from the end: a frame that reaches to the end is read again for every row
+    back = Window.partitionBy(*by).orderBy(F.desc("modern"), F.desc("late")).rowsBetween(Window.unboundedPreceding, -1)
     start = F.struct(F.lit(0).alias("orig"), F.lit(0).alias("modern"))
-    both = both.withColumn("before", F.coalesce(F.last("pair", ignorenulls=True).over(w), start)).withColumn("after", F.first("pair", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    both = both.withColumn("before", F.coalesce(F.last("pair", ignorenulls=True).over(w), start)).withColumn("after", F.last("pair", ignorenulls=True).over(back))
     part = (F.col("modern") - F.col("before.modern")) / (F.col("after.modern") - F.col("before.modern"))
     between = F.floor(F.col("before.orig") + part * (F.col("after.orig") - F.col("before.orig")) + 0.5)
     in_step = F.col("before.orig") + F.col("modern") - F.col("before.modern")
@@ -82,7 +96,9 @@ def split(blocks: DataFrame, scenes: DataFrame, by: Sequence[str]) -> DataFrame:
         return F.when(best.isNull(), cuts).otherwise(F.concat(cuts, F.array(best["n"])))
 
     cuts = F.aggregate(F.coalesce("wanted", F.array().cast("array<int>")), F.array(F.lit(0)), cut)
-    return listed.join(wanted, list(by), "left").select(*by, cuts.alias("cuts"), F.explode("blocks.n").alias("n")).select(*by, "n", (F.size(F.filter("cuts", lambda c: c <= F.col("n"))) - 1).alias("piece"))
+    # cuts are told once a text, before its blocks are dealt out: told with each block they took a text's blocks squared
+    told = listed.join(wanted, list(by), "left").select(*by, cuts.alias("cuts"), F.col("blocks.n").alias("n"))
+    return told.select(*by, "cuts", F.explode("n").alias("n")).select(*by, "n", (F.size(F.filter("cuts", lambda c: c <= F.col("n"))) - 1).alias("piece"))
 
 
 def scene_key(act: Column, kind: Column, n: Column) -> Column:
@@ -156,18 +172,40 @@ def labels(blocks: DataFrame, scenes: DataFrame, by: Sequence[str], n: int = 3)
     """``by``, ``n``, ``label``: the scene whose n-grams a block's neighbourhood shares most, those of few scenes weighing more; null where it shares none.
 
     The neighbourhood reaches ``BESIDE`` words beyond the block on each side; of scenes that share as much, the first.
-    Neighbourhoods and grams meet in stretches of 64 words, not text by text.
+    A text's blocks are scored by running sums, a scene at a time.
     """
-    key = ["gram", "check"]
-    told = scenes.select(*by, F.col("n").alias("label"), F.inline(order.ngrams(F.coalesce("words", F.array().cast("array<string>")), n))).select(*by, "label", *key).distinct()
-    spread = told.groupBy(*by, *key).agg(F.round(F.lit(_UNIT) / F.count("*")).cast("long").alias("weight"))
-    grams = _flat(blocks, by).select(*by, F.inline(order.ngrams(F.col("words"), n)))
-    met = grams.join(told.join(spread, [*by, *key]), [*by, *key]).select(*by, "at", "label", "weight").withColumn("stretch", F.floor(F.col("at") / 64))
-    begun = _begun(blocks, by)
-    reach = begun.select(*by, F.col("n"), F.greatest(F.col("start") - BESIDE, F.lit(0)).alias("a"), (F.col("start") + F.col("size") + BESIDE - n).alias("b")).withColumn("stretch", F.explode(F.sequence(F.floor(F.col("a") / 64), F.greatest(F.floor(F.col("b") / 64), F.floor(F.col("a") / 64)))))
-    scores = reach.join(met, [*by, "stretch"]).where("a <= at and at <= b").groupBy(*by, "n", "label").agg(F.sum("weight").alias("score"))
-    best = scores.groupBy(*by, "n").agg(F.max(F.struct("score", (-F.col("label")).alias("first"))).alias("best"))
-    return blocks.select(*by, "n").join(best, [*by, "n"], "left").select(*by, "n", (-F.col("best.first")).alias("label"))
+    arrays.bounded(blocks.sparkSession)
+    types = [rows.schema["n"].dataType.simpleString() for rows in (blocks, scenes)]
+
+    def of(turns: pa.Scalar, words: pa.Scalar, names: pa.Scalar, theirs: pa.Scalar) -> list[dict]:
+        found = [None] * len(turns)
+        if theirs.is_valid:
+            own, other = words.values.flatten(), theirs.values.flatten()
+            sizes, lengths = [x.values.value_lengths().to_numpy(zero_copy_only=False) for x in (words, theirs)]
+            code = arrays.codes(pa.concat_arrays([own, other]), n)
+            mine, rest = code[: max(len(own) - n + 1, 0)], code[len(own) :]
+            known, name = np.unique(names.values.to_numpy(zero_copy_only=False), return_inverse=True)
+            inside = np.arange(len(rest)) + n <= np.repeat(np.cumsum(lengths), lengths)[: len(rest)]
+            met = np.unique(np.repeat(name, lengths)[: len(rest)][inside] + len(known) * rest[inside])
+            gram, of = met // len(known), met % len(known)
+            weight = np.floor(_UNIT / np.bincount(gram)[gram] + 0.5).astype(np.int64) if len(gram) else gram
+            start = np.cumsum(sizes) - sizes
+            a, b = np.maximum(start - BESIDE, 0), np.minimum(start + sizes + BESIDE - n + 1, len(mine))
+            best, which = np.zeros(len(sizes), np.int64), np.full(len(sizes), -1)
+            for k in range(len(known)):
+                each = np.zeros(int(code.max(initial=0)) + 1, np.int64)
+                each[gram[of == k]] = weight[of == k]
+                sums = np.append(0, np.cumsum(each[mine]))
+                score = np.where(a < b, sums[np.maximum(b, 0)] - sums[np.minimum(a, len(mine))], 0)
+                which, best = np.where(score > best, k, which), np.maximum(score, best)
+            found = [int(known[k]) if k >= 0 else None for k in which]
+        return [{"n": t, "label": f} for t, f in zip(turns.values.to_pylist(), found, strict=True)]
+
+    wide = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64()}
+    told = arrays.by_row(of, pa.list_(pa.struct([("n", wide[types[0]]), ("label", wide[types[1]])])), f"array<struct<n:{types[0]},label:{types[1]}>>")
+    listed = lambda rows, n, words: rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("n", F.coalesce("words", F.array().cast("array<string>")).alias("words")))).alias(n)).select(*by, F.col(f"{n}.n").alias(n), F.col(f"{n}.words").alias(words))
+    both = listed(blocks, "turns", "words").join(listed(scenes.where("n is not null"), "names", "theirs"), list(by), "left")
+    return both.select(*by, F.inline(told("turns", "words", "names", "theirs")))
 
 
 def smoothed(runs: Sequence[tuple[int, int, int]], least: int = RUN) -> list[tuple[int, int, int]]:
@@ -208,21 +246,24 @@ def reordered(blocks: DataFrame, scenes: DataFrame, by: Sequence[str]) -> DataFr
     text's labels and sizes, not its words.
     """
     told = _begun(blocks, by).join(labels(blocks, scenes, by), [*by, "n"]).select(*by, "n", F.coalesce("label", F.lit(-1)).cast("int").alias("label"), "size", "start", F.coalesce("entrance", F.lit(False)).alias("entrance"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in told.schema if f.name in by)
+    arrays.bounded(blocks.sparkSession)
 
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("n")
+    def of(*columns: pa.Scalar) -> list[dict]:
+        turns, labels, sizes, starts, entrances = [c.as_py() for c in columns]
         runs: list[list[int]] = []
-        for k, (label, size) in enumerate(zip(rows["label"], rows["size"], strict=True)):
+        for k, (label, size) in enumerate(zip(labels, sizes, strict=True)):
             if runs and label in (-1, runs[-1][0]):
                 runs[-1][2] += size
             else:
                 runs.append([label, k, size])
-        begun = _moved(smoothed([tuple(r) for r in runs]), rows["start"].tolist(), rows["entrance"].tolist())
-        which = pd.Series([b for _, b in begun]).searchsorted(range(len(rows)), side="right") - 1
-        return rows[[*by, "n"]].assign(run=which, label=[begun[k][0] for k in which])
-
-    return told.groupBy(*by).applyInPandas(of, f"{schema}, n int, run int, label int")
+        begun = _moved(smoothed([tuple(r) for r in runs]), starts, entrances)
+        which = np.searchsorted([b for _, b in begun], np.arange(len(turns)), side="right") - 1
+        return [{"n": t, "run": int(k), "label": begun[k][0]} for t, k in zip(turns, which, strict=True)]
+
+    names = ("n", "label", "size", "start", "entrance")
+    found = arrays.by_row(of, pa.list_(pa.struct([(c, pa.int32()) for c in ("n", "run", "label")])), "array<struct<n:int,run:int,label:int>>")
+    listed = told.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("blocks"))
+    return listed.select(*by, F.inline(found(*[F.col(f"blocks.{c}") for c in names])))
 
 
 def named(runs: DataFrame, scenes: DataFrame, by: str) -> DataFrame:

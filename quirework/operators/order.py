@@ -72,9 +72,10 @@ def hash_sample(df: DataFrame, seed: str, key: Column, n: int) -> DataFrame:
 
 def fill_backward(df: DataFrame, by: Sequence[str], order: str, col: str) -> DataFrame:
     """The next value at or after a row; behind the last value, the last one."""
-    after = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # seen from the end, as a frame that reaches to the end is read again for every row
+    after = Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*by).orderBy(order)
-    return df.withColumn(col, F.coalesce(F.first(col, ignorenulls=True).over(after), F.last(col, ignorenulls=True).over(before)))
+    return df.withColumn(col, F.coalesce(F.last(col, ignorenulls=True).over(after), F.last(col, ignorenulls=True).over(before)))
 
 
 def nearest(df: DataFrame, by: Sequence[str], distance: Column, ties: Sequence[str], k: int = 5) -> DataFrame:
