@@ -9,10 +9,11 @@ Empty tables give empty results.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays
 from ..functions import text as tx
 from ..functions.kept import kept
 from . import order, sequences
@@ -58,11 +59,19 @@ def rows(left: DataFrame, right: DataFrame, by: str, left_entries: DataFrame | N
     return laid.select(by, F.row_number().over(w).alias("place"), F.coalesce("left", none).alias("left"), F.coalesce("right", none).alias("right"), F.coalesce(F.array_min("right") < furthest, F.lit(False)).alias("moved"))
 
 
+def _runs(nodes: DataFrame, by: str) -> DataFrame:
+    """``by``, ``idx``, ``runs`` (a node's words and what is between them) and ``starts``, their places in it."""
+    arrays.bounded(nodes.sparkSession)
+    runs = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\s—–-]+|[\s—–-]+"), F.lit(0))
+    starts = F.arrow_udf(arrays.starts, "array<int>")
+    told = nodes.select(by, "idx", runs.alias("runs")).withColumn("sizes", F.transform("runs", F.length))
+    return told.withColumn("starts", starts("sizes")).drop("sizes")
+
+
 def word_spans(nodes: DataFrame, by: str) -> DataFrame:
     """``by``, ``idx``, ``n``, ``start``, ``end``, ``word``: a node's words between white space, hyphens and dashes, with their place in it."""
-    runs = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\s—–-]+|[\s—–-]+"), F.lit(0))
-    dealt = order.running_offset(nodes.select(by, "idx", F.posexplode(runs).alias("n", "word")), [by, "idx"], "n", F.length("word"), "start")
-    return dealt.where(F.col("word").rlike(r"^[^\s—–-]")).select(by, "idx", "n", F.col("start").cast("int").alias("start"), (F.col("start") + F.length("word")).cast("int").alias("end"), "word")
+    dealt = _runs(nodes, by).select(by, "idx", F.posexplode(F.arrays_zip(F.col("starts").alias("start"), F.col("runs").alias("word"))).alias("n", "w")).select(by, "idx", "n", "w.start", (F.col("w.start") + F.length("w.word")).alias("end"), "w.word")
+    return dealt.where(F.col("word").rlike(r"^[^\s—–-]"))
 
 
 def word_key(word: Column, exact: bool) -> Column:
@@ -75,25 +84,34 @@ def differences(compared: DataFrame, left: DataFrame, right: DataFrame, by: str,
     """``by``, ``place``, ``side``, ``idx``, ``start``, ``end``: the words of each row of ``compared`` that its other side lacks, by node.
 
     Words that both sides have are those of a longest common subsequence; where two ways are as long, right words
-    are passed over first. Only rows' word keys and their numbers go to Python, a row at a time.
+    are passed over first. Nodes are moved whole, as arrays of keys, starts and ends; only rows' word keys and their
+    numbers go to Python, a row at a time.
     """
-    words = lambda nodes, side: compared.select(by, "place", F.posexplode(side).alias("turn", "idx")).join(word_spans(nodes, by).withColumn("key", word_key(F.col("word"), exact)).where("key <> ''"), [by, "idx"]).select(by, "place", F.lit(side).alias("side"), "turn", "n", "idx", "start", "end", "key")
-    dealt = words(left, "left").unionByName(words(right, "right"))
-    both = dealt.groupBy(by, "place", "side").agg(F.array_sort(F.collect_list(F.struct("turn", "n", "idx", "start", "end", "key"))).alias("w")).groupBy(by, "place").agg(*[F.coalesce(F.max(F.when(F.col("side") == s, F.col("w"))), F.array().cast("array<struct<turn:int,n:int,idx:int,start:int,end:int,key:string>>")).alias(s) for s in ("left", "right")])
-
-    @F.pandas_udf("struct<left:array<int>,right:array<int>>")
-    def lacking(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            pairs = sequences.common(list(y), list(x))
-            met = ({i for _, i in pairs}, {j for j, _ in pairs})
-            out.append([[i for i in range(len(k)) if i not in m] for k, m in zip((x, y), met, strict=True)])
-        return pd.DataFrame(out, columns=["left", "right"])
-
-    keys = lambda s: F.transform(s, lambda w: w["key"])
-    told = kept(both.withColumn("only", lacking(keys("left"), keys("right"))))
-    side = lambda s: told.select(by, "place", F.lit(s).alias("side"), F.explode(F.transform(f"only.{s}", lambda i: F.col(s)[i])).alias("w")).select(by, "place", "side", "w.idx", "w.start", "w.end")
-    return side("left").unionByName(side("right"))
+    arrays.bounded(compared.sparkSession)
+    def words(nodes: DataFrame, side: str) -> DataFrame:
+        known = F.filter(F.zip_with("starts", "runs", lambda at, w: F.struct(at.alias("start"), (at + F.length(w)).alias("end"), F.when(w.rlike(r"^[^\s—–-]"), word_key(w, exact)).otherwise("").alias("key"))), lambda w: w["key"] != "")
+        of = compared.select(by, "place", F.posexplode(side).alias("turn", "idx"))
+        return of.join(_runs(nodes, by).select(by, "idx", known.alias("w")), [by, "idx"]).select(by, "place", F.lit(side).alias("side"), F.struct("turn", "idx", "w").alias("node"))
+
+    told = words(left, "left").unionByName(words(right, "right"))
+    listed = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("node")))).alias(s)
+    flat = lambda s, c: F.flatten(F.transform(s, lambda x: F.transform(x["w"], lambda w: w[c])))
+    both = told.groupBy(by, "place").agg(listed("left"), listed("right"))
+
+    def of(x: pa.Scalar, y: pa.Scalar) -> dict:
+        a, b = x.values.to_pylist(), y.values.to_pylist()
+        pairs = sequences.common(b, a)
+        met = ({i for _, i in pairs}, {j for j, _ in pairs})
+        return {s: [i for i in range(len(k)) if i not in m] for s, k, m in zip(("left", "right"), (a, b), met, strict=True)}
+
+    which = pa.list_(pa.int32())
+    lacking = arrays.by_row(of, pa.struct([("left", which), ("right", which)]), "struct<left:array<int>,right:array<int>>")
+    only = both.withColumn("only", lacking(flat("left", "key"), flat("right", "key")))
+    # each side's words in one array, as their numbers count, with the node that has them
+    spans = lambda s: F.flatten(F.transform(s, lambda x: F.transform(x["w"], lambda w: F.struct(x["idx"].alias("idx"), w["start"].alias("start"), w["end"].alias("end")))))
+    laid = only.select(by, "place", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), spans(s).alias("w"), F.col(f"only.{s}").alias("at")) for s in ("left", "right")])).alias("s"))
+    laid = laid.select(by, "place", "s.side", "s.w", "s.at").where(F.size("at") > 0)
+    return laid.select(by, "place", "side", "w", F.explode("at").alias("k")).select(by, "place", "side", F.col("w")[F.col("k")].alias("w")).select(by, "place", "side", "w.idx", "w.start", "w.end")
 
 
 def by_node(ranges: DataFrame, nodes: DataFrame, by: str) -> DataFrame:

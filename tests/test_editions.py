@@ -264,3 +264,14 @@ def test_common_subsequence_at_any_block_size():
 def test_every_ampersand_is_a_word(spark):
     df = spark.createDataFrame([("you&me &c. & so",), (None,)], "t string")
     assert [r[0] for r in df.select(tx.keys(F.col("t"))).collect()] == [["iou", "and", "m", "and", "c", "and", "so"], []]
+
+
+def test_words_are_not_moved_one_by_one(spark):
+    """Spans are told where a node is, and differences move nodes whole; words were dealt out and shuffled before."""
+    nodes = spark.createDataFrame([(1, 0, "one  two—three"), (1, 1, None), (2, 0, " ä b")], "doc int, idx int, text string")
+    spans = compare.word_spans(nodes, "doc")
+    assert "Exchange" not in spans._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in spans.collect()) == [(1, 0, 0, 0, 3, "one"), (1, 0, 2, 5, 8, "two"), (1, 0, 4, 9, 14, "three"), (2, 0, 1, 1, 2, "ä"), (2, 0, 3, 3, 4, "b")]
+    rows = spark.createDataFrame([(1, 1, [0, 1], [0])], "doc int, place int, left array<int>, right array<int>")
+    plan = compare.differences(rows, nodes, nodes, "doc")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
