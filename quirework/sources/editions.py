@@ -291,7 +291,9 @@ def early_nodes(play: DataFrame, scenes: DataFrame) -> DataFrame:
     loose_at = ["path", "at", "attributes"]
     breaks = rows.where(f"{_START} and tag = 'pb' and stages = 0 and lines = 0").select(*loose_at).unionByName(outside.select(*loose_at)).where(_attribute("n").isNotNull()).select("path", F.col("at").alias("pb"), _attribute("n").alias("page"))
     loose = breaks.select("path", F.struct(F.col("pb").alias("a"), F.lit(0).alias("b"), F.col("pb").alias("c")).alias("place"), "page").unionByName(told.select("path", "place", "idx"), allowMissingColumns=True)
-    nearest = loose.withColumn("next", F.first("idx", ignorenulls=True).over(flow.rowsBetween(1, Window.unboundedFollowing))).where("page is not null and next is not null").groupBy("path", F.col("next").alias("idx")).agg(F.max_by("page", "place.a").alias("page"))
+    # seen from the end, as a frame that reaches to the end is read again for every row
+    back = Window.partitionBy("path").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
+    nearest = loose.withColumn("next", F.last("idx", ignorenulls=True).over(back)).where("page is not null and next is not null").groupBy("path", F.col("next").alias("idx")).agg(F.max_by("page", "place.a").alias("page"))
     none = F.array().cast("array<struct<page:string,offset:int>>")
     told = told.join(nearest, ["path", "idx"], "left").withColumn("pages", F.concat(F.when(F.col("page").isNotNull(), F.array(F.struct("page", F.lit(0).alias("offset")))).otherwise(none), F.coalesce("pages", none))).drop("page", "place")
     labels = _said(play.withColumn("sp", _counted(F.col("tag") == "sp")).withColumn("_in", _open(F.col("tag") == "speaker") > 0).where("_in"), ["path", "sp"], long_s(F.col("text"))).withColumnRenamed("said", "label")
@@ -301,8 +303,9 @@ def early_nodes(play: DataFrame, scenes: DataFrame) -> DataFrame:
 def _speeches(nodes: DataFrame) -> DataFrame:
     """``nodes`` with ``speech``, null for directions outside speeches, and the ``label`` of its speaker."""
     w = Window.partitionBy("path", "sp").orderBy("idx")
+    back = Window.partitionBy("path", "sp").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
     begins = lambda c, words: F.coalesce(F.col(c).rlike(rf"(?i)^\s*(?:{words})(?![A-Za-z0-9_])"), F.lit(False))
-    rows = nodes.withColumn("_before", F.when(F.lag("kind").over(w) == "sd", F.lag("text").over(w))).withColumn("_next", F.lead("kind").over(w)).withColumn("_more", F.coalesce(F.max(F.when(F.col("kind") == "line", F.lit(True))).over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(False)))
+    rows = nodes.withColumn("_before", F.when(F.lag("kind").over(w) == "sd", F.lag("text").over(w))).withColumn("_next", F.lead("kind").over(w)).withColumn("_more", F.coalesce(F.max(F.when(F.col("kind") == "line", F.lit(True))).over(back), F.lit(False)))
     in_sp, sd = F.col("sp").isNotNull(), F.col("kind") == "sd"
     enters = in_sp & sd & begins("text", "enter") & begins("_before", "exit|exeunt") & F.col("_more")
     leaves = in_sp & sd & begins("text", "exeunt") & (F.col("_next") == "line") & ~enters
