@@ -128,7 +128,7 @@ def test_speakers_follow_printed_labels(spark):
 
 
 def test_common_of_long_texts_is_quick():
-    """A row is a number of bits: 40,000 words against 32,000 took over ten seconds when a row was an array of lengths."""
+    """A row is a number of bits: 40,000 words against 32,000 took nine seconds when a row was an array of lengths."""
     b = [str(k * k % 7919) for k in range(40_000)]
     a = [w for k, w in enumerate(b) if k % 50 > 9]
     began = time.process_time()
