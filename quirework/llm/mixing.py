@@ -3,11 +3,11 @@
 Documents get the rates of copies, ``most`` at most, that stay closest to one copy each in relative entropy
 while every source's expected words equal its target. The solution tilts each document exponentially by what
 it adds to its source's constraint: a document of ``c`` words has the rate ``min(most, exp(lambda * c))`` with
-its source's multiplier ``lambda``. The multipliers maximise the concave dual by Newton steps: in each, the
-cluster sums every source's gradient and curvature over its documents (of which equal sizes are counted
-together) and moves the multiplier, halving the known bracket where a step would leave it, until every source's
-gradient is below ``1e-12`` of its words. Multipliers stay in a table, a row a source; sources are counted once,
-to tell whether a table of them is broadcast.
+its source's multiplier ``lambda``. The multipliers maximise the concave dual by Newton steps: the cluster
+counts documents of equal size together, and of each source's counts a task sums gradient and curvature and moves
+the multiplier, halving the known bracket where a step would leave it, until the gradient is below ``1e-12`` of
+the source's words. Multipliers stay in a table, a row a source; sources are counted once, to tell whether a table
+of them is broadcast.
 
 Rates are rounded into copies: every document takes the whole part of its rate, and the fractions are met
 by one more copy of documents in the order of a uniform hash over the fraction (sequential Poisson sampling,
@@ -71,36 +71,47 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
 def tilts(targeted: DataFrame, spectrum: DataFrame, most: float = 2.0) -> DataFrame:
     """``targeted`` with ``tilt``: the multipliers that Newton steps on the dual settle on; null where the target leaves no choice.
 
-    ``spectrum`` has ``source``, ``size`` and ``n``, how many documents of a source have that size.
+    ``spectrum`` has ``source``, ``size`` and ``n``, how many documents of a source have that size. A source is solved in a row
+    of its own, whose arrays are short: ``k`` distinct sizes take ``k * k / 2`` words at least.
     """
     few = small(targeted, _FEW)
-    sizes = spectrum.where("size > 0")
-    start = sizes.groupBy("source").agg((F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("mean"))
-    # at most times its size a source takes all, at 0 nothing; between them the bracket grows until it holds the solution
+    # at most times its size a source takes all, at 0 nothing
     able = (F.col("target") > 0) & (F.col("target") < F.col("source_size") * most * (1 - 1e-12))
-    state = _with(targeted.where(able), start, few=few).select("source", "source_size", "target", (F.log(F.col("target") / F.col("source_size")) / F.col("mean")).alias("x"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), (1 / F.col("mean")).alias("reach"), F.lit(False).alias("done"))
-    state = cut(state)
-    for _ in range(_ROUNDS):
-        told = _with(sizes, state.where("not done").select("source", "x"), few=few)
-        tilt = F.exp(F.col("x") * F.col("size"))
-        mass = F.col("n") * F.col("size")
-        sums = told.groupBy("source").agg(F.sum(mass * F.least(F.lit(most), tilt)).alias("g"), F.sum(F.when(tilt < most, mass * F.col("size") * tilt).otherwise(0.0)).alias("slope"))
-        now = _with(state, sums, "left", few=few)
-        off = F.col("g") - F.col("target")
-        lo, hi = F.when(off <= 0, F.col("x")).otherwise(F.col("lo")), F.when(off >= 0, F.col("x")).otherwise(F.col("hi"))
-        now = now.withColumn("lo", F.coalesce(lo, "lo")).withColumn("hi", F.coalesce(hi, "hi"))
+    listed = spectrum.where("size > 0").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("size", "n"))).alias("listed"))
+    told = _with(listed, targeted.where(able), few=few).select("source", "listed", F.col("source_size").alias("words"), "target")
+    told = told.withColumn("mean", F.aggregate("listed", F.lit(0.0), lambda a, s: a + s["n"] * s["size"] * s["size"]) / F.col("words"))
+    return _with(targeted, told.select("source", _tilt(most).alias("tilt")), "left", few=few)
+
+
+def _tilt(most: float) -> Column:
+    """The multiplier with which the documents of ``listed`` (``size`` and how many, ``n``), of ``words`` words in all, come to ``target`` expected words."""
+    words, target, mean, none = F.col("words"), F.col("target"), F.col("mean"), F.lit(None).cast("double")
+
+    def sums(x: Column) -> Column:
+        """Expected words at ``x`` and their slope."""
+
+        def add(a: Column, s: Column) -> Column:
+            mass, tilt = s["n"] * s["size"], F.exp(x * s["size"])
+            return F.struct((a["g"] + mass * F.least(F.lit(most), tilt)).alias("g"), (a["slope"] + F.when(tilt < most, mass * s["size"] * tilt).otherwise(0.0)).alias("slope"))
+
+        return F.aggregate("listed", F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("slope")), add)
+
+    def moved(at: Column, v: Column) -> Column:
+        x, g, slope = at["x"], v["g"], v["slope"]
+        lo, hi = F.when(g <= target, x).otherwise(at["lo"]), F.when(g >= target, x).otherwise(at["hi"])
         # a step on the logarithm of the expected words, which is nearer to a line than they are
-        step = F.col("x") - F.log(F.col("g") / F.col("target")) * F.col("g") / F.col("slope")
-        wider = F.when(F.col("hi").isNull(), F.col("lo") + F.col("reach")).when(F.col("lo").isNull(), F.col("hi") - F.col("reach")).otherwise((F.col("lo") + F.col("hi")) / 2)
-        fits = F.col("slope") > 0
-        inside = fits & (F.col("lo").isNull() | (step > F.col("lo"))) & (F.col("hi").isNull() | (step < F.col("hi")))
-        settled = F.col("done") | (F.abs(off) <= F.col("source_size") * 1e-12) | F.coalesce(F.col("hi") - F.col("lo") <= F.abs(F.col("x")) * 4e-16, F.lit(False))
-        state = cut(now.select("source", "source_size", "target", F.when(settled, F.col("x")).when(inside, step).otherwise(wider).alias("x"), "lo", "hi", (F.col("reach") * 2).alias("reach"), settled.alias("done")))
-        if state.where("not done").limit(1).count() == 0:
-            break
-    else:
-        raise RuntimeError(f"the dual did not settle in {_ROUNDS} rounds")
-    return _with(targeted, state.select("source", F.col("x").alias("tilt")), "left", few=few)
+        step = F.when((slope > 0) & (g > 0), x - F.log(g / target) * g / slope)
+        # the bracket grows until it holds the solution
+        wider = F.when(hi.isNull(), lo + at["reach"]).when(lo.isNull(), hi - at["reach"]).otherwise((lo + hi) / 2)
+        inside = step.isNotNull() & (lo.isNull() | (step > lo)) & (hi.isNull() | (step < hi))
+        settled = (F.abs(g - target) <= words * 1e-12) | F.coalesce(hi - lo <= F.abs(x) * 4e-16, F.lit(False))
+        return F.struct(F.when(settled, x).when(inside, step).otherwise(wider).alias("x"), lo.alias("lo"), hi.alias("hi"), (at["reach"] * 2).alias("reach"), settled.alias("done"))
+
+    start = F.struct((F.log(target / words) / mean).alias("x"), none.alias("lo"), none.alias("hi"), (1 / mean).alias("reach"), F.lit(False).alias("done"))
+    # the sums of a step are told once, as the only element of an array
+    step = lambda at, _: F.when(at["done"], at).otherwise(F.transform(F.array(sums(at["x"])), lambda v: moved(at, v))[0])
+    open_ = F.raise_error(f"the dual did not settle in {_ROUNDS} rounds").cast("double")
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_ROUNDS)), start, step, lambda at: F.when(at["done"], at["x"]).otherwise(open_))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: float = 2.0) -> DataFrame:

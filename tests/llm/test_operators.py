@@ -344,6 +344,17 @@ def test_mix_rates_solve_the_dual(spark):
         assert (r.off or 0) < 1e-3 * r.tilt + 1e-9
 
 
+def test_mix_takes_few_jobs(spark):
+    """Newton steps are no jobs of their own: with the driver's plans of each the driver's memory grew."""
+    spark.sparkContext.setJobGroup("mix", "mix")
+    try:
+        assert mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).agg(F.sum("taken")).first()[0] > 0
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("mix")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert 0 < len(jobs) <= 100
+
+
 def test_odd_rows_and_empty_tables(spark, odd):
     labels = spark.createDataFrame([(3, 1, 0), (4, 0, 1), (None, 1, None)], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([(1, "nothing")], "item_id long, text string")
