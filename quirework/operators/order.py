@@ -35,6 +35,15 @@ def moved(df: DataFrame, by: Sequence[str], order: str, position: str, name: str
     return df.withColumn(name, F.coalesce(F.col(position) < F.max(position).over(w), F.lit(False)))
 
 
+def dealt(df: DataFrame, by: Sequence[str], rows: int = 250_000) -> DataFrame:
+    """``df`` dealt by ``by`` to tasks of about ``rows`` rows, however many those are.
+
+    For rows of few keys, which take few bytes when moved and many when sorted: Spark merges tasks by the former.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(tasks, *by)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt to all cores where its files give fewer tasks than there are cores, as one row group cannot be split; larger inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

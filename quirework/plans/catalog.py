@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import links
+from ..operators import links, order
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,7 +113,7 @@ def best_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part's supplier by weights of one over how many lines the supplier has."""
     lines = _t(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
     df = lines.groupBy("l_suppkey").agg(F.count("*").alias("df"))
-    found = links.best_by_weight(lines.join(df, "l_suppkey"), ["l_partkey"], "l_suppkey", 1 / F.col("df"))
+    found = links.best_by_weight(order.dealt(lines, ["l_suppkey"]).join(df, "l_suppkey"), ["l_partkey"], "l_suppkey", 1 / F.col("df"))
     return found.select("l_partkey", "l_suppkey", F.round("weight", 6).alias("weight"))
 
 
