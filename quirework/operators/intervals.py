@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,8 +45,13 @@ def restore(hides: DataFrame, shown: DataFrame, by: list[str]) -> DataFrame:
 
 
 def segments(spans: DataFrame, by: list[str]) -> DataFrame:
-    """The pieces between neighbouring ends of a group's spans that some span covers, with how many cover each."""
-    ends = spans.groupBy(*by).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("start", "end"))))).alias("cuts"))
-    bits = ends.select(*by, F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("cuts") - 1, F.lit(1))), lambda i: F.struct(F.element_at("cuts", i).alias("a"), F.try_element_at("cuts", i + 1).alias("b")))).alias("bit")).where("bit.b is not null")
-    over = (F.col("start") <= F.col("bit.a")) & (F.col("bit.b") <= F.col("end"))
-    return bits.join(spans, by).where(over).groupBy(*by, F.col("bit.a").alias("start"), F.col("bit.b").alias("end")).agg(F.count("*").alias("layers"))
+    """The pieces between neighbouring ends of a group's spans that some span covers, with how many cover each.
+
+    Spans are moved once, to their group; its ends are sorted, and how many spans have begun and not ended runs along them.
+    """
+    turn = F.when(F.col("start") < F.col("end"), 1).otherwise(0)
+    ends = spans.where(" and ".join(f"`{c}` is not null" for c in by)).repartition(*by).select(*by, F.inline(F.array(F.struct(F.col("start").alias("start"), turn.alias("_d")), F.struct(F.col("end").alias("start"), (-turn).alias("_d")))))
+    w = Window.partitionBy(*by).orderBy("start")
+    # ends alike have the same sum, of which the last one's reaches to the next end
+    told = ends.where("start is not null").select(*by, "start", F.lead("start").over(w).alias("end"), F.sum("_d").over(w).alias("layers"))
+    return told.where("start < end and layers > 0")
