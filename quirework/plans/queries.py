@@ -172,10 +172,11 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rare_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's weight of 1/df over its distinct key trigrams that benchmark items hold."""
-    grams = lambda t, k: _grams_of(_t(spark, sf_dir, t), k, 3).select(F.col("id").alias(k), "gram", "check").distinct()
-    known = grams("benchmark", "item_id").groupBy("gram", "check").agg(F.count("*").alias("df"))
+    grams = lambda t, k: _grams_of(_t(spark, sf_dir, t), k, 3).select(F.col("id").alias(k), "gram", "check")
+    known = grams("benchmark", "item_id").distinct().groupBy("gram", "check").agg(F.count("*").alias("df"))
     weight = F.round(F.sum(1 / F.col("df")), 6).alias("weight")
-    return grams("documents", "doc_id").join(known, ["gram", "check"]).groupBy("doc_id").agg(weight, F.count("*").alias("grams"))
+    # only grams of items count, so the rest go before the distinct ones are sought
+    return grams("documents", "doc_id").join(known, ["gram", "check"]).distinct().groupBy("doc_id").agg(weight, F.count("*").alias("grams"))
 
 
 def recurrence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
