@@ -60,7 +60,7 @@ def _lone(strong: DataFrame) -> DataFrame:
 
 def learned(candidates: DataFrame) -> DataFrame:
     """``scene``, ``cited``, ``number``, ``teacher``: line pairs of long quotations that are on one line of their scene alone."""
-    sure = candidates.where("size(quoted) >= 3 and overlap >= needed")
+    sure = candidates.where("quotes >= 3 and overlap >= needed")
     return _lone(sure).join(candidates.select("id", F.col("line").alias("cited")).distinct(), "id").select("scene", "cited", "number", F.col("id").alias("teacher"))
 
 
@@ -88,7 +88,7 @@ def chosen(candidates: DataFrame) -> DataFrame:
     lines alike in both are ambiguous. Otherwise the only line counts, or one much nearer than the next.
     """
     near = candidates.withColumn("distance", F.abs(F.col("number") - F.col("predicted"))).where(F.col("distance") <= NEAR)
-    long = F.size("quoted") >= 3
+    long = F.col("quotes") >= 3
     # short quotations take the last form of the head in a line, long ones the first
     lined = near.withColumn("_last", F.max("at").over(Window.partitionBy("id", "idx"))).where(long | (F.col("at") == F.col("_last")))
     rank = F.when(long & (F.col("overlap") >= 2), -F.col("overlap")).when(long, F.lit(1)).otherwise(F.lit(0))
@@ -103,7 +103,7 @@ def chosen(candidates: DataFrame) -> DataFrame:
     return best.select("id", "scene", "idx", "at", reason.alias("reason"))
 
 
-def recovered(cites: DataFrame, lines: DataFrame, forms: DataFrame, within: DataFrame | None = None) -> DataFrame:
+def recovered(cites: DataFrame, lines: DataFrame, within: DataFrame | None = None) -> DataFrame:
     """``id``, ``scene``, ``idx``, ``at`` of citations (``with_quotes``) whose quotation is on one line alone of all scenes, or of those that ``within`` (``id``, ``scene``) names.
 
     A line must hold ``needed`` of the quoted keys, so it holds one of the ``size - needed + 1`` rarest: only these are looked up.
@@ -115,7 +115,7 @@ def recovered(cites: DataFrame, lines: DataFrame, forms: DataFrame, within: Data
     rare = key.join(often, "key", "left").withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("_f", F.lit(0)), "key"))).where("_r <= size(quoted) - needed + 1")
     hit = rare.select("id", "key").join(held, "key").select("id", "scene", "idx").distinct()
     hit = hit if within is None else hit.join(within, ["id", "scene"], "left_semi")
-    met = hit.join(long.select("id", "head", "quoted", "needed"), "id").join(forms, ["scene", "idx", "head"])
+    met = hit.join(long.select("id", "head", "quoted", "needed"), "id").join(heads(lines), ["scene", "idx", "head"])
     return _lone(_measured(met, lines).where("overlap >= needed")).drop("number")
 
 
@@ -131,8 +131,10 @@ def match(lines: DataFrame, cites: DataFrame, prior: DataFrame | None = None, ac
         only = acts.groupBy("act").agg(F.min("scene").alias("_only"), F.count("*").alias("_m")).where("_m = 1").drop("_m")
         cites = cites.join(only, "act", "left").withColumn("scene", F.coalesce("scene", "_only")).drop("_only")
     told = kept(with_context(lines))
-    forms, asked = kept(heads(told)), kept(with_quotes(cites))
-    inside = kept(_measured(asked.join(forms, ["scene", "head"]), told))
+    asked = kept(with_quotes(cites))
+    # each citation meets each form in its scene: quoted keys are counted once, and what is kept of them is their number
+    met = _measured(asked.join(heads(told), ["scene", "head"]), told)
+    inside = kept(met.withColumn("quotes", F.size("quoted")).drop("head", "quoted"))
     pairs = learned(inside)
     if prior is not None:
         pairs = pairs.unionByName(prior.select(*pairs.columns))
@@ -145,14 +147,14 @@ def match(lines: DataFrame, cites: DataFrame, prior: DataFrame | None = None, ac
     state = kept(state)
     lost = F.col("_reason").isin("no such scene", "headword not found near cited line", "quotation disagrees")
     seek = state.where(lost).select("id", "scene", "head", "quoted", "needed")
-    home = _lone(inside.where("size(quoted) >= 3 and overlap >= needed").join(seek.select("id"), "id", "left_semi")).drop("number")
-    far = recovered(seek, told, forms)
+    home = _lone(inside.where("quotes >= 3 and overlap >= needed").join(seek.select("id"), "id", "left_semi")).drop("number")
+    far = recovered(seek, told)
     name = lambda df, p: df.select("id", *[F.col(c).alias(p + c) for c in ("scene", "idx", "at")])
     none = home.limit(0)
     if acts is not None:
         astray = state.where("_reason = 'no such scene'")
         own = astray.select("id").join(cites.select("id", "act"), "id").join(acts.select("act", "scene"), "act").select("id", "scene")
-        none = recovered(astray.select("id", "scene", "head", "quoted", "needed"), told, forms, own)
+        none = recovered(astray.select("id", "scene", "head", "quoted", "needed"), told, own)
     out = state.join(name(home, "h_"), "id", "left").join(name(none, "a_"), "id", "left").join(name(far, "f_"), "id", "left")
     found = F.col("h_idx").isNotNull() | F.col("a_idx").isNotNull() | F.col("f_idx").isNotNull()
     place = lambda c, own: F.coalesce("h_" + c, "a_" + c, "f_" + c, F.when(F.col("_reason").isNull(), F.col(own))).alias(c)

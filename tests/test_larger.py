@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from quirework.operators import curation, intervals, order
+from quirework.operators import citations, curation, intervals, order
 from quirework.plans import catalog, queries
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +37,13 @@ def test_works_are_judged_before_their_links_are_moved(spark):
 
 def test_grams_that_no_item_holds_go_before_the_distinct_ones_are_sought(spark):
     assert plan(queries.rare_trigrams(spark, SF)).split("Join", 1)[0].count("Aggregate ") == 2
+
+
+def test_forms_of_words_are_not_kept_and_candidates_without_their_quotations(spark, monkeypatch):
+    tables, keep = [], citations.kept
+    monkeypatch.setattr(citations, "kept", lambda df: tables.append(df.columns) or keep(df))
+    lines = spark.createDataFrame([("s", i, i, ["the", f"kings{i}", "crown", "gold"]) for i in range(4)], "scene string, idx int, number int, words array<string>")
+    cites = spark.createDataFrame([(1, "s", 2, "kings2", ["crown", "gold"])], "id int, scene string, line int, head string, quote array<string>")
+    assert [tuple(r)[:4] for r in citations.match(lines, cites).collect()] == [(1, "s", 2, 1)]
+    # of the tables of several rows a citation or line, none holds forms or arrays
+    assert not [t for t in tables if "at" in t and ("quoted" in t and "_reason" not in t or "head" in t and "id" not in t)]
