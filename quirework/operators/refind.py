@@ -7,64 +7,129 @@ also have ``exact``, ``prefix`` and ``suffix``; a null one is empty. An empty qu
 alone, is nowhere. Surroundings are those in the outer nodes, as quotations are made; a line end in them
 agrees with nothing. Empty tables give empty results, and other columns of the tables are not read.
 
-Quotations and nodes meet by short grams, never by their key alone: of each quotation the longest line gives
-``q`` overlapping grams, nodes give those at every ``q``-th character, and just one of the ``q`` is met by
-any occurrence. ``q`` is at most half the line, so that a text gives about two grams a character however
-many anchors it has.
+Texts with lost anchors are rows, their lines joined and their quotations beside them, and go to a small helper
+that reads each text once: a few quotations are sought one by one, many by an index of the text's grams of ``q``
+characters, ``q`` at most the quotation, that is looked up with the rarest gram of each. So a text costs about its
+length and the places of its quotations, however many anchors it has; of the places those that agree best so far
+are held on to, character by character.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
+from ..functions import arrays
 from ..functions.kept import kept
 from . import anchors, notes
 
-#: Lengths of grams; a gram of ``q`` serves lines of ``2 q - 1`` characters and more.
+#: Lengths of grams.
 GRAMS = (8, 4, 2, 1)
-
-
-def _lines(quotes: DataFrame, by: str) -> DataFrame:
-    """``id``, ``by``, ``parts`` (the quotation's lines), ``m`` and ``part`` (its longest line), ``q``."""
-    parts = F.split(F.coalesce("exact", F.lit("")), "\n")
-    told = quotes.select("id", by, parts.alias("parts")).withColumn("best", F.array_max(F.transform("parts", lambda p, i: F.struct(F.length(p).alias("size"), (-i).alias("back")))))
-    size = F.col("best.size")
-    q = F.when(size >= 2 * GRAMS[0] - 1, GRAMS[0])
-    for n in GRAMS[1:]:
-        q = q.when(size >= 2 * n - 1, n)
-    return told.where(size > 0).select("id", by, "parts", (-F.col("best.back")).alias("m"), F.col("parts")[-F.col("best.back")].alias("part"), q.alias("q"))
-
-
-def occurrences(quotes: DataFrame, nodes: DataFrame, by: str) -> DataFrame:
-    """``id``, ``by`` and the span of every place where ``exact`` of a row of ``quotes`` occurs in the nodes of its ``by``, with ``agree``.
-
-    ``agree`` is how many characters beside the place agree with ``prefix`` and ``suffix``.
+#: Quotations of a text that are sought one by one.
+FEW = 64
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
+
+
+def _grams(codes: np.ndarray, q: int) -> np.ndarray:
+    """A number for each run of ``q`` characters, the same where runs are."""
+    found, n = codes.astype(np.uint64), 1
+    while n < q:
+        found = found[:-n] * np.uint64(0x9E3779B97F4A7C15 + 2 * n) + found[n:] * np.uint64(0xC2B2AE3D27D4EB4F)
+        found ^= found >> np.uint64(29)
+        n *= 2
+    return found
+
+
+def places(text: str, quotes: list[str], few: int = FEW) -> dict[str, np.ndarray]:
+    """Where each of the quotations, none of them empty, occurs in the text, overlaps too."""
+    told = {}
+    if len(quotes) <= few:
+        for quote in quotes:
+            at, found = text.find(quote), []
+            while at >= 0:
+                found.append(at)
+                at = text.find(quote, at + 1)
+            told[quote] = np.array(found, np.int64)
+        return told
+    codes = _codes(text)
+    for q in GRAMS:
+        mine = [x for x in quotes if len(x) >= q and x not in told and len(x) <= len(text)]
+        if not mine:
+            continue
+        grams = _grams(codes, q)
+        order = np.argsort(grams, kind="stable")
+        grams = grams[order]
+        for quote in mine:
+            own = _grams(_codes(quote), q)
+            begins, ends = np.searchsorted(grams, own), np.searchsorted(grams, own, "right")
+            k = int(np.argmin(ends - begins))
+            found = order[begins[k] : ends[k]] - k
+            told[quote] = np.array([p for p in found.tolist() if p >= 0 and text.startswith(quote, p)], np.int64)
+    return told | {x: np.array([], np.int64) for x in quotes if x not in told}
+
+
+def _agree(codes: np.ndarray, at: np.ndarray, step: int, wanted: np.ndarray) -> np.ndarray:
+    """How many characters from each place on, forward or backward, are those wanted."""
+    count, left = np.zeros(len(at), np.int64), np.arange(len(at))
+    for k, c in enumerate(wanted):
+        on = at[left] + step * k
+        left, on = (x[(on >= 0) & (on < len(codes))] for x in (left, on))
+        left = left[codes[on] == c]
+        if not len(left):
+            break
+        count[left] += 1
+    return count
+
+
+def _best(text: str, idx: np.ndarray, quotes: list[tuple[str, str, str]]) -> list[tuple[int, int, int, int] | None]:
+    """The span that each quotation with its prefix and suffix has in a text of lines numbered ``idx``; none where no place agrees best."""
+    met = places(text, list({x for x, _, _ in quotes}))
+    codes = _codes(text).copy()
+    begins = np.append(0, np.flatnonzero(codes == 10) + 1)
+    codes[begins[1:] - 1] = -1  # agrees with nothing
+    node = lambda at: np.searchsorted(begins, at, "right") - 1
+
+    def of(exact: str, prefix: str, suffix: str) -> tuple[int, int, int, int] | None:
+        at, lines = met[exact], exact.count("\n")
+        if lines:
+            at = at[idx[node(at + len(exact))] - idx[node(at)] == lines]
+        if len(at) > 1 and (prefix or suffix):
+            agree = _agree(codes, at - 1, -1, _codes(prefix)[::-1]) + _agree(codes, at + len(exact), 1, _codes(suffix))
+            at = at[agree == agree.max()]
+        if len(at) != 1:
+            return None
+        a, b = int(at[0]), int(at[0]) + len(exact)
+        i, j = int(node(a)), int(node(b))
+        return int(idx[i]), a - int(begins[i]), int(idx[j]), b - int(begins[j])
+
+    once = {x: of(*x) for x in set(quotes)}
+    return [once[x] for x in quotes]
+
+
+def _spans(text: pa.Scalar, idx: pa.Scalar, quotes: pa.Scalar) -> list[dict | None]:
+    asked = quotes.values
+    named = list(zip(*(asked.field(c).to_pylist() for c in ("exact", "prefix", "suffix")), strict=True))
+    return [x and dict(zip(anchors.PLACE, x, strict=True)) for x in _best(text.as_py(), idx.values.to_numpy(), named)]
+
+
+def found(quotes: DataFrame, nodes: DataFrame, by: str) -> DataFrame:
+    """``id`` and the span of the place in the nodes of its ``by`` where ``exact`` of a row of ``quotes`` occurs and ``prefix`` and ``suffix`` agree best.
+
+    Rows without a place, or without one that agrees better than all others, are left out.
     """
-    lines = kept(_lines(quotes, by))
-    text = nodes.select(by, "idx", F.coalesce("text", F.lit("")).alias("text"))
-    grams = lines.select("id", by, "q", "m", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda k: F.substring(F.col("part"), k + 1, F.col("q")))).alias("shift", "gram"))
-    places = F.when(F.length("text") >= F.col("q"), F.sequence(F.lit(0), F.length("text") - F.col("q"), F.col("q")))
-    wanted = lines.select(by, "q").distinct()
-    held = text.join(wanted, by).select(by, "q", "idx", "text", F.explode(places).alias("off")).select(by, "q", "idx", "off", F.substring(F.col("text"), F.col("off") + 1, F.col("q")).alias("gram"))
-    met = held.join(grams, [by, "q", "gram"]).where("off >= shift").select("id", (F.col("idx") - F.col("m")).alias("at"), (F.col("off") - F.col("shift")).alias("s"))
-    # each line of the quotation against its node: the first ends it, the last begins it, those between are whole
-    told = met.join(lines.drop("q", "part"), "id").join(quotes.select("id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("prefix", "suffix")]), "id")
-    dealt = told.select("id", by, "at", "s", "m", "prefix", "suffix", F.size("parts").alias("n"), F.posexplode("parts").alias("r", "part")).withColumn("idx", F.col("at") + F.col("r"))
-    size, first, last = F.length("part"), F.col("r") == 0, F.col("r") == F.col("n") - 1
-    start = F.when(F.col("r") == F.col("m"), F.col("s")).when(first, F.length("text") - size).otherwise(0)
-    placed = dealt.join(text, [by, "idx"]).withColumn("a", start)
-    fits = (F.substring(F.col("text"), F.col("a") + 1, size) == F.col("part")) & (F.col("a") >= 0) & (first | (F.col("a") == 0)) & (last | (F.col("a") + size == F.length("text")))
-    near = placed.where(fits).select(
-        "id", by, "at", "s", "n", "idx",
-        F.when(first, F.col("a")).alias("a"),
-        F.when(last, F.col("a") + size).alias("b"),
-        F.when(first, tx.common_suffix(F.substring(F.col("text"), F.lit(1), F.col("a")), F.col("prefix"))).otherwise(0).alias("ahead"),
-        F.when(last, tx.common_prefix(F.substring(F.col("text"), F.col("a") + size + 1, F.length("suffix")), F.col("suffix"))).otherwise(0).alias("behind"),
-    )
-    whole = near.groupBy("id", by, "at", "s", "n").agg(F.count("*").alias("k"), F.max("a").alias("a"), F.max("b").alias("b"), (F.sum("ahead") + F.sum("behind")).cast("int").alias("agree"))
-    return whole.where("k = n").select("id", by, F.col("at").alias("start_idx"), F.col("a").alias("start_off"), (F.col("at") + F.col("n") - 1).alias("end_idx"), F.col("b").alias("end_off"), "agree")
+    arrays.bounded(quotes.sparkSession)
+    asked = F.struct("id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("exact", "prefix", "suffix")])
+    wanted = quotes.where(F.replace("exact", F.lit("\n"), F.lit("")) != "").groupBy(by).agg(F.collect_list(asked).alias("asked"))
+    lines = nodes.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("long").alias("idx"), F.coalesce("text", F.lit("")).alias("text")))).alias("lines"))
+    spans = arrays.by_row(_spans, pa.list_(pa.struct([(c, pa.int64()) for c in anchors.PLACE])), f"array<struct<{','.join(f'{c}:bigint' for c in anchors.PLACE)}>>")
+    told = lines.join(wanted, by).select("asked.id", spans(F.array_join("lines.text", "\n"), F.col("lines.idx"), F.col("asked")).alias("spans"))
+    types = dict(nodes.dtypes)["idx"], "int"
+    return told.select(F.explode(F.arrays_zip("id", "spans")).alias("x")).where("x.spans is not null").select("x.id", *[F.col(f"x.spans.{c}").cast(types[c.endswith("off")]).alias(c) for c in anchors.PLACE])
 
 
 def resolved(stored: DataFrame, nodes: DataFrame, by: str) -> DataFrame:
@@ -72,12 +137,8 @@ def resolved(stored: DataFrame, nodes: DataFrame, by: str) -> DataFrame:
     now = anchors.quotes(stored, nodes, by, 0).select("id", F.col("exact").alias("now"))
     held = kept(stored.join(now, "id", "left").withColumn("valid", F.coalesce(F.col("now") == F.coalesce("exact", F.lit("")), F.lit(False))))
     lost = held.where("not valid")
-    # of a quotation's places those that agree alike are counted first, so that a common word is no group of all its places
-    span = F.struct(*anchors.PLACE)
-    alike = occurrences(lost, nodes, by).groupBy("id", "agree").agg(F.count("*").alias("n"), F.min(span).alias("span"))
-    best = alike.groupBy("id").agg(F.max(F.struct("agree", "n", "span")).alias("best")).where("best.n = 1").select("id", "best.span.*")
-    found = lost.select("id", by).join(best, "id", "left").select("id", by, F.when(F.col("start_idx").isNull(), "unattached").otherwise("repaired").alias("status"), *anchors.PLACE)
-    return held.where("valid").select("id", by, F.lit("valid").alias("status"), *anchors.PLACE).unionByName(found)
+    again = lost.select("id", by).join(found(lost, nodes, by), "id", "left").select("id", by, F.when(F.col("start_idx").isNull(), "unattached").otherwise("repaired").alias("status"), *anchors.PLACE)
+    return held.where("valid").select("id", by, F.lit("valid").alias("status"), *anchors.PLACE).unionByName(again)
 
 
 def attached(noted: DataFrame, resolutions: DataFrame, created: str) -> tuple[DataFrame, DataFrame]:

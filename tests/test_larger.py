@@ -1,10 +1,11 @@
 """What must not be moved or kept as tables grow, by plans, and the same results."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
-from quirework.operators import citations, curation, intervals, order
+from quirework.operators import citations, curation, intervals, order, refind
 from quirework.plans import catalog, queries
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +48,24 @@ def test_forms_of_words_are_not_kept_and_candidates_without_their_quotations(spa
     assert [tuple(r)[:4] for r in citations.match(lines, cites).collect()] == [(1, "s", 2, 1)]
     # of the tables of several rows a citation or line, none holds forms or arrays
     assert not [t for t in tables if "at" in t and ("quoted" in t and "_reason" not in t or "head" in t and "id" not in t)]
+
+
+def test_places_by_the_index_and_one_by_one():
+    draw = random.Random(3)
+    for letters in ("ab", "aé漢😀\n", "a"):
+        text = "".join(draw.choice(letters) for _ in range(400))
+        quotes = list({text[p : p + n] for p in range(0, 390, 7) for n in (1, 2, 3, 4, 7, 8, 9, 30)} | {"zz", text + "a", "b" * 9})
+        plain = {x: [p for p in range(len(text)) if text.startswith(x, p)] for x in quotes}
+        assert plain == {x: p.tolist() for x, p in refind.places(text, quotes, 0).items()} == {x: p.tolist() for x, p in refind.places(text, quotes, 10_000).items()}
+
+
+def test_lost_anchors_move_no_grams_and_each_text_once(spark):
+    """Lines far longer than a gram and many anchors on one text: rows that move are the nodes and anchors alone."""
+    nodes = spark.createDataFrame([(1, i, f"{i} said it so " + "x" * (200_000 if i == 7 else 5) + f" end {i}") for i in range(3000)], "doc int, idx int, text string")
+    stored = spark.createDataFrame([(i, 1, 0, 0, 0, 1, f"x end {i}", "", "\n") for i in range(100, 3000)] + [(3001, 1, 0, 0, 0, 1, "so", "7 said it ", " xxxxxx")], "id int, doc int, start_idx int, start_off int, end_idx int, end_off int, exact string, prefix string, suffix string")
+    told = refind.found(stored, nodes, "doc")
+    assert "sequence(" not in plan(told) and plan(told).count("Generate ") == 1
+    got = {r.id: tuple(r)[1:] for r in told.collect()}
+    # a number that others begin with occurs in their lines too, and a line end in surroundings agrees with nothing
+    want = {i: (i, len(f"{i} said it so xxxxx") - 1, i, len(f"{i} said it so xxxxx end {i}")) for i in range(300, 3000)}
+    assert {i: p for i, p in got.items() if 300 <= i < 3000} == want and not [i for i in got if 100 <= i < 300] and got[3001] == (7, 10, 7, 12)
