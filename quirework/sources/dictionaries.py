@@ -5,9 +5,10 @@ citation behind its quotation; the second begins one with a small headword, numb
 prints quotations behind their citations, the headword cut to a letter. Numbers go on in the play, act and scene
 of the reference before them. Lines are rows ``book``, ``n`` (their order) and ``line``; null lines are blank.
 
-A reader's state is no loop here: what a token leaves to those behind it (play, act, scene, sense) is the last
-value over a window of its entry's tokens, and what it ends (a quotation, a list of numbers) is a run of tokens.
-The one kernel is the chain of headwords in alphabetical order, over a book's candidate words. Empty tables give
+What a token leaves to those behind it (play, act, scene, sense) and what it ends (a quotation, a list of numbers)
+is told in the first dictionary a sense at a time, in its row, as a sense is short and its tokens are many; in the
+second as the last value over a window of its entry's tokens, and as a run of tokens. The other kernel is the chain
+of headwords in alphabetical order, over a book's candidate words. Empty tables give
 empty results.
 """
 
@@ -15,11 +16,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays
 from ..functions.kept import kept
 from ..operators import order, sequences
 
@@ -37,6 +40,8 @@ SECOND_WORKS = (
 )
 FIRST_PARTS = {"subst": "noun", "prepos": "preposition", "vb": "verb", "adj": "adjective", "adv": "adverb", "pron": "pronoun", "prep": "preposition", "conj": "conjunction", "interj": "interjection"}
 SECOND_PARTS = {"sb": "noun", "vb": "verb", "adj": "adjective", "adv": "adverb", "prep": "preposition", "conj": "conjunction", "interj": "interjection", "int": "interjection", "pron": "pronoun"}
+_FIRST_ACTS, _FIRST_MISREAD = {"I": 1, "II": 2, "III": 3, "IV": 4, "V": 5}, ("lT1|Y", "IIIIV")
+_SECTIONS = {"Prol": "prologue", "Epil": "epilogue"}
 _SECOND_MISREAD = {"n": "ii", "u": "ii", "in": "iii", "m": "iii", "hi": "iii", "iu": "iii", "rv": "iv", "y": "v"}
 _NOTES = r"(?i)^(?:used|adjectively|substantively|adverbially|followed|preceded|joined|omitted|placed|put|absol|elliptically|redundantly|inserted|in the sense|the art)(?![A-Za-z0-9_])"
 
@@ -50,8 +55,8 @@ def _lookup(values: dict, c: Column) -> Column:
 
 def roman_first(c: Column) -> Column:
     """An act's numeral, I to V, whose capitals the scan may have misread (``Il``, ``IU``, ``HI``, ``TII``, ``Y``); null for anything else."""
-    level = F.regexp_replace(F.translate(F.replace(F.replace(c, F.lit("H"), F.lit("II")), F.lit("U"), F.lit("II")), "lT1|Y", "IIIIV"), "^IIII$", "III")
-    return _lookup({"I": 1, "II": 2, "III": 3, "IV": 4, "V": 5}, level)
+    level = F.regexp_replace(F.translate(F.replace(F.replace(c, F.lit("H"), F.lit("II")), F.lit("U"), F.lit("II")), *_FIRST_MISREAD), "^IIII$", "III")
+    return _lookup(_FIRST_ACTS, level)
 
 
 def roman_second(c: Column) -> Column:
@@ -77,12 +82,11 @@ def glued(rows: DataFrame, by: Sequence[str], at: str, line: str) -> DataFrame:
 
 def alphabetical(candidates: DataFrame, by: str, at: str, key: str) -> DataFrame:
     """Those of a book's candidates that are on a longest chain of keys that never falls: real headwords are in order, lines that look like one are not."""
-
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(at)
-        return rows.iloc[sequences.rising(rows[key].tolist(), strict=False)]
-
-    return candidates.groupBy(by).applyInPandas(of, candidates.schema)
+    arrays.bounded(candidates.sparkSession)
+    chain = arrays.by_row(lambda keys: sequences.rising(keys.as_py(), strict=False), pa.list_(pa.int32()), "array<int>")
+    listed = candidates.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(at, *[c for c in candidates.columns if c not in (by, at)]))).alias("_rows"))
+    told = listed.select(by, "_rows", chain(F.col(f"_rows.{key}")).alias("_on"))
+    return told.select(by, F.inline(F.transform("_on", lambda i: F.get("_rows", i)))).select(*candidates.columns)
 
 
 def _bodies(rows: DataFrame, starts: DataFrame, at: str, line: str) -> DataFrame:
@@ -150,65 +154,105 @@ def first_gloss(gloss: Column) -> Column:
     return F.when(empty, "").otherwise(told)
 
 
-def first_senses(entries: DataFrame) -> DataFrame:
-    """``book``, ``entry``, ``sense`` (from 0), ``label``, ``gloss``, ``text`` (its quotations and citations).
+def first_senses(entries: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """``book``, ``entry``, the entry's columns ``also``, ``sense`` (from 0), ``label``, ``gloss``, ``text`` (its quotations and citations).
 
     A gloss runs to the first colon; ``Hence = ...:`` behind it begins a derived sense with the same label.
     """
-    parts = entries.select("book", "entry", F.posexplode(F.split("body", rf"(?:^|\n|,{_S})(?=\d{{1,2}}\){_S})")).alias("k", "part"))
+    parts = entries.select("book", "entry", *also, F.posexplode(F.split("body", rf"(?:^|\n|,{_S})(?=\d{{1,2}}\){_S})")).alias("k", "part"))
     labelled = rf"(?s)^(\d{{1,2}})\){_S}+(.*)$"
     has = F.col("part").rlike(labelled)
     content = F.replace(F.when(has, F.regexp_extract("part", labelled, 2)).otherwise(F.col("part")), F.lit("\n"), F.lit(" "))
-    told = parts.select("book", "entry", "k", F.when(has, F.regexp_extract("part", labelled, 1)).alias("label"), content.alias("content")).withColumn("colon", F.instr("content", ":"))
+    told = parts.select("book", "entry", *also, "k", F.when(has, F.regexp_extract("part", labelled, 1)).alias("label"), content.alias("content")).withColumn("colon", F.instr("content", ":"))
     rest = F.when(F.col("colon") > 0, F.expr("substring(content, colon + 1)")).otherwise(F.col("content"))
     hence = rf"(?<![A-Za-z0-9_])Hence{_S}*={_S}*([^:]{{2,80}}):"
     told = told.withColumn("rest", rest).withColumn("first", F.expr("substring(content, 1, greatest(colon - 1, 0))"))
     glosses = F.concat(F.array("first"), F.regexp_extract_all("rest", F.lit(hence), F.lit(1)))
-    dealt = told.select("book", "entry", "k", "label", F.posexplode(F.arrays_zip(glosses.alias("gloss"), F.split("rest", hence).alias("text"))).alias("d", "s"))
+    dealt = told.select("book", "entry", *also, "k", "label", F.posexplode(F.arrays_zip(glosses.alias("gloss"), F.split("rest", hence).alias("text"))).alias("d", "s"))
     number = F.row_number().over(Window.partitionBy("book", "entry").orderBy("k", "d")) - 1
-    return dealt.select("book", "entry", number.alias("sense"), "label", first_gloss(F.col("s.gloss")).alias("gloss"), F.col("s.text").alias("text"))
-
-
-def first_citations(texts: DataFrame, by: Sequence[str], text: str = "text") -> DataFrame:
-    """``by``, ``c`` (from 0), ``play``, ``act``, ``scene``, ``part``, ``line``, ``quote`` of each reference; a quotation stands before its reference.
+    return dealt.select("book", "entry", *also, number.alias("sense"), "label", first_gloss(F.col("s.gloss")).alias("gloss"), F.col("s.text").alias("text"))
+
+
+#: ``_S`` as Python spells it.
+_SPACE = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_FIRST_TOKEN = re.compile("|".join([
+    rf"(?<![A-Za-z])(?=[{''.join({w[0] for w in FIRST_WORKS})}])(?P<work>{'|'.join(re.escape(w) for w in sorted(FIRST_WORKS, key=len, reverse=True))})(?![A-Za-z])\.?",
+    r"(?<![A-Za-z0-9_])(?P<section>Prol|Epil|Chor)\.?",
+    rf"(?<![A-Za-z0-9])(?=[1|]*[IVXlTHUY])(?P<roman>[IVXlTHUY1|]{{1,4}}),[{_SPACE}]*(?=\d)",
+    rf"(?P<num>\d{{1,4}})[{_SPACE}]*(?P<sign>[,.;]?)",
+    rf"(?P<word>[^{_SPACE}]+)",
+]), re.ASCII)
+# a next line that ends a text is no part of it
+_FIRST_END = re.compile(r"[\s,;:.]+(?=\x85?\Z)", re.ASCII)
+
+
+@cache
+def _first_act(roman: str) -> int | None:
+    """``roman_first`` of at most four signs."""
+    return _FIRST_ACTS.get(roman.replace("H", "II").replace("U", "II").translate(str.maketrans(*_FIRST_MISREAD)).replace("IIII", "III"))
+
+
+def _first_cited(text: str | None) -> list[tuple[str, int | None, int | None, str | None, int, str]]:
+    """``play``, ``act``, ``scene``, ``part``, ``line``, ``quote`` of each reference, a token after the other."""
+    told, numbers, words, quote, of = [], [], [], "", (None, None)
+    play = part = act = scene = None
+    placed, goes_on = True, False
+
+    def end() -> None:
+        """Ends a list of numbers: only the first behind a work or numeral says where, the others go on there."""
+        nonlocal numbers, placed, act, scene
+        if not placed and of[1] is None and len(numbers) == 3:
+            act, scene, *numbers = numbers
+        elif not placed and of[1] is None and len(numbers) > 1:
+            scene, *numbers = numbers
+        placed = True
+        if of[0] is not None:
+            told.extend((of[0], act, scene, of[1], n, "" if i else quote) for i, n in enumerate(numbers))
+        numbers = []
+
+    for token in _FIRST_TOKEN.finditer(text or ""):
+        work, section, roman, num, sign, word = token.groups()
+        if num:
+            if not goes_on:
+                if numbers:
+                    end()
+                quote, of, words = _FIRST_END.sub("", " ".join(words)) if words else "", (play, part), []
+            numbers.append(int(num))
+            goes_on = sign == ","
+            continue
+        goes_on = False
+        if word:
+            words.append(word)
+            continue
+        if numbers:
+            end()
+        value = roman and _first_act(roman)
+        if work or value:
+            play, part, act, scene, placed = FIRST_WORKS[work] if work else play, None, value, None, False
+        elif section:
+            play, part = None if section == "Chor" else play, _SECTIONS.get(section)
+        else:
+            play = None
+    if numbers:
+        end()
+    return told
+
+
+def first_cited(text: Column) -> Column:
+    """``play``, ``act``, ``scene``, ``part``, ``line``, ``quote`` of each reference in a text; a quotation stands before its reference.
 
     The first numbers behind a work or a numeral give the place, later ones more lines of it: two or more are a scene
     and its lines, three without a numeral an act too, one behind a numeral the line of an act with one scene.
     """
-    works = "|".join(re.escape(w) for w in sorted(FIRST_WORKS, key=len, reverse=True))
-    pattern = "|".join([
-        rf"(?<![A-Za-z])({works})(?![A-Za-z])\.?",
-        r"(?<![A-Za-z0-9_])(Prol|Epil|Chor)\.?",
-        rf"(?<![A-Za-z0-9])(?=[1|]*[IVXlTHUY])([IVXlTHUY1|]{{1,4}}),{_S}*(?=\d)",
-        rf"(\d{{1,4}}{_S}*[,.;]?)",
-        r"([^\s\p{Z}]+)",
-    ])
-    by = list(by)
-    w = Window.partitionBy(*by).orderBy("t")
-    rows = _tokens(texts, by, text, ("work", "section", "roman", "num", "word"), pattern)
-    act = roman_first(F.col("roman"))
-    sets = F.col("work").isNotNull() | act.isNotNull()
-    play = F.when(F.col("work").isNotNull(), F.struct(_lookup(FIRST_WORKS, F.col("work")).alias("v")))
-    play = play.when((F.col("section") == "Chor") | (F.col("roman").isNotNull() & act.isNull()), F.struct(F.lit(None).cast("string").alias("v")))
-    part = F.when(F.col("section").isNotNull() | sets, F.struct(_lookup({"Prol": "prologue", "Epil": "epilogue"}, F.col("section")).alias("v")))
-    goes_on = F.lag(F.col("num").contains(",")).over(w)
-    rows = rows.withColumn("begins", F.col("num").isNotNull() & ~F.coalesce(goes_on, F.lit(False)))
-    rows = rows.select("*", F.last(play, ignorenulls=True).over(w)["v"].alias("play"), F.last(part, ignorenulls=True).over(w)["v"].alias("part"), F.count_if(sets).over(w).alias("span"), F.last(F.when(sets, F.struct(act.alias("v"))), ignorenulls=True).over(w)["v"].alias("act"), F.count_if("begins").over(w).alias("list"))
-    number = F.regexp_extract("num", r"^\d+", 0).cast("int")
-    rows = kept(rows)
-    lists = rows.where("num is not null").groupBy(*by, "list").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", number.alias("v")))), lambda x: x["v"]).alias("numbers"), *[F.min_by(c, "t").alias(c) for c in ("play", "part", "span", "act")])
-    # words stand in the list before them, and are quoted with the one behind
-    quotes = rows.where("word is not null").groupBy(*by, (F.col("list") + 1).alias("list")).agg(F.regexp_replace(_joined(F.col("word")), r"[\s,;:.]+$", "").alias("quote"))
-    n = F.size("numbers")
-    is_first = (F.col("span") > 0) & (F.row_number().over(Window.partitionBy(*by, "span").orderBy("list")) == 1)
-    rule = F.when(~is_first | F.col("part").isNotNull() | (n == 1), 0).when(n == 3, 2).otherwise(1)
-    lists = lists.withColumn("used", rule)
-    place = F.struct(F.when(F.col("used") == 2, F.col("numbers")[0]).otherwise(F.col("act")).alias("act"), F.when(F.col("used") == 2, F.col("numbers")[1]).when(F.col("used") == 1, F.col("numbers")[0]).alias("scene"))
-    # only the first list behind a work or numeral says where; the others go on there
-    lists = lists.withColumn("place", F.first(place).over(Window.partitionBy(*by, "span").orderBy("list")))
-    told = lists.join(quotes, [*by, "list"], "left").where("play is not null").select(*by, "list", "play", "place.*", "part", F.coalesce("quote", F.lit("")).alias("quote"), F.posexplode(F.expr("slice(numbers, used + 1, size(numbers) - used)")).alias("i", "line"))
-    c = F.row_number().over(Window.partitionBy(*by).orderBy("list", "i")) - 1
-    return told.select(*by, c.alias("c"), "play", "act", "scene", "part", "line", F.when(F.col("i") == 0, F.col("quote")).otherwise("").alias("quote"))
+    kinds = {c: pa.int32() if c in ("act", "scene", "line") else pa.string() for c in ("play", "act", "scene", "part", "line", "quote")}
+    of = arrays.by_row(lambda x: _first_cited(x.as_py()), pa.list_(pa.struct(list(kinds.items()))), _CITATIONS)
+    return of(text)
+
+
+def first_citations(texts: DataFrame, by: Sequence[str], text: str = "text") -> DataFrame:
+    """``by``, ``c`` (from 0) and the columns of each reference."""
+    arrays.bounded(texts.sparkSession)
+    return texts.select(*by, F.posexplode(first_cited(F.col(text))).alias("c", "cite")).select(*by, "c", "cite.*")
 
 
 # The second dictionary
@@ -318,7 +362,7 @@ def second_senses(texts: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataF
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
     rows = _tokens(texts, by, "text", ("work", "section", "section_line", "a", "b", "c", "num", "semicolon", "word"), pattern)
     line = lambda c: F.when(F.translate(c, "lI|iOo", "111100").rlike(r"^\d{1,4}$"), F.translate(c, "lI|iOo", "111100").try_cast("int"))
-    part = _lookup({"Prol": "prologue", "Epil": "epilogue"}, F.col("section"))
+    part = _lookup(_SECTIONS, F.col("section"))
     act, scene = roman_second(F.col("a")), roman_second(F.col("b"))
     full = F.col("a").isNotNull() & (act <= 5) & scene.isNotNull() & line(F.col("c")).isNotNull()
     in_part = part.isNotNull() & line(F.col("section_line")).isNotNull()
@@ -365,16 +409,16 @@ def second_senses(texts: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataF
 def _told(entries: DataFrame, senses: DataFrame, citations: DataFrame, keys: list[str]) -> DataFrame:
     listed = F.transform(F.array_sort(F.collect_list(F.struct("c", "play", "act", "scene", "part", "line", "quote"))), lambda x: x.dropFields("c"))
     full = senses.join(citations.groupBy("book", "entry", *keys).agg(listed.alias("citations")), ["book", "entry", *keys], "left")
-    number = F.row_number().over(Window.partitionBy("book", "entry").orderBy(*keys))
-    named = full.withColumn("sense", number - 1) if keys != ["sense"] else full
+    named = full.withColumn("sense", F.row_number().over(Window.partitionBy("book", "entry").orderBy(*keys)) - 1)
     return entries.select("book", "entry", "headword", "part_of_speech").join(named.select("book", "entry", "sense", "label", "gloss", F.coalesce("citations", F.array().cast(_CITATIONS)).alias("citations")), ["book", "entry"], "left")
 
 
 def first_dictionary(lines: DataFrame) -> DataFrame:
     """``book``, ``entry``, ``headword``, ``part_of_speech``, ``sense``, ``label``, ``gloss``, ``citations``: a row a sense, in order."""
-    entries = first_entries(lines)
-    senses = kept(first_senses(entries))
-    return _told(entries, senses, first_citations(senses, ["book", "entry", "sense"]), ["sense"])
+    named = ["headword", "part_of_speech"]
+    senses = first_senses(first_entries(lines), named)
+    arrays.bounded(lines.sparkSession)
+    return senses.select("book", "entry", *named, "sense", "label", "gloss", first_cited(F.col("text")).alias("citations"))
 
 
 def second_dictionary(lines: DataFrame) -> DataFrame:

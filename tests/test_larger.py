@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirework.operators import citations, curation, intervals, order, refind
 from quirework.plans import catalog, queries
+from quirework.sources import dictionaries
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,3 +70,13 @@ def test_lost_anchors_move_no_grams_and_each_text_once(spark):
     # a number that others begin with occurs in their lines too, and a line end in surroundings agrees with nothing
     want = {i: (i, len(f"{i} said it so xxxxx") - 1, i, len(f"{i} said it so xxxxx end {i}")) for i in range(300, 3000)}
     assert {i: p for i, p in got.items() if 300 <= i < 3000} == want and not [i for i in got if 100 <= i < 300] and got[3001] == (7, 10, 7, 12)
+
+
+def test_references_are_told_in_their_sense_and_headwords_in_their_book(spark):
+    texts = spark.createDataFrame([(1, "so it.\x85 Hml.\u3000III,\u00a01, 76 ; 77, 78. x, IIII, 5, 6, 7, 8")], "k int, text string")
+    told = dictionaries.first_citations(texts, ["k"])
+    assert sorted(tuple(r)[1:] for r in told.collect()) == [(0, "Hml", 3, 1, None, 76, "so it\x85"), (1, "Hml", 3, 1, None, 77, ""), (2, "Hml", 3, 1, None, 78, ""), (3, "Hml", 3, 5, None, 6, "x"), (4, "Hml", 3, 5, None, 7, ""), (5, "Hml", 3, 5, None, 8, "")]
+    words = spark.createDataFrame([(1, 2, "b", None), (1, 1, "c", "x"), (1, 3, "b", "y"), (2, 0, "z", "")], "book int, p int, key string, body string")
+    chain = dictionaries.alphabetical(words, "book", "p", "key")
+    assert sorted(map(tuple, chain.collect())) == [(1, 2, "b", None), (1, 3, "b", "y"), (2, 0, "z", "")]
+    assert not re.search("Window|Join|Aggregate", plan(told)) and "InPandas" not in plan(chain)
