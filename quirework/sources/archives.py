@@ -12,13 +12,13 @@ from __future__ import annotations
 import io
 import zipfile
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrays
 from ..functions.kept import kept
 
 PARTS_OF_SPEECH = ("noun", "verb", "adjective", "adverb", "pronoun", "preposition", "conjunction", "interjection", "phrase", "other")
@@ -66,12 +66,10 @@ def _inflated(content: bytes | None, layout: Layout) -> tuple[str | None, str |
 def opened(files: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """``path``, ``refused``, ``notes``, ``cuts`` of archives (``path``, ``content``)."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for path, content in zip(rows["path"], rows["content"], strict=True):
-                yield pd.DataFrame([(path, *_inflated(content, layout))], columns=["path", "refused", "notes", "cuts"])
-
-    return files.select("path", "content").mapInPandas(of, "path string, refused string, notes string, cuts string")
+    names = ("path", "refused", "notes", "cuts")
+    arrays.bounded(files.sparkSession)
+    of = arrays.batched(lambda path, content: (path, *_inflated(content, layout)), pa.schema([(c, pa.string()) for c in names]))
+    return files.select("path", "content").mapInArrow(of, ", ".join(f"{c} string" for c in names))
 
 
 def _kind(v: Column, path: str) -> Column:
@@ -101,9 +99,14 @@ def _whole(v: Column, path: str) -> Column:
     return _is(_kind(v, path), "BIGINT") & F.coalesce(F.try_variant_get(v, path, "bigint") >= 0, F.lit(False))
 
 
+def _items(v: Column, path: str) -> Column:
+    """The items of an array that a JSON value holds at a path; null for anything else. Its type, told otherwise, would read every item."""
+    return F.try_variant_get(v, path, "array<variant>")
+
+
 def _each(v: Column, path: str, fits) -> Column:
     """Whether a value holds an array at a path and each of its items fits."""
-    return _is(_kind(v, path), "ARRAY") & F.forall(F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>")), fits)
+    return F.coalesce(F.forall(_items(v, path), fits), F.lit(False))
 
 
 def _first(checks: list[tuple[str, Column]]) -> Column:
@@ -163,16 +166,16 @@ def read(files: DataFrame, layout: Layout = Layout()) -> tuple[DataFrame, DataFr
         ("exportedAt", _string(n, "$.exportedAt")), ("generator", _string(n, "$.generator.app") & _string(n, "$.generator.version")),
         ("collection.name", F.coalesce(_trimmed(_text(n, "$.collection.name")) != "", F.lit(False))), ("play.id", _string(n, "$.play.id", 1)),
         ("versions", _is(_kind(n, "$.versions"), "OBJECT") & F.forall(F.map_values(F.coalesce(F.try_variant_get(n, "$.versions", "map<string,variant>"), F.create_map().cast("map<string,variant>"))), lambda x: _string(x, "$.revision"))),
-        *[(part, _is(_kind(n, f"$.{part}"), "ARRAY")) for part in ("definitions", "annotations")],
+        *[(part, _items(n, f"$.{part}").isNotNull()) for part in ("definitions", "annotations")],
     ]
     wrong = lambda entry, checks: F.when(_first(checks).isNotNull(), F.concat(F.lit(f"{entry}: incomplete at "), _first(checks)))
     has_cuts = F.col("cuts").isNotNull()
-    cut_head = [("play.id", _string(c, "$.play.id", 1)), ("cuts", _is(_kind(c, "$.cuts"), "ARRAY"))]
+    cut_head = [("play.id", _string(c, "$.play.id", 1)), ("cuts", _items(c, "$.cuts").isNotNull())]
     other = F.when(_text(c, "$.play.id") != _text(n, "$.play.id"), "cuts of another play")
     reason = F.coalesce("refused", _headed(n, layout.notes_format, layout, layout.notes), wrong(layout.notes, head), F.when(has_cuts, F.coalesce(_headed(c, layout.cuts_format, layout, layout.cuts), wrong(layout.cuts, cut_head), other)))
     rows = kept(rows.select("path", reason.alias("refused"), "notes", "cuts"))
     good = rows.where("refused is null").withColumn("n", F.try_parse_json("notes")).withColumn("c", F.try_parse_json("cuts"))
-    parts = F.array(*[F.struct(F.lit(k).alias("kind"), F.try_variant_get(v, f"$.{k}", "array<variant>").alias("items")) for k, v in (("definitions", n), ("annotations", n), ("cuts", c))])
+    parts = F.array(*[F.struct(F.lit(k).alias("kind"), _items(v, f"$.{k}").alias("items")) for k, v in (("definitions", n), ("annotations", n), ("cuts", c))])
     dealt = good.select("path", F.inline(parts)).select("path", "kind", F.posexplode("items").alias("n", "v"))
     reason = F.lit(None).cast("string")
     for kind, checks in _checks(F.col("v"), layout).items():
@@ -208,14 +211,14 @@ def written(collections: DataFrame, records: DataFrame, layout: Layout = Layout(
     notes = F.concat(header(layout.notes_format), made, play, F.lit(","), versions, F.lit(","), array("definitions"), F.lit(","), array("annotations"), F.lit("}"))
     cuts = F.when(F.coalesce("cuts", F.lit("")) != "", F.concat(header(layout.cuts_format), play, F.lit(","), array("cuts"), F.lit("}")))
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            for path, *entries in zip(part["path"], part["n"], part["c"], strict=True):
-                out = io.BytesIO()
-                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-                    for name, text in zip((layout.notes, layout.cuts), entries, strict=True):
-                        if isinstance(text, str):
-                            archive.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), text, zipfile.ZIP_DEFLATED)
-                yield pd.DataFrame([(path, out.getvalue())], columns=["path", "content"])
-
-    return rows.select("path", notes.alias("n"), cuts.alias("c")).mapInPandas(of, "path string, content binary")
+    def of(path: str, *entries: str | None) -> tuple[str, bytes]:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            for name, text in zip((layout.notes, layout.cuts), entries, strict=True):
+                if text is not None:
+                    archive.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), text, zipfile.ZIP_DEFLATED)
+        return path, out.getvalue()
+
+    arrays.bounded(records.sparkSession)
+    told = rows.select("path", notes.alias("n"), cuts.alias("c"))
+    return told.mapInArrow(arrays.batched(of, pa.schema([("path", pa.string()), ("content", pa.binary())])), "path string, content binary")

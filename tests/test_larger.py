@@ -1,13 +1,16 @@
 """What must not be moved or kept as tables grow, by plans, and the same results."""
 
+import json
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quirework.functions import arrays
 from quirework.operators import citations, curation, intervals, order, refind
 from quirework.plans import catalog, queries
-from quirework.sources import dictionaries
+from quirework.sources import archives, dictionaries
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,3 +83,20 @@ def test_references_are_told_in_their_sense_and_headwords_in_their_book(spark):
     chain = dictionaries.alphabetical(words, "book", "p", "key")
     assert sorted(map(tuple, chain.collect())) == [(1, 2, "b", None), (1, 3, "b", "y"), (2, 0, "z", "")]
     assert not re.search("Window|Join|Aggregate", plan(told)) and "InPandas" not in plan(chain)
+
+
+def test_archives_are_no_table_each_and_few_large_ones_no_batch():
+    rows = pa.RecordBatch.from_pydict({"path": ["a", "b", None, "d"], "n": ["x" * 9, "y", None, "z" * 5]})
+    of = arrays.batched(lambda path, n: (path, n), rows.schema, 8)
+    assert [b.to_pydict()["path"] for b in of(iter([rows, rows.slice(0, 0)]))] == [["a"], ["b", None, "d"]]
+    many = pa.RecordBatch.from_pydict({"path": ["a"] * 1200})
+    assert [len(b) for b in arrays.batched(lambda p: (p,), many.schema)(iter([many]))] == [500, 500, 200]
+
+
+def test_the_items_of_an_array_are_not_read_for_its_type(spark):
+    made = [json.dumps({"definitions": d}) for d in ([], [1, "a", {"b": []}], {}, None, "[]", 3)] + ["{}"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "i int, t string").withColumn("v", F.try_parse_json("t"))
+    assert [r[0] for r in df.orderBy("i").select(archives._items(F.col("v"), "$.definitions").isNotNull()).collect()] == [True, True] + [False] * 5
+    assert [r[0] for r in df.orderBy("i").select(archives._each(F.col("v"), "$.definitions", lambda x: x.isNotNull())).collect()] == [True, True] + [False] * 5
+    notes = archives.read(archives.written(spark.createDataFrame([("p", "q", "c", "", {"v": "r"})], "path string, play string, collection string, exported_at string, versions map<string,string>"), spark.createDataFrame([], "path string, kind string, n int, record string")))[0]
+    assert notes.first().whole and "InPandas" not in notes._jdf.queryExecution().toString()
