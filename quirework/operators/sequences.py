@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -141,11 +140,11 @@ def buckets(tops: list[float], width: float = 4) -> list[int]:
 def chains(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Of each group's pairs ordered by ``a``, those on a longest chain strictly rising in ``b``."""
 
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([a, b])
-        return rows.iloc[rising(rows[b].tolist())]
-
-    return pairs.groupBy(*by).applyInPandas(of, pairs.schema)
+    arrays.bounded(pairs.sparkSession)
+    chain = arrays.by_row(lambda values: rising(values.as_py()), pa.list_(pa.int32()), "array<int>")
+    listed = pairs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(a, b, *[c for c in pairs.columns if c not in (*by, a, b)]))).alias("_rows"))
+    told = listed.select(*by, "_rows", chain(F.col(f"_rows.{b}")).alias("_on"))
+    return told.select(*by, F.inline(F.transform("_on", lambda i: F.get("_rows", i)))).select(*pairs.columns)
 
 
 def align_blocks(nodes: DataFrame, by: list[str]) -> DataFrame:

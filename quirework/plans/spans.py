@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.kept import kept
 from ..operators import anchors, cuts, order, sequences
 from .queries import QUERIES as LIBRARY
 
@@ -89,7 +90,7 @@ def node_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of each document held against those of each benchmark item of which it holds five words or more."""
     docs, items = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    pairs = LIBRARY["landmarks"](spark, sf_dir).select("doc_id", "item_id")
+    pairs = kept(LIBRARY["landmarks"](spark, sf_dir).select("doc_id", "item_id"))
     side = lambda rows, key, name: pairs.join(order.lines(rows, key), key).select("doc_id", "item_id", F.lit(name).alias("side"), "n", F.lit("line").alias("kind"), tx.keys(F.col("line")).alias("keys"))
     return sequences.align_blocks(side(items, "item_id", "orig").unionByName(side(docs, "doc_id", "modern")), ["doc_id", "item_id"])
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quirework.functions import arrays
-from quirework.operators import citations, curation, intervals, order, refind
+from quirework.operators import citations, curation, intervals, order, refind, sequences
 from quirework.plans import catalog, queries
 from quirework.sources import archives, dictionaries
 
@@ -113,3 +113,12 @@ def test_curated_entries_are_put_in_their_text_and_tasks_hold_bounded_rows(spark
         (2, 5, 1, [0], None, "same", "auto"), (None, 0, 1, [9], [9], "same", "auto"),
     ], key=str)
     assert "RepartitionByExpression [d#" in plan(done) and "Window" not in plan(done)
+
+
+def test_chains_are_told_in_a_row_and_no_table_each(spark):
+    rows = [("x", 1, 5, 50), ("x", 2, 3, 20), ("x", 3, 6, 30), ("x", 3, 9, 25), ("y", 4, 1, 7), ("y", 4, 1, 7), ("y", 5, 8, 6)]
+    pairs = spark.createDataFrame(rows, "d string, i int, a int, b int")
+    chained = sequences.chains(pairs.withColumn("i", F.lit(0)), ["d", "i"], "a", "b")
+    assert chained.columns == ["d", "i", "a", "b"] and "InPandas" not in plan(chained)
+    assert sorted(tuple(r)[2:] for r in chained.where("d = 'x'").collect()) == [(3, 20), (9, 25)]
+    assert chained.where("d = 'y'").count() == 1 and sequences.chains(pairs.limit(0), ["d", "i"], "a", "b").count() == 0
