@@ -12,11 +12,13 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays
 from ..functions.kept import kept
 
 MARKS = "array<struct<start:int,end:int,type:string>>"
@@ -38,7 +40,10 @@ def joined(parts: Iterable[tuple[str, str]]) -> tuple[str, list[tuple[int, int,
         piece = re.sub(r"\s+", " ", piece)
         if piece[:1] == " " and text[-1:] in ("", " "):
             piece = piece[1:]
-        if piece and text and unicodedata.category(piece[0]).startswith("M"):
+        if piece.isascii():
+            text += piece
+            return
+        if text and unicodedata.category(piece[0]).startswith("M"):
             text, piece = text[:-1], text[-1] + piece
         text += unicodedata.normalize("NFC", piece)
 
@@ -74,21 +79,21 @@ def joined(parts: Iterable[tuple[str, str]]) -> tuple[str, list[tuple[int, int,
     return whole, sorted(tuple(m) for m in merged), places
 
 
-def _built(parts: Column) -> Column:
-    @F.pandas_udf(_BUILT)
-    def build(rows: pd.Series) -> pd.DataFrame:
-        told = [joined((p["kind"], p["value"]) for p in r) for r in rows]
-        return pd.DataFrame({"text": [t for t, _, _ in told], "marks": [[dict(zip(("start", "end", "type"), m, strict=True)) for m in ms] for _, ms, _ in told], "places": [[{"id": i, "at": a} for i, a in ps] for _, _, ps in told]})
+def _built(kinds: Column, values: Column) -> Column:
+    def of(kinds: pa.Scalar, values: pa.Scalar) -> dict:
+        text, marks, places = joined(zip(kinds.as_py(), values.as_py(), strict=True))
+        return {"text": text, "marks": [dict(zip(("start", "end", "type"), m, strict=True)) for m in marks], "places": [{"id": i, "at": a} for i, a in places]}
 
-    return build(parts)
+    mark, place = (pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string())]), pa.struct([("id", pa.string()), ("at", pa.int32())]))
+    return arrays.by_row(of, pa.struct([("text", pa.string()), ("marks", pa.list_(mark)), ("places", pa.list_(place))]), _BUILT)(kinds, values)
 
 
 _START, _TEXT = "event = 'start'", "event = 'text'"
 
 
-def _flow(past: bool = False):
+def _flow(past: bool = False, within: Window | None = None):
     """A file's events in order, up to each one or, if ``past``, before it."""
-    w = Window.partitionBy("path").orderBy("at")
+    w = within or Window.partitionBy("path").orderBy("at")
     return w.rowsBetween(Window.unboundedPreceding, -1) if past else w
 
 
@@ -96,24 +101,20 @@ def _is(event: str) -> Column:
     return F.col("event") == event
 
 
-def _levels(stream: DataFrame) -> DataFrame:
-    """Events with ``level``, how many elements are open, and attributes and ``begun``, its place, of an element at its end too."""
-    opened = F.sum(_is("start").cast("int")).over(_flow()) - F.coalesce(F.sum(_is("end").cast("int")).over(_flow(past=True)), F.lit(0))
-    same = Window.partitionBy("path", "level").orderBy("at")
-    own = F.last(F.when(_is("start"), F.struct("at", "attributes")), ignorenulls=True).over(same)
-    rows = stream.withColumn("level", opened)
-    return rows.withColumn("_own", own).withColumn("begun", F.col("_own.at")).withColumn("attributes", F.col("_own.attributes")).drop("_own")
+def _in(*tags: str, within: str = "within") -> Column:
+    """Whether an element of ``tags`` is open, an event's own among them, as its ``within`` tells without a window."""
+    return reduce(lambda a, b: a | b, [F.contains(F.col(within), F.lit(f" {t} ")) for t in tags])
 
 
-def _open(what: Column) -> Column:
+def _open(what: Column, flow: Window | None = None) -> Column:
     """How many elements are open, an event's own among them, of which ``what`` holds."""
     what = F.coalesce(what, F.lit(False))
-    return F.sum((what & _is("start")).cast("int")).over(_flow()) - F.coalesce(F.sum((what & _is("end")).cast("int")).over(_flow(past=True)), F.lit(0))
+    return F.sum((what & _is("start")).cast("int")).over(_flow(within=flow)) - F.coalesce(F.sum((what & _is("end")).cast("int")).over(_flow(True, flow)), F.lit(0))
 
 
-def _counted(what: Column) -> Column:
+def _counted(what: Column, flow: Window | None = None) -> Column:
     """How many starts so far ``what`` holds of."""
-    return F.sum((F.coalesce(what, F.lit(False)) & _is("start")).cast("int")).over(_flow())
+    return F.sum((F.coalesce(what, F.lit(False)) & _is("start")).cast("int")).over(_flow(within=flow))
 
 
 def _attribute(name: str) -> Column:
@@ -128,8 +129,9 @@ def _said(rows: DataFrame, keys: list[str], text: Column) -> DataFrame:
 
 def _build(pieces: DataFrame, keys: list[str]) -> DataFrame:
     """``keys``, ``text``, ``marks``, ``places`` of pieces (``at``, ``turn``, ``piece``, ``value``)."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "turn", F.col("piece").alias("kind"), "value"))), lambda p: F.struct(p["kind"].alias("kind"), p["value"].alias("value")))
-    return pieces.groupBy(*keys).agg(listed.alias("parts")).select(*keys, _built(F.col("parts")).alias("b")).select(*keys, "b.*")
+    arrays.bounded(pieces.sparkSession)
+    listed = F.array_sort(F.collect_list(F.struct("at", "turn", "piece", "value")))
+    return pieces.groupBy(*keys).agg(listed.alias("parts")).select(*keys, _built(F.col("parts.piece"), F.col("parts.value")).alias("b")).select(*keys, "b.*")
 
 
 def _pieces(rows: DataFrame, keys: list[str], *pieces: tuple[Column, str | Column, Column]) -> DataFrame:
@@ -152,34 +154,42 @@ def long_s(c: Column) -> Column:
 
 
 def early_play(stream: DataFrame, title: str | None = None) -> DataFrame:
-    """The events of one play a file, with ``level`` 0 for the play: the first whose heading, or an act's first one, has ``title``.
+    """The events of one play a file, with ``level`` 0 for the play, ``within`` from it on and ``around``, the file's own ``within``: the first whose heading, or an act's first one, has ``title``.
 
     Plays are the ``play`` and ``text`` divisions of the body, or the body if it has none. Without ``title`` a file must hold
     just one; a file without the play is an error.
     """
-    rows = _levels(stream).withColumn("body", F.min(F.when((F.col("tag") == "body") & _is("start"), F.struct("at", "level"))).over(Window.partitionBy("path")))
-    inside = (F.col("at") >= F.col("body.at")) & (_open(F.col("tag") == "body") > 0)
-    base = F.col("body.level")
-    own = (F.col("tag") == "div") & (F.col("level") == base + 1) & _attribute("type").isin("play", "text")
-    rows = rows.withColumn("in_body", inside).withColumn("play", _counted(own & F.col("in_body"))).withColumn("in_play", _open(own) > 0)
-    rows = kept(rows)
-    paths = rows.select("path").distinct()
-    several = F.max("play").over(Window.partitionBy("path")) > 0
-    rows = rows.where("in_body").withColumn("several", several).where("in_play or not several").withColumn("level", F.col("level") - base - F.when(F.col("several"), 1).otherwise(0))
+    stream = kept(stream)
+    # bodies and divisions tell where the plays are; the other events only learn it from their file's row
+    divs = stream.where(F.col("tag").isin("body", "div")).withColumn("base", F.min(F.when((F.col("tag") == "body") & _is("start"), F.struct("at", "level"))).over(_flow())["level"])
+    own = F.coalesce((F.col("tag") == "div") & (F.col("level") == F.col("base") + 1) & _attribute("type").isin("play", "text") & _in("body"), F.lit(False))
+    plays = divs.where(own & _is("end")).select("path", F.row_number().over(_flow()).alias("play"), F.col("begun").alias("first"), F.col("at").alias("last"))
+    found = divs.where("base is not null").groupBy("path").agg(F.min("base").alias("base")).join(plays, "path", "left").withColumn("play", F.coalesce("play", F.lit(0)))
+    shown = ["path", "at", "event", "tag", "attributes", "text", "level", "begun", "within", "around"]
+
+    def of(plays: DataFrame, events: DataFrame, *more: str) -> DataFrame:
+        """Events of plays, with levels and tags from the play on."""
+        met = events.where(_in("body")).join(plays.hint("shuffle_hash"), "path").where("play = 0 or at between first and last")
+        told = met.withColumn("around", F.col("within")).withColumn("level", F.col("level") - F.col("base") - (F.col("play") > 0).cast("int"))
+        return told.withColumn("within", F.expr("concat(' ', substring_index(trim(within), ' ', -(level + 1)), ' ')")).select(*shown, *more)
+
+    paths = stream.where("at = 0").select("path")
     if title is None:
-        chosen = rows.groupBy("path").agg(F.max("play").alias("n"), F.min("play").alias("play"))
-        bad = chosen.where("n > 1").limit(1).collect()
+        found = kept(found)
+        bad = found.groupBy("path").agg(F.max("play").alias("n")).where("n > 1").limit(1).collect()
         if bad:
             raise ValueError(f"{bad[0]['path']}: expected a single play, found {bad[0]['n']}")
+        chosen = found
     else:
-        heads = rows.withColumn("head", _counted(F.col("tag") == "head")).withColumn("in_head", _open(F.col("tag") == "head") > 0)
-        heads = _said(heads.where("in_head and level <= 3"), ["path", "play", "head"], long_s(F.col("text")))
+        heads = of(found, stream.where(_in("head")), "play").withColumn("head", _counted(F.col("tag") == "head"))
+        heads = _said(heads.where("level <= 3"), ["path", "play", "head"], long_s(F.col("text")))
         order = F.row_number().over(Window.partitionBy("path", "play").orderBy("head"))
-        chosen = heads.withColumn("turn", order).where(F.col("said").rlike(title) & (F.col("turn") <= 3)).groupBy("path").agg(F.min("play").alias("play"))
+        named = heads.withColumn("turn", order).where(F.col("said").rlike(title) & (F.col("turn") <= 3)).groupBy("path").agg(F.min("play").alias("play"))
+        chosen = kept(found.join(named, ["path", "play"], "left_semi"))
     lost = paths.join(chosen, "path", "left_anti").limit(1).collect()
     if lost:
         raise ValueError(f"{lost[0]['path']}: no play matching {title}")
-    return kept(rows.join(chosen.select("path", "play"), ["path", "play"]).select("path", "at", "event", "tag", "attributes", "text", "level", "begun"))
+    return of(chosen, stream)
 
 
 def early_scenes(play: DataFrame) -> DataFrame:
@@ -191,12 +201,12 @@ def early_scenes(play: DataFrame) -> DataFrame:
     first = Window.partitionBy("path", "level").orderBy("at")
     # the division that an element is a child of: the last one begun at the level above
     divs = play.where(f"{_START} and tag in ('div', 'body') and level <= 2").select("path", "at", "level", _attribute("type").alias("type"), _attribute("n").alias("printed"))
-    child = play.where(_START).select("path", "at", "tag", "level")
+    child = play.where(_START).where(F.col("tag").isin("sp", "stage", "l", "p", "lg", "head")).select("path", "at", "tag", "level")
     above = divs.select("path", F.col("at").alias("div"), (F.col("level") + 1).alias("level"))
     both = child.withColumn("div", F.lit(None).cast("int")).unionByName(above.select("path", F.col("div").alias("at"), F.lit(None).cast("string").alias("tag"), "level", "div"))
     held = both.withColumn("div", F.last("div", ignorenulls=True).over(first)).where("tag is not null and div is not null")
     spoken = held.groupBy("path", "div").agg(F.bool_or(F.col("tag").isin("sp", "stage", "l", "p", "lg")).alias("speaks"), F.bool_or(F.col("tag").isin("sp", "stage")).alias("plain"), F.min(F.when(F.col("tag") == "head", F.col("at"))).alias("head"))
-    heads = _said(play.withColumn("head", F.last(F.when(_is("start") & (F.col("tag") == "head"), F.col("at")), ignorenulls=True).over(_flow())).withColumn("_in", _open(F.col("tag") == "head") > 0).where("_in"), ["path", "head"], long_s(F.col("text")))
+    heads = _said(play.where(_in("head", within="around") & _in("head")).withColumn("head", F.last(F.when(_is("start") & (F.col("tag") == "head"), F.col("at")), ignorenulls=True).over(_flow())), ["path", "head"], long_s(F.col("text")))
     told = divs.join(spoken, [divs["path"] == spoken["path"], divs["at"] == spoken["div"]], "left").select(divs["*"], "speaks", "plain", "head").join(heads, ["path", "head"], "left").withColumnRenamed("said", "heading")
     kind = F.when(F.col("type").isin("epilogue", "prologue"), F.col("type")).when(F.col("heading").rlike(ACT), "act").when(F.col("heading").rlike(SCENE), "scene").when(F.col("type").isin("act", "scene"), F.col("type"))
     undivided = F.max(F.when((F.col("level") == 0) & F.col("plain"), True)).over(Window.partitionBy("path"))
@@ -214,7 +224,7 @@ def early_scenes(play: DataFrame) -> DataFrame:
     number = F.sum((F.col("kind") == "scene").cast("int")).over(Window.partitionBy("path", "group.at").orderBy("at"))
     printed = F.when((F.col("type") == "scene") & ~own_text, F.col("printed").try_cast("int"))
     scenes = scenes.withColumn("no", F.when(F.col("kind") == "scene", F.greatest(number, F.coalesce(printed, number))))
-    lone = play.groupBy("path").agg(F.min("at").alias("at")).join(divs.join(spoken, [divs["path"] == spoken["path"], divs["at"] == spoken["div"]]).where("level = 0 and plain").select(divs["path"]), "path", "left_semi")
+    lone = play.where(f"{_START} and tag in ('div', 'body') and level = 0").groupBy("path").agg(F.min("at").alias("at")).join(divs.join(spoken, [divs["path"] == spoken["path"], divs["at"] == spoken["div"]]).where("level = 0 and plain").select(divs["path"]), "path", "left_semi")
     whole = lone.select("path", F.col("at").alias("begun"), F.lit(1).alias("act"), F.lit(None).cast("string").alias("act_heading"), F.lit("scene").alias("kind"), F.lit(1).alias("no"), F.lit(None).cast("string").alias("heading"), F.lit(True).alias("editorial"))
     parts = scenes.select("path", F.col("at").alias("begun"), F.col("act").cast("int").alias("act"), F.col("group.heading").alias("act_heading"), "kind", F.col("no").cast("int").alias("no"), "heading", F.lit(False).alias("editorial"))
     key = F.when(F.col("kind") == "scene", F.concat(F.col("act").cast("string"), F.lit("."), F.col("no").cast("string"))).when(F.col("act").isNull(), F.col("kind")).otherwise(F.concat(F.col("act").cast("string"), F.lit("."), F.col("kind")))
@@ -229,35 +239,50 @@ def early_nodes(play: DataFrame, scenes: DataFrame) -> DataFrame:
     cannot be read is a marked gap. ``pages`` are the breaks ``(page, offset)`` before or in the node. ``speech`` numbers runs of one
     speaker: after everyone leaves, and after an entrance behind an exit, what a speech goes on with is another's, without label.
     """
-    begin = scenes.select("path", F.col("begun").alias("at"), F.col("turn").alias("scene"))
     tags = lambda *names: F.col("tag").isin(*names)
-    direct = play.where((F.col("event") == "text") & F.col("text").rlike(r"\S")).withColumn("at", F.col("begun")).select("path", "at", F.lit(True).alias("direct")).distinct()
-    rows = play.join(direct, ["path", "at"], "left").join(begin, ["path", "at"], "left")
-    rows = rows.withColumn("direct", F.last(F.when(_is("start"), F.struct(F.coalesce("direct", F.lit(False)).alias("v"))), ignorenulls=True).over(Window.partitionBy("path", "level").orderBy("at"))["v"])
+    # only quotations and letters are asked for texts of their own, so no other event is joined
+    some = tags("q", "floatingText", "body")
+    # events that open, close or say nothing that a node is made of are not moved
+    opens = some | tags("stage", "head", "l", "p", "g", "lg", "hi", *_LETTER)
+    skipped = _in("note", "desc", "trailer", "speaker")
+    nodes = ["stage", "head", "l", "p", "q", "floatingText", "body", *_LETTER]
+    matter = (_is("text") & ~skipped & _in(*nodes)) | F.coalesce(opens | (tags("sp", "div", "pb", "gap") & _is("start")), F.lit(False))
+    # asked of the file's tags too, where it is told before events are moved
+    in_nodes = F.col("around").rlike(f" body .*?(?:{'|'.join(nodes)}) ")
+    matter = matter & (~_is("text") | in_nodes)
+    direct = play.where((F.col("event") == "text") & F.col("text").rlike(r"\S") & F.col("within").rlike(" (?:q|floatingText|body) $")).select("path", "begun", F.lit(True).alias("direct")).distinct()
+    rows = play.where(matter & ~F.coalesce(some, F.lit(False))).withColumn("direct", F.lit(False)).unionByName(play.where(some).join(direct, ["path", "begun"], "left"))
+    # scenes stand among the events, before that with which they begin
+    begin = scenes.select("path", F.col("begun").alias("at"), F.col("turn").alias("begins"), F.lit(0).alias("late"))
+    rows = rows.withColumn("late", F.lit(1)).unionByName(begin, allowMissingColumns=True)
+    flow = Window.partitionBy("path").orderBy("at", "late")
+    opened, counted = (lambda what: _open(what, flow)), (lambda what: _counted(what, flow))
     # a division that is no scene, such as a list of actors, ends the one before
-    ends = _is("start") & (F.col("tag") == "div") & (F.col("level") == 1)
-    rows = rows.withColumn("scene", F.last(F.when(ends | F.col("scene").isNotNull(), F.struct("scene")), ignorenulls=True).over(_flow())["scene"]).withColumn("sp", _counted(F.col("tag") == "sp")).withColumn("in_sp", _open(F.col("tag") == "sp") > 0)
-    skipped = _open(tags("note", "desc", "trailer", "speaker")) > 0
-    quoted = _open(tags("sp", "lg", "floatingText")) > 0
-    rows = rows.withColumn("skipped", skipped).withColumn("quoted", quoted)
-    rows = kept(rows)
-    outside = rows.where("scene is null and event = 'start' and tag = 'pb'")
-    rows = rows.where("scene is not null")
-    stage = tags("stage") | (tags("head") & F.col("quoted"))
-    line = tags("l", "p", *_LETTER) | (tags("q", "floatingText", "body") & F.col("quoted") & F.col("direct"))
-    rows = rows.withColumn("stages", _open(stage)).withColumn("lines", _open(line))
-    starts = lambda n, what: what & _is("start") & (F.col(n) == 1)
-    in_stage, in_line = F.col("stages") > 0, F.col("lines") > 0
-    rows = rows.withColumn("stage_no", F.sum(starts("stages", stage).cast("int")).over(_flow())).withColumn("line_no", F.sum((starts("lines", line) & ~in_stage).cast("int")).over(_flow()))
+    ends = F.max(F.when(_is("start") & (F.col("tag") == "div") & (F.col("level") == 1), F.col("at"))).over(flow)
+    last = F.last(F.when(F.col("late") == 0, F.struct("at", "begins")), ignorenulls=True).over(flow)
+    rows = rows.withColumn("_last", last).withColumn("_ends", ends).withColumn("sp", counted(F.col("tag") == "sp")).where("late = 1")
+    rows = rows.withColumn("scene", F.when(F.col("_last.at") >= F.coalesce("_ends", F.lit(-1)), F.col("_last.begins"))).drop("_last", "_ends")
+    placed, quoted = F.col("scene").isNotNull(), _in("sp", "lg", "floatingText")
+    stage = placed & (tags("stage") | (tags("head") & quoted))
+    line = placed & (tags("l", "p", *_LETTER) | (some & quoted & F.col("direct")))
+    rows = rows.withColumn("in_sp", _in("sp")).withColumn("skipped", skipped)
     ref = _attribute("ref")
     punc = (F.col("tag") == "g") & (ref == "char:punc")
     shown = (F.col("tag") == "g") & ref.isin(*GLYPHS)
-    rows = rows.withColumn("in_glyph", _open(punc | shown) > 0).withColumn("songs", _open((F.col("tag") == "lg") & (_attribute("type") == "song")))
-    rows = kept(rows)
+    rows = rows.withColumn("stages", opened(stage)).withColumn("lines", opened(line)).withColumn("in_glyph", opened(placed & (punc | shown)) > 0).withColumn("songs", opened(placed & (F.col("tag") == "lg") & (_attribute("type") == "song")))
+    first = lambda n, what: F.coalesce(what & _is("start") & (F.col(n) == 1), F.lit(False))
+    rows = rows.withColumn("stage_first", first("stages", stage)).withColumn("line_first", first("lines", line) & (F.col("stages") == 0))
+    rows = rows.withColumn("stage_no", F.sum(F.col("stage_first").cast("int")).over(flow)).withColumn("line_no", F.sum(F.col("line_first").cast("int")).over(flow))
+    in_stage, in_line = F.col("stages") > 0, F.col("lines") > 0
+    live = ~F.col("skipped") | F.coalesce(F.col("tag") == "gap", F.lit(False))
+    page = _is("start") & F.coalesce(F.col("tag") == "pb", F.lit(False))
+    rows = rows.where(page | (placed & (in_stage | in_line) & (live | F.col("stage_first") | F.col("line_first"))))
+    rows = kept(rows.select("path", "at", "event", "tag", "attributes", "text", "scene", "sp", "in_sp", "skipped", "stages", "lines", "in_glyph", "songs", "stage_first", "line_first", "stage_no", "line_no"))
+    breaks = rows.where(page & (~placed | ~(in_stage | in_line)) & _attribute("n").isNotNull()).select("path", F.col("at").alias("pb"), _attribute("n").alias("page"))
+    rows = rows.where(placed & (in_stage | in_line))
     is_hi = F.col("tag") == "hi"
     mark = F.when(_attribute("rend") == "sup", "sup").otherwise("italic")
     glyph = F.create_map(*[F.lit(x) for pair in GLYPHS.items() for x in pair])[ref]
-    live = ~F.col("skipped") | F.col("tag").isin("gap")
     inner = [
         (is_hi & _is("start"), "open", mark),
         (_is("start") & (punc | (F.col("tag") == "gap")), "marked", F.lit(None)),
@@ -266,16 +291,19 @@ def early_nodes(play: DataFrame, scenes: DataFrame) -> DataFrame:
         (_is("start") & (F.col("tag") == "pb") & _attribute("n").isNotNull(), "place", F.concat(F.lit("p"), F.col("at").cast("string"), F.lit(" "), _attribute("n"))),
         (is_hi & _is("end"), "close", mark),
     ]
-    begun_line = starts("lines", line) & ~in_stage
-    songs = [(begun_line & (F.col("songs") > k), "open", F.lit("song")) for k in range(2)]
-    here = [(starts("stages", stage) & in_line, "place", F.concat(F.lit("s"), F.col("stage_no").cast("string")))]
-    said = _pieces(rows.where((F.col("lines") > 0) & live & ((F.col("stages") == 0) | starts("stages", stage))), ["path", "line_no"], *songs, *here, *[(w & (F.col("stages") == 0), k, v) for w, k, v in inner])
-    directed = _pieces(rows.where((F.col("stages") > 0) & live), ["path", "stage_no"], *inner)
+    # an event is one piece, and a line in a song within a song one more
+    free, song = F.col("stages") == 0, F.col("line_first") & (F.col("songs") > 0)
+    only = lambda pieces: [reduce(lambda told, p: told.when(p[0], p[n] if n == 2 else F.lit(p[n])), pieces[1:], F.when(pieces[0][0], pieces[0][n] if n == 2 else F.lit(pieces[0][n]))) for n in (1, 2)]
+    held = lambda rows, key, pieces: rows.select("path", key, "at", F.lit(0).alias("turn"), *[c.cast("string").alias(n) for c, n in zip(only(pieces), ("piece", "value"), strict=True)]).where("piece is not null")
+    sung, here = (song, "open", F.lit("song")), (F.col("stage_first") & in_line, "place", F.concat(F.lit("s"), F.col("stage_no").cast("string")))
+    spoken = rows.where(in_line & live & (free | F.col("stage_first")))
+    said = held(spoken, "line_no", [sung, here, *[(w & free, k, v) for w, k, v in inner]]).unionByName(spoken.where(song & (F.col("songs") > 1)).select("path", "line_no", "at", F.lit(1).alias("turn"), F.lit("open").alias("piece"), F.lit("song").alias("value")))
+    directed = held(rows.where(in_stage & live), "stage_no", inner)
     lines = _build(said, ["path", "line_no"]).where("text <> ''")
     stages = _build(directed, ["path", "stage_no"])
     # where nodes begin, in which scene and speech
-    line_at = rows.where(begun_line).select("path", "line_no", "at", "scene", F.when(F.col("in_sp"), F.col("sp")).alias("sp"), F.when(F.col("tag") == "l", "verse").otherwise("prose").alias("form"))
-    stage_at = rows.where(starts("stages", stage)).select("path", "stage_no", "at", "scene", F.when(F.col("in_sp"), F.col("sp")).alias("sp"), F.when(F.col("tag") == "head", "label").alias("sd_type"), F.when(in_line, F.col("line_no")).alias("line_no"))
+    line_at = rows.where("line_first").select("path", "line_no", "at", "scene", F.when(F.col("in_sp"), F.col("sp")).alias("sp"), F.when(F.col("tag") == "l", "verse").otherwise("prose").alias("form"))
+    stage_at = rows.where("stage_first").select("path", "stage_no", "at", "scene", F.when(F.col("in_sp"), F.col("sp")).alias("sp"), F.when(F.col("tag") == "head", "label").alias("sd_type"), F.when(in_line, F.col("line_no")).alias("line_no"))
     pages = lambda: F.transform(F.filter("places", lambda p: p["id"].startswith("p")), lambda p: F.struct(F.substring_index(p["id"], " ", -1).alias("page"), p["at"].alias("offset")))
     lines = kept(line_at.join(lines, ["path", "line_no"]))
     stages = stage_at.join(stages, ["path", "stage_no"], "left").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("marks", F.coalesce("marks", F.array().cast(MARKS)))
@@ -288,15 +316,13 @@ def early_nodes(play: DataFrame, scenes: DataFrame) -> DataFrame:
     flow = Window.partitionBy("path").orderBy("place")
     told = kept(told.withColumn("idx", F.row_number().over(flow) - 1))
     # breaks between nodes go to the next node
-    loose_at = ["path", "at", "attributes"]
-    breaks = rows.where(f"{_START} and tag = 'pb' and stages = 0 and lines = 0").select(*loose_at).unionByName(outside.select(*loose_at)).where(_attribute("n").isNotNull()).select("path", F.col("at").alias("pb"), _attribute("n").alias("page"))
     loose = breaks.select("path", F.struct(F.col("pb").alias("a"), F.lit(0).alias("b"), F.col("pb").alias("c")).alias("place"), "page").unionByName(told.select("path", "place", "idx"), allowMissingColumns=True)
     # seen from the end, as a frame that reaches to the end is read again for every row
     back = Window.partitionBy("path").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
     nearest = loose.withColumn("next", F.last("idx", ignorenulls=True).over(back)).where("page is not null and next is not null").groupBy("path", F.col("next").alias("idx")).agg(F.max_by("page", "place.a").alias("page"))
     none = F.array().cast("array<struct<page:string,offset:int>>")
     told = told.join(nearest, ["path", "idx"], "left").withColumn("pages", F.concat(F.when(F.col("page").isNotNull(), F.array(F.struct("page", F.lit(0).alias("offset")))).otherwise(none), F.coalesce("pages", none))).drop("page", "place")
-    labels = _said(play.withColumn("sp", _counted(F.col("tag") == "sp")).withColumn("_in", _open(F.col("tag") == "speaker") > 0).where("_in"), ["path", "sp"], long_s(F.col("text"))).withColumnRenamed("said", "label")
+    labels = _said(play.where(_in("speaker", within="around") | ((F.col("tag") == "sp") & _is("start"))).withColumn("sp", _counted(F.col("tag") == "sp")).where(_in("speaker")), ["path", "sp"], long_s(F.col("text"))).withColumnRenamed("said", "label")
     return _speeches(told.join(labels, ["path", "sp"], "left"))
 
 
@@ -338,7 +364,7 @@ def character_id(c: Column) -> Column:
 
 def characters(stream: DataFrame) -> DataFrame:
     """``path``, ``turn``, ``id``, ``name`` of the persons an edition lists; members of groups are named from their ids."""
-    rows = _levels(stream).withColumn("person", F.last(F.when(_is("start") & F.col("tag").isin("person", "personGrp"), F.struct(F.col("at").alias("turn"), _attribute("id").alias("id"), F.col("tag").alias("tag"))), ignorenulls=True).over(_flow())).withColumn("inside", _open(F.col("tag").isin("person", "personGrp")) > 0)
+    rows = stream.withColumn("person", F.last(F.when(_is("start") & F.col("tag").isin("person", "personGrp"), F.struct(F.col("at").alias("turn"), _attribute("id").alias("id"), F.col("tag").alias("tag"))), ignorenulls=True).over(_flow())).withColumn("inside", _open(F.col("tag").isin("person", "personGrp")) > 0)
     rows = rows.where("inside and person.id is not null").withColumn("named", _open(F.col("tag") == "name")).withColumn("called", _open(F.col("tag") == "persName"))
     listed = rows.select("path", "person").distinct()
     name = lambda c: _said(rows.where(f"{c} > 0"), ["path", "person"], F.col("text")).withColumnRenamed("said", c)
@@ -359,7 +385,7 @@ def modern_nodes(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
     printing's lineation begin no line, quotation marks are supplied, by turns double and single, and a direction that
     the edition no longer has is none.
     """
-    rows = _levels(stream)
+    rows = stream
     tags = lambda *names: F.col("tag").isin(*names)
     division = lambda tag: F.last(F.when(_is("start") & (F.col("tag") == tag), F.struct(_attribute("type").alias("type"), _attribute("n").alias("n"), F.col("at").alias("at"))), ignorenulls=True).over(_flow())
     rows = rows.withColumn("div1", division("div1")).withColumn("div2", division("div2")).withColumn("in2", _open(tags("div2")) > 0).withColumn("skipped", _open(tags(*_SKIPPED)) > 0)
@@ -430,7 +456,7 @@ def modern_nodes(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def passages(stream: DataFrame, tokens: DataFrame) -> DataFrame:
     """``path``, ``passage``, ``kind``, ``description``, ``turn``, ``token``, ``id``, ``start``, ``end``: each token that an edition's emendation pointers name, with its place; null where the text has none."""
-    rows = _levels(stream)
+    rows = stream
     ptr = rows.where(f"{_START} and tag = 'ptr'").where(_attribute("type") == "emendation")
     ptr = ptr.select("path", _attribute("id").alias("passage"), F.regexp_replace(F.coalesce(_attribute("ana"), F.lit("")), "^#", "").alias("kind"), F.posexplode(F.filter(F.transform(F.split(F.coalesce(_attribute("target"), F.lit("")), r"\s+"), lambda t: F.regexp_replace(t, "^#", "")), lambda t: t != "")).alias("turn", "token"))
     named = rows.withColumn("kind", F.last(F.when(_is("start") & (F.col("tag") == "interp"), _attribute("id")), ignorenulls=True).over(_flow())).withColumn("_in", _open(F.col("tag") == "interp") > 0).where("_in")

@@ -1,6 +1,6 @@
 """Scans of marked-up editions: XML as a table of events in document order, and what windows over it give.
 
-A task reads its files in pieces and keeps no tree; elements, plain texts and nodes are windows and groupings by ``path``.
+A task reads its files in pieces and keeps no tree but what is open; elements, plain texts and nodes are windows and groupings by ``path``.
 """
 
 from __future__ import annotations
@@ -8,11 +8,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from xml.parsers import expat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EVENT = "path string, at int, event string, tag string, attributes map<string,string>, text string"
+EVENT = "path string, at int, event string, tag string, attributes map<string,string>, text string, level int, begun int, within string"
+_ARROW = pa.schema([("path", pa.string()), ("at", pa.int32()), ("event", pa.string()), ("tag", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("level", pa.int32()), ("begun", pa.int32()), ("within", pa.string())])
 
 
 def _events(path: str, content: bytes, piece: int) -> Iterator[tuple]:
@@ -20,38 +21,54 @@ def _events(path: str, content: bytes, piece: int) -> Iterator[tuple]:
     local = lambda name: name.rsplit(":", 1)[-1]
     parser = expat.ParserCreate()
     parser.buffer_text = True
-    parser.StartElementHandler = lambda tag, own: rows.append(("start", local(tag), {local(k): v for k, v in own.items()}, None))
-    parser.EndElementHandler = lambda tag: rows.append(("end", local(tag), None, None))
-    parser.CharacterDataHandler = lambda text: rows.append(("text", None, None, text))
-    at = 0
+    opened: list[tuple] = [(None, None, None, " ")]
+    count = 0
+
+    def start(tag: str, own: dict) -> None:
+        nonlocal count
+        tag, own = local(tag), [(local(k), v) for k, v in own.items()]
+        opened.append((count, tag, list(dict(own).items()), f"{opened[-1][3]}{tag} "))
+        tell("start", tag, opened[-1][2], None)
+
+    def tell(event: str, tag: str | None, own: list | None, text: str | None) -> None:
+        nonlocal count
+        rows.append((path, count, event, tag, own, text, len(opened) - 1, opened[-1][0], opened[-1][3]))
+        count += 1
+
+    def end(_: str) -> None:
+        tell("end", opened[-1][1], opened[-1][2], None)
+        opened.pop()
+
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    parser.CharacterDataHandler = lambda text: tell("text", None, None, text)
     for begin in range(0, len(content) + 1, piece):
         parser.Parse(content[begin : begin + piece], begin + piece > len(content))
-        for row in rows:
-            yield (path, at, *row)
-            at += 1
+        yield from rows
         rows.clear()
 
 
 def events(files: DataFrame, piece: int = 1 << 20, batch: int = 5_000) -> DataFrame:
-    """``path``, ``at``, ``event`` (start, end or text), ``tag``, ``attributes``, ``text`` of XML files (``path``, ``content``).
+    """``path``, ``at``, ``event`` (start, end or text), ``tag``, ``attributes``, ``text`` of XML files (``path``, ``content``), and where that is.
 
-    Names come without prefixes; comments and instructions go. Empty and null contents have no events; XML that is not well formed raises.
+    ``level`` is how many elements are open, an event's own among them, ``within`` their tags between blanks, and ``begun`` where
+    the innermost began. An element's attributes are at its end too. Names come without prefixes; comments and instructions
+    go. Empty and null contents have no events; XML that is not well formed raises.
     """
-    names = [f.split()[0] for f in EVENT.split(", ")]
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tell = lambda held: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _ARROW, strict=True)], schema=_ARROW)
         for rows in batches:
             for path, content in zip(rows["path"], rows["content"], strict=True):
                 held: list[tuple] = []
-                for row in _events(path, content, piece) if content else ():
+                for row in _events(path.as_py(), content.as_py(), piece) if content.is_valid and len(content.as_py()) else ():
                     held.append(row)
                     if len(held) == batch:
-                        yield pd.DataFrame(held, columns=names)
+                        yield tell(held)
                         held = []
                 if held:
-                    yield pd.DataFrame(held, columns=names)
+                    yield tell(held)
 
-    return files.select("path", "content").mapInPandas(of, EVENT)
+    return files.select(F.col("path").cast("string").alias("path"), "content").mapInArrow(of, EVENT)
 
 
 def _depth(tags: list[str]) -> Column:

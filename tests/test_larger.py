@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quirework.functions import arrays
 from quirework.operators import citations, curation, intervals, order, refind, sequences
 from quirework.plans import catalog, queries
-from quirework.sources import archives, dictionaries
+from quirework.sources import archives, dictionaries, editions, markup
 
 SF = "/root/testdata/sf0.001"
 
@@ -122,3 +122,16 @@ def test_chains_are_told_in_a_row_and_no_table_each(spark):
     assert chained.columns == ["d", "i", "a", "b"] and "InPandas" not in plan(chained)
     assert sorted(tuple(r)[2:] for r in chained.where("d = 'x'").collect()) == [(3, 20), (9, 25)]
     assert chained.where("d = 'y'").count() == 1 and sequences.chains(pairs.limit(0), ["d", "i"], "a", "b").count() == 0
+
+
+def test_events_tell_their_level_and_plays_are_told_without_windows_over_them(spark):
+    text = '<x:a n="1">s<floatingText><body><div type="text" k="v"><sp>t<l>u</l></sp></div></body></floatingText></x:a>'
+    stream = markup.events(spark.createDataFrame([("f", text.encode())], "path string, content binary"))
+    told = [(r.at, r.event[0], r.tag or r.text, r.level, r.begun, r.within) for r in stream.collect()]
+    assert told[:3] == [(0, "s", "a", 1, 0, " a "), (1, "t", "s", 1, 0, " a "), (2, "s", "floatingText", 2, 2, " a floatingText ")]
+    assert told[-6:-4] == [(9, "e", "l", 6, 7, " a floatingText body div sp l "), (10, "e", "sp", 5, 5, " a floatingText body div sp ")]
+    assert [r.attributes for r in stream.where("at in (0, 13, 14)").orderBy("at").collect()] == [{"n": "1"}, {}, {"n": "1"}]
+    play = editions.early_play(stream)
+    # elements about the play count neither for levels nor for tags
+    assert [(r.at, r.level, r.within) for r in play.where("event = 'start'").orderBy("at").collect()] == [(4, 0, " div "), (5, 1, " div sp "), (7, 2, " div sp l ")]
+    assert "Window" not in plan(play) and [tuple(r)[2:4] for r in editions.early_nodes(play, editions.early_scenes(play)).collect()] == [(0, "line")]
