@@ -7,13 +7,20 @@ with a null or one-letter head are unsupported, and rows without id or scene and
 
 from __future__ import annotations
 
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays
 from ..functions.kept import kept
 
 #: Letters that a form may have beyond its headword; lines about the predicted one; lead that a lone line needs.
 EXTRA, NEAR, CLOSE, LEAD = 3, 15, 3, 8
+#: Lines that a task searches for quotations of all scenes, and citations of one scene that are one row.
+LINES, CITES = 1 << 16, 1_000
 
 
 def _list(c: str) -> Column:
@@ -24,19 +31,15 @@ def is_form(word: Column, head: Column) -> Column:
     return word.startswith(head) & (F.length(word) - F.length(head) <= EXTRA)
 
 
-def with_context(lines: DataFrame) -> DataFrame:
-    """``scene``, ``idx``, ``number``, ``words`` and ``context``: the distinct keys of a line and of the lines beside it."""
-    w = Window.partitionBy("scene").orderBy("idx")
-    told = lines.where("scene is not null and idx is not null").select("scene", "idx", "number", _list("words").alias("words"))
-    beside = lambda f: F.coalesce(f("words").over(w), F.expr("cast(array() as array<string>)"))
-    return told.withColumn("context", F.array_distinct(F.concat(beside(F.lag), "words", beside(F.lead))))
+def in_scenes(lines: DataFrame) -> DataFrame:
+    """``scene``, ``idx``, ``number``, ``words``: a scene's lines in order, as arrays."""
+    told = lines.where("scene is not null and idx is not null").select("scene", F.struct("idx", "number", _list("words").alias("words")).alias("l"))
+    return told.groupBy("scene").agg(F.array_sort(F.collect_list("l")).alias("l")).select("scene", *[F.col(f"l.{c}").alias(c) for c in ("idx", "number", "words")])
 
 
-def heads(lines: DataFrame) -> DataFrame:
-    """``scene``, ``idx``, ``number``, ``at``, ``head``: every word with each headword that it may be a form of, so that forms meet by equality."""
-    word = lines.select("scene", "idx", "number", F.posexplode("words").alias("at", "word"))
-    cut = F.filter(F.transform(F.array(*[F.lit(n) for n in range(EXTRA + 1)]), lambda n: F.substring(F.col("word"), F.lit(1), F.length("word") - n)), lambda h: F.length(h) >= 2)
-    return word.select("scene", "idx", "number", "at", F.explode(cut).alias("head"))
+def _prefixes(word: str | None) -> list[str]:
+    """The headwords that a word may be a form of."""
+    return [word[:n] for n in range(max(2, len(word) - EXTRA), len(word) + 1)] if word else []
 
 
 def with_quotes(cites: DataFrame) -> DataFrame:
@@ -46,22 +49,37 @@ def with_quotes(cites: DataFrame) -> DataFrame:
     return told.withColumn("needed", F.greatest(F.lit(3), F.ceil(F.size("quoted") * 0.6)).cast("int"))
 
 
-def _measured(met: DataFrame, lines: DataFrame) -> DataFrame:
-    """Candidates with ``overlap``: how many quoted keys their context holds."""
-    return met.join(lines.select("scene", "idx", "context"), ["scene", "idx"]).withColumn("overlap", F.size(F.array_intersect("quoted", "context"))).drop("context")
-
-
-def _lone(strong: DataFrame) -> DataFrame:
-    """Of citations whose candidates are on one line alone, the first of them."""
-    place = F.struct("scene", "idx", "at", "number")
-    ends = strong.groupBy("id").agg(F.min(place).alias("a"), F.max(F.struct("scene", "idx")).alias("b"))
-    return ends.where("a.scene = b.scene and a.idx = b.idx").select("id", "a.*")
+def candidates(cites: DataFrame, scenes: DataFrame) -> DataFrame:
+    """Citations (``with_quotes``) of scenes that are there, with ``found``: the forms of the head in their scene (``idx``, ``number``, ``at``), and ``overlap``, how many quoted keys the line and those beside it hold.
 
-
-def learned(candidates: DataFrame) -> DataFrame:
-    """``scene``, ``cited``, ``number``, ``teacher``: line pairs of long quotations that are on one line of their scene alone."""
-    sure = candidates.where("quotes >= 3 and overlap >= needed")
-    return _lone(sure).join(candidates.select("id", F.col("line").alias("cited")).distinct(), "id").select("scene", "cited", "number", F.col("id").alias("teacher"))
+    A scene's lines and its citations are a row, as many as ``CITES`` at a time, so neither words nor forms are moved one by one.
+    """
+    arrays.bounded(cites.sparkSession)
+
+    def of(lines: pa.Scalar, heads: pa.Scalar, quotes: pa.Scalar) -> list[list[dict]]:
+        lines, heads, quotes = lines.as_py(), heads.as_py(), quotes.as_py()
+        forms, prefixes = {h: [] for h in heads}, cache(_prefixes)
+        for k, words in enumerate(lines):
+            for at, w in enumerate(words):
+                for h in prefixes(w):
+                    if h in forms:
+                        forms[h].append((k, at))
+        context = cache(lambda k: {w for words in lines[max(k - 1, 0) : k + 2] for w in words})
+        return [[{"k": k, "at": at, "overlap": sum(q in context(k) for q in quoted)} for k, at in forms[h]] for h, quoted in zip(heads, quotes, strict=True)]
+
+    met = arrays.by_row(of, pa.list_(pa.list_(pa.struct([(c, pa.int32()) for c in ("k", "at", "overlap")]))), "array<array<struct<k:int,at:int,overlap:int>>>")
+    turn = F.row_number().over(Window.partitionBy("scene").orderBy("id"))
+    own = [c for c in cites.columns if c != "scene"]
+    asked = cites.join(scenes.select("scene"), "scene", "left_semi").withColumn("_turn", F.floor((turn - 1) / CITES)).groupBy("scene", "_turn").agg(F.collect_list(F.struct(*own)).alias("c"))
+    both = asked.join(scenes, "scene").withColumn("f", met("words", "c.head", "c.quoted")).drop("words")
+    placed = F.transform("f", lambda ms: F.transform(ms, lambda m: F.struct(F.get("idx", m["k"]).alias("idx"), F.get("number", m["k"]).alias("number"), m["at"].alias("at"), m["overlap"].alias("overlap"))))
+    return both.select("scene", F.explode(F.arrays_zip("c", placed.alias("found"))).alias("z")).select("scene", *[F.col(f"z.c.{c}").alias(c) for c in own], "z.found")
+
+
+def _strong() -> Column:
+    """Of ``found`` the places of long quotations that agree well enough, in order."""
+    good = F.filter("found", lambda m: (F.size("quoted") >= 3) & (m["overlap"] >= F.col("needed")))
+    return F.array_sort(F.transform(good, lambda m: F.struct(m["idx"].alias("idx"), m["at"].alias("at"), m["number"].alias("number"))))
 
 
 def predicted(cites: DataFrame, pairs: DataFrame, most: int = 5) -> DataFrame:
@@ -103,20 +121,89 @@ def chosen(candidates: DataFrame) -> DataFrame:
     return best.select("id", "scene", "idx", "at", reason.alias("reason"))
 
 
-def recovered(cites: DataFrame, lines: DataFrame, within: DataFrame | None = None) -> DataFrame:
-    """``id``, ``scene``, ``idx``, ``at`` of citations (``with_quotes``) whose quotation is on one line alone of all scenes, or of those that ``within`` (``id``, ``scene``) names.
+def _searched(asked: pa.Table, scenes: pa.Table) -> list[tuple]:
+    """``(q, scene, idx, at)`` of the first and the last line that hold a form of a citation's ``head`` and, with those beside them, ``needed`` of ``quoted``.
 
-    A line must hold ``needed`` of the quoted keys, so it holds one of the ``size - needed + 1`` rarest: only these are looked up.
+    A key's lines are a number of one bit a line, so a citation costs a few operations on all lines.
+    """
+    words, starts = scenes["words"].combine_chunks(), np.append(0, np.cumsum(scenes["words"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)))
+    lines = words.flatten()
+    size = len(lines)
+    line = np.repeat(np.arange(size), lines.value_lengths().to_numpy(zero_copy_only=False))
+    coded = lines.flatten().dictionary_encode()
+    codes, names = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    turn = np.argsort(codes, kind="stable")
+    begins = np.searchsorted(codes[turn], np.arange(len(names) + 1))
+
+    def number(at: np.ndarray) -> int:
+        bits = np.zeros(size, bool)
+        bits[at] = True
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+    code = {w: k for k, w in enumerate(names)}
+    holds = cache(lambda w: number(line[turn[begins[code[w]] : begins[code[w] + 1]]]) if w in code else 0)
+    ends = starts[np.flatnonzero(np.diff(starts))]
+    first, last = number(ends), number(starts[1:][np.diff(starts) > 0] - 1)
+
+    @cache
+    def beside(w: str) -> int:
+        own = holds(w)
+        return own | (own & ~last) << 1 | (own & ~first) >> 1
+
+    heads = {h: [] for h in asked["head"].to_pylist()}
+    for w in names:
+        for h in _prefixes(w):
+            if h in heads:
+                heads[h].append(w)
+
+    @cache
+    def forms(h: str) -> int:
+        told = 0
+        for w in heads[h]:
+            told |= holds(w)
+        return told
+
+    out, of = [], np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    for q, head, quoted, needed in zip(*[asked[c].to_pylist() for c in ("q", "head", "quoted", "needed")], strict=True):
+        most = [forms(head), *[0] * needed]
+        for n, w in enumerate(quoted if most[0] else ()):
+            held = beside(w)
+            for k in range(min(n + 1, needed), 0, -1):
+                most[k] |= most[k - 1] & held
+        met = most[needed]
+        for k in {met.bit_length() - 1, (met & -met).bit_length() - 1} if met else ():
+            scene, n = int(of[k]), int(k - starts[of[k]])
+            at = next(i for i, w in enumerate(lines[int(k)].as_py()) if head in _prefixes(w))
+            out.append((q, scenes["scene"][scene].as_py(), scenes["idx"][scene][n].as_py(), at))
+    return out
+
+
+def recovered(cites: DataFrame, scenes: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """``id``, ``scene``, ``idx``, ``at`` of citations (``with_quotes``) whose quotation is on one line alone of all ``in_scenes``, or of those that ``within`` (``id``, ``scene``) names.
+
+    All scenes are searched ``LINES`` lines a task for every quotation, one of those that are alike: what is moved is the
+    scenes once and the quotations once a task, and no pairs of both.
     """
-    long = cites.where("size(quoted) >= 3")
-    key = long.select("id", "head", "quoted", "needed", F.explode("quoted").alias("key"))
-    held = lines.select("scene", "idx", F.explode("context").alias("key"))
-    often = held.join(key.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("_f"))
-    rare = key.join(often, "key", "left").withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("_f", F.lit(0)), "key"))).where("_r <= size(quoted) - needed + 1")
-    hit = rare.select("id", "key").join(held, "key").select("id", "scene", "idx").distinct()
-    hit = hit if within is None else hit.join(within, ["id", "scene"], "left_semi")
-    met = hit.join(long.select("id", "head", "quoted", "needed"), "id").join(heads(lines), ["scene", "idx", "head"])
-    return _lone(_measured(met, lines).where("overlap >= needed")).drop("number")
+    long = cites.where("size(quoted) >= 3").select("id", "head", F.array_sort("quoted").alias("quoted"), "needed")
+    lone = lambda rows, key: rows.groupBy(key).agg(F.min(F.struct("scene", "idx", "at")).alias("a"), F.max(F.struct("scene", "idx")).alias("b")).where("a.scene = b.scene and a.idx = b.idx").select(key, "a.*")
+    if within is not None:
+        found = candidates(long.join(within, "id"), scenes).select("id", "scene", F.explode(_strong()).alias("m"))
+        return lone(found.select("id", "scene", "m.idx", "m.at"), "id")
+    total = scenes.agg(F.sum(F.size("idx"))).first()[0] or 0
+    tasks = max(1, -(-total // LINES), min(scenes.sparkSession.sparkContext.defaultParallelism, total // 4096))
+    asked = long.groupBy("head", "quoted", "needed").agg(F.min("id").alias("q"))
+    types = {"q": cites.schema["id"].dataType, "scene": scenes.schema["scene"].dataType, "idx": scenes.schema["idx"].dataType.elementType}
+    schema = ", ".join(f"{c} {t.simpleString()}" for c, t in types.items()) + ", at int"
+
+    def search(asked: pa.Table, scenes: pa.Table) -> pa.Table:
+        kinds = [asked.schema.field("q").type, scenes.schema.field("scene").type, scenes.schema.field("idx").type.value_type, pa.int32()]
+        found = _searched(asked, scenes) if len(asked) and len(scenes) else []
+        return pa.table({c: pa.array([r[k] for r in found], kinds[k]) for k, c in enumerate(("q", "scene", "idx", "at"))})
+
+    here = scenes.select(F.pmod(F.xxhash64("scene"), F.lit(tasks)).cast("int").alias("task"), "scene", "idx", "words")
+    everywhere = asked.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    found = lone(everywhere.groupBy("task").cogroup(here.groupBy("task")).applyInArrow(search, schema), "q")
+    return found.join(asked.select("q", "head", "quoted"), "q").join(long.select("id", "head", "quoted"), ["head", "quoted"]).select("id", "scene", "idx", "at")
 
 
 def match(lines: DataFrame, cites: DataFrame, prior: DataFrame | None = None, acts: DataFrame | None = None) -> DataFrame:
@@ -130,31 +217,35 @@ def match(lines: DataFrame, cites: DataFrame, prior: DataFrame | None = None, ac
     if acts is not None:
         only = acts.groupBy("act").agg(F.min("scene").alias("_only"), F.count("*").alias("_m")).where("_m = 1").drop("_m")
         cites = cites.join(only, "act", "left").withColumn("scene", F.coalesce("scene", "_only")).drop("_only")
-    told = kept(with_context(lines))
-    asked = kept(with_quotes(cites))
-    # each citation meets each form in its scene: quoted keys are counted once, and what is kept of them is their number
-    met = _measured(asked.join(heads(told), ["scene", "head"]), told)
-    inside = kept(met.withColumn("quotes", F.size("quoted")).drop("head", "quoted"))
-    pairs = learned(inside)
+    told = kept(in_scenes(lines))
+    asked = with_quotes(cites)
+    there = told.select("scene", F.lit(True).alias("_there"))
+    # a row a citation, with its scene's candidates
+    found = candidates(asked, told).withColumn("_m", _strong()).withColumn("_there", F.lit(True))
+    home = F.when((F.size("_m") > 0) & (F.get("_m", F.lit(0))["idx"] == F.element_at(F.when(F.size("_m") > 0, F.col("_m")), -1)["idx"]), F.get("_m", F.lit(0)))
+    astray = asked.join(there, "scene", "left_anti")
+    asked = kept(found.withColumn("home", home).drop("_m").unionByName(astray, allowMissingColumns=True))
+    pairs = asked.where("home is not null").select("scene", F.col("line").alias("cited"), "home.number", F.col("id").alias("teacher"))
     if prior is not None:
         pairs = pairs.unionByName(prior.select(*pairs.columns))
-    guess = predicted(asked.where("scene is not null"), pairs).select("id", "predicted")
-    first = chosen(inside.join(guess, "id"))
-    there = told.select("scene", F.lit(True).alias("_there")).distinct()
-    state = asked.join(there, "scene", "left").join(first.withColumnsRenamed({"scene": "_scene", "reason": "_reason"}), "id", "left")
+    guess = predicted(asked.where("_there").select("id", "scene", "line"), pairs).select("id", "predicted")
+    inside = asked.select("id", "scene", F.size("quoted").alias("quotes"), "found").join(guess, "id").select("id", "scene", "quotes", "predicted", F.inline("found"))
+    first = chosen(inside)
+    state = asked.drop("found").join(first.withColumnsRenamed({"scene": "_scene", "reason": "_reason"}), "id", "left")
     reason = F.when(F.col("_there").isNull(), "no such scene").when(F.col("idx").isNull(), "headword not found near cited line").otherwise(F.col("_reason"))
-    state = state.withColumn("_reason", reason)
-    state = kept(state)
     lost = F.col("_reason").isin("no such scene", "headword not found near cited line", "quotation disagrees")
-    seek = state.where(lost).select("id", "scene", "head", "quoted", "needed")
-    home = _lone(inside.where("quotes >= 3 and overlap >= needed").join(seek.select("id"), "id", "left_semi")).drop("number")
+    # those that their own scene does not tell are sought in all
+    state = state.withColumn("_reason", reason).withColumn("home", F.when(lost, F.col("home"))).withColumn("quoted", F.when(lost & F.col("home").isNull(), F.col("quoted")))
+    state = kept(state.drop("_there", "line"))
+    seek = state.where("quoted is not null").select("id", "scene", "head", "quoted", "needed")
+    home = state.where("home is not null").select("id", "scene", "home.idx", "home.at")
     far = recovered(seek, told)
     name = lambda df, p: df.select("id", *[F.col(c).alias(p + c) for c in ("scene", "idx", "at")])
     none = home.limit(0)
     if acts is not None:
         astray = state.where("_reason = 'no such scene'")
         own = astray.select("id").join(cites.select("id", "act"), "id").join(acts.select("act", "scene"), "act").select("id", "scene")
-        none = recovered(astray.select("id", "scene", "head", "quoted", "needed"), told, own)
+        none = recovered(astray.select("id", "head", "quoted", "needed"), told, own)
     out = state.join(name(home, "h_"), "id", "left").join(name(none, "a_"), "id", "left").join(name(far, "f_"), "id", "left")
     found = F.col("h_idx").isNotNull() | F.col("a_idx").isNotNull() | F.col("f_idx").isNotNull()
     place = lambda c, own: F.coalesce("h_" + c, "a_" + c, "f_" + c, F.when(F.col("_reason").isNull(), F.col(own))).alias(c)

@@ -135,3 +135,28 @@ def test_events_tell_their_level_and_plays_are_told_without_windows_over_them(sp
     # elements about the play count neither for levels nor for tags
     assert [(r.at, r.level, r.within) for r in play.where("event = 'start'").orderBy("at").collect()] == [(4, 0, " div "), (5, 1, " div sp "), (7, 2, " div sp l ")]
     assert "Window" not in plan(play) and [tuple(r)[2:4] for r in editions.early_nodes(play, editions.early_scenes(play)).collect()] == [(0, "line")]
+
+
+def test_lost_quotations_are_sought_in_blocks_of_lines_and_no_word_is_moved(spark, monkeypatch):
+    """Blocks of a few lines and rows of few citations give what plain loops do."""
+    monkeypatch.setattr(citations, "LINES", 40)
+    monkeypatch.setattr(citations, "CITES", 3)
+    draw = random.Random(5)
+    says = [f"{a}{b}{c}" for a in "abc" for b in "aei" for c in ("", "r", "rst", "rstuv")]
+    lines = [(s, i, i, [draw.choice(says) for _ in range(draw.randint(0, 7))]) for s in "stuvw" for i in range(1, 60, 2)]
+    cites = [(i, "x", i, draw.choice(says), list(dict.fromkeys(draw.choice(says) for _ in range(draw.randint(2, 7))))) for i in range(60)]
+    rows = spark.createDataFrame(lines, "scene string, idx int, number int, words array<string>")
+    asked = citations.with_quotes(spark.createDataFrame(cites, "id int, scene string, line int, head string, quote array<string>")).cache()
+    form = lambda w, h: w.startswith(h) and len(w) - len(h) <= 3
+    beside = lambda k: {w for j in (k - 1, k, k + 1) if 0 <= j < len(lines) and lines[j][0] == lines[k][0] for w in lines[j][3]}
+    want = {}
+    for c in asked.where("size(quoted) >= 3").collect():
+        met = [k for k, x in enumerate(lines) if any(form(w, c.head) for w in x[3]) and len(set(c.quoted) & beside(k)) >= c.needed]
+        if len(met) == 1:
+            want[c.id] = (*lines[met[0]][:2], next(n for n, w in enumerate(lines[met[0]][3]) if form(w, c.head)))
+    scenes = citations.in_scenes(rows)
+    got = citations.recovered(asked, scenes)
+    assert want and {r.id: tuple(r)[1:] for r in got.collect()} == want and "Generate explode(words" not in plan(got)
+    every = asked.select("id").crossJoin(rows.select("scene").distinct())
+    assert {r.id: tuple(r)[1:] for r in citations.recovered(asked, scenes, every).collect()} == want
+    assert citations.recovered(asked, scenes.limit(0)).count() == citations.recovered(asked.limit(0), scenes).count() == 0
