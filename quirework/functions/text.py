@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,6 +41,22 @@ def word_key(c: Column) -> Column:
     return F.regexp_replace(k, r"([pkcsx])t$", "$1d")
 
 
+_PLAIN, _LEVEL = str.maketrans(_BARE), str.maketrans("ſvjy", "suii")
+
+
+@lru_cache(1 << 16)
+def key(word: str) -> str:
+    """``word_key`` of a word in a kernel, where words come again and again."""
+    k = re.sub("[^a-z]", "", word.lower().translate(_PLAIN).translate(_LEVEL)).replace("ck", "c")
+    k = re.sub("(?<=.)e$", "", re.sub(r"(.)\1+", r"\1", k))
+    return re.sub("([pkcsx])t$", r"\1d", re.sub("(..)ed$", r"\1d", k))
+
+
+def spaced(text: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` a text's words with one blank between two and none at the ends; ``of`` keeps the blanks."""
+    return of(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s—–-]+", " ")))
+
+
 def pieces(text: Column) -> Column:
     """Words between white space, hyphens and dashes; no empty ones."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\s—–-]+"), lambda w: w != "")

@@ -9,6 +9,8 @@ Empty tables give empty results.
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,44 +76,63 @@ def word_spans(nodes: DataFrame, by: str) -> DataFrame:
     return dealt.where(F.col("word").rlike(r"^[^\s—–-]"))
 
 
-def word_key(word: Column, exact: bool) -> Column:
-    """What a word is compared by: its spelling-insensitive key or, if ``exact``, itself without signs at its ends; ``&`` is ``and``."""
-    key = F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "") if exact else tx.word_key(word)
-    return F.when(word == "&", "and").otherwise(key)
+#: What ``_runs`` takes for a word.
+_WORD = re.compile(r"[^ \t\n\x0b\f\r—–-]+")
+
+
+def _key(word: str) -> str:
+    """What a word is compared by: its spelling-insensitive key; ``&`` is ``and``."""
+    return "and" if word == "&" else tx.key(word)
 
 
 def differences(compared: DataFrame, left: DataFrame, right: DataFrame, by: str, exact: bool = False) -> DataFrame:
     """``by``, ``place``, ``side``, ``idx``, ``start``, ``end``: the words of each row of ``compared`` that its other side lacks, by node.
 
     Words that both sides have are those of a longest common subsequence; where two ways are as long, right words
-    are passed over first. Nodes are moved whole, as arrays of keys, starts and ends; only rows' word keys and their
-    numbers go to Python, a row at a time.
+    are passed over first. A text's nodes and rows are a row, and its words are told from its nodes where they are compared.
     """
     arrays.bounded(compared.sparkSession)
-    def words(nodes: DataFrame, side: str) -> DataFrame:
-        known = F.filter(F.zip_with("starts", "runs", lambda at, w: F.struct(at.alias("start"), (at + F.length(w)).alias("end"), F.when(w.rlike(r"^[^\s—–-]"), word_key(w, exact)).otherwise("").alias("key"))), lambda w: w["key"] != "")
-        of = compared.select(by, "place", F.posexplode(side).alias("turn", "idx"))
-        return of.join(_runs(nodes, by).select(by, "idx", known.alias("w")), [by, "idx"]).select(by, "place", F.lit(side).alias("side"), F.struct("turn", "idx", "w").alias("node"))
-
-    told = words(left, "left").unionByName(words(right, "right"))
-    listed = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("node")))).alias(s)
-    flat = lambda s, c: F.flatten(F.transform(s, lambda x: F.transform(x["w"], lambda w: w[c])))
-    both = told.groupBy(by, "place").agg(listed("left"), listed("right"))
-
-    def of(x: pa.Scalar, y: pa.Scalar) -> dict:
-        a, b = x.values.to_pylist(), y.values.to_pylist()
-        pairs = sequences.common(b, a)
-        met = ({i for _, i in pairs}, {j for j, _ in pairs})
-        return {s: [i for i in range(len(k)) if i not in m] for s, k, m in zip(("left", "right"), (a, b), met, strict=True)}
-
-    which = pa.list_(pa.int32())
-    lacking = arrays.by_row(of, pa.struct([("left", which), ("right", which)]), "struct<left:array<int>,right:array<int>>")
-    only = both.withColumn("only", lacking(flat("left", "key"), flat("right", "key")))
-    # each side's words in one array, as their numbers count, with the node that has them
-    spans = lambda s: F.flatten(F.transform(s, lambda x: F.transform(x["w"], lambda w: F.struct(x["idx"].alias("idx"), w["start"].alias("start"), w["end"].alias("end")))))
-    laid = only.select(by, "place", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), spans(s).alias("w"), F.col(f"only.{s}").alias("at")) for s in ("left", "right")])).alias("s"))
-    laid = laid.select(by, "place", "s.side", "s.w", "s.at").where(F.size("at") > 0)
-    return laid.select(by, "place", "side", "w", F.explode("at").alias("k")).select(by, "place", "side", F.col("w")[F.col("k")].alias("w")).select(by, "place", "side", "w.idx", "w.start", "w.end")
+    names = ("idx", "text", "key")
+    # keys of letters alone are told by a dictionary of words, those of signs at words' ends by their classes
+    said = tx.spaced(F.col("text"), lambda words: F.regexp_replace(F.regexp_replace(words, r"(?<![^ ])&(?![^ ])", "and"), r"(?<![^ ])[^\p{L}\p{N} ]+|[^\p{L}\p{N} ]+(?![^ ])", "")) if exact else F.lit(None).cast("string")
+    listed = lambda rows, own, name: rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*own))).alias(name)).select(by, *[F.col(f"{name}.{c}").alias(f"{name}_{c}") for c in own])
+    sides = [listed(nodes.select(by, "idx", F.coalesce("text", F.lit("")).alias("text"), said.alias("key")), names, side) for nodes, side in ((left, "left"), (right, "right"))]
+    both = listed(compared, ("place", "left", "right"), "rows").join(sides[0], by, "left").join(sides[1], by, "left")
+
+    def words(columns: list[pa.Scalar]) -> dict[int, tuple[list, list, list]]:
+        """For each node its words' starts, ends and keys."""
+        told = {}
+        for idx, text, keys in zip(*[c.as_py() or () for c in columns], strict=True):
+            spots = [m.span() for m in _WORD.finditer(text)]
+            named = keys.split(" ") if keys is not None else [_key(text[a:b]) for a, b in spots]
+            kept = [(a, b, k) for (a, b), k in zip(spots, named, strict=False) if k]
+            told[idx] = tuple(map(list, zip(*kept, strict=True))) if kept else ([], [], [])
+        return told
+
+    def run(*columns: pa.Array) -> pa.Array:
+        counts, out = [0], [[] for _ in range(5)]
+        for places, lefts, rights, *texts in zip(*columns, strict=True):
+            known = (words(texts[:3]), words(texts[3:]))
+            for place, *nodes in zip(places.as_py(), lefts.as_py(), rights.as_py(), strict=True):
+                held = [[n for n in own or () if n in of] for own, of in zip(nodes, known, strict=True)]
+                keys = [[k for n in own for k in of[n][2]] for own, of in zip(held, known, strict=True)]
+                pairs = sequences.common(keys[1], keys[0]) if keys[0] and keys[1] else []
+                for side, own, of, met in zip((0, 1), held, known, ({i for _, i in pairs}, {j for j, _ in pairs}), strict=True):
+                    at = 0
+                    for n in own:
+                        starts, ends, _ = of[n]
+                        which = [k for k in range(len(starts)) if at + k not in met] if met else range(len(starts))
+                        at += len(starts)
+                        for column, values in zip(out, ([place] * len(which), [side] * len(which), [n] * len(which), [starts[k] for k in which], [ends[k] for k in which]), strict=True):
+                            column += values
+            counts.append(len(out[0]))
+        kinds = [columns[0].type.value_type, *[pa.int32()] * 4]
+        return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["place", "side", "idx", "start", "end"]))
+
+    kind = compared.schema["place"].dataType.simpleString()
+    lacking = F.arrow_udf(run, f"array<struct<place:{kind},side:int,idx:int,start:int,end:int>>")
+    told = both.select(by, F.inline(lacking(*[F.col(f"rows_{c}") for c in ("place", "left", "right")], *[F.col(f"{s}_{c}") for s in ("left", "right") for c in names])))
+    return told.select(by, "place", F.when(F.col("side") == 0, "left").otherwise("right").alias("side"), "idx", "start", "end")
 
 
 def by_node(ranges: DataFrame, nodes: DataFrame, by: str) -> DataFrame:

@@ -26,6 +26,10 @@ def common(a: list[str], b: list[str], kept: int = 1024) -> list[tuple[int, int]
     the rows up to the next one are found again. So memory is a bit a cell for ``len(a) / kept + kept`` rows, and
     ``_HELD`` bits of masks, at any size.
     """
+    # items with which both begin are pairs in any case
+    same = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    if same:
+        return [(k, k) for k in range(same)] + [(i + same, j + same) for i, j in common(a[same:], b[same:], kept)]
     if not a or not b:
         return []
     size, places = len(b), {w: [] for w in a}

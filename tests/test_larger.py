@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quirework.functions import arrays
-from quirework.operators import citations, curation, intervals, order, refind, sequences
+from quirework.functions import text as tx
+from quirework.operators import citations, compare, curation, intervals, order, refind, sequences
 from quirework.plans import catalog, queries
 from quirework.sources import archives, dictionaries, editions, markup
 
@@ -160,3 +161,22 @@ def test_lost_quotations_are_sought_in_blocks_of_lines_and_no_word_is_moved(spar
     every = asked.select("id").crossJoin(rows.select("scene").distinct())
     assert {r.id: tuple(r)[1:] for r in citations.recovered(asked, scenes, every).collect()} == want
     assert citations.recovered(asked, scenes.limit(0)).count() == citations.recovered(asked.limit(0), scenes).count() == 0
+
+
+def test_keys_in_kernels_are_those_of_columns(spark):
+    draw = random.Random(2)
+    words = [f"a{chr(c)}b" for c in range(1, 0x3000) if not 0xD800 <= c < 0xE000] + [f"{chr(c)}ed" for c in range(0xA000, 0x1F000, 7) if not 0xD800 <= c < 0xE000]
+    words += ["".join(draw.choice("aeedckkttpxsvujyſÉn̄ßΣİ'’.1") for _ in range(draw.randint(0, 9))) for _ in range(5000)]
+    keys = spark.createDataFrame([(w,) for w in words], "w string").select("w", tx.word_key(F.col("w")).alias("k")).collect()
+    assert [r for r in keys if tx.key(r.w) != r.k] == []
+
+
+def test_differences_move_texts_alone_and_once_a_side(spark):
+    nodes = spark.createDataFrame([(1, 0, "so—& the 12 Kings\u00a0, said"), (1, 1, None), (1, 2, " - x")], "doc int, idx int, text string")
+    other = spark.createDataFrame([(1, 0, "fo & kings say"), (1, 5, "ye")], "doc int, idx int, text string")
+    rows = spark.createDataFrame([(1, 1, [0], [0, 5]), (1, 2, [1, 2, 9], []), (1, 3, [], None), (2, 1, [0], [0])], "doc int, place int, left array<int>, right array<int>")
+    told = compare.differences(rows, nodes, other, "doc")
+    assert sorted(tuple(r)[1:] for r in told.collect()) == [(1, "left", 0, 0, 2), (1, "left", 0, 5, 8), (1, "left", 0, 20, 24), (1, "right", 0, 0, 2), (1, "right", 0, 11, 14), (1, "right", 5, 0, 2), (2, "left", 2, 3, 4)]
+    exact = compare.differences(rows, nodes, other, "doc", True)
+    assert sorted(tuple(r)[1:] for r in exact.where("side = 'left'").collect()) == [(1, "left", 0, 0, 2), (1, "left", 0, 5, 8), (1, "left", 0, 9, 11), (1, "left", 0, 12, 19), (1, "left", 0, 20, 24), (2, "left", 2, 3, 4)]
+    assert len(re.findall("Join ", plan(told))) == 2 and "regexp_extract_all" not in plan(told)
