@@ -32,9 +32,12 @@ def versions(orig: DataFrame, modern: DataFrame, orig_scenes: DataFrame, modern_
     """
     pairs = kept(counterparts(orig_scenes, modern_scenes, by))
     nodes = lambda rows, side: rows.select(by, "scene", F.lit(side).alias("side"), F.col("idx").cast("int").alias("n"), "kind", F.coalesce("keys", F.array().cast("array<string>")).alias("keys"))
-    pieces = orig.join(pairs, [by, "turn"]).withColumnRenamed("modern", "scene")
-    theirs = modern.withColumnRenamed("turn", "scene")
-    held = theirs.join(pairs.select(by, F.col("modern").alias("scene")).distinct(), [by, "scene"], "left_semi")
+    # a text's pairs are one row, so that nodes that lie together by text are not moved for them
+    met = pairs.groupBy(by).agg(F.collect_list(F.struct("turn", "modern")).alias("_met"))
+    to = F.transform(F.filter("_met", lambda p: p["turn"] == F.col("turn")), lambda p: p["modern"])
+    pieces = orig.join(met, by).select(*orig.columns, F.explode(to).alias("scene"))
+    theirs = modern.withColumnRenamed("turn", "scene").join(met, by, "left").withColumn("_held", F.coalesce(F.exists("_met", lambda p: p["modern"] == F.col("scene")), F.lit(False))).drop("_met")
+    held = theirs.where("_held")
     found = kept(sequences.align_blocks(nodes(pieces, "orig").unionByName(nodes(held, "modern")), [by, "scene"]))
     # an entry belongs to the piece of its first node, or of the entry before it
     first = pairs.groupBy(by, F.col("modern").alias("scene")).agg(F.min("turn").alias("first"))
@@ -42,7 +45,7 @@ def versions(orig: DataFrame, modern: DataFrame, orig_scenes: DataFrame, modern_
     placed = found.withColumn("n", F.when(F.size("orig") > 0, F.col("orig")[0])).join(of, [by, "scene", "n"], "left").drop("n")
     placed = order.fill_forward(placed, [by, "scene"], "entry", "turn").join(first, [by, "scene"]).withColumn("turn", F.coalesce("turn", "first"))
     # modern scenes without counterpart wait for the first original scene that is later than they are
-    alone = theirs.join(pairs.select(by, F.col("modern").alias("scene")).distinct(), [by, "scene"], "left_anti").select(by, "scene", F.col("idx").cast("int").alias("n"))
+    alone = theirs.where("not _held").select(by, "scene", F.col("idx").cast("int").alias("n"))
     reach = pairs.groupBy(by, F.col("modern")).agg(F.min("turn").alias("turn"))
     later = alone.select(by, "scene").distinct().join(reach, by).where("modern > scene").groupBy(by, "scene").agg(F.min("turn").alias("turn"))
     waiting = alone.join(later, [by, "scene"], "left")

@@ -50,6 +50,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def together(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt by ``by`` to all cores, or to as many tasks as its files give: what is dealt out of a row, and later grouped or joined by ``by``, is not moved again.
+
+    Spark deals again for a join what has fewer parts than ``spark.sql.shuffle.partitions``, so there are as many at least.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
 def ngrams(words: Column, n: int) -> Column:
     """Every run of ``n`` words by two hashes of it, with its place: ``array<struct<at, gram, check>>``; the words themselves are not copied."""
     places = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0)))).otherwise(F.array().cast("array<int>"))

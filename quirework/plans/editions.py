@@ -95,10 +95,9 @@ def node_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as blocks of their document, every fourth an entrance, and in which of four quarters of it they are."""
-    lines = order.lines(order.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
-    rows = lines.select("doc_id", "n", tx.keys(F.col("line")).alias("words"), (F.col("n") % 4 == 0).alias("entrance"))
-    size = rows.groupBy("doc_id").agg(F.count("*").alias("size"))
-    return kept(rows.join(size, "doc_id").withColumn("quarter", F.floor(F.col("n") * 4 / F.col("size")).cast("int")).drop("size"))
+    docs = order.together(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("doc_id is not null"), "doc_id")
+    lines = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("l")).select("doc_id", F.size("l").alias("size"), F.posexplode("l").alias("n", "line"))
+    return lines.select("doc_id", "n", tx.keys(F.col("line")).alias("words"), (F.col("n") % 4 == 0).alias("entrance"), F.floor(F.col("n") * 4 / F.col("size")).cast("int").alias("quarter"))
 
 
 def _scenes(blocks: DataFrame, backward: bool = False) -> DataFrame:
