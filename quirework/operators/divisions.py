@@ -32,15 +32,8 @@ def _begun(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return order.running_offset(told, by, "n", F.col("size"), "start").withColumn("start", F.col("start").cast("int"))
 
 
-def _flat(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """``by`` and ``words``: all words of a text in order."""
-    listed = F.array_sort(F.collect_list(F.struct("n", F.coalesce("words", F.array().cast("array<string>")).alias("words"))))
-    return rows.groupBy(*by).agg(F.flatten(F.transform(listed, lambda r: r["words"])).alias("words"))
-
-
-def landmarks(blocks: DataFrame, scenes: DataFrame, by: Sequence[str], n: int = 5) -> DataFrame:
-    """``by``, ``orig``, ``modern``: places of the n-grams that occur once on each side, those on a longest chain that rises on both."""
-    arrays.bounded(blocks.sparkSession)
+def landmarks(orig: Column, modern: Column, n: int = 5) -> Column:
+    """Places (``orig``, ``modern``) of the n-grams of two arrays of words that occur once in each, those on a longest chain that rises on both."""
 
     def of(orig: pa.Scalar, modern: pa.Scalar) -> list[dict]:
         size = len(orig.values)
@@ -54,28 +47,19 @@ def landmarks(blocks: DataFrame, scenes: DataFrame, by: Sequence[str], n: int =
         pairs = np.stack([at[i], to[j]])[:, turn]
         return [{"orig": o, "modern": m} for o, m in pairs[:, sequences.rising(pairs[0].tolist())].T.tolist()]
 
-    pairs = arrays.by_row(of, pa.list_(pa.struct([("orig", pa.int32()), ("modern", pa.int32())])), "array<struct<orig:int,modern:int>>")
-    both = _flat(blocks, by).withColumnRenamed("words", "orig").join(_flat(scenes, by).withColumnRenamed("words", "modern"), list(by))
-    return both.select(*by, F.inline(pairs("orig", "modern")))
+    return arrays.by_row(of, pa.list_(pa.struct([("orig", pa.int32()), ("modern", pa.int32())])), "array<struct<orig:int,modern:int>>")(orig, modern)
 
 
-def counterparts(points: DataFrame, chain: DataFrame, by: Sequence[str]) -> DataFrame:
-    """``points`` (``by``, ``modern``) with ``predicted``: the place that the pairs before and behind one give it, rounded half up.
+def counterpart(at: Column, chain: Column) -> Column:
+    """The place in ``orig`` that the pairs of a rising ``chain`` (``landmarks``) before and behind a place in ``modern`` give it, rounded half up.
 
     Behind the last pair, and before the first, places run in step; the first pair stands behind ``(0, 0)``.
     """
-    at = F.struct("orig", "modern")
-    both = points.withColumn("pair", F.lit(None).cast("struct<orig:int,modern:int>")).withColumn("late", F.lit(1)).unionByName(chain.select(*by, F.col("modern"), at.alias("pair"), F.lit(0).alias("late")), allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("modern", "late")
-    # the pair behind is the last one seen from the end: a frame that reaches to the end is read again for every row
-    back = Window.partitionBy(*by).orderBy(F.desc("modern"), F.desc("late")).rowsBetween(Window.unboundedPreceding, -1)
     start = F.struct(F.lit(0).alias("orig"), F.lit(0).alias("modern"))
-    both = both.withColumn("before", F.coalesce(F.last("pair", ignorenulls=True).over(w), start)).withColumn("after", F.last("pair", ignorenulls=True).over(back))
-    part = (F.col("modern") - F.col("before.modern")) / (F.col("after.modern") - F.col("before.modern"))
-    between = F.floor(F.col("before.orig") + part * (F.col("after.orig") - F.col("before.orig")) + 0.5)
-    in_step = F.col("before.orig") + F.col("modern") - F.col("before.modern")
-    predicted = F.when(F.col("after").isNull() | (F.col("after.modern") == F.col("before.modern")), in_step).otherwise(between).cast("int")
-    return both.where("late = 1").withColumn("predicted", predicted).select(*points.columns, "predicted")
+    before = F.coalesce(F.try_element_at(F.filter(chain, lambda p: p["modern"] <= at), F.lit(-1)), start)
+    after = F.try_element_at(F.filter(chain, lambda p: p["modern"] > at), F.lit(1))
+    between = F.floor(before["orig"] + (at - before["modern"]) / (after["modern"] - before["modern"]) * (after["orig"] - before["orig"]) + 0.5)
+    return F.when(after.isNull(), before["orig"] + at - before["modern"]).otherwise(between).cast("int")
 
 
 def split(blocks: DataFrame, scenes: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -83,22 +67,28 @@ def split(blocks: DataFrame, scenes: DataFrame, by: Sequence[str]) -> DataFrame:
 
     A scene's first word is placed by the landmarks around it, and the scene begins with the block that begins
     nearest, an entrance counting ``ENTRANCE`` words nearer; it begins behind the block with which the scene
-    before it begins. Where no block is left, the last scenes stay without.
+    before it begins. Where no block is left, the last scenes stay without. A text's blocks are a row and its
+    scenes another, each moved once at most.
     """
-    begun = _begun(blocks, by)
-    starts = _begun(scenes, by).where("n > 0").select(*by, "n", F.col("start").alias("modern"))
-    wanted = counterparts(starts, landmarks(blocks, scenes, by), by).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "predicted"))), lambda p: p["predicted"]).alias("wanted"))
-    listed = begun.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("n", "start", F.coalesce("entrance", F.lit(False)).alias("entrance")))).alias("blocks"))
+    arrays.bounded(blocks.sparkSession)
+    none = F.array().cast("array<array<string>>")
+    words, entrance = F.coalesce("words", F.array().cast("array<string>")).alias("words"), F.coalesce("entrance", F.lit(False)).alias("entrance")
+    listed = lambda rows, name, *of: rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("n", words, *of))).alias(name))
+    both = listed(blocks, "_b", entrance).join(listed(scenes, "_s"), list(by), "left").select(*by, F.col("_b.n").alias("n"), F.col("_b.entrance").alias("_entrance"), F.col("_b.words").alias("_own"), F.col("_s.n").alias("_turn"), F.coalesce("_s.words", none).alias("_theirs"))
+    starts = F.arrow_udf(arrays.starts, "array<int>")
+    begun = lambda c: starts(F.transform(c, F.size))
+    told = both.select(*by, "n", "_entrance", "_turn", begun("_own").alias("_start"), begun("_theirs").alias("_modern"), landmarks(F.flatten("_own"), F.flatten("_theirs")).alias("_chain"))
+    later = F.filter(F.arrays_zip("_turn", "_modern"), lambda s: s["_turn"] > 0)
+    told = told.select(*by, "n", F.arrays_zip("n", "_start", "_entrance").alias("_blocks"), F.transform(later, lambda s: counterpart(s["_modern"], F.col("_chain"))).alias("_wanted"))
 
     def cut(cuts: Column, at: Column) -> Column:
-        off = lambda b: F.abs(b["start"] - at) + F.when(b["entrance"], 0).otherwise(ENTRANCE)
-        best = F.array_min(F.transform(F.filter("blocks", lambda b: b["n"] > F.element_at(cuts, -1)), lambda b: F.struct(off(b).alias("off"), b["n"].alias("n"))))
+        off = lambda b: F.abs(b["_start"] - at) + F.when(b["_entrance"], 0).otherwise(ENTRANCE)
+        best = F.array_min(F.transform(F.filter("_blocks", lambda b: b["n"] > F.element_at(cuts, -1)), lambda b: F.struct(off(b).alias("off"), b["n"].alias("n"))))
         return F.when(best.isNull(), cuts).otherwise(F.concat(cuts, F.array(best["n"])))
 
-    cuts = F.aggregate(F.coalesce("wanted", F.array().cast("array<int>")), F.array(F.lit(0)), cut)
+    cuts = F.aggregate(F.coalesce("_wanted", F.array().cast("array<int>")), F.array(F.lit(0)), cut)
     # cuts are told once a text, before its blocks are dealt out: told with each block they took a text's blocks squared
-    told = listed.join(wanted, list(by), "left").select(*by, cuts.alias("cuts"), F.col("blocks.n").alias("n"))
-    return told.select(*by, "cuts", F.explode("n").alias("n")).select(*by, "n", (F.size(F.filter("cuts", lambda c: c <= F.col("n"))) - 1).alias("piece"))
+    return told.select(*by, cuts.alias("_cuts"), "n").select(*by, "_cuts", F.explode("n").alias("n")).select(*by, "n", (F.size(F.filter("_cuts", lambda c: c <= F.col("n"))) - 1).alias("piece"))
 
 
 def scene_key(act: Column, kind: Column, n: Column) -> Column:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quirework.functions import arrays
 from quirework.functions import text as tx
-from quirework.operators import citations, compare, curation, intervals, order, refind, sequences
+from quirework.operators import aligned, citations, compare, curation, divisions, intervals, order, refind, sequences
 from quirework.plans import catalog, queries
+from quirework.plans import editions as editions_plans
 from quirework.sources import archives, dictionaries, editions, markup
 
 SF = "/root/testdata/sf0.001"
@@ -180,3 +181,32 @@ def test_differences_move_texts_alone_and_once_a_side(spark):
     exact = compare.differences(rows, nodes, other, "doc", True)
     assert sorted(tuple(r)[1:] for r in exact.where("side = 'left'").collect()) == [(1, "left", 0, 0, 2), (1, "left", 0, 5, 8), (1, "left", 0, 9, 11), (1, "left", 0, 12, 19), (1, "left", 0, 20, 24), (2, "left", 2, 3, 4)]
     assert len(re.findall("Join ", plan(told))) == 2 and "regexp_extract_all" not in plan(told)
+
+
+def test_texts_of_split_scenes_are_moved_once(spark):
+    """What is told of a document stays where the document is; words, landmarks and scenes were moved each."""
+    told = editions_plans.scene_pieces(spark, SF)
+    exchanges = re.findall(r"Exchange hashpartitioning\(.*?, (\w+), \[plan_id", told._jdf.queryExecution().executedPlan().toString())
+    assert set(exchanges) == {"REPARTITION_BY_NUM"} and told.count() > 1000
+
+
+def test_nodes_of_aligned_versions_are_not_moved_for_their_scenes(spark, monkeypatch):
+    tables, keep = [], aligned.kept
+    monkeypatch.setattr(aligned, "kept", lambda df: tables.append(df) or keep(df))
+    editions_plans.aligned_versions(spark, SF)
+    blocks = next(t for t in tables if "relation" in t.columns)._jdf.queryExecution().executedPlan().toString()
+    # all that is dealt again is dealt by document, so the nodes, which are, stay where they are
+    assert {re.sub("#.*", "", c) for c in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", blocks)} == {"doc_id"} and not re.search("Exchange hashpartitioning\\([^)]*, [^)]*, ", blocks)
+
+
+def test_places_between_landmarks(spark):
+    chain = F.expr("array(named_struct('orig', 4, 'modern', 2), named_struct('orig', 9, 'modern', 4), named_struct('orig', 10, 'modern', 9))")
+    got = spark.range(12).select(divisions.counterpart(F.col("id").cast("int"), chain).alias("p"), divisions.counterpart(F.col("id").cast("int"), F.slice(chain, 1, 0)).alias("none")).collect()
+    assert [r.p for r in got] == [0, 2, 4, 7, 9, 9, 9, 10, 10, 10, 11, 12] and [r.none for r in got] == list(range(12))
+
+
+def test_keys_of_texts_are_those_of_their_words(spark):
+    draw = random.Random(1)
+    texts = ["".join(draw.choice("aeedckktxpssvujyiſÉéñΣİßﬁ&-—– \t\n\x0b\f\r ’.1́😀CEDT") for _ in range(draw.randint(0, 40))) for _ in range(2000)]
+    words = F.filter(F.transform(tx.pieces(F.replace("t", F.lit("&"), F.lit(" and "))), tx.word_key), lambda k: k != "")
+    assert spark.createDataFrame([(t,) for t in texts], "t string").where(tx.keys(F.col("t")) != words).count() == 0
