@@ -224,7 +224,10 @@ def match(lines: DataFrame, cites: DataFrame, prior: DataFrame | None = None, ac
     found = candidates(asked, told).withColumn("_m", _strong()).withColumn("_there", F.lit(True))
     home = F.when((F.size("_m") > 0) & (F.get("_m", F.lit(0))["idx"] == F.element_at(F.when(F.size("_m") > 0, F.col("_m")), -1)["idx"]), F.get("_m", F.lit(0)))
     astray = asked.join(there, "scene", "left_anti")
-    asked = kept(found.withColumn("home", home).drop("_m").unionByName(astray, allowMissingColumns=True))
+    # unsupported ones are told with the others, so that citations are read once
+    bad = cites.where("id is not null and (head is null or length(head) < 2)").select("id", F.lit(True).alias("_bad"))
+    every = kept(found.withColumn("home", home).drop("_m").unionByName(astray, allowMissingColumns=True).unionByName(bad, allowMissingColumns=True))
+    asked = every.where("_bad is null").drop("_bad")
     pairs = asked.where("home is not null").select("scene", F.col("line").alias("cited"), "home.number", F.col("id").alias("teacher"))
     if prior is not None:
         pairs = pairs.unionByName(prior.select(*pairs.columns))
@@ -250,5 +253,5 @@ def match(lines: DataFrame, cites: DataFrame, prior: DataFrame | None = None, ac
     found = F.col("h_idx").isNotNull() | F.col("a_idx").isNotNull() | F.col("f_idx").isNotNull()
     place = lambda c, own: F.coalesce("h_" + c, "a_" + c, "f_" + c, F.when(F.col("_reason").isNull(), F.col(own))).alias(c)
     answered = out.select("id", place("scene", "_scene"), place("idx", "idx"), place("at", "at"), found.alias("recovered"), F.when(~found, F.col("_reason")).alias("reason"))
-    bad = cites.where("id is not null and (head is null or length(head) < 2)").select("id", F.lit("unsupported headword").alias("reason"))
+    bad = every.where("_bad").select("id", F.lit("unsupported headword").alias("reason"))
     return answered.unionByName(bad.withColumn("recovered", F.lit(False)), allowMissingColumns=True)
